@@ -45,7 +45,7 @@ def safe_ratio(num: ColumnLike, den: ColumnLike) -> Column:
 
 
 def pct_change(new: ColumnLike, old: ColumnLike) -> Column:
-    return safe_ratio(col(new) - col(old), F.abs(col(old))) * 100.0
+    return safe_ratio(col(new) - col(old), old) * 100.0
 
 
 def significant(p: ColumnLike, alpha: float = 0.05) -> Column:

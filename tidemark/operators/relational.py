@@ -90,8 +90,8 @@ def first_distinct(df: DataFrame, cols: Sequence[str], order: str) -> DataFrame:
 
 def period_rows(spark, periods: Mapping[str, Sequence[int]]) -> DataFrame:
     """The period dimension ``(period, year)``; a year may belong to several periods."""
-    rows = [(name, int(y)) for name, years in periods.items() for y in years]
-    return spark.createDataFrame(rows, "period string, year long")
+    rows = [F.struct(F.lit(name).alias("period"), F.lit(int(y)).cast("long").alias("year")) for name, years in periods.items() for y in years]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def composite(df: DataFrame, periods: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

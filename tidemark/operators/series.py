@@ -120,6 +120,5 @@ def month_range(spark, start: str, end: str) -> DataFrame:
 
 def calendar_grid(df: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """Each row of ``df`` for every year and month of the range."""
-    return df.withColumn("year", F.explode(F.sequence(F.lit(first_year), F.lit(last_year))).cast("long")).withColumn(
-        "month", F.explode(F.sequence(F.lit(1), F.lit(12))).cast("long")
-    )
+    years = df.withColumn("year", F.explode(F.sequence(F.lit(first_year).cast("long"), F.lit(last_year).cast("long"))))
+    return years.withColumn("month", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))))

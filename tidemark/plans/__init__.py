@@ -1,6 +1,6 @@
 """Registered queries, by family."""
 
 from tidemark.plans.base import REGISTRY
-from tidemark.plans import relational  # noqa: F401  (registers its queries)
+from tidemark.plans import relational, trend, windows  # noqa: F401  (each registers its queries)
 
 __all__ = ["REGISTRY"]

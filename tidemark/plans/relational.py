@@ -142,12 +142,11 @@ def decade_month_pivot(spark, sf):
     "year_month_heatmap",
     "A8 K11",
     f"WITH {LEVELS_SQL} SELECT series, year, "
-    + ", ".join(f"round(avg(CASE WHEN month = {m} THEN value END), 5) AS m{m}" for m in range(1, 13))
+    + ", ".join(f"avg(CASE WHEN month = {m} THEN value END) AS m{m}" for m in range(1, 13))
     + " FROM levels GROUP BY ALL",
 )
 def year_month_heatmap(spark, sf):
-    wide = R.pivot_mean(levels(spark, sf), ["series", "year"], "month", range(1, 13), "value", "m")
-    return rounded(wide, *[f"m{m}" for m in range(1, 13)], digits=5)
+    return R.pivot_mean(levels(spark, sf), ["series", "year"], "month", range(1, 13), "value", "m")
 
 
 # ------------------------------------------------------------------ flux tables
@@ -187,15 +186,16 @@ def flux_melt(spark, sf):
     f"""WITH {FLUX_WIDE_SQL}, totals AS (SELECT sector, year, month, """
     + ", ".join(f"{' + '.join(f'coalesce({s}_{f}, 0)' for s in SIDES)} AS total_{f}" for f in ("inflow", "outflow"))
     + """ FROM wide)
-SELECT sector, year, month, round(total_inflow, 5) AS total_inflow, round(total_outflow, 5) AS total_outflow,
-       round(total_inflow - total_outflow, 5) AS net, round(abs(total_inflow - total_outflow) / (total_inflow + total_outflow + 1e-10) * 100, 5) AS error_pct FROM totals""",
+SELECT sector, year, month, round(total_inflow, 8) AS total_inflow, round(total_outflow, 8) AS total_outflow,
+       round(total_inflow - total_outflow, 8) AS net, round(abs(total_inflow - total_outflow) / (total_inflow + total_outflow + 1e-10) * 100, 5) AS error_pct FROM totals""",
 )
 def net_flux_row_sum(spark, sf):
     wide = flux_long_to_wide(spark, sf)
     wide = wide.withColumns({f"total_{f}": C.row_sum([f"{s}_{f}" for s in SIDES]) for f in ("inflow", "outflow")})
     net = F.col("total_inflow") - F.col("total_outflow")
     wide = wide.withColumns({"net": net, "error_pct": F.abs(net) / (F.col("total_inflow") + F.col("total_outflow") + 1e-10) * 100})
-    return rounded(wide.select("sector", "year", "month", "total_inflow", "total_outflow", "net", "error_pct"), "total_inflow", "total_outflow", "net", "error_pct", digits=5)
+    wide = wide.select("sector", "year", "month", "total_inflow", "total_outflow", "net", r("error_pct", 5).alias("error_pct"))
+    return rounded(wide, "total_inflow", "total_outflow", "net", digits=8)
 
 
 @query(
@@ -254,10 +254,10 @@ def describe_exact(spark, sf):
 @query(
     "fact_quantiles",
     "A20 A11",
-    """SELECT l_returnflag, prob, round(quantile_cont(l_extendedprice, prob), 6) AS quantile FROM (
-         SELECT l_returnflag, 0.1 AS prob, l_extendedprice FROM lineitem) GROUP BY ALL
-       UNION ALL SELECT l_returnflag, 0.5, round(quantile_cont(l_extendedprice, 0.5), 6) FROM lineitem GROUP BY l_returnflag
-       UNION ALL SELECT l_returnflag, 0.9, round(quantile_cont(l_extendedprice, 0.9), 6) FROM lineitem GROUP BY l_returnflag""".replace("quantile_cont(l_extendedprice, prob)", "quantile_cont(l_extendedprice, 0.1)").replace("0.1 AS prob", "CAST(0.1 AS DOUBLE) AS prob").replace("l_returnflag, 0.5,", "l_returnflag, CAST(0.5 AS DOUBLE),").replace("l_returnflag, 0.9,", "l_returnflag, CAST(0.9 AS DOUBLE),"),
+    " UNION ALL ".join(
+        f"SELECT l_returnflag, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(l_extendedprice, {p}), 6) AS quantile FROM lineitem GROUP BY l_returnflag"
+        for p in (0.1, 0.5, 0.9)
+    ),
 )
 def fact_quantiles(spark, sf):
     """Exact quantiles straight over the facts, where a group may hold any share of the rows."""
@@ -502,10 +502,10 @@ def vertical_concat(spark, sf):
 @query(
     "month_total_from_mean",
     "A16",
-    f"WITH {LEVELS_SQL} SELECT series, date, round(value * day(last_day(date)), 5) AS month_total FROM levels",
+    f"WITH {LEVELS_SQL} SELECT series, date, value * day(last_day(date)) AS month_total FROM levels",
 )
 def month_total_from_mean(spark, sf):
-    return levels(spark, sf).select("series", "date", r(F.col("value") * C.days_in_month("date"), 5).alias("month_total"))
+    return levels(spark, sf).select("series", "date", (F.col("value") * C.days_in_month("date")).alias("month_total"))
 
 
 @query(
