@@ -64,3 +64,93 @@ def theil_sen(x: np.ndarray, y: np.ndarray, chunk_pairs: int = 4_000_000) -> flo
         lo, hi, below, inside = a, b, under, kept
     found = np.sort(np.concatenate([s for s, _, _ in slopes(lo, hi)]))
     return float((found[ranks[0] - below] + found[ranks[1] - below]) / 2)
+
+
+# ------------------------------------------------------------------ wavelets
+
+# Support and sampling of the mother wavelets, and the centre frequency of each.
+WAVELET_BOUND, WAVELET_POINTS = 8.0, 1024
+WAVELET_CENTRE = {"morl": 0.8125, "cmor1.5-1.0": 1.0}
+
+
+def mother_wavelet(name: str) -> tuple[np.ndarray, np.ndarray]:
+    x = np.linspace(-WAVELET_BOUND, WAVELET_BOUND, WAVELET_POINTS)
+    if name == "morl":
+        return x, np.exp(-(x**2) / 2) * np.cos(5 * x)
+    width, centre = (float(v) for v in name.removeprefix("cmor").split("-"))
+    return x, np.exp(-(x**2) / width) * np.exp(2j * np.pi * centre * x) / np.sqrt(np.pi * width)
+
+
+def cwt(y: np.ndarray, scales: np.ndarray, name: str) -> np.ndarray:
+    """Continuous wavelet transform, one row per scale.
+
+    The wavelet's running integral is stretched to each scale, convolved with the
+    series and differenced, so that scale 1 already sees the whole wavelet.
+    """
+    x, psi = mother_wavelet(name)
+    step = x[1] - x[0]
+    integral = np.conj(np.cumsum(psi) * step)
+    out = []
+    for s in scales:
+        at = (np.arange(s * (x[-1] - x[0]) + 1) / (s * step)).astype(int)
+        kernel = integral[at[at < len(integral)]][::-1]
+        full = -np.sqrt(s) * np.diff(np.convolve(y, kernel))
+        extra = (len(full) - len(y)) / 2
+        out.append(full[int(np.floor(extra)) : len(full) - int(np.ceil(extra))] if extra > 0 else full)
+    return np.array(out)
+
+
+# ------------------------------------------------------------------ seasonal-trend decomposition
+
+
+def _loess(y: np.ndarray, at: np.ndarray, span: int, weights: np.ndarray) -> np.ndarray:
+    """Local linear smoother of an evenly spaced series, evaluated at positions ``at``."""
+    n = len(y)
+    pos = np.arange(n, dtype=float)
+    width = min(span, n)
+    left = np.clip(np.floor(at - (width - 1) / 2).astype(int), 0, n - width)
+    idx = left[:, None] + np.arange(width)[None, :]
+    dist = np.abs(pos[idx] - at[:, None])
+    reach = dist.max(axis=1) + (max(span - n, 0)) / 2.0
+    u = dist / reach[:, None]
+    w = np.where(u <= 0.999, np.where(u <= 0.001, 1.0, (1 - u**3) ** 3), 0.0) * weights[idx]
+    total = w.sum(axis=1, keepdims=True)
+    w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+    centre = (w * pos[idx]).sum(axis=1)
+    var = (w * (pos[idx] - centre[:, None]) ** 2).sum(axis=1)
+    tilt = np.where(np.sqrt(var) > 0.001 * (n - 1), (at - centre) / np.where(var > 0, var, 1.0), 0.0)
+    w = w * (1 + tilt[:, None] * (pos[idx] - centre[:, None]))
+    return np.where(total[:, 0] > 0, (w * y[idx]).sum(axis=1), y[np.clip(np.round(at).astype(int), 0, n - 1)])
+
+
+def stl(y: np.ndarray, period: int = 12, seasonal: int = 7, robust: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend, seasonal and remainder by LOESS; spans follow the usual rules for the period."""
+    y, n = np.asarray(y, float), len(y)
+    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal)))
+    trend_span += trend_span % 2 == 0
+    low_span = period + (period % 2 == 0)
+    inner, outer = (2, 15) if robust else (5, 0)
+    trend, season, weights = np.zeros(n), np.zeros(n), np.ones(n)
+    everywhere = np.arange(n, dtype=float)
+
+    def moving(v, k):
+        c = np.concatenate([[0.0], np.cumsum(v)])
+        return (c[k:] - c[:-k]) / k
+
+    for rnd in range(outer + 1):
+        for _ in range(inner):
+            detrended = y - trend
+            cycle = np.zeros(n + 2 * period)
+            for p in range(period):
+                sub = detrended[p::period]
+                at = np.arange(-1, len(sub) + 1, dtype=float)
+                cycle[p::period][: len(at)] = _loess(sub, at, seasonal, weights[p::period])
+            low = moving(moving(moving(cycle, period), period), 3)
+            season = cycle[period : period + n] - _loess(low, everywhere, low_span, np.ones(n))
+            trend = _loess(y - season, everywhere, trend_span, weights)
+        if rnd < outer:
+            rest = np.abs(y - season - trend)
+            h = 6 * np.median(rest)
+            u = rest / h if h > 0 else np.zeros(n)
+            weights = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
+    return trend, season, y - season - trend
