@@ -184,3 +184,58 @@ def bearing_side(lon: ColumnLike, lat: ColumnLike, lon0: ColumnLike, lat0: Colum
         .when((angle >= 225) & (angle < 315), "South")
         .otherwise("East")
     )
+
+
+# ------------------------------------------------------------------ equal-area projection
+
+WGS84_F = 1 / 298.257223563
+
+
+class EqualArea:
+    """Lambert azimuthal equal-area projection of the ellipsoid (Snyder 1987, section 24) as column expressions."""
+
+    def __init__(self, lat0: float = 42.0, lon0: float = 51.0):
+        import math
+
+        self.e2 = WGS84_F * (2 - WGS84_F)
+        self.e = math.sqrt(self.e2)
+        self.lon0 = math.radians(lon0)
+        sin0 = math.sin(math.radians(lat0))
+        self.qp = self._q_value(1.0)
+        self.rq = WGS84_A * math.sqrt(self.qp / 2)
+        beta0 = math.asin(self._q_value(sin0) / self.qp)
+        self.sin_b0, self.cos_b0 = math.sin(beta0), math.cos(beta0)
+        self.d = WGS84_A * math.cos(math.radians(lat0)) / math.sqrt(1 - self.e2 * sin0**2) / (self.rq * self.cos_b0)
+
+    def _q_value(self, s: float) -> float:
+        import math
+
+        return (1 - self.e2) * (s / (1 - self.e2 * s * s) - math.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))
+
+    def forward(self, lon: ColumnLike, lat: ColumnLike) -> tuple[Column, Column]:
+        s = F.sin(F.radians(col(lat)))
+        q = (1 - self.e2) * (s / (1 - self.e2 * s * s) - F.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))
+        sin_b = q / self.qp
+        cos_b = F.sqrt(1 - sin_b * sin_b)
+        dl = F.radians(col(lon)) - self.lon0
+        b = self.rq * F.sqrt(2 / (1 + self.sin_b0 * sin_b + self.cos_b0 * cos_b * F.cos(dl)))
+        x = b * self.d * cos_b * F.sin(dl)
+        y = b / self.d * (self.cos_b0 * sin_b - self.sin_b0 * cos_b * F.cos(dl))
+        return x, y
+
+    def inverse(self, x: ColumnLike, y: ColumnLike) -> tuple[Column, Column]:
+        x, y = col(x), col(y)
+        rho = F.sqrt(F.pow(x / self.d, 2) + F.pow(y * self.d, 2))
+        c = 2 * F.asin(rho / (2 * self.rq))
+        at_pole = rho < 1e-9
+        sin_b = F.when(at_pole, self.sin_b0).otherwise(F.cos(c) * self.sin_b0 + self.d * y * F.sin(c) * self.cos_b0 / rho)
+        beta = F.asin(sin_b)
+        e2, e4, e6 = self.e2, self.e2**2, self.e2**3
+        lat = (
+            beta
+            + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
+            + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
+            + 761 * e6 / 45360 * F.sin(6 * beta)
+        )
+        lon = self.lon0 + F.atan2(x * F.sin(c), self.d * rho * self.cos_b0 * F.cos(c) - self.d**2 * y * self.sin_b0 * F.sin(c))
+        return F.degrees(F.when(at_pole, self.lon0).otherwise(lon)), F.degrees(lat)

@@ -154,3 +154,97 @@ def stl(y: np.ndarray, period: int = 12, seasonal: int = 7, robust: bool = False
             u = rest / h if h > 0 else np.zeros(n)
             weights = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
     return trend, season, y - season - trend
+
+
+# ------------------------------------------------------------------ rings
+
+
+def periodic_spline(xy: np.ndarray, points: int) -> np.ndarray:
+    """Closed cubic spline through ring vertices by chord length, sampled evenly in its parameter.
+
+    The last sample repeats the first.  Rings that already have as many vertices are returned as they are.
+    """
+    if points <= len(xy) or len(xy) < 3:
+        return xy
+    closed = np.vstack([xy, xy[:1]])
+    h = np.hypot(*np.diff(closed, axis=0).T)
+    keep = h > 0
+    xy, h = xy[keep], h[keep]
+    n = len(xy)
+    u = np.concatenate([[0.0], np.cumsum(h)])
+    slope = (np.roll(xy, -1, axis=0) - xy) / h[:, None]
+    before = np.roll(h, 1)
+    system = np.diag(2 * (before + h))
+    i = np.arange(n)
+    system[i, (i + 1) % n] += h
+    system[i, (i - 1) % n] += before
+    bend = np.linalg.solve(system, 6 * (slope - np.roll(slope, 1, axis=0)))
+    at = np.linspace(0, u[-1], points)
+    k = np.clip(np.searchsorted(u, at, "right") - 1, 0, n - 1)
+    a, b, hk = (u[k + 1] - at)[:, None], (at - u[k])[:, None], h[k][:, None]
+    nxt = (k + 1) % n
+    return (bend[k] * a**3 + bend[nxt] * b**3) / (6 * hk) + (xy[k] / hk - bend[k] * hk / 6) * a + (xy[nxt] / hk - bend[nxt] * hk / 6) * b
+
+
+def convex_hull(xy: np.ndarray) -> np.ndarray:
+    pts = np.unique(xy, axis=0)
+
+    def half(rows):
+        out: list[np.ndarray] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(pts) + half(pts[::-1]))
+
+
+def smallest_rectangle(xy: np.ndarray) -> np.ndarray:
+    """Corners of the smallest enclosing rectangle: one side lies along a hull edge."""
+    hull = convex_hull(xy)
+    edges = np.roll(hull, -1, axis=0) - hull
+    best = None
+    for angle in np.unique(np.mod(np.arctan2(edges[:, 1], edges[:, 0]), np.pi / 2)):
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        p = hull @ turn
+        (x0, y0), (x1, y1) = p.min(axis=0), p.max(axis=0)
+        if best is None or (x1 - x0) * (y1 - y0) < best[0]:
+            best = ((x1 - x0) * (y1 - y0), np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]]) @ turn.T)
+    return best[1]
+
+
+def ring_arcs(xy: np.ndarray, apart: float = 0.1) -> tuple[np.ndarray, str]:
+    """Split ring vertices into four arcs: at rectangle corners, else at sharp bends, else evenly.
+
+    Break vertices lie at least ``apart`` of the perimeter from each other.
+    """
+    n = len(xy)
+    step = np.hypot(*(np.roll(xy, -1, axis=0) - xy).T)
+    along, total = np.concatenate([[0.0], np.cumsum(step)[:-1]]), step.sum()
+
+    def spaced(candidates) -> list[int]:
+        chosen: list[int] = []
+        for c in candidates:
+            gaps = [abs(along[c] - along[k]) for k in chosen]
+            if len(chosen) < 4 and all(min(g, total - g) >= apart * total for g in gaps):
+                chosen.append(int(c))
+        return sorted(chosen)
+
+    breaks: list[int] = []
+    how = "even"
+    if n >= 10:
+        try:
+            corners = smallest_rectangle(xy)
+            breaks, how = spaced([int(np.argmin(np.hypot(*(xy - c).T))) for c in corners]), "rectangle"
+        except (ValueError, IndexError, TypeError):
+            breaks = []
+        if len(breaks) < 4:
+            a, b = xy - np.roll(xy, 1, axis=0), np.roll(xy, -1, axis=0) - xy
+            size = np.hypot(*a.T) * np.hypot(*b.T)
+            bend = np.abs(np.divide(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], size, out=np.zeros(n), where=size > 1e-10))
+            breaks, how = spaced(np.argsort(-bend, kind="stable")), "curvature"
+    if len(breaks) < 4:
+        breaks, how = [i * n // 4 for i in range(4)], "even"
+    arc = (np.searchsorted(breaks, np.arange(n), "right") - 1) % 4
+    return arc, how

@@ -167,8 +167,8 @@ grid AS (
 GRID_LAT0, GRID_LON0, GRID_STEP, GRID_NY, GRID_NX = 36.0, 46.0, 0.5, 24, 20
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Annual mean field per grid cell: ``year, lat, lon, iy, ix, u, v``."""
+def grid(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """Annual mean field per grid cell: ``year, lat, lon, iy, ix, u, v``; ``only`` keeps the cells it lists."""
     iy, ix = F.col("l_partkey") % GRID_NY, F.col("l_suppkey") % GRID_NX
     cells = table(spark, sf, "lineitem").select(
         F.year("l_shipdate").cast("long").alias("year"),
@@ -177,6 +177,8 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_quantity").cast("long") - 25).alias("u"),
         (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("v"),
     )
+    if only is not None:
+        cells = cells.join(only, ["iy", "ix"], "left_semi")
     means = cells.groupBy("year", "iy", "ix").agg(
         (F.sum("u").cast("double") / F.count(F.lit(1))).alias("u"), (F.sum("v").cast("double") / F.count(F.lit(1))).alias("v")
     )
