@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = str | Column
@@ -192,11 +193,9 @@ WGS84_F = 1 / 298.257223563
 
 
 class EqualArea:
-    """Lambert azimuthal equal-area projection of the ellipsoid (Snyder 1987, section 24) as column expressions."""
+    """Lambert azimuthal equal-area projection of the ellipsoid (Snyder 1987, section 24) in columns."""
 
     def __init__(self, lat0: float = 42.0, lon0: float = 51.0):
-        import math
-
         self.e2 = WGS84_F * (2 - WGS84_F)
         self.e = math.sqrt(self.e2)
         self.lon0 = math.radians(lon0)
@@ -208,34 +207,39 @@ class EqualArea:
         self.d = WGS84_A * math.cos(math.radians(lat0)) / math.sqrt(1 - self.e2 * sin0**2) / (self.rq * self.cos_b0)
 
     def _q_value(self, s: float) -> float:
-        import math
-
         return (1 - self.e2) * (s / (1 - self.e2 * s * s) - math.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))
 
-    def forward(self, lon: ColumnLike, lat: ColumnLike) -> tuple[Column, Column]:
-        s = F.sin(F.radians(col(lat)))
-        q = (1 - self.e2) * (s / (1 - self.e2 * s * s) - F.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))
-        sin_b = q / self.qp
-        cos_b = F.sqrt(1 - sin_b * sin_b)
-        dl = F.radians(col(lon)) - self.lon0
-        b = self.rq * F.sqrt(2 / (1 + self.sin_b0 * sin_b + self.cos_b0 * cos_b * F.cos(dl)))
-        x = b * self.d * cos_b * F.sin(dl)
-        y = b / self.d * (self.cos_b0 * sin_b - self.sin_b0 * cos_b * F.cos(dl))
-        return x, y
-
-    def inverse(self, x: ColumnLike, y: ColumnLike) -> tuple[Column, Column]:
-        x, y = col(x), col(y)
-        rho = F.sqrt(F.pow(x / self.d, 2) + F.pow(y * self.d, 2))
-        c = 2 * F.asin(rho / (2 * self.rq))
+    def project(self, df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+        """Add projected metres.  Intermediate terms are columns, so no term is spelled out twice."""
+        s, e2 = F.col("_s"), self.e2
+        steps = [
+            {"_s": F.sin(F.radians(lat)), "_dl": F.radians(lon) - self.lon0},
+            {"_sb": (1 - e2) / self.qp * (s / (1 - e2 * s * s) - F.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))},
+            {"_cb": F.sqrt(1 - F.col("_sb") * F.col("_sb"))},
+            {"_b": self.rq * F.sqrt(2 / (1 + self.sin_b0 * F.col("_sb") + self.cos_b0 * F.col("_cb") * F.cos("_dl")))},
+            {
+                x: F.col("_b") * self.d * F.col("_cb") * F.sin("_dl"),
+                y: F.col("_b") / self.d * (self.cos_b0 * F.col("_sb") - self.sin_b0 * F.col("_cb") * F.cos("_dl")),
+            },
+        ]
+        return reduce(lambda d, cols: d.withColumns(cols), steps, df).drop("_s", "_dl", "_sb", "_cb", "_b")
+
+    def unproject(self, df: DataFrame, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:
+        """Add longitude and latitude of projected metres."""
+        rho, c, beta = F.col("_rho"), F.col("_c"), F.col("_beta")
         at_pole = rho < 1e-9
-        sin_b = F.when(at_pole, self.sin_b0).otherwise(F.cos(c) * self.sin_b0 + self.d * y * F.sin(c) * self.cos_b0 / rho)
-        beta = F.asin(sin_b)
         e2, e4, e6 = self.e2, self.e2**2, self.e2**3
-        lat = (
+        latitude = (
             beta
             + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
             + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
             + 761 * e6 / 45360 * F.sin(6 * beta)
         )
-        lon = self.lon0 + F.atan2(x * F.sin(c), self.d * rho * self.cos_b0 * F.cos(c) - self.d**2 * y * self.sin_b0 * F.sin(c))
-        return F.degrees(F.when(at_pole, self.lon0).otherwise(lon)), F.degrees(lat)
+        across = F.atan2(F.col(x) * F.sin(c), self.d * rho * self.cos_b0 * F.cos(c) - self.d**2 * F.col(y) * self.sin_b0 * F.sin(c))
+        steps = [
+            {"_rho": F.sqrt(F.pow(F.col(x) / self.d, 2) + F.pow(F.col(y) * self.d, 2))},
+            {"_c": 2 * F.asin(rho / (2 * self.rq))},
+            {"_beta": F.asin(F.when(at_pole, self.sin_b0).otherwise(F.cos(c) * self.sin_b0 + self.d * F.col(y) * F.sin(c) * self.cos_b0 / rho))},
+            {lon: F.degrees(F.when(at_pole, self.lon0).otherwise(self.lon0 + across)), lat: F.degrees(latitude)},
+        ]
+        return reduce(lambda d, cols: d.withColumns(cols), steps, df).drop("_rho", "_c", "_beta")

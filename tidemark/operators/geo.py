@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from tidemark.functions import columns as C
 from tidemark.functions import kernels
 from tidemark.operators import series as S
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -87,18 +88,26 @@ def signed_area(ring: DataFrame, keys: Sequence[str], seq: str, x: str = "lon",
     return g.select(*keys, "area", F.try_divide(F.col("_cx"), 6 * F.col("area")).alias("cx"), F.try_divide(F.col("_cy"), 6 * F.col("area")).alias("cy"), "n_vertices")
 
 
+def _turn(keys: Sequence[str], x: str, y: str) -> Column:
+    """Orientation of the ring a neighbour row belongs to: +1 counter-clockwise, -1 clockwise.
+
+    A window on the partitioning the neighbours already have, so it costs no shuffle.
+    """
+    cross = F.col(x) * F.col(f"next_{y}") - F.col(f"next_{x}") * F.col(y)
+    return F.signum(F.sum(cross).over(Window.partitionBy(*keys)))
+
+
 def counter_clockwise(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Reverse the vertex order of clockwise rings."""
-    area = signed_area(ring, keys, seq).select(*keys, F.col("area").alias("_area"))
-    last = Window.partitionBy(*keys)
-    out = ring.join(area, list(keys)).withColumn("_last", F.max(seq).over(last))
-    return out.withColumn(seq, F.when(F.col("_area") < 0, F.col("_last") - F.col(seq)).otherwise(F.col(seq))).drop("_area", "_last")
+    out = S.ring_neighbours(ring, keys, seq, ["lon", "lat"])
+    last = F.max(seq).over(Window.partitionBy(*keys))
+    out = out.withColumns({"_turn": _turn(keys, "lon", "lat"), "_last": last})
+    return out.withColumn(seq, F.when(F.col("_turn") < 0, F.col("_last") - F.col(seq)).otherwise(F.col(seq))).select(ring.columns)
 
 
 def vertex_normals(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Unit inward normals by central difference, for either orientation of the ring."""
-    area = signed_area(ring, keys, seq).select(*keys, F.signum("area").alias("_turn"))
-    r = S.ring_neighbours(ring, keys, seq, ["lon", "lat"]).join(area, list(keys))
+    r = S.ring_neighbours(ring, keys, seq, ["lon", "lat"]).withColumn("_turn", _turn(keys, "lon", "lat"))
     dx, dy = F.col("next_lon") - F.col("prev_lon"), F.col("next_lat") - F.col("prev_lat")
     size = F.sqrt(dx * dx + dy * dy)
     unit = lambda v: F.when(size > 0, v * F.col("_turn") / size).otherwise(0.0)
@@ -110,12 +119,8 @@ def segments(ring: DataFrame, keys: Sequence[str], seq: str, projection: C.Equal
 
     Without a projection the ring's ``x, y`` columns are taken as planar coordinates.
     """
-    p = ring
-    if projection:
-        x, y = projection.forward("lon", "lat")
-        p = ring.withColumns({"x": x, "y": y})
-    turn = signed_area(p, keys, seq, "x", "y").select(*keys, F.signum("area").alias("_turn"))
-    e = S.ring_neighbours(p, keys, seq, ["x", "y"]).join(turn, list(keys))
+    p = projection.project(ring) if projection else ring
+    e = S.ring_neighbours(p, keys, seq, ["x", "y"]).withColumn("_turn", _turn(keys, "x", "y"))
     dx, dy = F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")
     e = e.withColumns({"_dx": dx, "_dy": dy, "length": F.sqrt(dx * dx + dy * dy)}).where(F.col("length") > 0)
     e = e.withColumns(
@@ -127,10 +132,8 @@ def segments(ring: DataFrame, keys: Sequence[str], seq: str, projection: C.Equal
         }
     )
     if projection:
-        lon, lat = projection.inverse("mid_x", "mid_y")
-        e = e.withColumns({"mid_lon": lon, "mid_lat": lat})
-        return e.select(*keys, seq, "mid_x", "mid_y", "mid_lon", "mid_lat", "length", "nx", "ny")
-    return e.select(*keys, seq, "mid_x", "mid_y", "length", "nx", "ny")
+        e = projection.unproject(e, "mid_x", "mid_y", "mid_lon", "mid_lat")
+    return e.select(*keys, seq, "mid_x", "mid_y", *(["mid_lon", "mid_lat"] if projection else []), "length", "nx", "ny")
 
 
 def edges(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -156,10 +159,11 @@ def interior_point(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return out.select(*keys, pick("cx", "_w.x").alias("lon"), pick("cy", "_w.y").alias("lat"), "_inside").withColumnRenamed("_inside", "is_centroid")
 
 
-def sides_by_bearing(ring: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sides_by_bearing(ring: DataFrame, keys: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Label each vertex by its compass quadrant around the mean vertex of its ring."""
-    centre = ring.groupBy(*keys).agg(F.avg("lon").alias("_lon0"), F.avg("lat").alias("_lat0"))
-    return ring.join(centre, list(keys)).withColumn("side", C.bearing_side("lon", "lat", "_lon0", "_lat0")).drop("_lon0", "_lat0")
+    w = Window.partitionBy(*keys)
+    centred = ring.withColumns({"_lon0": F.avg(lon).over(w), "_lat0": F.avg(lat).over(w)})
+    return centred.withColumn("side", C.bearing_side(lon, lat, "_lon0", "_lat0")).drop("_lon0", "_lat0")
 
 
 def sides_by_arcs(ring: DataFrame, keys: Sequence[str], seq: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -211,10 +215,12 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, point_id: str, vertex
         asks = todo.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
         asks = asks.withColumns({"_cx": F.floor(F.col("_px") / size) + F.col("_dx"), "_cy": F.floor(F.col("_py") / size) + F.col("_dy")}).drop("_dx", "_dy")
         d = F.sqrt(F.pow(F.col("_px") - F.col("_vx"), 2) + F.pow(F.col("_py") - F.col("_vy"), 2))
-        best = asks.join(cells, ["_cx", "_cy"]).groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col(vertex_id).alias("v"))).alias("_b"))
-        found = best.where(F.col("_b.d") <= size).select(point_id, F.col("_b.v").alias(vertex_id), F.col("_b.d").alias("distance"))
+        best = asks.join(cells, ["_cx", "_cy"], "left").groupBy(point_id, "_px", "_py").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col(vertex_id).alias("v")))).alias("_b"))
+        best = cut_lineage(best)  # each round reads the rest of the last one, not its history
+        final = F.coalesce(F.col("_b.d") <= size, F.lit(False))
+        found = best.where(final).select(point_id, F.col("_b.v").alias(vertex_id), F.col("_b.d").alias("distance"))
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(found.select(point_id), point_id, "left_anti")
+        todo = best.where(~final).select(point_id, "_px", "_py")
         if todo.isEmpty():
             return done
         size *= 4

@@ -58,12 +58,12 @@ def dominant_periods(found: DataFrame, keys: Sequence[str], at_least: float = 0.
 # ------------------------------------------------------------------ coherence
 
 
-def coherence(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, longest: int = 128, per_unit: float = 1.0) -> DataFrame:
+def coherence(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, longest: int = 128, per_unit: float = 1.0, run_of: int = 256) -> DataFrame:
     """Welch magnitude-squared coherence of two columns: ``keys, k, frequency, coherence``.
 
     Segments of ``min(longest, n // 4)`` rows overlap by half, carry a periodic
-    Hann window and lose their mean.  A segment is the unit of work, so a series
-    of any length is spread over tasks; segments are then averaged by Spark.
+    Hann window and lose their mean.  A run of ``run_of`` segments is the unit of
+    work and is summed on the spot, so a series of any length is spread over tasks.
     """
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("_len", F.least(F.lit(longest), F.floor(F.col("_n") / 4)).cast("long")).where(F.col("_len") >= 2)
@@ -72,19 +72,26 @@ def coherence(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, long
     rows = df.select(*keys, idx, F.col(x).alias("_x"), F.col(y).alias("_y")).join(n.drop("_n"), list(keys))
     first = F.greatest(F.ceil((F.col(idx) - F.col("_len") + 1) / F.col("_step")), F.lit(0))
     last = F.least(F.floor(F.col(idx) / F.col("_step")), F.col("_count") - 1)
-    rows = rows.where(first <= last).withColumn("_seg", F.explode(F.sequence(first, last)))
+    rows = rows.where(first <= last).withColumn("_run", F.explode(F.sequence(F.floor(first / run_of), F.floor(last / run_of))))
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
-        size = len(pdf)
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-        fx, fy = (np.fft.rfft((v - v.mean()) * hann) for v in (pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)))
-        cross = np.conj(fx) * fy
-        return _keyed(pdf, keys, {"k": np.arange(len(fx)), "_len": size, "_xx": np.abs(fx) ** 2, "_yy": np.abs(fy) ** 2, "_re": cross.real, "_im": cross.imag})
+        size, step = int(pdf["_len"].iloc[0]), int(pdf["_step"].iloc[0])
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        pieces = ((len(pdf) - size) // step) + 1
+
+        def spectra(c):
+            cut = np.lib.stride_tricks.sliding_window_view(pdf[c].to_numpy(float), size)[::step][: min(pieces, run_of)]
+            return np.fft.rfft((cut - cut.mean(axis=1, keepdims=True)) * window, axis=1)
+
+        fx, fy = spectra("_x"), spectra("_y")
+        cross = (np.conj(fx) * fy).sum(axis=0)
+        power = {"_xx": (np.abs(fx) ** 2).sum(axis=0), "_yy": (np.abs(fy) ** 2).sum(axis=0)}
+        return _keyed(pdf, keys, {"k": np.arange(len(cross)), "_len": size, **power, "_re": cross.real, "_im": cross.imag})
 
     d = DoubleType()
-    seg = rows.groupBy(*keys, "_seg").applyInPandas(transform, _schema(rows, keys, k=LongType(), _len=LongType(), _xx=d, _yy=d, _re=d, _im=d))
-    g = seg.groupBy(*keys, "k").agg(F.max("_len").alias("_len"), *[F.avg(c).alias(c) for c in ("_xx", "_yy", "_re", "_im")])
+    seg = rows.groupBy(*keys, "_run").applyInPandas(transform, _schema(rows, keys, k=LongType(), _len=LongType(), _xx=d, _yy=d, _re=d, _im=d))
+    g = seg.groupBy(*keys, "k").agg(F.max("_len").alias("_len"), *[F.sum(c).alias(c) for c in ("_xx", "_yy", "_re", "_im")])
     coh = F.try_divide(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"), F.col("_xx") * F.col("_yy"))
     return g.select(*keys, "k", (F.col("k") * per_unit / F.col("_len")).alias("frequency"), coh.alias("coherence"))
 

@@ -138,9 +138,7 @@ def side_by_bearing(spark, sf):
 
 @query("side_by_arcs", "G13 G14 G15 J13")
 def side_by_arcs(spark, sf):
-    x, y = LAEA.forward("lon", "lat")
-    projected = rings(spark, sf).withColumns({"x": x, "y": y})
-    return G.sides_by_arcs(projected, ["ring"], "seq")
+    return G.sides_by_arcs(LAEA.project(rings(spark, sf)), ["ring"], "seq")
 
 
 @query(
@@ -253,8 +251,7 @@ fl AS (SELECT ring, year, side, sum(greatest(-q, q * 0) * length) AS inflow, sum
 
 def flux_by_side(spark, sf):
     segs = G.segments(rings(spark, sf), ["ring"], "seq", LAEA)
-    centre = segs.groupBy("ring").agg(F.avg("mid_lon").alias("lon0"), F.avg("mid_lat").alias("lat0"))
-    named = segs.join(centre, "ring").withColumn("side", C.bearing_side("mid_lon", "mid_lat", "lon0", "lat0")).drop("lon0", "lat0")
+    named = G.sides_by_bearing(segs, ["ring"], "mid_lon", "mid_lat")
     corners = G.bilinear_corners(named, GRID)
     field = grid(spark, sf, G.touched_cells(corners))
     sampled = G.bilinear_sample(corners, field, ["ring", "seq"], ["year"], ["u", "v"])

@@ -68,7 +68,7 @@ SELECT series, k, round(CAST(k AS DOUBLE) / len, 9) AS frequency, round((re * re
 )
 def spectral_coherence_obs(spark, sf):
     o = observations(spark, sf).withColumn("other", (F.col("event_id") % 97).cast("double"))
-    c = X.coherence(o, ["series"], "t", "value", "other", longest=64).where(F.col("k") > 0)
+    c = X.coherence(o, ["series"], "t", "value", "other", longest=64, run_of=8).where(F.col("k") > 0)
     return rounded(rounded(c, "frequency", digits=9), "coherence")
 
 
