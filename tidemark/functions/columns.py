@@ -160,7 +160,7 @@ WGS84_B = 6356752.3
 def haversine_km(lon1: ColumnLike, lat1: ColumnLike, lon2: ColumnLike, lat2: ColumnLike) -> Column:
     lon1, lat1, lon2, lat2 = (F.radians(col(c)) for c in (lon1, lat1, lon2, lat2))
     h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would hide a missing point
 
 
 def earth_radius_m(lat: ColumnLike) -> Column:

@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x):
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def betainc(a, b, x):

@@ -306,15 +306,21 @@ def repair_outliers(samples: DataFrame, groups: Sequence[str], limit: float = 30
     return rows.withColumns({"_u": fixed("u"), "_v": fixed("v")}).withColumns({"u": F.col("_u"), "v": F.col("_v")}).drop("_bad", "_any", "_good", "_near", "_u", "_v")
 
 
-def boundary_flux(samples: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
+def boundary_flux(samples: DataFrame, by: Sequence[str], strict_against: DataFrame | None = None) -> DataFrame:
     """Inflow and outflow through boundary segments with sampled ``u, v``, outward normals and lengths.
 
-    ``strict`` makes a group NULL as soon as one segment has no sample.
+    Segments without a sample are left out.  Given the expected number of segments
+    per boundary (``keys, n_expected``), a group that misses one is NULL instead.
     """
     q = F.col("u") * F.col("nx") + F.col("v") * F.col("ny")
-    total = C.strict_sum if strict else F.sum
     rows = samples.withColumns({"_in": F.greatest(-q, q * 0.0) * F.col("length"), "_out": F.greatest(q, q * 0.0) * F.col("length")})
-    return rows.groupBy(*by).agg(total("_in").alias("inflow"), total("_out").alias("outflow"), F.count("_in").alias("n_segments"))
+    g = rows.groupBy(*by).agg(F.sum("_in").alias("inflow"), F.sum("_out").alias("outflow"), F.count("_in").alias("n_segments"))
+    if strict_against is None:
+        return g
+    on = [c for c in strict_against.columns if c != "n_expected"]
+    whole = F.col("n_segments") == F.col("n_expected")
+    g = g.join(strict_against, on)
+    return g.withColumns({c: F.when(whole, F.col(c)) for c in ("inflow", "outflow")}).select(*by, "inflow", "outflow", "n_segments")
 
 
 def conservation(flux: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -234,7 +234,7 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, name: str = "
     raw = df.withColumn("_raw", F.col(p) * m / F.row_number().over(ordered))
     # equal p values may take any order: the running minimum gives all of them the last one's value
     back = Window.partitionBy(*keys).orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(name, F.least(F.min("_raw").over(back), F.lit(1.0))).drop("_raw")
+    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(back), F.lit(1.0)))).drop("_raw")
 
 
 def extremes(df: DataFrame, keys: Sequence[str], value: str, high: float = 0.9, low: float = 0.1, inclusive: bool = False) -> DataFrame:

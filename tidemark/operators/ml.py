@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.operators import inference as I
 from tidemark.operators import regress as G
+from tidemark.operators.regress import square
 
 
 def assemble(df: DataFrame, xs: Sequence[str]) -> DataFrame:
@@ -143,7 +144,7 @@ def principal_components(df: DataFrame, keys: Sequence[str], cols: Sequence[str]
 
     def solve(covs: pd.Series) -> pd.Series:
         def one(c):
-            cov = G._square(np.asarray(c, float), p)
+            cov = square(np.asarray(c, float), p)
             sd = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
             values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
             out = []

@@ -65,7 +65,7 @@ def _wide_moments(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     return means.join(whole, list(keys)).select(*keys, "n", "means", F.transform("_c", lambda c: c["_s"] / F.col("n")).alias("covs"))
 
 
-def _square(covs: np.ndarray, p: int) -> np.ndarray:
+def square(covs: np.ndarray, p: int) -> np.ndarray:
     m = np.zeros((p, p))
     i, j = np.array(triangle(p)).T
     m[i, j] = m[j, i] = covs
@@ -109,7 +109,7 @@ def solver(p: int, ridge: float = 0.0, lasso: float = 0.0, min_n: int = 1, origi
             if m is None or count < min_n or any(v is None or v != v for v in c):
                 out.append((None, None, None, None))
                 continue
-            m, cov = np.asarray(m, float), _square(np.asarray(c, float), p + 1)
+            m, cov = np.asarray(m, float), square(np.asarray(c, float), p + 1)
             tss, xs = float(count * cov[p, p]), list(range(p))
             if origin:
                 cov, m = cov + np.outer(m, m), np.zeros(p + 1)
@@ -209,7 +209,7 @@ def time_series_cv(df: DataFrame, keys: Sequence[str], idx: str, xs: Sequence[st
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fold")
-        parts = [(r.fold, r.n, np.asarray(r.means, float), _square(np.asarray(r.covs, float), p + 1)) for r in pdf.itertuples()]
+        parts = [(r.fold, r.n, np.asarray(r.means, float), square(np.asarray(r.covs, float), p + 1)) for r in pdf.itertuples()]
         out = []
         for fold, n_test, m_test, c_test in parts:
             before = [q for q in parts if q[0] < fold]
@@ -250,7 +250,7 @@ def forward_selection(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y:
     @F.pandas_udf(schema)
     def choose(n: pd.Series, covs: pd.Series) -> pd.Series:
         def one(count, c):
-            cov = _square(np.asarray(c, float), p + 1)
+            cov = square(np.asarray(c, float), p + 1)
             chosen, score, steps = [], 0.0, []
             while len(chosen) < max_features:
                 trial = []
@@ -293,7 +293,7 @@ def granger(df: DataFrame, keys: Sequence[str], order: str, y: str, x: str, max_
     @F.pandas_udf(ArrayType(DoubleType()))
     def both_rss(lag: pd.Series, n: pd.Series, covs: pd.Series) -> pd.Series:
         def one(k, count, c):
-            cov = _square(np.asarray(c, float), size + 1)
+            cov = square(np.asarray(c, float), size + 1)
 
             def rss(cols):
                 b = solve_penalised(cov, count, cols, size)
@@ -337,7 +337,7 @@ def var_forecast(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
     def run(n: pd.Series, means: pd.Series, covs: pd.Series, hist: pd.Series, level: pd.Series) -> pd.Series:
         def one(count, mean, c, h, lev):
-            mean, cov = np.asarray(mean, float), _square(np.asarray(c, float), p + q)
+            mean, cov = np.asarray(mean, float), square(np.asarray(c, float), p + q)
             h, out = np.asarray(h, float), []
             coef = [solve_penalised(cov, count, list(range(p)), p + j) for j in range(q)]
             for _ in range(steps):

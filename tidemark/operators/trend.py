@@ -42,7 +42,8 @@ def ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def residual_ss() -> Column:
     """Residual sum of squares from the columns of :func:`ols`."""
-    return F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0))
+    rss = F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")
+    return F.when(rss < 0, 0.0).otherwise(rss)
 
 
 def ols_tested(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 from tidemark.functions import forecasters as N
 from tidemark.operators import forecast as FC
 from tidemark.operators import regress as G
+from tidemark.operators.regress import square
 from tidemark.operators.spectral import _keyed, _schema
 
 
@@ -90,7 +91,7 @@ def ard(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFr
 
     def solve(n: pd.Series, covs: pd.Series) -> pd.Series:
         def one(count, c):
-            cov = G._square(np.asarray(c, float), p + 1)
+            cov = square(np.asarray(c, float), p + 1)
             scale = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
             unit = cov / np.outer(scale, scale)
             return (N.ard_from_moments(count, unit[:p, :p], unit[:p, p], unit[p, p]) * scale[p] / scale[:p]).tolist()

@@ -92,7 +92,7 @@ def vertex_normals(spark, sf):
     "ring_resample",
     "G7 A22 G1",
     f"""WITH {RINGS_SQL}, d AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
-e AS (SELECT ring, seq, lon, lat, coalesce(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0) AS step FROM d),
+e AS (SELECT ring, seq, lon, lat, CASE WHEN plon IS NULL THEN 0 ELSE 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) END AS step FROM d),
 a AS (SELECT *, sum(step) OVER (PARTITION BY ring ORDER BY seq) AS arc FROM e),
 p AS (SELECT *, lead(arc) OVER w AS arc2, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM a WINDOW w AS (PARTITION BY ring ORDER BY seq)),
 mx AS (SELECT ring, max(arc) AS total FROM a GROUP BY ring), tg AS (SELECT ring, unnest(range(0, CAST(floor(total / 10.0) AS BIGINT) + 1)) AS i FROM mx)

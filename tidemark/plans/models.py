@@ -368,8 +368,9 @@ def var_differences(spark, sf):
     "M26 S16",
     f"""WITH {LEVELS_SQL}, rc AS (SELECT * FROM levels WHERE year BETWEEN 1996 AND 2000), an AS (SELECT series, year, avg(value) AS v FROM rc GROUP BY ALL),
 f AS (SELECT series, regr_slope(v, year) AS b, regr_intercept(v, year) AS a FROM an GROUP BY series),
-pa AS (SELECT series, month, avg(value) AS m FROM rc WHERE year = 2000 GROUP BY ALL), pm AS (SELECT series, avg(m) AS mm FROM pa GROUP BY series)
-SELECT f.series, y AS year, pa.month, round((a + b * y) * (m / mm), 4) AS forecast FROM f JOIN pa USING (series) JOIN pm USING (series), (SELECT unnest(range(2001, 2006)) AS y)""",
+pa AS (SELECT series, month, avg(value) AS m FROM rc WHERE year = 2000 GROUP BY ALL), pm AS (SELECT series, avg(m) AS mm, count(*) AS k FROM pa GROUP BY series),
+gr AS (SELECT f.*, mm, k, y, mo FROM f JOIN pm USING (series), (SELECT unnest(range(2001, 2006)) AS y), (SELECT unnest(range(1, 13)) AS mo))
+SELECT gr.series, y AS year, mo AS month, round((a + b * y) * (CASE WHEN k = 12 THEN m / mm ELSE 1 END), 4) AS forecast FROM gr LEFT JOIN pa ON pa.series = gr.series AND pa.month = mo""",
 )
 def scaled_seasonal_forecast(spark, sf):
     known = levels(spark, sf).where(F.col("year") <= 2000)

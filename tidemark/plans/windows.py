@@ -29,20 +29,20 @@ def frame(k):
     return f"OVER (PARTITION BY series ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
 
 
-@query("rolling_partial", "W2", f"WITH {LEVELS_SQL} SELECT series, t, round(avg(value) {frame(3)}, 5) AS ma3, round(avg(value) {frame(6)}, 5) AS ma6 FROM levels")
+@query("rolling_partial", "W2", f"WITH {LEVELS_SQL} SELECT series, t, round(avg(value) {frame(3)}, 7) AS ma3, round(avg(value) {frame(6)}, 7) AS ma6 FROM levels")
 def rolling_partial(spark, sf):
-    return levels(spark, sf).select("series", "t", *[r(S.rolling_mean("value", ["series"], "t", k, full=False), 5).alias(f"ma{k}") for k in (3, 6)])
+    return levels(spark, sf).select("series", "t", *[r(S.rolling_mean("value", ["series"], "t", k, full=False), 7).alias(f"ma{k}") for k in (3, 6)])
 
 
 @query(
     "rolling_full",
     "W3",
     f"WITH {LEVELS_SQL} SELECT series, t, "
-    + ", ".join(f"CASE WHEN count(value) {frame(k)} = {k} THEN round(avg(value) {frame(k)}, 5) END AS ma{k}" for k in (3, 6, 12))
+    + ", ".join(f"CASE WHEN count(value) {frame(k)} = {k} THEN round(avg(value) {frame(k)}, 7) END AS ma{k}" for k in (3, 6, 12))
     + " FROM levels",
 )
 def rolling_full(spark, sf):
-    return levels(spark, sf).select("series", "t", *[r(S.rolling_mean("value", ["series"], "t", k, full=True), 5).alias(f"ma{k}") for k in (3, 6, 12)])
+    return levels(spark, sf).select("series", "t", *[r(S.rolling_mean("value", ["series"], "t", k, full=True), 7).alias(f"ma{k}") for k in (3, 6, 12)])
 
 
 @query("first_diff", "W4", f"WITH {LEVELS_SQL} SELECT series, t, value - lag(value) {W} AS diff FROM levels")
@@ -169,7 +169,7 @@ def seasonal_encodings(spark, sf):
     "cum_arc_length",
     "A22 G1 W14",
     f"""WITH {RINGS_SQL}, d AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
-e AS (SELECT ring, seq, coalesce(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0) AS step FROM d)
+e AS (SELECT ring, seq, CASE WHEN plon IS NULL THEN 0 ELSE 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) END AS step FROM d)
 SELECT ring, seq, round(sum(step) OVER (PARTITION BY ring ORDER BY seq), 5) AS arc_km FROM e""",
 )
 def cum_arc_length(spark, sf):
