@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def _before(keys: Sequence[str], block: str):
     return Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,33 +105,40 @@ def split_block(value: str, splits: Sequence[float]) -> Column:
     return 2 * below + F.when(F.array_contains(bounds, F.col(value)), 1).otherwise(0)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, parts: int, **extra: Column) -> DataFrame:
+    """Distinct values per key with their counts and value block: ``keys, value, _c, _block`` and ``extra`` aggregates.
+
+    Counted with map-side combine and checkpointed, because every caller reads it
+    more than once and the facts should be read once.
+    """
+    clean = df.where(F.col(value).isNotNull())
+    counts = cut_lineage(clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), *[c.alias(n) for n, c in extra.items()]))
+    return counts.withColumn("_block", split_block(value, value_splits(counts, value, parts)))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], parts: int = 64) -> DataFrame:
     """Linear-interpolated quantiles of groups of any size: ``keys, prob, quantile``.
 
-    Equal values are counted first (map-side combine).  Counts per value block
-    locate the blocks that hold the wanted ranks; only those blocks are ordered.
+    Counts per value block locate the blocks that hold the wanted ranks; only the
+    distinct values of those blocks are ordered.
     """
-    clean = df.where(F.col(value).isNotNull())
-    splits = value_splits(clean, value, parts)
-    counts = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_block", split_block(value, splits))
+    counts = value_counts(df, keys, value, parts)
     blocks = counts.groupBy(*keys, "_block").agg(F.sum("_c").alias("_bc"))
     along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     blocks = blocks.withColumns({"_end": F.sum("_bc").over(along), "_total": F.sum("_bc").over(whole)})
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
     hits = (
-        blocks.withColumn("prob", F.explode(wanted))
+        blocks.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_pos", F.col("prob") * (F.col("_total") - 1))
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
         .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_bc")))
-        .select(*keys, "_block", "prob", "_pos", "_rank", (F.col("_end") - F.col("_bc")).alias("_start"))
     )
-    needed = hits.select(*keys, "_block", "_start").distinct()
+    asked = F.collect_set(F.struct("prob", "_pos", "_rank"))  # at most two entries per probability
+    hits = hits.groupBy(*keys, "_block").agg(F.first(F.col("_end") - F.col("_bc")).alias("_start"), asked.alias("_asked"))
     inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(needed, [*keys, "_block"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
-    found = hits.drop("_start").join(ranked, [*keys, "_block"]).where(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
-    )
+    ranked = counts.join(hits, [*keys, "_block"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
+    mine = lambda q: (q["_rank"] < F.col("_upto")) & (q["_rank"] >= F.col("_upto") - F.col("_c"))
+    found = ranked.select(*keys, value, F.inline(F.filter("_asked", mine)))
     lo, hi = F.min(value), F.max(value)
     share = F.first("_pos") - F.floor(F.first("_pos"))
     return found.groupBy(*keys, "prob").agg((lo + (hi - lo) * share).alias("quantile"))

@@ -22,37 +22,46 @@ def split_scores(df: DataFrame, keys: Sequence[str], idx: str, value: str, trim:
     Both sides follow from running sums of the centred series and its square.  With
     ``block`` the running sums go block by block, for series of any length.
     """
-    totals = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"), F.var_pop(value).alias("_var"))
-    rows = df.select(*keys, idx, value).join(totals, list(keys)).withColumn("_d", F.col(value) - F.col("_mean"))
-    rows = rows.withColumn("_dd", F.col("_d") * F.col("_d"))
+    rows = df.select(*keys, idx, value)
+    series = Window.partitionBy(*keys)
     if block:
-        bucket = F.floor(F.col(idx) / block)
-        rows = B.running_sum(B.running_sum(rows, keys, [idx], "_d", bucket, "_s"), keys, [idx], "_dd", bucket, "_q")
+        rows = rows.withColumn("_b", F.floor(F.col(idx) / block))
+        g = rows.groupBy(*keys, "_b").agg(F.count(value).alias("_bn"), F.avg(value).alias("_bm"), F.var_pop(value).alias("_bv"))
+        n = F.sum("_bn").over(series)
+        g = g.withColumns({"_n": n, "_mean": F.sum(F.col("_bn") * F.col("_bm")).over(series) / n})
+        off = F.col("_bm") - F.col("_mean")
+        g = g.withColumns({"_bs": F.col("_bn") * off, "_bq": F.col("_bn") * (F.col("_bv") + off * off)})
+        before = series.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        g = g.withColumns({"_s0": F.coalesce(F.sum("_bs").over(before), F.lit(0.0)), "_q0": F.coalesce(F.sum("_bq").over(before), F.lit(0.0)), "_ss": F.sum("_bq").over(series)})
+        rows = rows.join(g.select(*keys, "_b", "_n", "_mean", "_s0", "_q0", "_ss"), [*keys, "_b"])
+        inside = Window.partitionBy(*keys, "_b")
     else:
-        upto = S.by(keys, idx).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumns({"_s": F.sum("_d").over(upto), "_q": F.sum("_dd").over(upto)})
+        rows = rows.withColumns({"_n": F.count(value).over(series), "_mean": F.avg(value).over(series), "_ss": F.var_pop(value).over(series) * F.count(value).over(series), "_s0": F.lit(0.0), "_q0": F.lit(0.0)})
+        inside = series
+    upto = inside.orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_d", F.col(value) - F.col("_mean")).withColumn("_dd", F.col("_d") * F.col("_d"))
+    rows = rows.withColumns({"_s": F.col("_s0") + F.sum("_d").over(upto), "_q": F.col("_q0") + F.sum("_dd").over(upto)})
     n1 = F.col(idx).cast("double")
     n2 = F.col("_n") - n1
     s1, q1 = F.col("_s") - F.col("_d"), F.col("_q") - F.col("_dd")
     m1, m2 = s1 / n1, -s1 / n2
-    v1, v2 = q1 / n1 - m1 * m1, (F.col("_var") * F.col("_n") - q1) / n2 - m2 * m2
+    v1, v2 = q1 / n1 - m1 * m1, (F.col("_ss") - q1) / n2 - m2 * m2
     pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (F.col("_n") - 2)
-    inside = (F.col(idx) >= trim) & (F.col(idx) < F.col("_n") - trim)
+    kept = (F.col(idx) >= trim) & (F.col(idx) < F.col("_n") - trim)
     score = F.when(pooled > 0, (m1 - m2) * (m1 - m2) / pooled)
-    return rows.where(inside).select(*keys, idx, score.alias("score")).where(F.col("score").isNotNull())
+    return rows.where(kept).select(*keys, idx, score.alias("score")).where(F.col("score").isNotNull())
 
 
 def window_scores(df: DataFrame, keys: Sequence[str], idx: str, value: str, window: int = 24, block: int | None = None) -> DataFrame:
     """Absolute difference between the means of the ``window`` rows from and before each position."""
     score = lambda w: F.abs(F.avg(value).over(w.rowsBetween(0, window - 1)) - F.avg(value).over(w.rowsBetween(-window, -1)))
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = lambda w: F.count(F.lit(1)).over(w.rowsBetween(1, window))
     rows = df.select(*keys, idx, value)
     if block:
-        rows = B.windowed(rows, keys, idx, window, window - 1, {"score": score}, block)
+        rows = B.windowed(rows, keys, idx, window, window, {"score": score, "_ahead": ahead}, block)
     else:
-        rows = rows.withColumn("score", score(S.by(keys, idx)))
-    inside = (F.col(idx) >= window) & (F.col(idx) < F.col("_n") - window)
-    return rows.join(totals, list(keys)).where(inside).select(*keys, idx, "score")
+        rows = rows.withColumns({"score": score(S.by(keys, idx)), "_ahead": ahead(S.by(keys, idx))})
+    return rows.where((F.col(idx) >= window) & (F.col("_ahead") == window)).select(*keys, idx, "score")
 
 
 def best_split(scores: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:

@@ -77,8 +77,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str,
     """
     clean = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     is_a = F.when(F.col(group) == a, 1).otherwise(0)
-    counts = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), F.sum(is_a).alias("_ca"))
-    counts = counts.withColumn("_block", B.split_block(value, B.value_splits(clean, value, parts)))
+    counts = B.value_counts(clean, keys, value, parts, _ca=F.sum(is_a))
     ranked = B.running_sum(counts, [*keys], [value], "_c", F.col("_block"), "_upto")
     rank = F.col("_upto") - (F.col("_c") - 1) / 2.0
     c = F.col("_c").cast("double")

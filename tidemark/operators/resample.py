@@ -60,7 +60,7 @@ def trend_band(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, hor
 
 def sen_interval(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, reps: int, draw: Draw) -> DataFrame:
     """Bootstrap distribution of the Theil-Sen slope; replicates with a single ``x`` drop out."""
-    slopes = T.theil_sen(resampled(df, keys, idx, reps, draw), [*keys, "rep"], x, y)
+    slopes = T.theil_sen(resampled(df, keys, idx, reps, draw), [*keys, "rep"], x, y, batch="rep")
     return interval(slopes.where(F.col("slope").isNotNull()), keys, "slope")
 
 

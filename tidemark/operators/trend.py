@@ -21,6 +21,7 @@ from tidemark.functions import kernels
 from tidemark.functions.special import t_p_value, t_ppf
 from tidemark.operators import blocked as B
 from tidemark.operators import series as S
+from tidemark.session import cut_lineage
 
 # ------------------------------------------------------------------ straight lines
 
@@ -155,12 +156,12 @@ def sign_before_long(
     dense = dense.withColumn("_cross", F.coalesce(F.sum("_e").over(lower), F.lit(0)) - F.coalesce(F.sum("_e").over(higher), F.lit(0)))
     dense = dense.select(*keys, "_tb", "_vb", "_cross")
 
+    # blocks of one value hold nothing but ties: cut them by time so that no group gathers a frequent value
+    rows = rows.withColumn("_cut", F.when(F.col("_vb") % 2 == 1, F.col("_tb")).otherwise(F.lit(-1).cast("long")))
     in_time = sign_before(rows, [*keys, "_tb"], [idx], "_vb", "_in_time")
-    mixed = (F.col("_vb") % 2) == 0
-    in_value = sign_before(in_time.where(mixed), [*keys, "_vb"], [idx], value, "_in_value")
-    tied = in_time.where(~mixed).withColumn("_in_value", F.lit(0).cast("long"))
-    both = in_value.unionByName(tied).join(dense, [*keys, "_tb", "_vb"])
-    return both.withColumn(name, F.col("_cross") + F.col("_in_time") + F.col("_in_value")).drop("_cross", "_in_time", "_in_value", "_tb", "_vb")
+    in_value = sign_before(in_time, [*keys, "_vb", "_cut"], [idx], value, "_in_value")
+    both = in_value.join(dense, [*keys, "_tb", "_vb"])
+    return both.withColumn(name, F.col("_cross") + F.col("_in_time") + F.col("_in_value")).drop("_cross", "_in_time", "_in_value", "_tb", "_vb", "_cut")
 
 
 def mann_kendall_from_signs(signed: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
@@ -183,20 +184,33 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], order: str, value: str, alp
 
 
 def mann_kendall_long(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float = 0.05, block: int = 100_000, parts: int = 64) -> DataFrame:
-    clean = df.select(*keys, idx, value).where(F.col(value).isNotNull())
+    """:func:`mann_kendall` for indexed series of any length; the indexed rows are checkpointed and read three times."""
+    clean = cut_lineage(df.select(*keys, idx, value).where(F.col(value).isNotNull()))
     return mann_kendall_from_signs(sign_before_long(clean, keys, idx, value, block=block, parts=parts), keys, value, alpha)
 
 
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "slope") -> DataFrame:
-    """Median pairwise slope over a calendar series, pairs of equal ``x`` left out."""
+def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "slope", batch: str | None = None, batch_size: int = 64) -> DataFrame:
+    """Median pairwise slope over a calendar series, pairs of equal ``x`` left out.
+
+    ``batch`` names an integer key (a replicate number) of which ``batch_size``
+    neighbours share a task call: many small series cost few calls.
+    """
     clean = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    schema = StructType([*[f for f in clean.schema.fields if f.name in keys], StructField(name, DoubleType())])
+    fields = [f for f in clean.schema.fields if f.name in keys]
+    names = [f.name for f in fields]
+    schema = StructType([*fields, StructField(name, DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.theil_sen(pdf[x].to_numpy(float), pdf[y].to_numpy(float))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, name: [None if np.isnan(found) else found]})
-
-    return clean.groupBy(*keys).applyInPandas(run, schema)
+        out = []
+        for key, at in pdf.groupby(names, sort=False).indices.items():
+            found = kernels.theil_sen(pdf[x].to_numpy(float)[at], pdf[y].to_numpy(float)[at])
+            out.append((*(key if isinstance(key, tuple) else (key,)), None if np.isnan(found) else found))
+        return pd.DataFrame(out, columns=[*names, name])
+
+    if batch is None:
+        return clean.groupBy(*keys).applyInPandas(run, schema)
+    shared = [F.col(k) for k in keys if k != batch] + [F.floor(F.col(batch) / batch_size)]
+    return clean.groupBy(*shared).applyInPandas(run, schema)
 
 
 def pettitt(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
