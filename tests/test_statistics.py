@@ -117,3 +117,11 @@ def test_pacf_by_regression(spark):
     df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate(y)], "s string, t long, v double")
     pacf = I.partial_autocorrelation(I.autocorrelation(df, ["s"], "t", "v", 4), ["s"]).orderBy("lag").toPandas()["pacf"]
     assert pacf[1] == pytest.approx(0.6, abs=0.1) and abs(pacf[3]) < 0.15
+
+
+def test_hash_noise_is_normal_and_repeatable(spark):
+    from tidemark.operators import series as S
+
+    a = spark.range(20000).repartition(3).select("id", S.hash_normal(5, "id").alias("z")).orderBy("id").toPandas()["z"]
+    b = spark.range(20000).repartition(7).select("id", S.hash_normal(5, "id").alias("z")).orderBy("id").toPandas()["z"]
+    assert (a == b).all() and abs(a.mean()) < 0.03 and abs(a.std() - 1) < 0.03 and abs((a > 1.96).mean() - 0.025) < 0.005

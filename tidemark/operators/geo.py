@@ -88,6 +88,13 @@ def signed_area(ring: DataFrame, keys: Sequence[str], seq: str, x: str = "lon",
     return g.select(*keys, "area", F.try_divide(F.col("_cx"), 6 * F.col("area")).alias("cx"), F.try_divide(F.col("_cy"), 6 * F.col("area")).alias("cy"), "n_vertices")
 
 
+def largest_part(parts: DataFrame, keys: Sequence[str], part: str, seq: str) -> DataFrame:
+    """Of each shape's rings keep the one with the largest area (the lowest part number on ties)."""
+    area = signed_area(parts, [*keys, part], seq)
+    best = area.groupBy(*keys).agg(F.min(F.struct((-F.abs(F.col("area"))).alias("a"), F.col(part).alias("p"))).alias("_b"))
+    return parts.join(best.select(*keys, F.col("_b.p").alias(part)), [*keys, part], "left_semi")
+
+
 def _turn(keys: Sequence[str], x: str, y: str) -> Column:
     """Orientation of the ring a neighbour row belongs to: +1 counter-clockwise, -1 clockwise.
 

@@ -122,3 +122,17 @@ def calendar_grid(df: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """Each row of ``df`` for every year and month of the range."""
     years = df.withColumn("year", F.explode(F.sequence(F.lit(first_year).cast("long"), F.lit(last_year).cast("long"))))
     return years.withColumn("month", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))))
+
+
+def hash_normal(seed: int, *cols: str) -> Column:
+    """Standard normal noise that depends only on a seed and the row's columns (Box-Muller on two hashes).
+
+    Unlike ``randn`` it does not change with partitioning or when a task runs again.
+    """
+    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *cols), F.lit(2**52)) + 0.5) / float(2**52)
+    return F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * F.pi() * unit(1))
+
+
+def synthetic_trend(t: str, base: float, slope: float, sd: float, seed: int, *cols: str) -> Column:
+    """A stand-in covariate ``base + slope t + noise`` for rows keyed by ``cols``."""
+    return F.lit(base) + slope * F.col(t) + sd * hash_normal(seed, *cols)

@@ -12,6 +12,7 @@ from tidemark.operators import regress as G
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.operators import univariate as U
+from tidemark.plans.models import ols3_sql
 from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, joined, levels, query, r, rounded
 
 XS = ("qty", "price", "disc")
@@ -129,7 +130,12 @@ def linear_attributions(spark, sf):
     return rounded(M.linear_attributions(base, G.fit(base, ["series"], ["t"], "value"), ["series"], ["t"]), "importance", digits=5)
 
 
-@query("attribution_ranking", "M10 A26")
+@query(
+    "attribution_ranking",
+    "M10 A26",
+    f"""WITH {JOINED_SQL}, {ols3_sql('joined', 'series', *XS, 'value')}, a AS (SELECT j.series, avg(abs(b1 * (qty - m1))) AS i1, avg(abs(b2 * (price - m2))) AS i2, avg(abs(b3 * (disc - m3))) AS i3 FROM joined j JOIN joined_fit USING (series) GROUP BY j.series)
+SELECT 'qty' AS name, round(avg(i1), 4) AS importance FROM a UNION ALL SELECT 'price', round(avg(i2), 4) FROM a UNION ALL SELECT 'disc', round(avg(i3), 4) FROM a""",
+)
 def attribution_ranking(spark, sf):
     j = joined(spark, sf)
     a = M.linear_attributions(j, G.fit(j, ["series"], XS, "value"), ["series"], XS)
@@ -223,7 +229,13 @@ def stacked_ensemble(spark, sf):
     return rounded(I.metrics(out, ["series"], "actual", "stacked"), "r2", "rmse", "mae", "mape", digits=3)
 
 
-@query("external_validation", "M34 J2")
+@query(
+    "external_validation",
+    "M34 J2",
+    f"""WITH {JOINED_SQL}, src AS (SELECT 1 AS g, * FROM joined WHERE series = '1-URGENT'), {ols3_sql('src', 'g', *XS, 'value')},
+e AS (SELECT j.series, value, value - (b0 + b1 * qty + b2 * price + b3 * disc) AS e FROM joined j, src_fit WHERE j.series <> '1-URGENT')
+SELECT series, round(1 - sum(e * e) / regr_syy(value, value), 4) AS r2, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, round(100 * avg(abs(e / value)), 4) AS mape, count(*) AS n FROM e GROUP BY series""",
+)
 def external_validation(spark, sf):
     """One model, fitted on one series and scored on each of the others."""
     rows = joined(spark, sf).withColumn("g", F.lit(1))

@@ -310,3 +310,14 @@ SELECT l_orderkey, round(coalesce(sum(piece), 0) / 9.80665, 5) AS integral FROM
 def vertical_integral(spark, sf):
     items = table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") * 10000.0).alias("p")).agg(F.sum("l_quantity").alias("q"))
     return rounded(G.vertical_integral(items, ["l_orderkey"], "p", "q"), "integral", digits=5)
+
+
+@query(
+    "largest_part",
+    "S12 D8",
+    f"""WITH {RINGS_SQL}, {NEIGHBOURS_SQL}, b AS (SELECT ring % 3 AS shape, arg_max(ring, abs(area)) AS ring FROM ar GROUP BY 1)
+SELECT b.shape, r.ring, seq FROM rings r JOIN b ON b.ring = r.ring""",
+)
+def largest_part(spark, sf):
+    parts = rings(spark, sf).withColumn("shape", F.col("ring") % 3)
+    return G.largest_part(parts, ["shape"], "ring", "seq").select("shape", "ring", "seq")

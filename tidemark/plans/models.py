@@ -479,12 +479,13 @@ def harmonic_forecast(spark, sf):
 
 # ------------------------------------------------------------------ resampling
 
-# A linear congruence gives draws that SQL can repeat; the operators default to a hash.
-LCG_SQL = "(rep * 7919 + place * 104729 + rep * place * 31) % n"
+# An integer mix gives draws that SQL can repeat; the operators default to a hash.
+LCG_SQL = "((rep * 7919 + place * 104729 + rep * place * 31 + 17) * 2654435761 % 4294967296 // 65536) % n"
 
 
 def lcg(rep, place, n):
-    return (rep * 7919 + place * 104729 + rep * place * 31) % n
+    mixed = (rep * 7919 + place * 104729 + rep * place * 31 + 17) * F.lit(2654435761) % F.lit(4294967296)
+    return F.shiftright(mixed, 16) % n
 
 
 def annual_indexed(spark, sf):
@@ -562,3 +563,57 @@ def block_bootstrap(spark, sf):
     out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 500, RS.hash_draw(7))
     out = I.benjamini_hochberg(out, [], "p")
     return rounded(out, "t_stat", "p", "ci_lower", "ci_upper", "p_adjusted", digits=5)
+
+
+@query(
+    "bootstrap_slope_levels",
+    "T18",
+    f"""WITH {JOINED_SQL}, nn AS (SELECT series, count(*) AS n FROM joined GROUP BY series),
+dr AS (SELECT series, rep, {LCG_SQL} AS pick FROM nn, (SELECT unnest(range(0, 100)) AS rep), (SELECT unnest(range(0, 200)) AS place) WHERE place < n),
+fi AS (SELECT d.series, rep, regr_slope(value, qty) AS b FROM dr d JOIN joined j ON j.series = d.series AND j.t = d.pick GROUP BY d.series, rep)
+SELECT series, 'qty' AS name, CAST(lv AS BIGINT) AS level, round(CASE lv WHEN 90 THEN quantile_cont(b, 0.05) WHEN 95 THEN quantile_cont(b, 0.025) ELSE quantile_cont(b, 0.005) END, 4) AS ci_lower,
+       round(CASE lv WHEN 90 THEN quantile_cont(b, 0.95) WHEN 95 THEN quantile_cont(b, 0.975) ELSE quantile_cont(b, 0.995) END, 4) AS ci_upper
+FROM fi, (SELECT unnest([90, 95, 99]) AS lv) GROUP BY series, lv""",
+)
+def bootstrap_slope_levels(spark, sf):
+    j = joined(spark, sf).select("series", "t", "qty", "value")
+    return rounded(RS.coefficient_intervals(j, ["series"], "t", ["qty"], "value", 100, lcg), "ci_lower", "ci_upper", digits=4)
+
+
+@query(
+    "block_bootstrap_repeatable",
+    "T16 T17 T33 J11",
+    f"""WITH {LEVELS_SQL}, pr AS (SELECT *, CASE WHEN year IN (1995, 1996, 1997) THEN 'Low' WHEN year IN (1999, 2000, 2001) THEN 'High' END AS period FROM levels),
+an AS (SELECT series, period, row_number() OVER (PARTITION BY series, period ORDER BY t) - 1 AS i, value - avg(value) OVER (PARTITION BY series, period, month) AS v FROM pr WHERE period IS NOT NULL),
+nn AS (SELECT series, period, count(*) AS n FROM an GROUP BY ALL),
+cc AS (SELECT b.series, b.period, b.i - a.i AS k, corr(b.v, a.v) AS rho FROM an a JOIN an b ON a.series = b.series AND a.period = b.period AND b.i - a.i BETWEEN 1 AND 20 GROUP BY ALL),
+bl AS (SELECT series, period, any_value(n) AS n, greatest(2, least(10, round(pow(2 * sum(k * rho * k * rho) / (sum(rho * rho) + 1e-10) * any_value(n), 1.0 / 3)))) AS b FROM cc JOIN nn USING (series, period) WHERE k <= least(20, n // 3) GROUP BY series, period),
+pl AS (SELECT series, period, n, CAST(least(n, max(b) OVER (PARTITION BY series)) AS BIGINT) AS b FROM bl),
+dr AS (SELECT series, period, rep, place, b, n AS total, {LCG_SQL.replace('% n', '% (n - b + 1)')} AS pick FROM pl, (SELECT unnest(range(0, 200)) AS rep), (SELECT unnest(range(0, 60)) AS place) WHERE place < ceil(CAST(n AS DOUBLE) / b)),
+pk AS (SELECT series, period, rep, pick + o AS i FROM dr, (SELECT unnest(range(0, 10)) AS o) WHERE o < b AND place * b + o < total),
+mo AS (SELECT p.series, p.period, rep, avg(v) AS m, var_samp(v) AS s2, count(*) AS n FROM pk p JOIN an ON an.series = p.series AND an.period = p.period AND an.i = p.i GROUP BY p.series, p.period, rep),
+ts AS (SELECT l.series, l.rep, (l.m - h.m) / sqrt(l.s2 / l.n + h.s2 / h.n) AS t FROM mo l JOIN mo h ON l.series = h.series AND l.rep = h.rep AND l.period = 'Low' AND h.period = 'High')
+SELECT series, round(avg(t), 5) AS t_stat, round(2 * least(avg(CASE WHEN t <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN t >= 0 THEN 1.0 ELSE 0.0 END)), 6)::DOUBLE AS p, round(quantile_cont(t, 0.025), 5) AS ci_lower, round(quantile_cont(t, 0.975), 5) AS ci_upper FROM ts GROUP BY series""",
+)
+def block_bootstrap_repeatable(spark, sf):
+    period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
+    rows = levels(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
+    rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
+    out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 200, lcg)
+    return rounded(rounded(out, "t_stat", "ci_lower", "ci_upper", digits=5), "p")
+
+
+@query(
+    "harmonic_single_forecast",
+    "M29 F11",
+    f"""WITH {LEVELS_SQL}, li AS (SELECT series, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, max(t) AS lt, max(date) AS ld FROM levels GROUP BY series),
+de AS (SELECT l.series, t, month, value - a - b * t AS d FROM levels l JOIN li USING (series)), se AS (SELECT series, month, avg(d) AS sn FROM de GROUP BY ALL),
+re AS (SELECT de.series, cos(t * (2 * pi() / 8.7)) AS c, sin(t * (2 * pi() / 8.7)) AS s, d - sn AS y FROM de JOIN se USING (series, month)),
+g AS (SELECT series, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, sum(c * y) AS cy, sum(s * y) AS sy FROM re GROUP BY series),
+h AS (SELECT series, {cramer2('cc', 'cs', 'ss', 'cy', 'sy')[0]} AS ka, {cramer2('cc', 'cs', 'ss', 'cy', 'sy')[1]} AS kb FROM g),
+fu AS (SELECT series, a, b, CAST(ld + to_months(CAST(k AS INTEGER)) AS DATE) AS date, lt + k AS t FROM li, (SELECT unnest(range(1, 25)) AS k))
+SELECT fu.series, date, year(date) AS year, month(date) AS month, t, round(a + b * t + coalesce(sn, 0) + ka * cos(t * (2 * pi() / 8.7)) + kb * sin(t * (2 * pi() / 8.7)), 4) AS forecast
+FROM fu JOIN h USING (series) LEFT JOIN se ON se.series = fu.series AND se.month = month(fu.date)""",
+)
+def harmonic_single_forecast(spark, sf):
+    return rounded(FC.harmonic_forecast(levels(spark, sf), ["series"], "t", "value", 24, (8.7,)), "forecast", digits=4)

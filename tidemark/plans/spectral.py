@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import kernels
 from tidemark.operators import series as S
 from tidemark.operators import spectral as X
 from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, joined, levels, observations, query, r, rounded
@@ -83,7 +84,21 @@ def coherence_ranking(spark, sf):
     return rounded(X.coherence_ranking(c, ["series"]), "max_coherence", "mean_coherence", "period_max")
 
 
-@query("wavelet_power", "F5 A19")
+WAVELET_STEP = float(kernels.mother_wavelet("morl")[0][1] - kernels.mother_wavelet("morl")[0][0])
+WAVELET_SQL = f"""ps AS (SELECT i, sum(exp(-x * x / 2) * cos(5 * x)) OVER (ORDER BY i) * {WAVELET_STEP!r} AS v FROM (SELECT i, -8 + 16.0 * i / 1023 AS x FROM (SELECT unnest(range(0, 1024)) AS i))),
+sl AS (SELECT s, unnest(range(0, 16 * s + 1)) AS k FROM (SELECT unnest(range(1, 20)) AS s)),
+ka AS (SELECT s, k, CAST(floor(k::DOUBLE / (s * {WAVELET_STEP!r}::DOUBLE)) AS BIGINT) AS j FROM sl),
+kb AS (SELECT s, k, v, count(*) OVER (PARTITION BY s) AS len FROM ka JOIN ps ON ps.i = ka.j WHERE j < 1024),
+kc AS (SELECT s, len, len - 1 - k AS p, v FROM kb UNION ALL SELECT DISTINCT s, len, len, 0.0 FROM kb),
+kd AS (SELECT s, len, p, v - coalesce(lag(v) OVER (PARTITION BY s ORDER BY p), 0) AS d FROM kc),
+co AS (SELECT a.series, s, a.t, -sqrt(s) * sum(b.y * d) AS c FROM res a JOIN res b ON a.series = b.series JOIN kd ON p = a.t + (len - 2) // 2 + 1 - b.t GROUP BY a.series, s, a.t)"""
+
+
+@query(
+    "wavelet_power",
+    "F5 A19",
+    f"WITH {LEVELS_SQL}, {RESID_SQL}, {WAVELET_SQL} SELECT series, CAST(s AS DOUBLE) AS scale, round(s / 0.8125::DOUBLE, 4) AS period, round(avg(c * c), 4) AS global_power FROM co GROUP BY series, s",
+)
 def wavelet_power(spark, sf):
     p = X.wavelet_power(residuals(spark, sf), ["series"], "t", "y", range(1, 20))
     return rounded(X.global_power(p, ["series"]), "global_power", "period", digits=4)

@@ -8,7 +8,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import blocked as B
 from tidemark.operators import inference as I
 from tidemark.operators import series as S
-from tidemark.plans.base import GRID_SQL, JOINED_SQL, LEVELS_SQL, OBS_SQL, RINGS_SQL, joined, levels, observations, query, r, rings, rounded
+from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, RINGS_SQL, joined, levels, observations, query, r, rings, rounded
 
 W = "OVER (PARTITION BY series ORDER BY t)"
 
@@ -225,3 +225,10 @@ def obs_interp(spark, sf):
     gap = (F.col("t") < 5) | (F.col("t") % 11).isin(2, 3, 4) | F.col("t").between(400, 700)
     o = observations(spark, sf).select("series", "t", F.when(~gap, F.col("value")).alias("value"))
     return rounded(B.interpolate_linear(o, ["series"], "t", "value", block=250), "value")
+
+
+@query("synthetic_covariates", "S17 S16")
+def synthetic_covariates(spark, sf):
+    """Stand-in covariates for series that lack one, the same in every run."""
+    made = {"t2m": S.synthetic_trend("t", 15.0, 0.02, 2.0, 1, "series", "t"), "tp": S.synthetic_trend("t", 50.0, 0.01, 10.0, 2, "series", "t")}
+    return rounded(levels(spark, sf).select("series", "t").withColumns(made), "t2m", "tp")
