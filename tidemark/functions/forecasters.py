@@ -10,8 +10,9 @@ import numpy as np
 def quantile_line(x: np.ndarray, y: np.ndarray, tau: float) -> tuple[float, float]:
     """Slope and intercept that minimise the tilted absolute loss.
 
-    The loss is convex in the slope once the intercept is the matching quantile; the
-    optimum passes through two points, to which the search result is snapped.
+    The loss is convex in the slope once the intercept is the matching quantile, and
+    an optimum passes through two points.  Where the loss is flat over a range of
+    slopes, the smallest of them is taken, so that the answer is unique.
     """
 
     def best_at(b: float) -> tuple[float, float]:
@@ -38,15 +39,16 @@ def quantile_line(x: np.ndarray, y: np.ndarray, tau: float) -> tuple[float, floa
             fq = best_at(q)[0]
     b = (lo + hi) / 2
     loss, a = best_at(b)
-    near = np.argsort(np.abs(y - b * x - a), kind="stable")[:6]
-    for i in near:
-        for j in near:
-            if x[j] > x[i]:
-                s = (y[j] - y[i]) / (x[j] - x[i])
-                trial = best_at(s)
-                if trial[0] <= loss * (1 + 1e-12):
-                    loss, a, b = min(loss, trial[0]), trial[1], s
-    return float(b), float(a)
+    low, at = -reach, b  # walk to the left end of the flat stretch, if there is one
+    for _ in range(200):
+        mid = (low + at) / 2
+        low, at = (low, mid) if best_at(mid)[0] <= loss * (1 + 1e-11) else (mid, at)
+    a = best_at(at)[1]
+    near = np.argsort(np.abs(y - at * x - a), kind="stable")[:6]
+    ends = [(y[j] - y[i]) / (x[j] - x[i]) for i in near for j in near if x[j] > x[i]]
+    ends = [e for e in ends if abs(e - at) <= 1e-6 * max(abs(at), 1e-3) and best_at(e)[0] <= loss * (1 + 1e-11)]
+    b = min(ends, key=lambda e: abs(e - at), default=at)
+    return float(b), best_at(b)[1]
 
 
 # ------------------------------------------------------------------ unit root

@@ -40,7 +40,10 @@ ln AS (SELECT a.series, (b.y - a.y) / (b.x - a.x) AS s, a.y - (b.y - a.y) / (b.x
         for i, t in enumerate((0.1, 0.5, 0.9))
     )
     + " "
-    + " UNION ALL ".join(f"SELECT series, CAST({t} AS DOUBLE) AS tau, round(arg_min(s, loss), 6) AS slope FROM l{i} GROUP BY series" for i, t in enumerate((0.1, 0.5, 0.9))),
+    + " UNION ALL ".join(
+        f"SELECT series, CAST({t} AS DOUBLE) AS tau, round(min(s), 6) AS slope FROM (SELECT *, min(loss) OVER (PARTITION BY series) AS least_loss FROM l{i}) WHERE loss <= least_loss * (1 + 1e-10) GROUP BY series"
+        for i, t in enumerate((0.1, 0.5, 0.9))
+    ),  # the smallest slope where several are optimal
 )
 def quantile_regression(spark, sf):
     q = U.quantile_slopes(levels(spark, sf), ["series"], "t", "value")
