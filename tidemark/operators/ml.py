@@ -126,9 +126,8 @@ def stack(df: DataFrame, fold: str, estimators: dict, xs: Sequence[str], label:
     for name, e in estimators.items():
         parts = [e.fit(data.where(F.col(fold) != k)).transform(data.where(F.col(fold) == k)).select(*order, F.col("prediction").alias(name)) for k in folds]
         wide = wide.join(reduce(DataFrame.unionByName, parts), list(order))
-    one = wide.withColumn("_all", F.lit(1))
-    meta = G.fit(one, ["_all"], list(estimators), "actual", ridge=ridge)
-    return G.predict(one, meta, ["_all"], list(estimators), "stacked").drop("_all")
+    meta = G.fit(wide, [], list(estimators), "actual", ridge=ridge)
+    return G.predict_with(wide, meta, list(estimators), "stacked")
 
 
 # ------------------------------------------------------------------ components

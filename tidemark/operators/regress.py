@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from tidemark.functions.special import f_p_value
 from tidemark.operators import series as S
+from tidemark.session import cut_lineage
 
 WIDE = 12  # above this many columns the pairwise aggregates outgrow generated code, so batches are multiplied instead
 
@@ -46,7 +47,7 @@ def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
 
 def _wide_moments(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     """Moments of vectors: each Arrow batch is reduced to one centred product sum per key, then Spark adds them up."""
-    means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_v")[i]) for i in range(p)]).alias("means"))
+    means = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_v")[i]) for i in range(p)]).alias("means")))
     joined = rows.join(means.drop("n"), list(keys))
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = StructType([*fields, StructField("_g", ArrayType(DoubleType()))])
@@ -137,6 +138,13 @@ def predict(df: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[s
     return df.join(model.select(*keys, "coef", "intercept"), list(keys)).withColumn(name, linear(xs)).drop("coef", "intercept")
 
 
+def predict_with(df: DataFrame, model: DataFrame, xs: Sequence[str], name: str = "prediction") -> DataFrame:
+    """Apply a single fitted model (one row) to any rows: its few numbers become literals of the plan."""
+    row = model.select("coef", "intercept").first()
+    terms = [F.lit(float(b)) * F.col(x) for b, x in zip(row["coef"], xs)]
+    return df.withColumn(name, reduce(lambda u, v: u + v, terms, F.lit(float(row["intercept"]))))
+
+
 def coefficients(model: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """One row per predictor: ``keys, name, coefficient``."""
     names = F.array(*[F.lit(x) for x in xs])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
+from tidemark.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,3 +214,13 @@ def r(c, digits: int = 6):
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r(c, digits) for c in cols})
+
+
+def levels_once(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`levels`, checkpointed: for queries that read the series more than once, so the facts are read once."""
+    return cut_lineage(levels(spark, sf))
+
+
+def joined_once(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`joined`, checkpointed for the same reason."""
+    return cut_lineage(joined(spark, sf))

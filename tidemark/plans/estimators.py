@@ -12,8 +12,8 @@ from tidemark.operators import regress as G
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.operators import univariate as U
+from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, joined, joined_once, levels, levels_once, query, r, rounded
 from tidemark.plans.models import ols3_sql
-from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, joined, levels, query, r, rounded
 
 XS = ("qty", "price", "disc")
 LAGGED = ("value_lag1", "value_lag2", "value_lag3", "qty", "price", "disc", "qty_lag1", "sin", "cos")
@@ -79,7 +79,7 @@ def ard_regression(spark, sf):
 
 @query("additive_forecast", "M25 M35")
 def additive_forecast(spark, sf):
-    return rounded(U.additive_forecast(levels(spark, sf), ["series"], "t", "value", 24), "forecast", digits=3)
+    return rounded(U.additive_forecast(levels_once(spark, sf), ["series"], "t", "value", 24), "forecast", digits=3)
 
 
 @query(
@@ -107,7 +107,7 @@ SELECT l.series, t, round(a + b * t, 5) AS prediction FROM levels l JOIN p USING
 )
 def spline_free_gam(spark, sf):
     """The additive model of the benchmark set: linear terms only."""
-    base = levels(spark, sf)
+    base = levels_once(spark, sf)
     out = G.predict(base, G.fit(base, ["series"], ["t"], "value"), ["series"], ["t"])
     return rounded(out.select("series", "t", "prediction"), "prediction", digits=5)
 
@@ -129,7 +129,7 @@ def model_equation(spark, sf):
 SELECT l.series, 't' AS name, round(avg(abs(b * (t - m))), 5) AS importance FROM levels l JOIN p USING (series) GROUP BY l.series""",
 )
 def linear_attributions(spark, sf):
-    base = levels(spark, sf)
+    base = levels_once(spark, sf)
     return rounded(M.linear_attributions(base, G.fit(base, ["series"], ["t"], "value"), ["series"], ["t"]), "importance", digits=5)
 
 
@@ -140,20 +140,20 @@ def linear_attributions(spark, sf):
 SELECT 'qty' AS name, round(avg(i1), 4) AS importance FROM a UNION ALL SELECT 'price', round(avg(i2), 4) FROM a UNION ALL SELECT 'disc', round(avg(i3), 4) FROM a""",
 )
 def attribution_ranking(spark, sf):
-    j = joined(spark, sf)
+    j = joined_once(spark, sf)
     a = M.linear_attributions(j, G.fit(j, ["series"], XS, "value"), ["series"], XS)
     return rounded(R.top_abs(a.groupBy("name").agg(F.avg("importance").alias("importance")), "importance", 20, "name"), "importance", digits=4)
 
 
 @query("backward_elimination", "M9 M15")
 def backward_elimination(spark, sf):
-    return rounded(M.backward_elimination(joined(spark, sf), ["series"], "t", list(XS), "value"), "mse", digits=3)
+    return rounded(M.backward_elimination(joined_once(spark, sf), ["series"], "t", list(XS), "value"), "mse", digits=3)
 
 
 @query("lasso_cv", "M5 M15")
 def lasso_cv(spark, sf):
     grid = [10 ** (-2 + 3 * i / 19) for i in range(20)]
-    cv = G.time_series_cv(joined(spark, sf), ["series"], "t", list(XS), "value", 5, lassos=grid)
+    cv = G.time_series_cv(joined_once(spark, sf), ["series"], "t", list(XS), "value", 5, lassos=grid)
     return rounded(rounded(G.best_penalty(cv, ["series"]), "penalty", digits=6), "mse", digits=3)
 
 
@@ -241,9 +241,9 @@ SELECT series, round(1 - sum(e * e) / regr_syy(value, value), 4) AS r2, round(sq
 )
 def external_validation(spark, sf):
     """One model, fitted on one series and scored on each of the others."""
-    rows = joined(spark, sf).withColumn("g", F.lit(1))
-    model = G.fit(rows.where(F.col("series") == "1-URGENT"), ["g"], XS, "value")
-    scored = G.predict(rows.where(F.col("series") != "1-URGENT"), model, ["g"], XS)
+    rows = joined_once(spark, sf)
+    model = G.fit(rows.where(F.col("series") == "1-URGENT"), ["series"], XS, "value")
+    scored = G.predict_with(rows.where(F.col("series") != "1-URGENT"), model, XS)
     return rounded(I.metrics(scored, ["series"], "value", "prediction"), "r2", "rmse", "mae", "mape", digits=4)
 
 

@@ -13,7 +13,7 @@ from tidemark.operators import relational as R
 from tidemark.operators import resample as RS
 from tidemark.operators import series as S
 from tidemark.operators import trend as T
-from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, joined, levels, observations, query, r, rounded
+from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, joined, joined_once, levels, levels_once, observations, query, r, rounded
 from tidemark.plans.trend import integral
 
 # ------------------------------------------------------------------ SQL forms of small regressions
@@ -95,8 +95,7 @@ v AS (SELECT series, t FROM (SELECT series, t, row_number() OVER (PARTITION BY s
 cp AS (SELECT series, CAST(floor(median(t)) AS BIGINT) AS change_index FROM v GROUP BY series)"""
 
 
-def change_vote(spark, sf):
-    base = levels(spark, sf)
+def change_vote(base):
     a = P.best_split(P.split_scores(base, ["series"], "t", "value"), ["series"], "t")
     b = P.best_split(P.window_scores(base, ["series"], "t", "value"), ["series"], "t")
     lengths = base.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +104,7 @@ def change_vote(spark, sf):
 
 @query("cp_vote", "B4", f"WITH {LEVELS_SQL}, {VOTE_SQL} SELECT * FROM cp")
 def cp_vote(spark, sf):
-    return change_vote(spark, sf)
+    return change_vote(levels_once(spark, sf))
 
 
 SEG_SQL = f"""{VOTE_SQL},
@@ -120,7 +119,8 @@ seg AS (SELECT l.series, l.t, l.date, l.value, CASE WHEN l.t < cp.change_index T
     f"WITH {LEVELS_SQL}, {SEG_SQL} SELECT series, segment, n, round(b1, 4) AS trend, round(b2, 5) AS sin, round(b3, 5) AS cos, round(b0, 4) AS intercept, round(r2, 7) AS r2 FROM seg_fit",
 )
 def segmented_fit(spark, sf):
-    m = P.segmented_fit(levels(spark, sf), ["series"], "t", "value", change_vote(spark, sf))
+    base = levels_once(spark, sf)
+    m = P.segmented_fit(base, ["series"], "t", "value", change_vote(base))
     return m.select(
         "series", "segment", "n", r(F.col("coef")[0], 4).alias("trend"), r(F.col("coef")[1], 5).alias("sin"), r(F.col("coef")[2], 5).alias("cos"), r("intercept", 4).alias("intercept"), r("r2", 7).alias("r2")
     )
@@ -152,8 +152,8 @@ g AS (SELECT series, model, 1 - sum(e * e) / regr_syy(value, value) AS r2, sqrt(
 SELECT series, model, 'in_sample' AS eval_split, round(r2, 6) AS r2, round(rmse, 5) AS rmse, rank() OVER (PARTITION BY series ORDER BY r2 DESC) AS place FROM g""",
 )
 def model_leaderboard(spark, sf):
-    base = levels(spark, sf)
-    change = change_vote(spark, sf)
+    base = levels_once(spark, sf)
+    change = change_vote(base)
     seg = P.segmented_fit(base, ["series"], "t", "value", change)
     rows = base.join(base.groupBy("series").agg(F.count(F.lit(1)).alias("_n")), "series").join(change, "series").withColumns(P.season_features("t", F.col("_n")))
     rows = rows.withColumn("segment", F.when(F.col("t") < F.col("change_index"), "pre").otherwise("post"))
@@ -240,7 +240,7 @@ def time_series_cv(spark, sf):
 def ridge_cv(spark, sf):
     """Fifty penalties by five folds from one pass over the rows."""
     grid = [10 ** (-3 + 6 * i / 49) for i in range(50)]
-    cv = G.time_series_cv(joined(spark, sf), ["series"], "t", list(XS), "value", 5, ridges=grid)
+    cv = G.time_series_cv(joined_once(spark, sf), ["series"], "t", list(XS), "value", 5, ridges=grid)
     return rounded(rounded(G.best_penalty(cv, ["series"]), "penalty", digits=8), "mse", digits=4)
 
 
@@ -266,7 +266,7 @@ SELECT l.series, CASE WHEN year <= 1999 THEN 'train' ELSE 'test' END AS eval_spl
 FROM levels l JOIN f USING (series) GROUP BY ALL""",
 )
 def temporal_split_eval(spark, sf):
-    base = levels(spark, sf)
+    base = levels_once(spark, sf)
     split = F.when(F.col("year") <= 1999, "train").otherwise("test")
     model = G.fit(base.where(F.col("year") <= 1999), ["series"], ["t"], "value")
     scored = G.predict(base.withColumn("eval_split", split), model, ["series"], ["t"])
@@ -297,7 +297,7 @@ def granger_best_lag(spark, sf):
 
 @query("granger_twelve_lags", "C1")
 def granger_twelve_lags(spark, sf):
-    return rounded(rounded(G.granger(joined(spark, sf), ["series"], "t", "value", "qty", 12), "f_stat", digits=4), "p", digits=5)
+    return rounded(rounded(G.granger(joined_once(spark, sf), ["series"], "t", "value", "qty", 12), "f_stat", digits=4), "p", digits=5)
 
 
 @query(
@@ -318,7 +318,8 @@ def liang_kleeman(spark, sf):
 SELECT l.series, t, value AS actual, round(a + b * t, 5) AS expected, round(value - a - b * t, 5) AS impact FROM levels l JOIN cp USING (series) JOIN f USING (series) WHERE t >= change_index""",
 )
 def impact_ols(spark, sf):
-    return rounded(K.impact(levels(spark, sf), ["series"], "t", "value", change_vote(spark, sf)), "expected", "impact", digits=5)
+    base = levels_once(spark, sf)
+    return rounded(K.impact(base, ["series"], "t", "value", change_vote(base)), "expected", "impact", digits=5)
 
 
 @query(
@@ -330,18 +331,19 @@ p AS (SELECT h.series, h.date, h.optimistic, f.segment, f.b0 + f.b1 * h.tn + f.b
 SELECT series, date, round(max(CASE WHEN segment = 'post' THEN y END), 3) AS pessimistic, round(avg(y), 3) AS probable, any_value(optimistic) AS optimistic FROM p GROUP BY series, date""",
 )
 def counterfactual(spark, sf):
-    return rounded(K.counterfactual(levels(spark, sf), ["series"], "t", "value", change_vote(spark, sf), 60), "pessimistic", "probable", digits=3)
+    base = levels_once(spark, sf)
+    return rounded(K.counterfactual(base, ["series"], "t", "value", change_vote(base), 60), "pessimistic", "probable", digits=3)
 
 
 @query("permutation_causality", "C3")
 def permutation_causality(spark, sf):
-    scaled = joined(spark, sf).select("series", "t", S.standardise("qty", ["series"], 0).alias("x"), S.standardise("value", ["series"], 0).alias("y"))
+    scaled = joined_once(spark, sf).select("series", "t", S.standardise("qty", ["series"], 0).alias("x"), S.standardise("value", ["series"], 0).alias("y"))
     return rounded(K.permutation_causality(scaled, ["series"], "t", "x", "y", lag=2, eps=1.0, reps=100), "observed", "p")
 
 
 @query("var_forecast", "C7")
 def var_forecast(spark, sf):
-    return rounded(G.var_forecast(joined(spark, sf), ["series"], "t", ["value", "qty"], 2, 5), "value", "qty", digits=4)
+    return rounded(G.var_forecast(joined_once(spark, sf), ["series"], "t", ["value", "qty"], 2, 5), "value", "qty", digits=4)
 
 
 @query(
@@ -357,7 +359,7 @@ g AS (SELECT *, ma + ca1 * (fa - ma1) + ca2 * (fb - mb1) AS ga, mb + cb1 * (fa -
 SELECT series, 1::BIGINT AS step, round(ll + fa, 4) AS value, round(lq + fb, 4) AS qty FROM g UNION ALL SELECT series, 2, round(ll + fa + ga, 4), round(lq + fb + gb, 4) FROM g""",
 )
 def var_differences(spark, sf):
-    return rounded(G.var_forecast(joined(spark, sf), ["series"], "t", ["value", "qty"], 1, 2, differenced=True), "value", "qty", digits=4)
+    return rounded(G.var_forecast(joined_once(spark, sf), ["series"], "t", ["value", "qty"], 1, 2, differenced=True), "value", "qty", digits=4)
 
 
 # ------------------------------------------------------------------ forecasting
@@ -373,7 +375,7 @@ gr AS (SELECT f.*, mm, k, y, mo FROM f JOIN pm USING (series), (SELECT unnest(ra
 SELECT gr.series, y AS year, mo AS month, round((a + b * y) * (CASE WHEN k = 12 THEN m / mm ELSE 1 END), 4) AS forecast FROM gr LEFT JOIN pa ON pa.series = gr.series AND pa.month = mo""",
 )
 def scaled_seasonal_forecast(spark, sf):
-    known = levels(spark, sf).where(F.col("year") <= 2000)
+    known = levels_once(spark, sf).where(F.col("year") <= 2000)
     return rounded(FC.scaled_seasonal(known, ["series"], "value", 1996, 2001, 2005), "forecast", digits=4)
 
 
@@ -406,7 +408,7 @@ f AS (SELECT px.series, regr_slope(ob.x, px.x) AS b, regr_intercept(ob.x, px.x)
 SELECT px.series, px.year, round(a + b * x, 4) AS value, 'proxy' AS source FROM px JOIN f USING (series) WHERE year < 1997 UNION ALL SELECT series, year, round(x, 4), 'observed' FROM ob""",
 )
 def calibrate_splice(spark, sf):
-    j = joined(spark, sf)
+    j = joined_once(spark, sf)
     proxy = j.groupBy("series", "year").agg(F.avg("qty").alias("x"))
     observed = j.groupBy("series", "year").agg(F.avg("value").alias("x"))
     return rounded(FC.calibrate_splice(proxy, observed, ["series"], 1997, 2001), "value", digits=4)
@@ -437,7 +439,7 @@ g AS (SELECT series, scenario, avg(y) AS m, stddev_pop(y) AS s FROM p GROUP BY A
 SELECT series, scenario, round(m, 3) AS mean_level, round(s, 3) AS std_level, round(100 * (m - base) / base, 4) + 0 AS change_pct FROM g JOIN bl USING (series)""",
 )
 def scenario_grid(spark, sf):
-    j = joined(spark, sf)
+    j = joined_once(spark, sf)
     model = G.fit(j, ["series"], XS, "value")
     rows = FC.scenario_rows(j.select("series", *XS), XS, SCENARIOS)
     out = FC.scenario_summary(G.predict(rows, model, ["series"], XS), ["series"], "prediction", "Baseline")
@@ -453,7 +455,7 @@ SELECT series, name, CAST(pct AS BIGINT) AS change_pct, round(v * abs(pct) / 100
   SELECT series, 'qty' AS name, abs(b1) * aq / sd AS v FROM joined_fit JOIN st USING (series) UNION ALL SELECT series, 'price', abs(b2) * ap / sd FROM joined_fit JOIN st USING (series) UNION ALL SELECT series, 'disc', abs(b3) * ad / sd FROM joined_fit JOIN st USING (series)), pc""",
 )
 def sensitivity(spark, sf):
-    j = joined(spark, sf)
+    j = joined_once(spark, sf)
     return rounded(FC.sensitivity(j, G.fit(j, ["series"], XS, "value"), ["series"], XS, "value"), "sensitivity", digits=5)
 
 
@@ -467,14 +469,14 @@ h AS (SELECT series, {cramer2('cc', 'cs', 'ss', 'cy', 'sy')[0]} AS a, {cramer2('
 SELECT series, 8.7::DOUBLE AS period, round(sqrt(a * a + b * b), 5) AS amplitude, round(atan2(-b, a), 5) AS phase FROM h""",
 )
 def harmonic_fit(spark, sf):
-    parts = S.deseasonalised(levels(spark, sf), ["series"], "t", "value")
+    parts = S.deseasonalised(levels_once(spark, sf), ["series"], "t", "value")
     model = FC.harmonic_fit(parts, ["series"], "t", "residual", (8.7,))
     return rounded(FC.harmonic_table(model, ["series"], (8.7,)), "amplitude", "phase", digits=5)
 
 
 @query("harmonic_forecast", "M29 F11 A13")
 def harmonic_forecast(spark, sf):
-    return rounded(FC.harmonic_forecast(levels(spark, sf), ["series"], "t", "value", 60), "forecast", digits=3)
+    return rounded(FC.harmonic_forecast(levels_once(spark, sf), ["series"], "t", "value", 60), "forecast", digits=3)
 
 
 # ------------------------------------------------------------------ resampling
@@ -522,7 +524,7 @@ def bootstrap_sen(spark, sf):
 
 @query("bootstrap_coefficients", "T18")
 def bootstrap_coefficients(spark, sf):
-    j = joined(spark, sf).select("series", "t", *XS, "value")
+    j = joined_once(spark, sf).select("series", "t", *XS, "value")
     return rounded(RS.coefficient_intervals(j, ["series"], "t", XS, "value", 200, RS.hash_draw(42)), "ci_lower", "ci_upper", digits=4)
 
 
@@ -536,7 +538,7 @@ g AS (SELECT d.series, d.place AS t, d.y, d.y + e AS v FROM (SELECT *, {LCG_SQL}
 SELECT series, t, round(any_value(y), 4) AS forecast, round(quantile_cont(v, 0.025), 4) AS ci_lower, round(quantile_cont(v, 0.975), 4) AS ci_upper FROM g GROUP BY series, t""",
 )
 def residual_band(spark, sf):
-    base = levels(spark, sf)
+    base = levels_once(spark, sf)
     line = T.ols(base, ["series"], "t", "value")
     ahead = T.future(line, 12, "t").select("series", "t", (F.col("intercept") + F.col("slope") * F.col("t")).alias("forecast"))
     res = S.detrended(base, ["series"], "t", "value").select("series", F.col("t").alias("pick"), F.col("detrended").alias("e"))
@@ -551,14 +553,14 @@ n AS (SELECT series, count(*) AS n FROM levels GROUP BY series), s AS (SELECT se
 SELECT series, n, CAST(greatest(2, least(10, round(pow(2 * top / (bottom + 1e-10) * n, 1.0 / 3)))) AS BIGINT) AS block FROM s""",
 )
 def block_length(spark, sf):
-    return RS.block_length(levels(spark, sf), ["series"], "t", "value")
+    return RS.block_length(levels_once(spark, sf), ["series"], "t", "value")
 
 
 @query("block_bootstrap", "T16 T33 J11 W11 T21")
 def block_bootstrap(spark, sf):
     """Seasonal anomalies of two periods compared by moving blocks, with adjusted p values."""
     period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
-    rows = levels(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
+    rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
     rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
     out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 500, RS.hash_draw(7))
     out = I.benjamini_hochberg(out, [], "p")
@@ -576,7 +578,7 @@ SELECT series, 'qty' AS name, CAST(lv AS BIGINT) AS level, round(CASE lv WHEN 90
 FROM fi, (SELECT unnest([90, 95, 99]) AS lv) GROUP BY series, lv""",
 )
 def bootstrap_slope_levels(spark, sf):
-    j = joined(spark, sf).select("series", "t", "qty", "value")
+    j = joined_once(spark, sf).select("series", "t", "qty", "value")
     return rounded(RS.coefficient_intervals(j, ["series"], "t", ["qty"], "value", 100, lcg), "ci_lower", "ci_upper", digits=4)
 
 
@@ -597,7 +599,7 @@ SELECT series, round(avg(t), 5) AS t_stat, round(2 * least(avg(CASE WHEN t <= 0
 )
 def block_bootstrap_repeatable(spark, sf):
     period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
-    rows = levels(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
+    rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
     rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
     out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 200, lcg)
     return rounded(rounded(out, "t_stat", "ci_lower", "ci_upper", digits=5), "p")
@@ -616,4 +618,4 @@ SELECT fu.series, date, year(date) AS year, month(date) AS month, t, round(a + b
 FROM fu JOIN h USING (series) LEFT JOIN se ON se.series = fu.series AND se.month = month(fu.date)""",
 )
 def harmonic_single_forecast(spark, sf):
-    return rounded(FC.harmonic_forecast(levels(spark, sf), ["series"], "t", "value", 24, (8.7,)), "forecast", digits=4)
+    return rounded(FC.harmonic_forecast(levels_once(spark, sf), ["series"], "t", "value", 24, (8.7,)), "forecast", digits=4)
