@@ -199,7 +199,9 @@ def test_bootstrap_is_repeatable_and_covers(spark):
     df = spark.createDataFrame(pd.DataFrame({"s": "k", "i": range(40), "x": range(40), "y": 0.5 * np.arange(40) + rng.normal(size=40)}))
     a = RS.sen_interval(df, ["s"], "i", "x", "y", 100, RS.hash_draw(1)).first()
     b = RS.sen_interval(df.repartition(7), ["s"], "i", "x", "y", 100, RS.hash_draw(1)).first()
-    assert a == b and a["ci_lower"] < 0.5 < a["ci_upper"]
+    # the same draws give the same percentiles; a mean may differ in its last digit with the order of summation
+    assert (a["ci_lower"], a["ci_upper"]) == (b["ci_lower"], b["ci_upper"]) and a["mean"] == pytest.approx(b["mean"], rel=1e-12)
+    assert a["ci_lower"] < 0.5 < a["ci_upper"]
 
 
 def test_block_bootstrap_sees_a_shift(spark):
