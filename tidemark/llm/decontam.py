@@ -21,7 +21,8 @@ WINDOW = 10
 BLOCK_CHARS = 2_000_000
 #: A-Z become a-z, and every other ASCII character that is no digit or letter a space; bytes above x7F are kept.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text as it is, before A-Z are lowered.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal_words(text: str | None) -> list[bytes]:

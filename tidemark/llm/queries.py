@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, mixing, simhash
+from tidemark.llm import decontam, kneser, mixing, simhash
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 @query("op10_mix_sources", "WITH " + MIX_SQL.format(size=SIZE_SQL, docs="documents") + " SELECT doc_id, size, source_size, target, taken, source FROM mixed")
 def op10(spark, sf):
     return mixing.report(table(spark, sf, "documents"))
+
+
+@query("op8_quality_perplexity")
+def op8(spark, sf):
+    return kneser.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
