@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, kneser, mixing, simhash
+from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, simhash
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,40 @@ def op10(spark, sf):
 @query("op8_quality_perplexity")
 def op8(spark, sf):
     return kneser.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_multiset_fingerprints")
+def op1(spark, sf):
+    return fingerprints.report(table(spark, sf, "documents"))
+
+
+@query(
+    "op5_chat_format",
+    r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '~', '~~'), '(<)(/?s>|</?SYS>>|</?ROLE>>|<TEXT>>)', '\1~\2', 'g'), '(\[)(/?INST\])', '\1~\2', 'g') AS inside FROM t),
+f AS (SELECT *, CASE role WHEN 'user' THEN '[INST] ' || inside || ' [/INST]' WHEN 'assistant' THEN ' ' || inside || '</s>'
+                WHEN 'system' THEN '<<SYS>>' || chr(10) || inside || chr(10) || '<</SYS>>'
+                ELSE '<<ROLE>>' || role || '<<TEXT>>' || inside || '<</ROLE>>' END AS formatted FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, formatted), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""",
+)
+def op5(spark, sf):
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.report(turns.unionByName(more))
+
+
+@query("op7_line_dedup")
+def op7(spark, sf):
+    return linedup.report(table(spark, sf, "documents"))
+
+
+@query("op9_language_profiles")
+def op9(spark, sf):
+    return language.report(table(spark, sf, "documents"))
