@@ -27,6 +27,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``_row``, so that no name of theirs can clash with those an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("_row"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``: the root is the least node reachable.
 

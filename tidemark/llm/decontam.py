@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_batches
+from tidemark.llm.common import boxed, text_batches
 
 #: Words of one window.
 WINDOW = 10
@@ -181,8 +181,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of the benchmark."""
-    found = scanned(docs, benchmark, size)
-    return found.where(F.size("_scan.items") == 0).select(docs.columns)
+    found = scanned(boxed(docs).select("_row", "_row.text"), benchmark, size)
+    return found.where(F.size("_scan.items") == 0).select("_row.*")
 
 
 def items_digest(items: list[str]) -> str:

@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_key
+from tidemark.llm.common import boxed, text_key
 
 #: Words of the shortest repeated run that is deleted.
 WORDS = 50
-BLANK = r"^\s*$"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,32 +77,33 @@ def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return later.groupBy("doc_id", "_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("_a", "_z")))).alias("_lines"))
 
 
+def _changed(docs: DataFrame, words: int) -> DataFrame:
+    """``_row, _text, _removed`` for every row: the row as it was, its text as it is left, the lines that go."""
+    gone = later_copies(docs, words).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_lines")
+    named = boxed(docs).withColumn("_key", text_key("_row.text"))
+    found = named.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(kept)
+    removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
+    return found.select("_row", text.alias("_text"), removed.alias("_removed"))
+
+
 def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs``, all rows and columns, without the later copies of repeated line runs in ``text``, and ``_removed`` lines.
+    """``docs``, all rows and columns, without the later copies of repeated line runs in ``text``.
 
     A run counts from ``words`` words on, blank lines aside; blank lines inside a deleted run go with it. A text of
-    which nothing is left is empty; null texts stay null. Rows that repeat both id and text are one document and are
-    changed alike. An empty table gives no rows.
+    which nothing is left is empty; null texts stay null; ``n_chars``, where there is one, follows a changed text. Rows
+    that repeat both id and text are one document and are changed alike. An empty table gives no rows.
     """
-    gone = later_copies(docs, words)
-    named = docs.withColumn("_key", text_key()).join(gone.withColumnsRenamed({"doc_id": "_d", "_key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
-    removed = F.coalesce(F.size("_lines"), F.lit(0))
-    removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(removed).cast("long")
-    return named.withColumns({"text": text, "_removed": removed}).drop("_key", "_lines", "_d", "_k")
+    row = F.col("_row").withField("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_removed") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        row = row.withField("n_chars", n)
+    return _changed(docs, words).select(row.alias("_row")).select("_row.*")
 
 
 def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` per row, with the text as it is left."""
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    out = deduplicated(docs.select("doc_id", "text", n.alias("n_lines")), words)
-    return out.select("doc_id", "n_lines", F.col("_removed").alias("n_removed"), "text")
-
-
-def with_length(docs: DataFrame) -> DataFrame:
-    """``n_chars``, where the table has it, made anew for the texts that lost lines."""
-    if "n_chars" not in docs.columns:
-        return docs
-    kind = docs.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    n = F.when(F.col("_row.text").isNull(), F.lit(0)).otherwise(F.size(F.split("_row.text", "\n"))).cast("long")
+    out = _changed(docs.select("doc_id", "text"), words)
+    return out.select("_row.doc_id", n.alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_text").alias("text"))

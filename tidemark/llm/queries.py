@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, simhash
+from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,13 @@ def op7(spark, sf):
 @query("op9_language_profiles")
 def op9(spark, sf):
     return language.report(table(spark, sf, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+@query("op4_main_text")
+def op4(spark, sf):
+    return pages.report(table(spark, sf, "pages"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, text_batches, text_key
+from tidemark.llm.common import boxed, components, text_batches, text_key
 from tidemark.session import cut_lineage
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -132,7 +132,7 @@ def one_of_each_group(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFra
     """
     prints, groups = _grouped(docs, bits, words)
     kept = groups.select(F.col("_first.doc_id").alias("_id"), F.col("_first._key").alias("_name"))
-    named = docs.withColumn("_key", text_key())
-    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_name")), "left_semi")
-    once = Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))
-    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(docs.columns)
+    named = boxed(docs).withColumn("_key", text_key("_row.text"))
+    found = named.join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_name")), "left_semi")
+    once = Window.partitionBy("_row.doc_id", "_key").orderBy(F.lit(0))
+    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
