@@ -129,3 +129,18 @@ def test_nearest_vertex_searches_wider_until_found(spark):
     vertices = spark.createDataFrame([(10, 0.0, 0.0), (11, 0.3, 0.1), (12, 1.0, 1.0)], "v long, lon double, lat double")
     got = {r["p"]: r["v"] for r in G.nearest_vertex(points, vertices, "p", "v", 0.2).collect()}
     assert got == {1: 10, 2: 12}
+
+
+def test_nearest_vertex_without_coordinates(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 1.0)], "p long, lon double, lat double")
+    vertices = spark.createDataFrame([(7, 1.0, 0.0), (8, None, None)], "v long, lon double, lat double")
+    got = {r["p"]: (r["v"], r["distance"]) for r in G.nearest_vertex(points, vertices, "p", "v", 0.5).collect()}
+    assert got == {1: (7, 1.0), 2: (None, None), 3: (None, None)}
+
+
+@pytest.mark.parametrize("dlat,dlon", [(1.0, 1.0), (-1.0, 1.0), (1.0, -1.0), (-1.0, -1.0)])
+def test_mask_on_grids_of_either_direction(spark, dlat, dlon):
+    ring = spark.createDataFrame([("a", 0, 2.5, 2.5), ("a", 1, 7.5, 2.5), ("a", 2, 7.5, 7.5), ("a", 3, 2.5, 7.5)], "ring string, seq long, lon double, lat double")
+    grid = G.Grid(0.0 if dlat > 0 else 9.0, 0.0 if dlon > 0 else 9.0, dlat, dlon, 10, 10)
+    cells = {(grid.lat0 + r["iy"] * dlat, grid.lon0 + r["ix"] * dlon) for r in G.polygon_mask(ring, ["ring"], "seq", grid).collect()}
+    assert cells == {(float(a), float(b)) for a in range(3, 8) for b in range(3, 8)}

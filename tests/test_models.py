@@ -209,3 +209,30 @@ def test_block_bootstrap_sees_a_shift(spark):
     pdf = pd.DataFrame({"s": "k", "t": range(80), "g": ["L"] * 40 + ["H"] * 40, "v": np.concatenate([rng.normal(0, 1, 40), rng.normal(3, 1, 40)])})
     row = RS.block_welch(spark.createDataFrame(pdf), ["s"], "g", "L", "H", "t", "v", 200, RS.hash_draw(0)).first()
     assert row["t_stat"] < -4 and row["p"] == 0.0 and row["ci_upper"] < 0
+
+
+def test_flat_topped_peaks_count_once(spark):
+    power = [1.0, 2.0, 9.0, 9.0, 2.0, 1.0, 3.0, 1.0, 4.0, 4.0]
+    rows = spark.createDataFrame([("s", k, k / 20, p) for k, p in enumerate(power)], "s string, k long, frequency double, power double")
+    found = X.peaks(rows, ["s"], 0.0).orderBy("k")
+    assert [r["k"] for r in found.collect()] == [2, 6]
+    assert [r["k"] for r in X.dominant_periods(found, ["s"], 4.0, 5).collect()] == [2]
+
+
+def test_wide_moments_without_keys(spark):
+    data = np.random.default_rng(3).normal(size=(60, 14))
+    cols = [f"c{i}" for i in range(14)]
+    row = G.moments(spark.createDataFrame(pd.DataFrame(data, columns=cols)), [], cols).first()
+    assert row["n"] == 60 and np.allclose(row["means"], data.mean(axis=0))
+    assert np.allclose(row["covs"], np.cov(data.T, bias=True)[np.triu_indices(14)])
+
+
+def test_permutation_importance_shuffles_every_row(spark):
+    class Sum:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("a") + 10 * F.col("b"))
+
+    n = 12_000
+    rows = spark.range(n).select(F.col("id").alias("t"), F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    got = {r["name"]: r["importance"] for r in M.permutation_importance(rows, Sum(), ["a", "b"], ["t"]).collect()}
+    assert abs(got["a"] / n - 1 / 3) < 0.01 and abs(got["b"] - 5) < 0.2

@@ -210,12 +210,16 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, point_id: str, vertex
 
     Points and vertices meet through grid cells.  A match closer than the width of
     the searched neighbourhood is final; the rest search again on cells four times
-    as wide, until none is left.
+    as wide, until none is left.  A point without coordinates has neither vertex
+    nor distance; a vertex without coordinates is never found.
     """
-    if vertices.isEmpty():
+    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
+    v = vertices.where(placed).select(vertex_id, F.col("lon").alias("_vx"), F.col("lat").alias("_vy"))
+    if v.isEmpty():
         raise ValueError("no vertices to search")
-    todo, done, size = points.select(point_id, F.col("lon").alias("_px"), F.col("lat").alias("_py")), None, cell
-    v = vertices.select(vertex_id, F.col("lon").alias("_vx"), F.col("lat").alias("_vy"))
+    todo, size = points.where(placed).select(point_id, F.col("lon").alias("_px"), F.col("lat").alias("_py")), cell
+    nowhere = F.lit(None).cast(v.schema[vertex_id].dataType).alias(vertex_id), F.lit(None).cast("double").alias("distance")
+    done = points.where(~placed).select(point_id, *nowhere)
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     while True:
         cells = v.withColumns({"_cx": F.floor(F.col("_vx") / size), "_cy": F.floor(F.col("_vy") / size)})
@@ -226,7 +230,7 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, point_id: str, vertex
         best = cut_lineage(best)  # each round reads the rest of the last one, not its history
         final = F.coalesce(F.col("_b.d") <= size, F.lit(False))
         found = best.where(final).select(point_id, F.col("_b.v").alias(vertex_id), F.col("_b.d").alias("distance"))
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         todo = best.where(~final).select(point_id, "_px", "_py")
         if todo.isEmpty():
             return done
@@ -241,19 +245,22 @@ def polygon_mask(ring: DataFrame, keys: Sequence[str], seq: str, grid: Grid) ->
 
     Each edge emits its crossing of the cell rows it spans; sorted crossings of a
     row pair up into spans, and a span lists its cells.  The work follows the
-    outline and the result, never cells times edges.
+    outline and the result, never cells times edges.  Either step of the grid may
+    be negative.
     """
     e = edges(ring, keys, seq).where(F.col("y1") != F.col("y2"))
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first = F.greatest(F.ceil((lo - grid.lat0) / grid.dlat), F.lit(0)).cast("long")
-    last = F.least(F.ceil((hi - grid.lat0) / grid.dlat) - 1, F.lit(grid.ny - 1)).cast("long")
+    at_lo, at_hi = (lo - grid.lat0) / grid.dlat, (hi - grid.lat0) / grid.dlat
+    ends = (F.ceil(at_lo), F.ceil(at_hi) - 1) if grid.dlat > 0 else (F.floor(at_hi) + 1, F.floor(at_lo))  # lo <= row < hi
+    first, last = F.greatest(ends[0], F.lit(0)).cast("long"), F.least(ends[1], F.lit(grid.ny - 1)).cast("long")
     rows = e.withColumns({"_r0": first, "_r1": last}).where("_r0 <= _r1").withColumn("iy", F.explode(F.sequence("_r0", "_r1")))
     y = grid.lat0 + F.col("iy") * grid.dlat
     rows = rows.select(*keys, "iy", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("_x"))
     w = Window.partitionBy(*keys, "iy").orderBy("_x")
     spans = rows.withColumns({"_k": F.row_number().over(w), "_to": F.lead("_x").over(w)}).where("_k % 2 = 1 AND _to IS NOT NULL")
-    a = F.greatest(F.floor((F.col("_x") - grid.lon0) / grid.dlon) + 1, F.lit(0)).cast("long")
-    b = F.least(F.ceil((F.col("_to") - grid.lon0) / grid.dlon) - 1, F.lit(grid.nx - 1)).cast("long")
+    west, east = ("_x", "_to") if grid.dlon > 0 else ("_to", "_x")
+    a = F.greatest(F.floor((F.col(west) - grid.lon0) / grid.dlon) + 1, F.lit(0)).cast("long")
+    b = F.least(F.ceil((F.col(east) - grid.lon0) / grid.dlon) - 1, F.lit(grid.nx - 1)).cast("long")
     spans = spans.withColumns({"_a": a, "_b": b}).where("_a <= _b")
     return spans.select(*keys, "iy", F.explode(F.sequence("_a", "_b")).alias("ix"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,7 +16,12 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.operators import inference as I
 from tidemark.operators import regress as G
+from tidemark.operators.blocked import row_index
 from tidemark.operators.regress import square
+from tidemark.session import cut_lineage
+
+#: Rows of one hash bucket in which a permutation numbers its rows.
+BUCKET_ROWS = 10_000
 
 
 def assemble(df: DataFrame, xs: Sequence[str]) -> DataFrame:
@@ -40,20 +46,21 @@ def importances(spark, model, xs: Sequence[str]) -> DataFrame:
 def permutation_importance(df: DataFrame, model, xs: Sequence[str], order: Sequence[str], seed: int = 0, prediction: str = "prediction") -> DataFrame:
     """Mean absolute change of the prediction when one feature is shuffled: ``name, importance``.
 
-    A shuffled value comes from a row drawn by hash, feature by feature, so no global order is needed.
+    The shuffle is a true permutation: the row of each rank by one hash takes the value of the row that has this rank
+    by another hash, one for each feature. Ranks come from counts of hash buckets, so no task sees a global order, and
+    all features are scored in one pass.
     """
-    base = df.select(*order, *xs).withColumn("_id", F.xxhash64(F.lit(seed), *order))
-    n = max(base.count(), 1)
-    rows = base.withColumn("_slot", F.pmod(F.col("_id"), F.lit(n)))
-    scored = model.transform(assemble(rows, xs)).select(*order, F.col(prediction).alias("_base"))
-    parts = []
-    for i, x in enumerate(xs):
-        donor = rows.groupBy("_slot").agg(F.min_by(x, "_id").alias("_swap"))
-        drawn = rows.withColumn("_slot", F.pmod(F.xxhash64(F.lit(seed + i + 1), "_id"), F.lit(n)))
-        mixed = drawn.join(donor, "_slot", "left").withColumn(x, F.coalesce("_swap", x)).drop("_swap", "features")
-        out = model.transform(assemble(mixed, xs)).select(*order, F.col(prediction).alias("_new")).join(scored, list(order))
-        parts.append(out.agg(F.avg(F.abs(F.col("_new") - F.col("_base"))).alias("importance")).select(F.lit(x).alias("name"), "importance"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = cut_lineage(df.select(*order, *xs).na.drop(subset=list(xs)))
+    bits = max(1, math.ceil(math.log2(max(1, rows.count()) / BUCKET_ROWS)))
+    bucket = F.shiftright("_h", 64 - bits)
+    takers = model.transform(assemble(rows, xs)).select(*order, *xs, F.col(prediction).alias("_base"), F.xxhash64(F.lit(seed), *order).alias("_h"))
+    takers = row_index(takers, [], ["_h", *order], bucket, "_rank").drop("_h")
+    given = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(x).cast("double").alias("_swap"), F.xxhash64(F.lit(seed + i + 1), *order).alias("_h")) for i, x in enumerate(xs)])
+    donors = row_index(rows.select(*order, F.inline(given)), ["_f"], ["_h", *order], bucket, "_rank").select("_f", "_rank", "_swap")
+    each = takers.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(xs))]))).join(donors, ["_f", "_rank"])
+    mixed = each.withColumns({x: F.when(F.col("_f") == i, F.col("_swap")).otherwise(F.col(x)) for i, x in enumerate(xs)})
+    out = model.transform(assemble(mixed, xs)).groupBy("_f").agg(F.avg(F.abs(F.col(prediction) - F.col("_base"))).alias("importance"))
+    return out.select(F.array(*[F.lit(x) for x in xs])[F.col("_f")].alias("name"), "importance")
 
 
 def linear_attributions(df: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:

@@ -42,6 +42,8 @@ def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     clean = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=list(cols))
     if len(cols) <= WIDE:
         return clean.groupBy(*keys).agg(*moment_exprs(cols))
+    if not keys:
+        return _wide_moments(clean.select(F.lit(0).alias("_all"), F.array(*cols).alias("_v")), ["_all"], len(cols)).drop("_all")
     return _wide_moments(clean.select(*keys, F.array(*cols).alias("_v")), keys, len(cols))
 
 

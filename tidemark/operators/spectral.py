@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -41,11 +41,21 @@ def power_spectrum(df: DataFrame, keys: Sequence[str], order: str, value: str, p
 
 
 def peaks(spectrum: DataFrame, keys: Sequence[str], height: float = 0.9) -> DataFrame:
-    """Strict interior maxima at or above a quantile of the power: ``keys, k, frequency, period, power``."""
+    """Interior maxima at or above a quantile of the power: ``keys, k, frequency, period, power``.
+
+    Equal neighbours form one flat top, which counts if the power falls on both sides; its middle row stands for it.
+    """
     w = S.by(keys, "k")
     floor = spectrum.groupBy(*keys).agg(F.percentile("power", height).alias("_h"))
-    rows = spectrum.withColumns({"_a": F.lag("power").over(w), "_b": F.lead("power").over(w)}).join(floor, list(keys))
-    top = rows.where((F.col("power") > F.col("_a")) & (F.col("power") > F.col("_b")) & (F.col("power") >= F.col("_h")))
+    rows = spectrum.withColumns({"_at": F.row_number().over(w), "_a": F.lag("power").over(w), "_b": F.lead("power").over(w)})
+    starts, ends = ~F.col("_a").eqNullSafe(F.col("power")), ~F.col("_b").eqNullSafe(F.col("power"))
+    rows = rows.withColumn("_flat", F.sum(starts.cast("int")).over(w))
+    flat = Window.partitionBy(*keys, "_flat")
+    middle = F.floor((F.min("_at").over(flat) + F.max("_at").over(flat)) / 2)
+    sides = {"_mid": middle, "_a": F.max(F.when(starts, F.col("_a"))).over(flat), "_b": F.max(F.when(ends, F.col("_b"))).over(flat)}
+    rows = rows.withColumns(sides).join(floor, list(keys))
+    higher = (F.col("power") > F.col("_a")) & (F.col("power") > F.col("_b")) & (F.col("power") >= F.col("_h"))
+    top = rows.where(higher & (F.col("_at") == F.col("_mid")))
     return top.select(*keys, "k", "frequency", F.try_divide(F.lit(1.0), F.col("frequency")).alias("period"), "power")
 
 

@@ -251,11 +251,17 @@ def ridge_cv(spark, sf):
 one AS (SELECT series, x AS name, rr AS r2 FROM (SELECT series, 'qty' AS x, r_qty * r_qty AS rr FROM c UNION ALL SELECT series, 'price', r_price * r_price FROM c UNION ALL SELECT series, 'disc', r_disc * r_disc FROM c)
   QUALIFY row_number() OVER (PARTITION BY series ORDER BY rr DESC) = 1),
 two AS (SELECT series, name, r2, prev FROM ({' UNION ALL '.join(f"SELECT c.series, '{b}' AS name, (r_{a} * r_{a} + r_{b} * r_{b} - 2 * r_{a} * r_{b} * {a}_{b}) / (1 - {a}_{b} * {a}_{b}) AS r2, one.r2 AS prev FROM c JOIN one ON one.series = c.series AND one.name = '{a}'" for a in XS for b in XS if a != b)})
-  QUALIFY row_number() OVER (PARTITION BY series ORDER BY r2 DESC) = 1)
-SELECT series, 1::BIGINT AS step, name, round(r2, 7) AS r2 FROM one WHERE r2 >= 0.005 UNION ALL SELECT series, 2, name, round(r2, 7) FROM two WHERE r2 - prev >= 0.005 AND prev >= 0.005""",
+  QUALIFY row_number() OVER (PARTITION BY series ORDER BY r2 DESC) = 1),
+three AS (SELECT c.series, x.name, two.r2 AS prev, two.prev AS first,
+  (r_qty * r_qty * (1 - price_disc * price_disc) + r_price * r_price * (1 - qty_disc * qty_disc) + r_disc * r_disc * (1 - qty_price * qty_price)
+   - 2 * r_qty * r_price * (qty_price - qty_disc * price_disc) - 2 * r_qty * r_disc * (qty_disc - qty_price * price_disc) - 2 * r_price * r_disc * (price_disc - qty_price * qty_disc))
+  / (1 + 2 * qty_price * qty_disc * price_disc - qty_price * qty_price - qty_disc * qty_disc - price_disc * price_disc) AS r2
+  FROM c JOIN one ON one.series = c.series JOIN two ON two.series = c.series JOIN (SELECT unnest(['qty', 'price', 'disc']) AS name) x ON x.name <> one.name AND x.name <> two.name)
+SELECT series, 1::BIGINT AS step, name, round(r2, 7) AS r2 FROM one WHERE r2 >= 0.005 UNION ALL SELECT series, 2, name, round(r2, 7) FROM two WHERE r2 - prev >= 0.005 AND prev >= 0.005
+UNION ALL SELECT series, 3, name, round(r2, 7) FROM three WHERE r2 - prev >= 0.005 AND prev - first >= 0.005 AND first >= 0.005""",
 )
 def forward_selection(spark, sf):
-    return rounded(G.forward_selection(joined(spark, sf), ["series"], XS, "value", max_features=2), "r2", digits=7)
+    return rounded(G.forward_selection(joined(spark, sf), ["series"], XS, "value"), "r2", digits=7)
 
 
 @query(

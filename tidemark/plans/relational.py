@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -430,11 +431,12 @@ def distinct_per_key(spark, sf):
     return c.groupBy("side").agg(F.count_distinct("c_nationkey").alias("n_nations"), nations.alias("nations"))
 
 
-GAPS_SQL = "gaps AS (SELECT series, date, t, CASE WHEN t < 2 OR t % 7 IN (3, 4) OR t > 74 THEN NULL ELSE value END AS value FROM levels)"
+GAPS_SQL = "gaps AS (SELECT series, date, t, CASE WHEN t < 2 OR t % 7 IN (3, 4) OR t > max(t) OVER (PARTITION BY series) - 2 THEN NULL ELSE value END AS value FROM levels)"
 
 
 def with_gaps(spark, sf):
-    gap = (F.col("t") < 2) | (F.col("t") % 7).isin(3, 4) | (F.col("t") > 74)
+    last = F.max("t").over(Window.partitionBy("series"))
+    gap = (F.col("t") < 2) | (F.col("t") % 7).isin(3, 4) | (F.col("t") > last - 2)
     return levels(spark, sf).select("series", "date", "t", F.when(~gap, F.col("value")).alias("value"))
 
 

@@ -20,9 +20,9 @@ def residuals(spark, sf):
     return S.deseasonalised(levels(spark, sf), ["series"], "t", "value").select("series", "t", F.col("residual").alias("y"))
 
 
-@query("dft_power", "F2 F1", f"WITH {LEVELS_SQL}, {RESID_SQL}, {DFT_SQL} SELECT series, k, round(k * 12.0 / n, 9) AS frequency, round(power, 3) AS power FROM sp WHERE k > 0 AND k % 80 <> 0")
+@query("dft_power", "F2 F1", f"WITH {LEVELS_SQL}, {RESID_SQL}, {DFT_SQL} SELECT series, k, round(k * 12.0 / n, 9) AS frequency, round(power, 3) AS power FROM sp WHERE k > 0")
 def dft_power(spark, sf):
-    p = X.power_spectrum(residuals(spark, sf), ["series"], "t", "y").where((F.col("k") > 0) & (F.col("k") % 80 != 0))
+    p = X.power_spectrum(residuals(spark, sf), ["series"], "t", "y").where(F.col("k") > 0)
     return rounded(rounded(p, "frequency", digits=9), "power", digits=3)
 
 

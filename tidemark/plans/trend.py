@@ -201,18 +201,24 @@ def pearson_p(spark, sf):
     return rounded(rounded(rounded(I.pearson(joined(spark, sf), ["series"], "value", "qty"), "r", digits=8), "t_stat"), "p", digits=7)
 
 
+def partial_sql(x: str, a: str, b: str) -> str:
+    """Correlation with ``value`` given ``b``, then given ``a`` as well."""
+    pair = lambda p, q: ("y" + p[0] if q == "y" else "".join(n[0] for n in ("qty", "price", "disc") if n in (p, q)))
+    given_b = lambda p, q: f"(({pair(p, q)} - {pair(b, q) if q == 'y' else pair(q, b)} * {pair(p, b)}) / sqrt((1 - pow({pair(b, q) if q == 'y' else pair(q, b)}, 2)) * (1 - pow({pair(p, b)}, 2))))"
+    yx, ya, xa = given_b(x, "y"), given_b(a, "y"), given_b(x, a)
+    return f"SELECT series, n, '{x}' AS name, ({yx} - {ya} * {xa}) / sqrt((1 - pow({ya}, 2)) * (1 - pow({xa}, 2))) AS r FROM c"
+
+
 @query(
     "partial_corr",
     "T9",
     f"""WITH {JOINED_SQL}, c AS (SELECT series, corr(value, qty) AS yq, corr(value, price) AS yp, corr(value, disc) AS yd, corr(qty, price) AS qp, corr(qty, disc) AS qd, corr(price, disc) AS pd, count(*) AS n FROM joined GROUP BY series),
--- first order given disc, then given price as well
-f AS (SELECT *, (yq - yd * qd) / sqrt((1 - yd * yd) * (1 - qd * qd)) AS yq_d, (yp - yd * pd) / sqrt((1 - yd * yd) * (1 - pd * pd)) AS yp_d, (qp - qd * pd) / sqrt((1 - qd * qd) * (1 - pd * pd)) AS qp_d FROM c),
-g AS (SELECT series, n, (yq_d - yp_d * qp_d) / sqrt((1 - yp_d * yp_d) * (1 - qp_d * qp_d)) AS r FROM f),
+g AS ({' UNION ALL '.join(partial_sql(*names) for names in (('qty', 'price', 'disc'), ('price', 'qty', 'disc'), ('disc', 'qty', 'price')))}),
 h AS (SELECT *, r * sqrt((n - 4) / (1 - r * r)) AS t_stat, CAST(n - 4 AS DOUBLE) AS dof FROM g)
-SELECT series, 'qty' AS name, round(r, 7) AS r, round(t_stat, 6) AS t_stat, round({t_p('t_stat', 'dof')}, 6) AS p FROM h""",
+SELECT series, name, round(r, 7) AS r, round(t_stat, 6) AS t_stat, round({t_p('t_stat', 'dof')}, 6) AS p FROM h""",
 )
 def partial_corr(spark, sf):
-    out = I.partial_correlation(joined(spark, sf), ["series"], "value", ["qty", "price", "disc"]).where(F.col("name") == "qty")
+    out = I.partial_correlation(joined(spark, sf), ["series"], "value", ["qty", "price", "disc"])
     return rounded(rounded(out, "r", digits=7), "t_stat", "p")
 
 

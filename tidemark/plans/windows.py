@@ -89,6 +89,10 @@ def rolling_corr(spark, sf):
     return joined(spark, sf).select("series", "t", r(S.rolling_corr("value", "qty", ["series"], "t", 12, 11)).alias("r24"))
 
 
+#: Periods of the pseudo-coherence matrix, in rows.
+PERIODS = range(6, 47, 2)
+
+
 @query(
     "rolling_corr_matrix",
     "F9 W8",
@@ -96,15 +100,15 @@ def rolling_corr(spark, sf):
     + " UNION ALL ".join(
         f"""SELECT series, CAST({k} AS BIGINT) AS period, t, round(abs(corr(value, qty) OVER w), 6) AS coherence, count(*) OVER w AS n FROM joined
 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN {k // 2} PRECEDING AND {k // 2 - 1} FOLLOWING)"""
-        for k in (6, 12, 24, 46)
+        for k in PERIODS
     ).join(["SELECT series, period, t, coherence FROM (", ") WHERE n = period"]),
 )
 def rolling_corr_matrix(spark, sf):
     """Pseudo-coherence by period: absolute rolling correlation with a frame of one period."""
     wide = joined(spark, sf).select(
-        "series", "t", *[F.abs(S.rolling_corr("value", "qty", ["series"], "t", k // 2, k // 2 - 1)).alias(str(k)) for k in (6, 12, 24, 46)]
+        "series", "t", *[F.abs(S.rolling_corr("value", "qty", ["series"], "t", k // 2, k // 2 - 1)).alias(str(k)) for k in PERIODS]
     )
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("period"), F.col(f"`{k}`").alias("coherence")) for k in (6, 12, 24, 46)])
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("period"), F.col(f"`{k}`").alias("coherence")) for k in PERIODS])
     return wide.select("series", "t", F.inline(rows)).where(F.col("coherence").isNotNull()).withColumn("coherence", r("coherence"))
 
 
