@@ -375,3 +375,17 @@ def test_mix(docs, texts):
         assert all(0 <= r.taken <= 2 * r.size for r in own)
     assert sorted(out, key=repr) == sorted(mixing.report(docs.repartition(3)).collect(), key=repr)
     assert mixing.report(docs.limit(0)).count() == 0
+
+
+def test_packed_fingerprints_come_back_as_written():
+    import numpy as np
+
+    from tidemark.llm import fingerprints as fp
+
+    texts = ["", "one line", "a b c d e f\n" * 900, "ü ñ 漢字 text of words\n\nand more " * 40]
+    for a in texts:
+        for b in texts:
+            digest, own, changed = b"\x07" * 32, fp.vector(a), fp.vector(b)
+            assert fp.unpacked(fp.packed(digest, own, changed)) == (digest.hex(), fp.written(*own), fp.written(*changed))
+    wide = np.array([0, 1, 2**31 - 1, 2**31, 2**32 - 1] + [5] * (fp.CELLS - 5), np.uint32), np.arange(fp.EXACT, dtype=np.uint64)
+    assert fp.unpacked(fp.packed(bytes(32), (wide[1], wide[0]), fp.vector("x")))[1] == fp.written(wide[1], wide[0])

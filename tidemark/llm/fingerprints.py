@@ -9,6 +9,7 @@ or subtracting their vectors. The first lanes decide equality, the angle of the
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,18 +112,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What is held between the passes: digest and both fingerprints of a row are packed, as in hex they take several times the room.
+HELD = "doc_id long, n_chars long, packed binary, near_edited double, near_next double"
+
+
+def _planes(fingerprint: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The exact sums, then the counts with the sign in the lowest bit and bytes of one weight side by side."""
+    exact, cells = fingerprint
+    c = cells.astype(np.uint32).view(np.int32)
+    zigzag = ((c << 1) ^ (c >> 31)).astype("<i4")
+    return exact.astype("<u8").tobytes() + zigzag.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    zigzag = np.ascontiguousarray(np.frombuffer(data[8 * EXACT :], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(data[: 8 * EXACT], "<u8"), (zigzag >> np.uint32(1)) ^ (np.uint32(0) - (zigzag & np.uint32(1)))
+
+
+def packed(digest: bytes, own, changed) -> bytes:
+    return zlib.compress(digest + _planes(own) + _planes(changed))
+
+
+def unpacked(data: bytes) -> tuple[str, str, str]:
+    """Hex digest and both fingerprints as written."""
+    data = zlib.decompress(data)
+    half = 32 + (len(data) - 32) // 2
+    return data[:32].hex(), written(*_from_planes(data[32:half])), written(*_from_planes(data[half:]))
 
 
 def _result(doc_id, text: str, own, following: str, other) -> dict:
     new = edited(text, following)
     changed = own if new == text else vector(new)
-    sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": sha, "fingerprint": written(*own), "edited_fingerprint": written(*changed), "near_edited": likeness(own, changed), "near_next": likeness(own, other)}
+    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest()
+    return {"doc_id": doc_id, "n_chars": len(text), "packed": packed(digest, own, changed), "near_edited": likeness(own, changed), "near_next": likeness(own, other)}
 
 
 def _typed(rows: list[dict], more: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")] + more, dtype=object)
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in HELD.split(", ")] + more, dtype=object)
     return out.astype({"doc_id": "Int64", "n_chars": "Int64", "near_edited": "float64", "near_next": "float64", **{c: "Int64" for c in more if c == "_part"}})
 
 
@@ -155,14 +181,14 @@ def report(docs: DataFrame) -> DataFrame:
 
     Documents are range-sorted by id (null ids last, equal ids by text), so each task sees most rows beside their next;
     one open row per partition is joined with the first text of the next partition with rows, the last with the first.
-    Texts are shuffled once and pass in batches. Null texts count as empty; repeated rows follow one another; an empty
+    Texts are shuffled once and pass in batches; what is checkpointed holds fingerprints packed. Null texts count as empty; repeated rows follow one another; an empty
     table gives no rows; a single row is next to itself. Other columns are not read.
     """
     text_batches(docs.sparkSession)
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("_key"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("_part"))
-    found = cut_lineage(rows.mapInPandas(_neighbours, OUT + ", _part long, _head string, _tail string"))
+    found = cut_lineage(rows.mapInPandas(_neighbours, HELD + ", _part long, _head string, _tail string"))
     heads = found.where("_head is not null").select("_part", "_head")
     parts = heads.select("_part").withColumn("_next", F.lead("_part").over(Window.orderBy("_part")))  # one row per partition
     first = heads.agg(F.min("_part").alias("_least"))
@@ -170,4 +196,10 @@ def report(docs: DataFrame) -> DataFrame:
     tails = found.where("_tail is not null").select("doc_id", "_part", "_tail").join(parts, "_part")
     open_rows = tails.join(heads.withColumnRenamed("_part", "_next"), "_next").select("doc_id", "_tail", "_head")
     done = found.where("_part is null").drop("_part", "_head", "_tail")
-    return done.unionByName(open_rows.mapInPandas(_closed, OUT))
+    whole = done.unionByName(open_rows.mapInPandas(_closed, HELD))
+
+    @F.pandas_udf("edited_sha256 string, fingerprint string, edited_fingerprint string")
+    def opened(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unpacked(d) for d in data], columns=["edited_sha256", "fingerprint", "edited_fingerprint"])
+
+    return whole.withColumn("_x", opened("packed")).select("doc_id", "n_chars", "_x.*", "near_edited", "near_next")
