@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
 
 WORDS = "river stone walks over green hills while small birds sing near old houses and the wind carries leaves".split()
@@ -276,6 +277,44 @@ def test_dense_blocks_link_as_pairs_do(spark):
         assert parts([tuple(x) for x in simhash.links(prints, dense=dense).collect()]) == parts(pairs)
 
 
+def test_likeness_of_shingles_decides(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for g in range(30):
+        base = [word() for _ in range(200)]
+        for c in range(1 if g % 3 else 4):
+            copy = list(base)
+            for k in range(4 * c):  # 0 to 12 words changed: similarity 1 down to some 0.55
+                copy[r.randrange(200)] = word()
+            texts[g * 100 + c] = " ".join(copy)
+    crowd = [word() for _ in range(300)]
+    for c in range(120):  # a crowd over FEW
+        copy = list(crowd)
+        copy[r.randrange(300)] = word()
+        texts[9000 + c] = " ".join(copy)
+    for c in range(90):  # a crowd of pairs that are not alike
+        texts[20000 + c] = " ".join(crowd[:150] + [word() for _ in range(60)])
+    texts |= {30000: "", 30001: None, 30002: " \n", 30003: "two words", 30004: "Two  WORDS", None: "two words"}
+    sets = {i: set(simhash.shingles(t)) for i, t in texts.items()}
+    alike = lambda a, b: not sets[a] and not sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    order = sorted(texts, key=lambda i: (i is None, i))
+    root = {i: i for i in order}
+    for j, b in enumerate(order):
+        for a in order[:j]:
+            if alike(a, b):
+                root[b] = root[a]
+                break
+    want = [i for i in order if root[i] == i]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(0, texts[0], "again")], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted((x.doc_id for x in got.collect()), key=lambda i: (i is None, i)) == want
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
+    small = simhash._unlike(frame, 0.8, 5, few=30, leaders=8)
+    assert small.count() == len(want)
+
+
 # line dedup
 
 

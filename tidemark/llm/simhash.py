@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, verified Hamming distance."""
+"""SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, verified Hamming distance.
+
+The pipeline's near-dedup (:func:`one_of_each_likeness`) takes pairs of a shingle similarity instead. These differ in up to
+13 of 64 bits, for which pigeonhole keys are either a few bits short or too many, so bands of minimum hashes name its candidates.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,14 @@ SEED = 42
 CHUNK = 1 << 16
 #: Members of a block from which its links are found by midpoints instead of pairs.
 DENSE = 256
+#: One of each likeness: words of a shingle and least Jaccard similarity of near-duplicates.
+WORDS, LIKENESS = 5, 0.8
+#: Bands of minimum hashes that name candidates: 1 - (1 - s**ROWS)**BANDS of the pairs of similarity s share one, 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIXER = np.uint64(0xBF58476D1CE4E5B9)
+#: Texts of a band up to which all are paired, and leaders of a larger band in one round.
+FEW, LEADERS = 64, 16
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -132,7 +144,105 @@ def one_of_each_group(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFra
     """
     prints, groups = _grouped(docs, bits, words)
     kept = groups.select(F.col("_first.doc_id").alias("_id"), F.col("_first._key").alias("_name"))
+    return _rows(docs, kept)
+
+
+def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each ``_id, _name`` of ``kept``."""
     named = boxed(docs).withColumn("_key", text_key("_row.text"))
     found = named.join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_name")), "left_semi")
     once = Window.partitionBy("_row.doc_id", "_key").orderBy(F.lit(0))
     return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct word shingles in ascending order; a shorter text is one shingle, one without words none."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not found:
+        return np.empty(0, np.uint64)
+    joined = (b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64))
+
+
+def band_keys(text: str | None, words: int = WORDS) -> np.ndarray:
+    """One key for each of ``BANDS`` bands of ``ROWS`` minimum hashes; texts without words have the key zero."""
+    found = shingles(text, words)
+    if not len(found):
+        return np.zeros(BANDS, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(found), 1024):
+        x = found[k : k + 1024, None] * FACTORS
+        x ^= x >> np.uint64(29)
+        low = np.minimum(low, (x * MIXER).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), SEED) for part in low.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
+    """``_key`` of the later text of each of ``pairs`` (``a, b``: text names, earlier first) that is alike."""
+    text_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
+        held: dict = {}
+        of = lambda t: held[t] if t in held else held.setdefault(t, shingles(t, words))
+        return pd.Series([jaccard(of(a), shingles(b, words)) >= likeness for a, b in zip(left, right)], dtype=bool)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    texts = docs.select(text_key().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").groupBy("_key").agg(F.first("_t").alias("_t"))
+    texts = cut_lineage(texts)
+    met = pairs.join(texts.select(F.col("_key").alias("a"), F.col("_t").alias("_left")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_t").alias("_right")), "b")
+    return cut_lineage(met.where(close("_left", "_right")).select(F.col("b").alias("_key")).distinct())
+
+
+def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leaders: int = LEADERS) -> DataFrame:
+    """``_key, _low`` of the texts that stay: the name and the least ``_none, doc_id, _key`` among rows of the text.
+
+    Texts that share a band are candidates. Bands of up to ``few`` texts are paired. In larger ones each round compares
+    every text with one leader, later with up to ``leaders`` of them; what is alike goes, the leaders, now compared with
+    all that is left, leave the band, and the round repeats until no band is large. A crowd of near copies goes in the
+    first rounds; rows of a round grow with the members, and no pair of texts that both stay is passed over.
+    """
+    text_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def bands(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(t, words) for t in texts])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("_key")).withColumn("_bands", bands("text"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_key"))
+    texts = cut_lineage(rows.groupBy("_key").agg(low.alias("_low"), F.first("_bands").alias("_bands")))
+    members = texts.select("_key", "_low", F.posexplode("_bands").alias("_k", "_v")).select("_key", "_low", F.xxhash64("_k", "_v").alias("_band"))
+    gone, classes = None, 1
+    while True:
+        size = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        members = cut_lineage(members.join(size, "_band"))
+        small, large = members.where(F.col("_n") <= few).drop("_n"), members.where(F.col("_n") > few).drop("_n")
+        named = lambda side, x: side.select("_band", F.col("_key").alias(f"_{x}"), F.col("_low").alias(f"_low_{x}"))
+        paired = named(small, "p").join(named(small, "q"), "_band").where("_low_p < _low_q")
+        first = cut_lineage(large.withColumn("_class", F.pmod("_key", F.lit(classes))).groupBy("_band", "_class").agg(F.min("_low").alias("_low")).select("_band", F.col("_low._key").alias("_key"), "_low"))
+        led = named(first, "p").join(named(large, "q"), "_band").where("_p <> _q")
+        earlier = F.col("_low_p") < F.col("_low_q")
+        pairs = paired.unionByName(led).select(F.when(earlier, F.col("_p")).otherwise(F.col("_q")).alias("a"), F.when(earlier, F.col("_q")).otherwise(F.col("_p")).alias("b")).distinct()
+        found = _alike(docs, cut_lineage(pairs), likeness, words)
+        gone = found if gone is None else cut_lineage(gone.unionByName(found).distinct())
+        if first.isEmpty():
+            break
+        members = large.join(found, "_key", "left_anti").join(first.select("_band", "_key"), ["_band", "_key"], "left_anti")
+        classes = leaders
+    return texts.select("_key", "_low").join(gone, "_key", "left_anti")
+
+
+def one_of_each_likeness(docs: DataFrame, likeness: float = LIKENESS, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each group the row of the least id stays.
+
+    Two texts are linked where their sets of ``words``-word shingles have a Jaccard similarity of ``likeness`` or more;
+    texts without words are alike. A row goes only where verified links lead from it to rows of lesser ids. Null ids
+    come after all others; among rows of one id the least name of the text decides; of rows that repeat both one stays.
+    """
+    kept = _unlike(docs, likeness, words).select(F.col("_low.doc_id").alias("_id"), F.col("_low._key").alias("_name"))
+    return _rows(docs, kept)
