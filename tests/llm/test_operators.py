@@ -376,6 +376,19 @@ def test_quality(spark):
     assert kneser.good_text(docs.limit(0), labels).count() == 0
 
 
+def test_small_and_unlabelled_languages_stay(spark):
+    other = lambda seed: prose(seed, 80).translate(str.maketrans("aeiorstln", "qxzjkvwyu"))
+    rows = [(i, prose(i, 80), "en") for i in range(40)] + [(1000 + i, prose(1000 + i, 80), "en") for i in range(300)]
+    rows += [(5000 + i, other(i), "zz") for i in range(50)] + [(6000, other(77), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in kneser.good_text(docs, labels).collect()}
+    assert set(range(5000, 5050)) <= ids and 6000 not in ids
+    assert len(ids & set(range(1000, 1300))) >= 294
+    few = {r.doc_id for r in kneser.good_text(docs.where("lang is not null"), labels.limit(8)).collect()}
+    assert len(few) == len(rows) - 1
+
+
 def test_probabilities_sum_to_one(spark):
     counts = spark.createDataFrame([("en", ((1 * kneser.V + 2) * kneser.V + 3) * kneser.V + k, 1 + k % 4) for k in range(4, 20)], "lang string, gram long, n long")
     for p, weight in kneser.probabilities(counts):
