@@ -429,6 +429,30 @@ def test_mix(docs, texts):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_are_the_plan(spark):
+    rows = [(i, f"  {prose(i, 5 + i % 40)}\n end {i} ", "abc"[min(i % 7, 2)], i) for i in range(200)]
+    rows += [(7, rows[7][1], rows[7][2], 7), (None, "no  id", "a", 0), (900, None, None, 0), (901, "", "b", 0), (902, prose(9, 4000), "big", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    per = lambda found: {k: sum(r.taken for r in found if (r.doc_id, r.source) == k) for k in {(r.doc_id, r.source) for r in found if r.taken}}
+    whole = {r[0]: r[1] for r in rows}
+    for share in (0.5, 1.5):
+        plan, out = mixing.mix(docs, share=share).collect(), mixing.mixed(docs, share=share).collect()
+        assert any(r.taken == 0 < r.size for r in plan) if share < 1 else any(r.epoch == 2 for r in out)
+        assert per(plan) == per(out)
+        assert any(r.text != whole[r.doc_id] for r in out)
+        for r in out:
+            assert len(r.text.split()) == r.taken > 0 and whole[r.doc_id].startswith(r.text)
+            assert r.text == whole[r.doc_id] or r.n_chars == len(r.text)
+    assert mixing.mixed(docs).columns == [*docs.columns, "epoch", "taken", "target"]
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_pipeline_returns_the_mix(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "epoch", "taken", "target"]
+    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.taken > 0 for r in out.collect())
+
+
 def test_packed_fingerprints_come_back_as_written():
     import numpy as np
 

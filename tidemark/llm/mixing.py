@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_key
+from tidemark.llm.common import boxed, text_key
 from tidemark.session import cut_lineage
 
 #: Weights of the sources in the order of their names, repeating; share of all words; most epochs.
@@ -80,5 +80,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     return keyed.select("doc_id", "_name", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The training mix: rows of ``docs`` that :func:`mix` takes, all columns, with ``epoch, taken, target`` beside them.
+
+    A row comes once for each epoch, counted from 1; the text of the last epoch ends with the last word taken, and
+    ``taken`` is the words of this row's text. An ``n_chars`` column follows a text that is cut. Repeated rows are
+    each a document; documents of which nothing is taken, and so those without words, are not in the mix.
+    """
+    plan = mix(docs, weights, share, epochs, seed, block_rows).where("taken > 0").select("doc_id", "_name", "source", "size", "target", "taken")
+    order = ["doc_id", "_name", "source"]
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy(*order).orderBy(F.desc("taken")))).select(
+        F.col("doc_id").alias("_id"), F.col("_name").alias("_key"), F.col("source").alias("_source"), "size", "target", F.col("taken").alias("_all"), F.col("_nth").alias("_n")
+    )
+    rows = boxed(docs).withColumn("_name", text_key("_row.text"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row.doc_id", "_name", "_row.source").orderBy(F.lit(0))))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_key")) & F.col("_row.source").eqNullSafe(F.col("_source")) & (F.col("_nth") == F.col("_n"))
+    met = rows.join(plan, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_all") / F.col("size")).cast("int"))))
+    met = met.withColumn("_taken", F.least(F.col("size"), F.col("_all") - (F.col("_epoch") - 1) * F.col("size")))
+    head = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, F.col("_taken").cast("int")), "")
+    met = met.withColumn("_text", F.when(F.col("_taken") < F.col("size"), head).otherwise(F.col("_row.text")))
+    given = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        given["n_chars"] = F.when(F.col("_taken") < F.col("size"), F.length("_text")).otherwise(F.col("_row.n_chars"))
+    own = [given[c].alias(c) if c in given else F.col(f"_row.`{c.replace('`', '``')}`") for c in docs.columns if c not in ("epoch", "taken", "target")]
+    return met.select(*own, F.col("_epoch").alias("epoch"), F.col("_taken").alias("taken"), "target")
+
+
 def report(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
