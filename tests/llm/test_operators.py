@@ -136,6 +136,28 @@ def test_secret_scan(spark):
     assert all(x.secret and x.score is None for x in secrets.scan(docs.where("doc_id < 60")).collect())
 
 
+def test_candidates_are_all_places(spark):
+    k = [c * 4 + "0123456789abcdefXYZ" for c in "pqrstuv"]
+    texts = {
+        1: f"x a={k[0]}&token={k[1]} y",
+        2: '{"id":7,"password":"hu$n.ter2","api_key":"' + k[2] + '","z":[1]}',
+        3: f"get https://me:pa.ss!w0rd@host/x?key={k[3]}&x=1 now",
+        4: f"{k[4]}.{k[5]}.{k[6]} and {k[0]},{k[1]} then {k[2]}@host",
+        5: "set password: s3cr#t, or PWD = 'abc1' or pwd='q;&z' and passwd: \"r;t\", name: nothing",
+        6: f"a={k[0]}&b={k[0]}",
+    }
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = {}
+    for r in secrets.candidates(docs).collect():
+        found.setdefault(r.doc_id, []).append(r.value)
+    assert set(found[1]) == {k[0], k[1]} and found[1].count(k[0]) == 1
+    assert set(found[2]) == {"hu$n.ter2", k[2]}
+    assert {"pa.ss!w0rd", k[3]} <= set(found[3])
+    assert set(found[4]) == {*k[4:], *k[:3]}
+    assert {"s3cr#t", "abc1", "q;&z", "r;t"} == set(found[5])
+    assert len(secrets.candidates(docs.where("doc_id = 6")).collect()) == 2
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
