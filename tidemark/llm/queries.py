@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
+from tidemark.llm import chat, decontam, fim, fingerprints, kneser, language, licenses, linedup, mixing, pages, secrets, simhash, turns
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,62 @@ def op3(spark, sf):
 @query("op4_main_text")
 def op4(spark, sf):
     return pages.report(table(spark, sf, "pages"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
+h AS (SELECT *, len(w) AS n, CAST('0x' || draw[1:8] AS BIGINT) AS h1, CAST('0x' || draw[9:16] AS BIGINT) AS h2,
+             CAST('0x' || draw[17:24] AS BIGINT) AS h3, CAST('0x' || draw[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(w[1:i], ''), '') AS head, coalesce(array_to_string(w[i + 1:j], ''), '') AS middle,
+             coalesce(array_to_string(w[j + 1:n], ''), '') AS tail FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(head) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+              ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
+)
+def op11(spark, sf):
+    return fim.report(table(spark, sf, "documents"))
+
+
+def _notices_sql() -> str:
+    rows = [f"('{n.label}', '{n.family}', {n.stride}, {n.need}, [{', '.join(repr(w) for w in n.words)}])" for n in licenses.notices_of(licenses.NOTICES, licenses.THRESHOLD)]
+    return f"notices(label, family, stride, need, own) AS (VALUES {', '.join(rows)})"
+
+
+@query(
+    "op12_license_scan",
+    r"""
+WITH """
+    + _notices_sql()
+    + r""",
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bases(label, own) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+hits AS (SELECT doc_id, label, i FROM (SELECT doc_id, label, w, own, unnest(range(0, len(w) - len(own) + 1)) AS i FROM d, bases) WHERE w[i + 1 : i + len(own)] = own),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id),
+blocks AS (SELECT doc_id, stride, b, w[b * stride + 1 : b * stride + 2 * stride] AS words
+           FROM (SELECT doc_id, w, stride, unnest(range(0, (len(w) + stride - 1) // stride)) AS b FROM d, (SELECT DISTINCT stride FROM notices))),
+met AS (SELECT doc_id, family, label, s.stride, b, len(own) AS size, len(list_filter(own, lambda x: list_contains(words, x))) AS shared
+        FROM blocks s JOIN notices n ON s.stride = n.stride WHERE len(list_filter(own, lambda x: list_contains(words, x))) >= need),
+best AS (SELECT *, rank() OVER (PARTITION BY doc_id, family, stride, b ORDER BY shared / size DESC, shared DESC) AS place FROM met),
+own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / size) AS score FROM best WHERE place = 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(own.score, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)""",
+)
+def op12(spark, sf):
+    return licenses.report(table(spark, sf, "documents"))
+
+
+@query("op13_turn_repair")
+def op13(spark, sf):
+    return turns.report(table(spark, sf, "conversations"))
