@@ -94,6 +94,19 @@ def solve_penalised(cov: np.ndarray, n: float, xs: Sequence[int], y: int, ridge:
     return np.linalg.lstsq(sxx / np.outer(scale, scale), sxy / scale, rcond=1e-12)[0] / scale
 
 
+def solve_batch(cov: np.ndarray, n: np.ndarray, p: int, ridge: float = 0.0, lasso: float = 0.0) -> np.ndarray:
+    """:func:`solve_penalised` for a stack of covariance matrices whose last column is the target."""
+    if lasso:
+        return np.stack([solve_penalised(c, k, list(range(p)), p, ridge, lasso) for c, k in zip(cov, n)])
+    sxx, sxy = cov[:, :p, :p], cov[:, :p, p]
+    if ridge:
+        return np.linalg.solve(sxx + (ridge / n)[:, None, None] * np.eye(p), sxy[:, :, None])[:, :, 0]
+    diagonal = np.diagonal(sxx, axis1=1, axis2=2)
+    scale = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    inverse = np.linalg.pinv(sxx / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
+    return (inverse @ (sxy / scale)[:, :, None])[:, :, 0] / scale
+
+
 MODEL = StructType(
     [StructField("coef", ArrayType(DoubleType())), StructField("intercept", DoubleType()), StructField("rss", DoubleType()), StructField("tss", DoubleType())]
 )
@@ -107,19 +120,23 @@ def solver(p: int, ridge: float = 0.0, lasso: float = 0.0, min_n: int = 1, origi
 
     @F.pandas_udf(MODEL)
     def solve(n: pd.Series, means: pd.Series, covs: pd.Series) -> pd.DataFrame:
-        out = []
-        for count, m, c in zip(n, means, covs):
-            if m is None or count < min_n or any(v is None or v != v for v in c):
-                out.append((None, None, None, None))
-                continue
-            m, cov = np.asarray(m, float), square(np.asarray(c, float), p + 1)
-            tss, xs = float(count * cov[p, p]), list(range(p))
+        usable = [m is not None and count >= min_n and not any(v is None or v != v for v in c) for count, m, c in zip(n, means, covs)]
+        out = np.full(len(n), None, object)
+        out[:] = [(None, None, None, None)] * len(n)
+        if at := np.flatnonzero(usable).tolist():
+            counts = np.asarray(n.iloc[at], float)
+            m = np.stack([np.asarray(x, float) for x in means.iloc[at]])
+            cov = np.stack([square(np.asarray(c, float), p + 1) for c in covs.iloc[at]])
+            tss = counts * cov[:, p, p]
             if origin:
-                cov, m = cov + np.outer(m, m), np.zeros(p + 1)
-            b = solve_penalised(cov, count, xs, p, ridge, lasso)
-            rss = count * (cov[p, p] - 2 * b @ cov[xs, p] + b @ cov[:p, :p] @ b)
-            out.append((b.tolist(), float(m[p] - b @ m[:p]), max(float(rss), 0.0), tss))
-        return pd.DataFrame(out, columns=["coef", "intercept", "rss", "tss"])
+                cov, m = cov + m[:, :, None] * m[:, None, :], np.zeros_like(m)
+            b = solve_batch(cov, counts, p, ridge, lasso)
+            sxy = cov[:, :p, p]
+            rss = counts * (cov[:, p, p] - 2 * (b * sxy).sum(1) + np.einsum("ki,kij,kj->k", b, cov[:, :p, :p], b))
+            intercept = m[:, p] - (b * m[:, :p]).sum(1)
+            for i, *found in zip(at, b.tolist(), intercept.tolist(), np.maximum(rss, 0.0).tolist(), tss.tolist()):
+                out[i] = tuple(found)
+        return pd.DataFrame(out.tolist(), columns=["coef", "intercept", "rss", "tss"])
 
     return solve
 

@@ -1,5 +1,6 @@
 """Bootstrap resampling as joins: draws are rows, statistics are grouped aggregates.
 
+For statistics that are functions of sums, :mod:`replicate` needs neither draws as rows nor a join.
 Draws come from a hash of replicate and position, so a task rerun after an
 executor loss draws the same rows again.
 """
@@ -12,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import inference as I
-from tidemark.operators import regress as G
 from tidemark.operators import series as S
 from tidemark.operators import trend as T
 
@@ -25,9 +25,10 @@ def hash_draw(seed: int) -> Draw:
 
 
 def draws(lengths: DataFrame, reps: int, draw: Draw, n: str = "n", places: Column | None = None) -> DataFrame:
-    """``reps`` samples per row of ``lengths``, with replacement: adds ``rep, place, pick``."""
+    """``reps`` samples per row of ``lengths``, with replacement: adds ``rep, place, pick``; a task holds some replicates of a key."""
     count = places if places is not None else F.col(n)
     d = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    d = d.repartition(*lengths.columns, "rep")
     d = d.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))))
     return d.withColumn("pick", draw(F.col("rep"), F.col("place"), F.col(n)).cast("long"))
 
@@ -50,29 +51,12 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 95.0
     )
 
 
-def trend_band(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, horizon: int, reps: int, draw: Draw) -> DataFrame:
-    """Forecast band of a straight line from resampled fits: ``keys, x, ci_lower, ci_upper``."""
-    last = df.groupBy(*keys).agg(F.max(x).alias("x_last"))
-    fits = T.ols(resampled(df, keys, idx, reps, draw), [*keys, "rep"], x, y).where(F.col("slope").isNotNull()).drop("x_last", "n")
-    ahead = T.future(fits.join(last, list(keys)), horizon, x).withColumn("forecast", F.col("intercept") + F.col("slope") * F.col(x))
-    return interval(ahead, [*keys, x], "forecast").drop("mean", "std")
-
-
 def sen_interval(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, reps: int, draw: Draw) -> DataFrame:
     """Bootstrap distribution of the Theil-Sen slope; replicates with a single ``x`` drop out."""
     slopes = T.theil_sen(resampled(df, keys, idx, reps, draw), [*keys, "rep"], x, y, batch="rep")
     return interval(slopes.where(F.col("slope").isNotNull()), keys, "slope")
 
 
-def coefficient_intervals(df: DataFrame, keys: Sequence[str], idx: str, xs: Sequence[str], y: str, reps: int, draw: Draw, levels: Sequence[int] = (90, 95, 99)) -> DataFrame:
-    """Percentile intervals of regression coefficients: ``keys, name, level, ci_lower, ci_upper``."""
-    model = G.fit(resampled(df, keys, idx, reps, draw), [*keys, "rep"], xs, y)
-    coef = G.coefficients(model, [*keys, "rep"], xs)
-    ends = [F.percentile("coefficient", (100 - lv) / 200).alias(f"lo{lv}") for lv in levels] + [F.percentile("coefficient", (100 + lv) / 200).alias(f"hi{lv}") for lv in levels]
-    rows = F.array(*[F.struct(F.lit(lv).cast("long").alias("level"), F.col(f"lo{lv}").alias("ci_lower"), F.col(f"hi{lv}").alias("ci_upper")) for lv in levels])
-    return coef.groupBy(*keys, "name").agg(*ends).select(*keys, "name", F.inline(rows))
-
-
 def residual_band(forecast: DataFrame, residuals: DataFrame, keys: Sequence[str], step: str, idx: str, residual: str, reps: int, draw: Draw) -> DataFrame:
     """Band of a forecast plus resampled residuals.
 

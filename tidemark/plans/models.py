@@ -10,6 +10,7 @@ from tidemark.operators import forecast as FC
 from tidemark.operators import inference as I
 from tidemark.operators import regress as G
 from tidemark.operators import relational as R
+from tidemark.operators import replicate as RP
 from tidemark.operators import resample as RS
 from tidemark.operators import series as S
 from tidemark.operators import trend as T
@@ -496,6 +497,12 @@ def lcg(rep, place, n):
     return F.shiftright(mixed, 16) % n
 
 
+def lcg_picks(rep, place, n):
+    """:func:`lcg` on arrays."""
+    mixed = (rep * 7919 + place * 104729 + rep * place * 31 + 17).astype("uint64") * 2654435761 % 4294967296
+    return (mixed >> 16).astype("int64") % n
+
+
 def annual_indexed(spark, sf):
     annual = R.annual_mean(levels(spark, sf), "value", ["series"])
     return S.with_index(annual, ["series"], "year", "i")
@@ -513,7 +520,7 @@ fu AS (SELECT f.series, 2001 + k AS year, a + b * (2001 + k) AS y FROM fi f, (SE
 SELECT series, year, round(quantile_cont(y, 0.025), 3) AS ci_lower, round(quantile_cont(y, 0.975), 3) AS ci_upper FROM fu GROUP BY ALL""",
 )
 def bootstrap_trend_band(spark, sf):
-    band = RS.trend_band(annual_indexed(spark, sf), ["series"], "i", "year", "value", 5, 200, lcg)
+    band = RP.trend_band(annual_indexed(spark, sf), ["series"], "i", "year", "value", 5, 200, lcg_picks)
     return rounded(band, "ci_lower", "ci_upper", digits=3)
 
 
@@ -525,13 +532,64 @@ se AS (SELECT a.series, a.rep, median((b.value - a.value) / (b.year - a.year)) A
 SELECT series, round(avg(s), 5) AS mean, round(stddev_pop(s), 5) AS std, round(quantile_cont(s, 0.025), 5) AS ci_lower, round(quantile_cont(s, 0.975), 5) AS ci_upper FROM se GROUP BY series""",
 )
 def bootstrap_sen(spark, sf):
-    return rounded(RS.sen_interval(annual_indexed(spark, sf), ["series"], "i", "year", "value", 200, lcg), "mean", "std", "ci_lower", "ci_upper", digits=5)
+    return rounded(RP.sen_interval(annual_indexed(spark, sf), ["series"], "i", "year", "value", 200, lcg_picks), "mean", "std", "ci_lower", "ci_upper", digits=5)
+
+
+def refits_sql(reps: int) -> str:
+    """CTEs up to ``rf_fit``: the model of every replicate of the joined series by the normal equations."""
+    return f"""{JOINED_SQL}, nn AS (SELECT series, count(*) AS n FROM joined GROUP BY series),
+dr AS (SELECT series, rep, {LCG_SQL} AS pick FROM nn, (SELECT unnest(range(0, {reps})) AS rep), (SELECT unnest(range(0, 200)) AS place) WHERE place < n),
+rf AS (SELECT d.series, rep, qty, price, disc, value FROM dr d JOIN joined j ON j.series = d.series AND j.t = d.pick), {ols3_sql('rf', 'series, rep', *XS, 'value')}"""
+
+
+LEVEL_ENDS_SQL = """CAST(lv AS BIGINT) AS level, round(CASE lv WHEN 90 THEN quantile_cont({v}, 0.05) WHEN 95 THEN quantile_cont({v}, 0.025) ELSE quantile_cont({v}, 0.005) END, 4) AS ci_lower,
+       round(CASE lv WHEN 90 THEN quantile_cont({v}, 0.95) WHEN 95 THEN quantile_cont({v}, 0.975) ELSE quantile_cont({v}, 0.995) END, 4) AS ci_upper"""
 
 
-@query("bootstrap_coefficients", "T18")
+@query(
+    "bootstrap_coefficients",
+    "T18",
+    f"""WITH {refits_sql(2000)}, co AS (SELECT series, unnest(['qty', 'price', 'disc']) AS name, unnest([b1, b2, b3]) AS b FROM rf_fit)
+SELECT series, name, {LEVEL_ENDS_SQL.format(v='b')} FROM co, (SELECT unnest([90, 95, 99]) AS lv) GROUP BY series, name, lv""",
+)
 def bootstrap_coefficients(spark, sf):
     j = joined_once(spark, sf).select("series", "t", *XS, "value")
-    return rounded(RS.coefficient_intervals(j, ["series"], "t", XS, "value", 200, RS.hash_draw(42)), "ci_lower", "ci_upper", digits=4)
+    return rounded(RP.coefficient_intervals(j, ["series"], "t", XS, "value", 2000, lcg_picks), "ci_lower", "ci_upper", digits=4)
+
+
+@query(
+    "prediction_bands",
+    "T18",
+    f"""WITH {refits_sql(2000)}, pr AS (SELECT j.series, j.t, b0 + b1 * qty + b2 * price + b3 * disc AS y FROM rf_fit f JOIN joined j ON j.series = f.series)
+SELECT series, t, {LEVEL_ENDS_SQL.format(v='y')} FROM pr, (SELECT unnest([90, 95, 99]) AS lv) GROUP BY series, t, lv""",
+)
+def prediction_bands(spark, sf):
+    """Bands of the fitted values of a regression on three predictors, from 2000 replicates."""
+    j = joined_once(spark, sf).select("series", "t", *XS, "value")
+    return rounded(RP.prediction_bands(j, ["series"], "t", XS, "value", 2000, lcg_picks), "ci_lower", "ci_upper", digits=4)
+
+
+@query(
+    "bootstrap_trend_band_1000",
+    "T19",
+    f"""WITH {LEVELS_SQL}, {ANNUAL_SQL}, {DRAW_SQL.replace('range(0, 200)', 'range(0, 1000)')}, fi AS (SELECT d.series, rep, regr_slope(value, year) AS b, regr_intercept(value, year) AS a FROM dr d JOIN an ON d.series = an.series AND d.i = an.i GROUP BY ALL),
+fu AS (SELECT f.series, 2001 + k AS year, a + b * (2001 + k) AS y FROM fi f, (SELECT unnest(range(1, 6)) AS k) WHERE b IS NOT NULL)
+SELECT series, year, round(quantile_cont(y, 0.025), 3) AS ci_lower, round(quantile_cont(y, 0.975), 3) AS ci_upper FROM fu GROUP BY ALL""",
+)
+def bootstrap_trend_band_1000(spark, sf):
+    band = RP.trend_band(annual_indexed(spark, sf), ["series"], "i", "year", "value", 5, 1000, lcg_picks)
+    return rounded(band, "ci_lower", "ci_upper", digits=3)
+
+
+@query(
+    "bootstrap_sen_1000",
+    "T15",
+    f"""WITH {LEVELS_SQL}, {ANNUAL_SQL}, {DRAW_SQL.replace('range(0, 200)', 'range(0, 1000)')}, sa AS (SELECT d.series, rep, year, value FROM dr d JOIN an ON d.series = an.series AND d.i = an.i),
+se AS (SELECT a.series, a.rep, median((b.value - a.value) / (b.year - a.year)) AS s FROM sa a JOIN sa b ON a.series = b.series AND a.rep = b.rep AND a.year < b.year GROUP BY ALL)
+SELECT series, round(avg(s), 5) AS mean, round(stddev_pop(s), 5) AS std, round(quantile_cont(s, 0.025), 5) AS ci_lower, round(quantile_cont(s, 0.975), 5) AS ci_upper FROM se GROUP BY series""",
+)
+def bootstrap_sen_1000(spark, sf):
+    return rounded(RP.sen_interval(annual_indexed(spark, sf), ["series"], "i", "year", "value", 1000, lcg_picks), "mean", "std", "ci_lower", "ci_upper", digits=5)
 
 
 @query(
@@ -568,7 +626,7 @@ def block_bootstrap(spark, sf):
     period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
     rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
     rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
-    out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 500, RS.hash_draw(7))
+    out = RP.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 500, RP.hash_draw(7))
     out = I.benjamini_hochberg(out, [], "p")
     return rounded(out, "t_stat", "p", "ci_lower", "ci_upper", "p_adjusted", digits=5)
 
@@ -585,7 +643,7 @@ FROM fi, (SELECT unnest([90, 95, 99]) AS lv) GROUP BY series, lv""",
 )
 def bootstrap_slope_levels(spark, sf):
     j = joined_once(spark, sf).select("series", "t", "qty", "value")
-    return rounded(RS.coefficient_intervals(j, ["series"], "t", ["qty"], "value", 100, lcg), "ci_lower", "ci_upper", digits=4)
+    return rounded(RP.coefficient_intervals(j, ["series"], "t", ["qty"], "value", 100, lcg_picks), "ci_lower", "ci_upper", digits=4)
 
 
 @query(
@@ -607,10 +665,37 @@ def block_bootstrap_repeatable(spark, sf):
     period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
     rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
     rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
-    out = RS.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 200, lcg)
+    out = RP.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 200, lcg_picks)
     return rounded(rounded(out, "t_stat", "ci_lower", "ci_upper", digits=5), "p")
 
 
+@query(
+    "block_bootstrap_500",
+    "T16 T17 T33 J11 T21",
+    f"""WITH {LEVELS_SQL}, pr AS (SELECT *, CASE WHEN year IN (1995, 1996, 1997) THEN 'Low' WHEN year IN (1999, 2000, 2001) THEN 'High' END AS period FROM levels),
+an AS (SELECT series, period, row_number() OVER (PARTITION BY series, period ORDER BY t) - 1 AS i, value - avg(value) OVER (PARTITION BY series, period, month) AS v FROM pr WHERE period IS NOT NULL),
+nn AS (SELECT series, period, count(*) AS n FROM an GROUP BY ALL),
+cc AS (SELECT b.series, b.period, b.i - a.i AS k, corr(b.v, a.v) AS rho FROM an a JOIN an b ON a.series = b.series AND a.period = b.period AND b.i - a.i BETWEEN 1 AND 20 GROUP BY ALL),
+bl AS (SELECT series, period, any_value(n) AS n, greatest(2, least(10, round(pow(2 * sum(k * rho * k * rho) / (sum(rho * rho) + 1e-10) * any_value(n), 1.0 / 3)))) AS b FROM cc JOIN nn USING (series, period) WHERE k <= least(20, n // 3) GROUP BY series, period),
+pl AS (SELECT series, period, n, CAST(least(n, max(b) OVER (PARTITION BY series)) AS BIGINT) AS b FROM bl),
+dr AS (SELECT series, period, rep, place, b, n AS total, {LCG_SQL.replace('% n', '% (n - b + 1)')} AS pick FROM pl, (SELECT unnest(range(0, 500)) AS rep), (SELECT unnest(range(0, 60)) AS place) WHERE place < ceil(CAST(n AS DOUBLE) / b)),
+pk AS (SELECT series, period, rep, pick + o AS i FROM dr, (SELECT unnest(range(0, 10)) AS o) WHERE o < b AND place * b + o < total),
+mo AS (SELECT p.series, p.period, rep, avg(v) AS m, var_samp(v) AS s2, count(*) AS n FROM pk p JOIN an ON an.series = p.series AND an.period = p.period AND an.i = p.i GROUP BY p.series, p.period, rep),
+ts AS (SELECT l.series, l.rep, (l.m - h.m) / sqrt(l.s2 / l.n + h.s2 / h.n) AS t FROM mo l JOIN mo h ON l.series = h.series AND l.rep = h.rep AND l.period = 'Low' AND h.period = 'High'),
+st AS (SELECT series, avg(t) AS t_stat, 2 * least(avg(CASE WHEN t <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN t >= 0 THEN 1.0 ELSE 0.0 END)) AS p, quantile_cont(t, 0.025) AS lo, quantile_cont(t, 0.975) AS hi FROM ts GROUP BY series),
+bh AS (SELECT *, row_number() OVER (ORDER BY p, series) AS i, count(*) OVER () AS m FROM st)
+SELECT series, round(t_stat, 5) AS t_stat, round(p, 6)::DOUBLE AS p, round(lo, 5) AS ci_lower, round(hi, 5) AS ci_upper,
+       round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE AS p_adjusted FROM bh""",
+)
+def block_bootstrap_500(spark, sf):
+    """Two periods compared by 500 moving-block replicates, p adjusted over all series."""
+    period = F.when(F.col("year").isin(1995, 1996, 1997), "Low").when(F.col("year").isin(1999, 2000, 2001), "High")
+    rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
+    rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
+    out = I.benjamini_hochberg(RP.block_welch(rows, ["series"], "period", "Low", "High", "t", "anomaly", 500, lcg_picks), [], "p")
+    return rounded(rounded(out, "t_stat", "ci_lower", "ci_upper", digits=5), "p", "p_adjusted")
+
+
 @query(
     "harmonic_single_forecast",
     "M29 F11",
