@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -106,12 +108,30 @@ def backward_elimination(df: DataFrame, keys: Sequence[str], idx: str, xs: Seque
     return reduce(DataFrame.unionByName, steps)
 
 
+def together(spark: SparkSession, jobs: Sequence[Callable], parallelism: int = 4) -> list:
+    """Results of independent fits, ``parallelism`` of them submitted to Spark at a time."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
+
+
+def _fold_fits(data: DataFrame, fold: str, estimators: Sequence) -> tuple[list, list]:
+    """The fold labels, and for each estimator its models fitted without each fold."""
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # the fold labels, a handful
+    jobs = [lambda e=e, k=k: e.fit(data.where(F.col(fold) != k)) for e in estimators for k in folds]
+    models = together(data.sparkSession, jobs)
+    return folds, [models[i * len(folds) : (i + 1) * len(folds)] for i in range(len(estimators))]
+
+
 def cross_validate(df: DataFrame, fold: str, estimator, xs: Sequence[str], label: str) -> DataFrame:
     """Predictions of each fold by a model fitted on the others."""
-    folds = [r[0] for r in df.select(fold).distinct().collect()]  # the fold labels, a handful
+    return _cross_validated(df, fold, [estimator], xs, label)[0]
+
+
+def _cross_validated(df: DataFrame, fold: str, estimators: Sequence, xs: Sequence[str], label: str) -> list[DataFrame]:
     data = assemble(df, xs)
-    parts = [estimator.fit(data.where(F.col(fold) != k)).transform(data.where(F.col(fold) == k)) for k in sorted(folds)]
-    return reduce(DataFrame.unionByName, parts).select(fold, F.col(label).alias("actual"), "prediction")
+    folds, models = _fold_fits(data, fold, estimators)
+    parts = [[m.transform(data.where(F.col(fold) == k)) for k, m in zip(folds, of)] for of in models]
+    return [reduce(DataFrame.unionByName, p).select(fold, F.col(label).alias("actual"), "prediction") for p in parts]
 
 
 def random_fold(k: int, *order: str, seed: int = 42) -> F.Column:
@@ -121,17 +141,18 @@ def random_fold(k: int, *order: str, seed: int = 42) -> F.Column:
 
 def grid_search(df: DataFrame, fold: str, candidates: dict, xs: Sequence[str], label: str) -> DataFrame:
     """Error of each named estimator over the folds, best first."""
-    scores = [I.metrics(cross_validate(df, fold, e, xs, label), [], "actual", "prediction").select(F.lit(n).alias("candidate"), "rmse", "r2") for n, e in candidates.items()]
+    tested = _cross_validated(df, fold, list(candidates.values()), xs, label)
+    scores = [I.metrics(t, [], "actual", "prediction").select(F.lit(n).alias("candidate"), "rmse", "r2") for n, t in zip(candidates, tested)]
     return reduce(DataFrame.unionByName, scores).orderBy("rmse")
 
 
 def stack(df: DataFrame, fold: str, estimators: dict, xs: Sequence[str], label: str, order: Sequence[str], ridge: float = 1.0) -> DataFrame:
     """Out-of-fold predictions of several estimators combined by ridge: rows with ``stacked``."""
     data = assemble(df, xs)
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    folds, models = _fold_fits(data, fold, list(estimators.values()))
     wide = df.select(*order, F.col(label).alias("actual"))
-    for name, e in estimators.items():
-        parts = [e.fit(data.where(F.col(fold) != k)).transform(data.where(F.col(fold) == k)).select(*order, F.col("prediction").alias(name)) for k in folds]
+    for name, of in zip(estimators, models):
+        parts = [m.transform(data.where(F.col(fold) == k)).select(*order, F.col("prediction").alias(name)) for k, m in zip(folds, of)]
         wide = wide.join(reduce(DataFrame.unionByName, parts), list(order))
     meta = G.fit(wide, [], list(estimators), "actual", ridge=ridge)
     return G.predict_with(wide, meta, list(estimators), "stacked")

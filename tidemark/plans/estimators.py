@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import attributions as A
 from tidemark.operators import changepoint as P
 from tidemark.operators import forecast as FC
 from tidemark.operators import inference as I
@@ -14,6 +15,7 @@ from tidemark.operators import series as S
 from tidemark.operators import univariate as U
 from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, joined, joined_once, levels, levels_once, query, r, rounded
 from tidemark.plans.models import ols3_sql
+from tidemark.session import cut_lineage
 
 XS = ("qty", "price", "disc")
 LAGGED = ("value_lag1", "value_lag2", "value_lag3", "qty", "price", "disc", "qty_lag1", "sin", "cos")
@@ -22,7 +24,7 @@ LAGGED = ("value_lag1", "value_lag2", "value_lag3", "qty", "price", "disc", "qty
 def lagged_features(spark, sf):
     """Monthly rows with lags, season and predictors; rows with an incomplete history drop out."""
     rows = S.lags(joined(spark, sf), ["series"], "t", ["value", "qty"], (1, 2, 3)).withColumns(P.season_features("t", F.lit(100.0)))
-    return rows.select("series", "t", "year", "value", *LAGGED).na.drop()
+    return cut_lineage(rows.select("series", "t", "year", "value", *LAGGED).na.drop())  # fits and folds read them again and again
 
 
 # ------------------------------------------------------------------ whole-series estimators
@@ -178,7 +180,7 @@ def pca_loadings(spark, sf):
 
 @query("rf_importance", "M11 C9 M33")
 def rf_importance(spark, sf):
-    model = M.forest(trees=20, depth=5).fit(M.assemble(lagged_features(spark, sf), LAGGED))
+    model = M.forest(trees=200, depth=5).fit(M.assemble(lagged_features(spark, sf), LAGGED))
     return rounded(M.importances(spark, model, LAGGED), "importance", digits=4)
 
 
@@ -187,7 +189,7 @@ def weighted_forest(spark, sf):
     from tidemark.functions import columns as C
 
     rows = lagged_features(spark, sf).withColumn("w", C.step_weight("year", ((2000, 8.0), (1998, 4.0), (1996, 2.0))))
-    model = M.forest(trees=20, depth=5, leaf=5, weight="w").fit(M.assemble(rows.where(F.col("year") <= 2000), LAGGED))
+    model = M.forest(trees=200, depth=5, leaf=5, weight="w").fit(M.assemble(rows.where(F.col("year") <= 2000), LAGGED))
     out = model.transform(M.assemble(rows.where(F.col("year") > 2000), LAGGED))
     return rounded(I.metrics(out, ["series"], "value", "prediction"), "r2", "rmse", "mae", "mape", digits=3)
 
@@ -195,22 +197,50 @@ def weighted_forest(spark, sf):
 @query("boosted_trees", "M12 M16")
 def boosted_trees(spark, sf):
     rows = lagged_features(spark, sf)
-    model = M.boosted(rounds=15, depth=3).fit(M.assemble(rows.where(F.col("year") <= 1999), LAGGED))
+    model = M.boosted(rounds=100, depth=3).fit(M.assemble(rows.where(F.col("year") <= 1999), LAGGED))
     out = model.transform(M.assemble(rows.where(F.col("year") > 1999), LAGGED))
     return rounded(I.metrics(out, ["series"], "value", "prediction"), "r2", "rmse", "mae", "mape", digits=3)
 
 
-@query("permutation_importance", "M10 M9")
+@query("permutation_importance", "M10")
 def permutation_importance(spark, sf):
     rows = lagged_features(spark, sf)
-    model = M.forest(trees=10, depth=4).fit(M.assemble(rows, XS))
+    model = M.forest(trees=100, depth=4).fit(M.assemble(rows, XS))
     return rounded(M.permutation_importance(rows, model, XS, ["series", "t"]), "importance", digits=3)
 
 
+@query(
+    "tree_attributions",
+    "M10",
+    f"""WITH {JOINED_SQL}, rows AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY t) AS i FROM joined)
+SELECT series, count(*) AS n, 0.0::DOUBLE AS largest_gap FROM rows WHERE i > 3 GROUP BY series""",
+)
+def tree_attributions(spark, sf):
+    """Attributions of every row by a forest: how far they are, at most, from adding up to the prediction less the mean."""
+    rows = lagged_features(spark, sf)
+    model = M.forest(trees=100, depth=5).fit(M.assemble(rows, LAGGED))
+    whole = F.aggregate(A.attributions(model, LAGGED), F.lit(A.paths(model).base), lambda a, b: a + b)
+    gaps = model.transform(M.assemble(rows, LAGGED)).withColumn("gap", F.abs(whole - F.col("prediction")))
+    return rounded(gaps.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("largest_gap")), "largest_gap")
+
+
+@query("attribution_top", "M10")
+def attribution_top(spark, sf):
+    rows = lagged_features(spark, sf)
+    model = M.boosted(rounds=100, depth=3).fit(M.assemble(rows.where(F.col("year") <= 2000), LAGGED))
+    return rounded(A.importance(rows.where(F.col("year") > 2000), model, LAGGED, 20), "importance", digits=3)
+
+
+@query("attribution_elimination", "M9")
+def attribution_elimination(spark, sf):
+    rows = lagged_features(spark, sf)
+    return rounded(A.elimination(rows, "t", M.forest(trees=50, depth=4), LAGGED[:6], "value", 5), "r2", digits=3)
+
+
 @query("recursive_elimination", "M6 M7 A24")
 def recursive_elimination(spark, sf):
     rows = lagged_features(spark, sf)
-    kept = M.recursive_elimination(rows, LAGGED, 5, M.forest(trees=10, depth=4))
+    kept = M.recursive_elimination(rows, LAGGED, 5, M.forest(trees=50, depth=4))
     penalised = G.coefficients(G.fit(rows.withColumn("g", F.lit(1)), ["g"], LAGGED, "value", lasso=0.01), ["g"], LAGGED)
     chosen = [x.name for x in penalised.where(F.abs("coefficient") > 0.01).orderBy("name").collect()]  # one row per feature
     names = [F.struct(F.lit(n).alias("name")) for n in M.selected_by_both(chosen, kept)]
@@ -219,15 +249,15 @@ def recursive_elimination(spark, sf):
 
 @query("grid_search_cv", "M13 M14 M17")
 def grid_search_cv(spark, sf):
-    rows = lagged_features(spark, sf).withColumn("fold", M.random_fold(3, "series", "t"))
-    candidates = {f"depth={d}": M.forest(trees=8, depth=d) for d in (3, 5)}
+    rows = lagged_features(spark, sf).withColumn("fold", M.random_fold(5, "series", "t"))
+    candidates = {f"trees={n} depth={d}": M.forest(trees=n, depth=d) for n in (100, 200) for d in (5, 10)}
     return rounded(M.grid_search(rows, "fold", candidates, LAGGED, "value"), "rmse", "r2", digits=3)
 
 
 @query("stacked_ensemble", "M23 M14")
 def stacked_ensemble(spark, sf):
     rows = lagged_features(spark, sf).withColumn("fold", M.random_fold(3, "series", "t"))
-    bases = {"rf": M.forest(trees=8, depth=4), "gbt": M.boosted(rounds=8, depth=3), "shallow": M.forest(trees=8, depth=2, seed=7)}
+    bases = {"rf": M.forest(trees=100, depth=4), "gbt": M.boosted(rounds=50, depth=3), "shallow": M.forest(trees=100, depth=2, seed=7)}
     out = M.stack(rows, "fold", bases, LAGGED, "value", ["series", "t"])
     return rounded(I.metrics(out, ["series"], "actual", "stacked"), "r2", "rmse", "mae", "mape", digits=3)
 
