@@ -20,6 +20,7 @@ from tidemark.functions import columns as C
 from tidemark.functions import kernels
 from tidemark.functions.special import t_p_value, t_ppf
 from tidemark.operators import blocked as B
+from tidemark.operators import concordance as K
 from tidemark.operators import series as S
 from tidemark.session import cut_lineage
 
@@ -164,11 +165,11 @@ def sign_before_long(
     return both.withColumn(name, F.col("_cross") + F.col("_in_time") + F.col("_in_value")).drop("_cross", "_in_time", "_in_value", "_tb", "_vb", "_cut")
 
 
-def mann_kendall_from_signs(signed: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
-    """Mann-Kendall statistics from ``sign_before`` rows: S, tie-corrected variance, tau, z, p, label."""
-    per_value = signed.groupBy(*keys, value).agg(F.sum("sign_before").alias("_s"), F.count(F.lit(1)).alias("_t"))
+def mann_kendall_statistics(counts: DataFrame, sums: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Mann-Kendall statistics from rows ``_t`` per value and sign sums ``_s`` per key: S, tie-corrected variance, tau, z, p, label."""
     t = F.col("_t").cast("double")
-    g = per_value.groupBy(*keys).agg(F.sum("_s").alias("s"), F.sum("_t").alias("n"), F.sum(t * (t - 1) * (2 * t + 5)).alias("_ties"))
+    g = counts.groupBy(*keys).agg(F.sum("_t").alias("n"), F.sum(t * (t - 1) * (2 * t + 5)).alias("_ties"))
+    g = sums.withColumnRenamed("_s", "s").join(g, list(keys))
     n = F.col("n").cast("double")
     g = g.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18.0)
     sign = F.signum(F.col("s").cast("double"))
@@ -178,15 +179,22 @@ def mann_kendall_from_signs(signed: DataFrame, keys: Sequence[str], value: str,
     return g.withColumn("trend", label).drop("_ties")
 
 
+def mann_kendall_from_signs(signed: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """Mann-Kendall statistics from ``sign_before`` rows."""
+    per_value = signed.groupBy(*keys, value).agg(F.sum("sign_before").alias("_s"), F.count(F.lit(1)).alias("_t"))
+    return mann_kendall_statistics(per_value, per_value.groupBy(*keys).agg(F.sum("_s").alias("_s")), keys, alpha)
+
+
 def mann_kendall(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float = 0.05) -> DataFrame:
     clean = df.select(*keys, order, value).where(F.col(value).isNotNull())
     return mann_kendall_from_signs(sign_before(clean, keys, [order], value), keys, value, alpha)
 
 
-def mann_kendall_long(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float = 0.05, block: int = 100_000, parts: int = 64) -> DataFrame:
-    """:func:`mann_kendall` for indexed series of any length; the indexed rows are checkpointed and read three times."""
-    clean = cut_lineage(df.select(*keys, idx, value).where(F.col(value).isNotNull()))
-    return mann_kendall_from_signs(sign_before_long(clean, keys, idx, value, block=block, parts=parts), keys, value, alpha)
+def mann_kendall_long(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float = 0.05, block: int = K.BLOCK) -> DataFrame:
+    """:func:`mann_kendall` for series of any length, from the concordance of position and value."""
+    clean = df.select(*keys, idx, value).where(F.col(value).isNotNull())
+    sums = K.concordance(clean, keys, idx, value, block=block).select(*keys, F.col("s").cast("long").alias("_s"))
+    return mann_kendall_statistics(clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")), sums, keys, alpha)
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "slope", batch: str | None = None, batch_size: int = 64) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import concordance as K
 from tidemark.operators import inference as I
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
@@ -50,11 +51,31 @@ def mann_kendall(spark, sf):
 
 @query("mann_kendall_obs", "T1 D5", f"WITH {OBS_SQL}, {mk_sql('obs')}")
 def mann_kendall_obs(spark, sf):
-    """Over irregular observations: series of any length, counted block by block."""
-    mk = T.mann_kendall_long(observations(spark, sf), ["series"], "t", "value", block=1000, parts=16).drop("trend")
+    """Over irregular observations: series of any length, by the concordance of position and value."""
+    mk = T.mann_kendall_long(observations(spark, sf), ["series"], "t", "value").drop("trend")
     return rounded(rounded(rounded(mk, "var_s", digits=4), "tau", "z", digits=8), "p", digits=7)
 
 
+@query(
+    "theil_sen_obs",
+    "T4",
+    f"""WITH obs AS (SELECT event_type AS series, date_diff('minute', TIMESTAMP '1992-01-01', ts) AS x, value FROM events WHERE value IS NOT NULL)
+SELECT a.series, round(median((b.value - a.value) / (b.x - a.x)) * 1e6, 5) AS slope_per_million FROM obs a JOIN obs b ON a.series = b.series AND a.x < b.x GROUP BY a.series""",
+)
+def theil_sen_obs(spark, sf):
+    """Over irregular observations, slope by the minute: series of any length, by counts of discordant pairs."""
+    minutes = F.expr("timestampdiff(MINUTE, timestamp_ntz'1992-01-01 00:00:00', ts)")
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("series"), minutes.alias("x"), "value")
+    return K.theil_sen_long(rows, ["series"], "x", "value").select("series", r(F.col("slope") * 1e6, 5).alias("slope_per_million"))
+
+
+@query("kendall_obs", "T8", f"WITH obs AS (SELECT event_type AS series, hour(ts) AS x, round(value) AS y FROM events WHERE value IS NOT NULL), c AS (SELECT series, x, y, count(*) AS w FROM obs GROUP BY ALL), p AS (SELECT a.series, sum(a.w * b.w * sign(b.x - a.x) * sign(b.y - a.y)) / 2 AS s, sum(a.w * b.w * CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS sx, sum(a.w * b.w * CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS sy, sum(a.w * b.w) AS n2 FROM c a JOIN c b ON a.series = b.series GROUP BY a.series) SELECT series, round(s / sqrt((n2 - sx) / 2.0 * (n2 - sy) / 2.0), 7) AS tau_b FROM p")
+def kendall_obs(spark, sf):
+    """Hour of the day and value of irregular observations, with ties in both."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("series"), F.hour("ts").alias("x"), F.round("value").alias("y"))
+    return rounded(K.kendall_tau_b(rows, ["series"], "x", "y"), "tau_b", digits=7)
+
+
 @query("sen_slope_index", "T2 T3", f"WITH {LEVELS_SQL}, {pairs_sql('levels')} SELECT series, round(median((yj - yi) / (xj - xi)), 8) AS slope FROM pairs GROUP BY series")
 def sen_slope_index(spark, sf):
     return rounded(T.theil_sen(levels(spark, sf), ["series"], "t", "value"), "slope", digits=8)
