@@ -127,14 +127,14 @@ def test_outlier_repair(spark):
 def test_nearest_vertex_searches_wider_until_found(spark):
     points = spark.createDataFrame([(1, 0.1, 0.1), (2, 30.0, 40.0)], "p long, lon double, lat double")
     vertices = spark.createDataFrame([(10, 0.0, 0.0), (11, 0.3, 0.1), (12, 1.0, 1.0)], "v long, lon double, lat double")
-    got = {r["p"]: r["v"] for r in G.nearest_vertex(points, vertices, "p", "v", 0.2).collect()}
+    got = {r["p"]: r["v"] for r in G.nearest_vertex(points, vertices, "p", "v", 1).collect()}
     assert got == {1: 10, 2: 12}
 
 
 def test_nearest_vertex_without_coordinates(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 1.0)], "p long, lon double, lat double")
     vertices = spark.createDataFrame([(7, 1.0, 0.0), (8, None, None)], "v long, lon double, lat double")
-    got = {r["p"]: (r["v"], r["distance"]) for r in G.nearest_vertex(points, vertices, "p", "v", 0.5).collect()}
+    got = {r["p"]: (r["v"], r["distance"]) for r in G.nearest_vertex(points, vertices, "p", "v").collect()}
     assert got == {1: (7, 1.0), 2: (None, None), 3: (None, None)}
 
 

@@ -220,7 +220,7 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
             break
         # aim a little to either side of the middle rank in turn, so that both ends close in
         share = F.try_divide(F.col("_pairs") / 2 - F.col("_u_lo"), F.col("_u_hi") - F.col("_u_lo"))
-        lean = F.lit(0.005 if step % 2 else -0.005) + 0.0005 * F.rand(step)
+        lean = F.lit(0.002 if step % 2 else -0.002) + 0.0002 * F.rand(step)
         guess = F.col("_lo") + width * F.least(F.greatest(share + lean, F.lit(0.001)), F.lit(0.999))
         if step % 6 == 5:  # halve now and then, should the counts bend
             guess = F.col("_lo") + width * (0.45 + 0.1 * F.rand(step))

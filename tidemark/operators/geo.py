@@ -8,6 +8,7 @@ a field of any size is read once and pruned to the cells a boundary touches.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from tidemark.functions import columns as C
 from tidemark.functions import kernels
+from tidemark.operators import nearest as N
 from tidemark.operators import series as S
 from tidemark.session import cut_lineage
 
@@ -205,36 +207,17 @@ def densify(ring: DataFrame, keys: Sequence[str], seq: str, points: int = 300, x
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def nearest_vertex(points: DataFrame, vertices: DataFrame, point_id: str, vertex_id: str, cell: float) -> DataFrame:
-    """Nearest vertex of each point in coordinate distance: ``point_id, vertex_id, distance``.
+def nearest_vertex(points: DataFrame, vertices: DataFrame, point_id: str, vertex_id: str, few: int = N.FEW) -> DataFrame:
+    """Nearest vertex of each point in coordinate distance, of equal ones the least: ``point_id, vertex_id, distance``.
 
-    Points and vertices meet through grid cells.  A match closer than the width of
-    the searched neighbourhood is final; the rest search again on cells four times
-    as wide, until none is left.  A point without coordinates has neither vertex
-    nor distance; a vertex without coordinates is never found.
+    A point without coordinates has neither vertex nor distance; a vertex without coordinates is never found.
     """
-    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
-    v = vertices.where(placed).select(vertex_id, F.col("lon").alias("_vx"), F.col("lat").alias("_vy"))
-    if v.isEmpty():
+    if vertices.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).isEmpty():
         raise ValueError("no vertices to search")
-    todo, size = points.where(placed).select(point_id, F.col("lon").alias("_px"), F.col("lat").alias("_py")), cell
-    nowhere = F.lit(None).cast(v.schema[vertex_id].dataType).alias(vertex_id), F.lit(None).cast("double").alias("distance")
-    done = points.where(~placed).select(point_id, *nowhere)
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    while True:
-        cells = v.withColumns({"_cx": F.floor(F.col("_vx") / size), "_cy": F.floor(F.col("_vy") / size)})
-        asks = todo.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-        asks = asks.withColumns({"_cx": F.floor(F.col("_px") / size) + F.col("_dx"), "_cy": F.floor(F.col("_py") / size) + F.col("_dy")}).drop("_dx", "_dy")
-        d = F.sqrt(F.pow(F.col("_px") - F.col("_vx"), 2) + F.pow(F.col("_py") - F.col("_vy"), 2))
-        best = asks.join(cells, ["_cx", "_cy"], "left").groupBy(point_id, "_px", "_py").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col(vertex_id).alias("v")))).alias("_b"))
-        best = cut_lineage(best)  # each round reads the rest of the last one, not its history
-        final = F.coalesce(F.col("_b.d") <= size, F.lit(False))
-        found = best.where(final).select(point_id, F.col("_b.v").alias(vertex_id), F.col("_b.d").alias("distance"))
-        done = done.unionByName(found)
-        todo = best.where(~final).select(point_id, "_px", "_py")
-        if todo.isEmpty():
-            return done
-        size *= 4
+    v = vertices.select(F.col(vertex_id).alias("_vertex"), F.col("lon").alias("_vx"), F.col("lat").alias("_vy"))
+    found = N.nearest(points, v, [], [point_id], "lon", "lat", ["_vertex"], "_vx", "_vy", few)
+    found = found.select(F.col(point_id).alias("_p"), F.col("_vertex").alias(vertex_id), F.sqrt("d2").alias("distance"))
+    return points.select(point_id).join(found, F.col(point_id).eqNullSafe(F.col("_p")), "left").drop("_p")
 
 
 # ------------------------------------------------------------------ grids
@@ -300,24 +283,26 @@ def bilinear_sample(corners: DataFrame, field: DataFrame, ids: Sequence[str], ti
 def repair_outliers(samples: DataFrame, groups: Sequence[str], limit: float = 3000.0) -> DataFrame:
     """Replace samples beyond ``limit`` by the nearest valid one of their group (mean of the valid when at most two).
 
-    A group is one boundary at one time, as long as the boundary has segments.
-    Only groups with an outlier list their valid samples.
+    Only the places of outliers search, among the valid samples of their group; no group is gathered. Of equally near
+    samples the one with the least values is taken; without a valid one the sample is null.
     """
-    g = Window.partitionBy(*groups)
     bad = F.coalesce((F.abs(F.col("u")) > limit) | (F.abs(F.col("v")) > limit), F.lit(False))
-    rows = samples.withColumn("_bad", bad).withColumn("_any", F.max("_bad").over(g))
-    usable = F.col("_any") & ~F.col("_bad") & F.col("u").isNotNull() & F.col("v").isNotNull()
-    rows = rows.withColumn("_good", F.collect_list(F.when(usable, F.struct("mid_x", "mid_y", "u", "v"))).over(g))
-
-    def away(s: Column) -> Column:
-        return F.pow(s["mid_x"] - F.col("mid_x"), 2) + F.pow(s["mid_y"] - F.col("mid_y"), 2)
-
-    n = F.size("_good")
-    near = F.array_min(F.transform("_good", lambda s: F.struct(away(s).alias("d"), s["u"].alias("u"), s["v"].alias("v"))))
-    mean = lambda c: F.try_divide(F.aggregate("_good", F.lit(0.0), lambda acc, s: acc + s[c]), n.cast("double"))
-    rows = rows.withColumn("_near", F.when(F.col("_bad") & (n > 2), near))
-    fixed = lambda c: F.when(F.col("_bad"), F.when(n > 2, F.col("_near")[c]).otherwise(mean(c))).otherwise(F.col(c))
-    return rows.withColumns({"_u": fixed("u"), "_v": fixed("v")}).withColumns({"u": F.col("_u"), "v": F.col("_v")}).drop("_bad", "_any", "_good", "_near", "_u", "_v")
+    rows = samples.withColumn("_bad", bad)
+    wrong = cut_lineage(rows.where("_bad").select(*groups, "mid_x", "mid_y").distinct())
+    if wrong.isEmpty():
+        return samples
+    good = rows.where(~F.col("_bad") & F.col("u").isNotNull() & F.col("v").isNotNull()).join(wrong.select(*groups).distinct(), list(groups), "left_semi")
+    good = cut_lineage(good.select(*groups, "mid_x", "mid_y", "u", "v"))
+    means = good.groupBy(*groups).agg(F.count(F.lit(1)).alias("_good"), F.avg("u").alias("_mu"), F.avg("v").alias("_mv"))
+    place = good.select(*groups, F.col("mid_x").alias("_gx"), F.col("mid_y").alias("_gy"), F.col("u").alias("_nu"), F.col("v").alias("_nv"))
+    wrong = wrong.withColumns({"_wx": F.col("mid_x"), "_wy": F.col("mid_y")})
+    near = N.nearest(wrong, place, groups, ["_wx", "_wy"], "mid_x", "mid_y", ["_nu", "_nv"], "_gx", "_gy").drop("d2")
+    fixed = wrong.select(*groups, "_wx", "_wy").join(near, [*groups, "_wx", "_wy"], "left").join(means, list(groups), "left")
+    fixed = fixed.select(*groups, "_wx", "_wy", *[F.when(F.col("_good") > 2, F.col(f"_n{c}")).otherwise(F.col(f"_m{c}")).alias(f"_f{c}") for c in "uv"])
+    fixed = fixed.withColumnsRenamed({g: f"_{g}_" for g in groups})
+    mine = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"_{g}_") for g in groups]) & F.col("_bad") & (F.col("mid_x") == F.col("_wx")) & (F.col("mid_y") == F.col("_wy"))
+    out = rows.join(fixed, mine, "left")
+    return out.select(*[F.when(F.col("_bad"), F.col(f"_f{c}")).otherwise(F.col(c)).alias(c) if c in ("u", "v") else F.col(c) for c in samples.columns])
 
 
 def boundary_flux(samples: DataFrame, by: Sequence[str], strict_against: DataFrame | None = None) -> DataFrame:

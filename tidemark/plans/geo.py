@@ -168,7 +168,7 @@ def nearest_vertex(spark, sf):
     vertices = rings(spark, sf).select((F.col("ring") * 100 + F.col("seq")).alias("vertex"), "lon", "lat")
     iy, ix = F.col("l_partkey") % 24, F.col("l_suppkey") % 20
     points = table(spark, sf, "lineitem").select((iy * 100 + ix).alias("point"), (46.0 + ix * 0.5).alias("lon"), (36.0 + iy * 0.5).alias("lat")).distinct()
-    return rounded(G.nearest_vertex(points, vertices, "point", "vertex", 0.5), "distance", digits=7)
+    return rounded(G.nearest_vertex(points, vertices, "point", "vertex"), "distance", digits=7)
 
 
 # ------------------------------------------------------------------ grids
