@@ -144,3 +144,15 @@ def test_mask_on_grids_of_either_direction(spark, dlat, dlon):
     grid = G.Grid(0.0 if dlat > 0 else 9.0, 0.0 if dlon > 0 else 9.0, dlat, dlon, 10, 10)
     cells = {(grid.lat0 + r["iy"] * dlat, grid.lon0 + r["ix"] * dlon) for r in G.polygon_mask(ring, ["ring"], "seq", grid).collect()}
     assert cells == {(float(a), float(b)) for a in range(3, 8) for b in range(3, 8)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 50])
+def test_cyclic_elimination(n):
+    rng = np.random.default_rng(n)
+    lower, upper = rng.uniform(0.1, 1, n), rng.uniform(0.1, 1, n)
+    diagonal, right = 2 * (lower + upper), rng.normal(size=(n, 2))
+    system = np.diag(diagonal)
+    for i in range(n):
+        system[i, (i + 1) % n] += upper[i]
+        system[i, (i - 1) % n] += lower[i]
+    assert np.allclose(kernels.cyclic_solve(lower, diagonal, upper, right), np.linalg.solve(system, right))

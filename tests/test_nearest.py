@@ -8,7 +8,7 @@ from tidemark.operators import geo as G
 from tidemark.operators import nearest as N
 
 
-@pytest.mark.parametrize("few", [1, 4, 32])
+@pytest.mark.parametrize("few", [2, 32])
 def test_nearest_in_groups(spark, few):
     rng = np.random.default_rng(3)
     crowd = rng.normal(50, 1e-6, (150, 2))

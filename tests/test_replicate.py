@@ -89,3 +89,14 @@ def test_series_too_short_give_no_interval(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a"], "i": [0], "x": [1.0], "y": [2.0]}))
     assert RP.sen_interval(df, ["k"], "i", "x", "y", 20, draw).count() == 0
     assert RP.trend_band(df, ["k"], "i", "x", "y", 2, 20, draw).count() == 0
+
+
+def test_every_pair_of_groups_equals_its_own_comparison(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"s": np.repeat(["a", "b"], 150), "t": list(range(150)) * 2, "g": np.tile(np.repeat(["P", "Q", "R"], [40, 70, 40]), 2)})
+    pdf["v"] = rng.normal(size=300) + (pdf["g"] == "Q") * 0.5 + np.sin(pdf["t"] / 3)
+    df = spark.createDataFrame(pdf)
+    got = {(r.s, r.one, r.two): (r.t_stat, r.p) for r in RP.block_welch_pairs(df, ["s"], "g", ["P", "Q", "R"], "t", "v", 60, draw, block=25).collect()}
+    assert set(k[1:] for k in got) == {("P", "Q"), ("P", "R"), ("Q", "R")} and len(got) == 6
+    alone = {r.s: (r.t_stat, r.p) for r in RP.block_welch(df, ["s"], "g", "P", "R", "t", "v", 60, draw, block=25).collect()}
+    assert all(got[s, "P", "R"] == pytest.approx(alone[s], abs=1e-9) for s in "ab")

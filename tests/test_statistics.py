@@ -125,3 +125,20 @@ def test_hash_noise_is_normal_and_repeatable(spark):
     a = spark.range(20000).repartition(3).select("id", S.hash_normal(5, "id").alias("z")).orderBy("id").toPandas()["z"]
     b = spark.range(20000).repartition(7).select("id", S.hash_normal(5, "id").alias("z")).orderBy("id").toPandas()["z"]
     assert (a == b).all() and abs(a.mean()) < 0.03 and abs(a.std() - 1) < 0.03 and abs((a > 1.96).mean() - 0.025) < 0.005
+
+
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_adjustment_of_a_family_in_blocks(spark, block):
+    rng = np.random.default_rng(2)
+    p = np.r_[rng.uniform(size=60) ** 2, [0.3] * 9, [1.0, 0.0]]
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(p)), "p": p})).repartition(5).unionByName(spark.createDataFrame([(99, None)], "i long, p double"))
+    got = {r.i: r.p_adjusted for r in I.benjamini_hochberg_family(df, "p", block=block).collect()}
+    order = np.argsort(p, kind="stable")
+    want = np.empty(len(p))
+    want[order] = np.minimum(np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1], 1)
+    assert got.pop(99) is None and [got[i] for i in range(len(p))] == pytest.approx(want.tolist())
+
+
+def test_correlation_with_a_constant_series_is_null(spark):
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "t": range(6), "y": [1.0, 1, 1, 1, 1, 1], "x": [1.0, 2, 3, 4, 5, 6]}))
+    assert [r.r for r in I.lagged_correlation(df, ["k"], "t", "y", "x", [1, 2]).collect()] == [None, None]

@@ -159,6 +159,37 @@ def stl(y: np.ndarray, period: int = 12, seasonal: int = 7, robust: bool = False
 # ------------------------------------------------------------------ rings
 
 
+def cyclic_solve(lower: np.ndarray, diagonal: np.ndarray, upper: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve ``lower[i] x[i-1] + diagonal[i] x[i] + upper[i] x[i+1] = right[i]`` around a ring, in time linear in its length.
+
+    The two corners are one rank-one change of a tridiagonal system, so one elimination serves both.
+    """
+    n = len(diagonal)
+    if n < 3:
+        system = np.diag(diagonal.astype(float))
+        for i in range(n):
+            system[i, (i + 1) % n] += upper[i]
+            system[i, (i - 1) % n] += lower[i]
+        return np.linalg.solve(system, right)
+    shift = -diagonal[0]
+    d = diagonal.astype(float)
+    d[0] -= shift
+    d[-1] -= upper[-1] * lower[0] / shift
+    corner = np.zeros((n, 1))
+    corner[0], corner[-1] = shift, upper[-1]
+    x = np.hstack([right, corner])
+    for i in range(1, n):
+        w = lower[i] / d[i - 1]
+        d[i] -= w * upper[i - 1]
+        x[i] -= w * x[i - 1]
+    x[-1] /= d[-1]
+    for i in range(n - 2, -1, -1):
+        x[i] = (x[i] - upper[i] * x[i + 1]) / d[i]
+    y, z = x[:, :-1], x[:, -1]
+    share = lower[0] / shift
+    return y - np.outer(z, (y[0] + share * y[-1]) / (1 + z[0] + share * z[-1]))
+
+
 def periodic_spline(xy: np.ndarray, points: int) -> np.ndarray:
     """Closed cubic spline through ring vertices by chord length, sampled evenly in its parameter.
 
@@ -174,11 +205,7 @@ def periodic_spline(xy: np.ndarray, points: int) -> np.ndarray:
     u = np.concatenate([[0.0], np.cumsum(h)])
     slope = (np.roll(xy, -1, axis=0) - xy) / h[:, None]
     before = np.roll(h, 1)
-    system = np.diag(2 * (before + h))
-    i = np.arange(n)
-    system[i, (i + 1) % n] += h
-    system[i, (i - 1) % n] += before
-    bend = np.linalg.solve(system, 6 * (slope - np.roll(slope, 1, axis=0)))
+    bend = cyclic_solve(before, 2 * (before + h), h, 6 * (slope - np.roll(slope, 1, axis=0)))
     at = np.linspace(0, u[-1], points)
     k = np.clip(np.searchsorted(u, at, "right") - 1, 0, n - 1)
     a, b, hk = (u[k + 1] - at)[:, None], (at - u[k])[:, None], h[k][:, None]

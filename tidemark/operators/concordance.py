@@ -124,14 +124,14 @@ def _tied_pairs(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def permutation_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str, block: int = BLOCK, fan: int = FAN, few: int = FEW) -> DataFrame:
-    """``keys, s``: pairs in the same order less pairs in the other, for dense ranks ``a`` and ``b`` without ties."""
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """``keys, s``: pairs in the same order less pairs in the other, for ranks ``a`` and ``b`` from 0, without ties; they may have gaps."""
+    longest = (rows.agg(F.greatest(F.max(a), F.max(b))).first()[0] or 0) + 1
     blocks = {"_t": F.floor(F.col("_a") / block).cast("long"), "_v": F.floor(F.col("_b") / block).cast("long")}
     rows = rows.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).withColumns(blocks)
     parts = [_sums(rows.select(*keys, "_a", "_b", "_t"), keys, ["_t"], lambda p: sign_total(p.sort_values("_a")["_b"].to_numpy()))]
-    longest = n.agg(F.max("_n")).first()[0] or 0
     if longest > block:
-        large = rows.join(n.where(F.col("_n") > block).drop("_n"), list(keys))
+        many = rows.groupBy(*keys).agg(F.greatest(F.max("_a"), F.max("_b")).alias("_last")).where(F.col("_last") >= block)
+        large = rows.join(many.select(*keys), list(keys))
         parts.append(_sums(large.select(*keys, "_t", "_b", "_v"), keys, ["_v"], lambda p: concordant(p["_t"].to_numpy(), p["_b"].to_numpy())))
         cells = cut_lineage(large.groupBy(*keys, "_t", "_v").agg(F.count(F.lit(1)).alias("_w")))
         count = -(-longest // block)
@@ -149,16 +149,21 @@ def permutation_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str, block:
     return total.groupBy(*keys).agg(F.sum(F.col("_s").cast(WIDE)).cast(WIDE).alias("s"))
 
 
-def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, block: int = BLOCK, fan: int = FAN, few: int = FEW) -> DataFrame:
+def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, block: int = BLOCK, fan: int = FAN, few: int = FEW, positions: bool = False) -> DataFrame:
     """``keys, n, s, tied_x, tied_y, tied_xy``: concordant less discordant pairs, and pairs with a tie in x, in y, in both.
 
-    Rows without x or y are left out. Series of any length, with any share of the rows or of equal values.
+    Rows without x or y are left out. Series of any length, with any share of the rows or of equal values. With
+    ``positions`` x holds whole numbers from 0, each once in a key, and serves as its own rank.
     """
-    clean = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
-    rows = cut_lineage(ranked(ranked(clean, keys, ["_x", "_y"], "_rx"), keys, ["_y", "_rx"], "_ry"))
+    rows = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    rows = rows.withColumn("_rx", F.col("_x").cast("long")) if positions else ranked(rows, keys, ["_x", "_y"], "_rx")
+    rows = cut_lineage(ranked(rows, keys, ["_y", "_rx"], "_ry"))
     out = permutation_sum(rows, keys, "_rx", "_ry", block, fan, few)
     for name, cols in (("tied_x", ["_x"]), ("tied_y", ["_y"]), ("tied_xy", ["_x", "_y"])):
-        out = out.join(_tied_pairs(rows, keys, cols).select(*keys, (F.col("_p") / 2).cast(WIDE).alias(name)), list(keys))
+        if positions and name != "tied_y":
+            out = out.withColumn(name, F.lit(0).cast(WIDE))
+        else:
+            out = out.join(_tied_pairs(rows, keys, cols).select(*keys, (F.col("_p") / 2).cast(WIDE).alias(name)), list(keys))
     # in both rank orders a pair with any tie stands the same way, so each added one
     ties = F.col("tied_x") + F.col("tied_y") - F.col("tied_xy")
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -38,6 +38,14 @@ def scaled_seasonal(df: DataFrame, keys: Sequence[str], value: str, since: int,
     return grid.select(*keys, "year", "month", F.when(seasonal, line * F.col("_m") / F.col("_mean")).otherwise(line).alias("forecast"))
 
 
+def scaled_seasonal_ahead(df: DataFrame, keys: Sequence[str], value: str, recent_years: int = 5, years: int = 5) -> DataFrame:
+    """:func:`scaled_seasonal` from each series' own last year: its ``recent_years`` last years give the next ``years``."""
+    last = df.groupBy(*keys).agg(F.max("year").alias("_end"))
+    rows = df.join(last, list(keys)).withColumn("year", F.col("year") - F.col("_end")).drop("_end")
+    ahead = scaled_seasonal(rows, keys, value, 1 - recent_years, 1, years)
+    return ahead.join(last, list(keys)).withColumn("year", (F.col("year") + F.col("_end")).cast("long")).drop("_end")
+
+
 def endpoint_trend(df: DataFrame, keys: Sequence[str], order: str, value: str, since: Column, steps: int) -> DataFrame:
     """Extend the last value by the mean step between the first and last recent value: ``keys, step, forecast``."""
     g = df.groupBy(*keys).agg(

@@ -151,7 +151,7 @@ def edges(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 
 
 def interior_point(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """A point inside each ring: the centroid if it lies inside, else the middle of the widest chord at mid height."""
+    """A point inside each ring: the centroid if it lies inside, else the middle of the widest chord at mid height; null without area."""
     c = signed_area(ring, keys, seq).select(*keys, "cx", "cy")
     box = ring.groupBy(*keys).agg(((F.min("lat") + F.max("lat")) / 2).alias("_mid"))
     e = edges(ring, keys, seq).join(c, list(keys)).join(box, list(keys))
@@ -164,7 +164,7 @@ def interior_point(ring: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     chord = cut.withColumns({"_k": F.row_number().over(w), "_to": F.lead("_x").over(w)}).where("_k % 2 = 1")
     widest = chord.groupBy(*keys).agg(F.max_by(F.struct(((F.col("_x") + F.col("_to")) / 2).alias("x"), F.col("_mid").alias("y")), F.col("_to") - F.col("_x")).alias("_w"))
     out = c.join(inside, list(keys)).join(widest, list(keys), "left")
-    pick = lambda own, alt: F.when(F.col("_inside"), F.col(own)).otherwise(F.col(alt))
+    pick = lambda own, alt: F.when(F.col("cx").isNotNull(), F.when(F.col("_inside"), F.col(own)).otherwise(F.col(alt)))
     return out.select(*keys, pick("cx", "_w.x").alias("lon"), pick("cy", "_w.y").alias("lat"), "_inside").withColumnRenamed("_inside", "is_centroid")
 
 
@@ -287,10 +287,10 @@ def repair_outliers(samples: DataFrame, groups: Sequence[str], limit: float = 30
     samples the one with the least values is taken; without a valid one the sample is null.
     """
     bad = F.coalesce((F.abs(F.col("u")) > limit) | (F.abs(F.col("v")) > limit), F.lit(False))
-    rows = samples.withColumn("_bad", bad)
+    rows = cut_lineage(samples.withColumn("_bad", bad))
+    if rows.where("_bad").isEmpty():
+        return rows.drop("_bad")
     wrong = cut_lineage(rows.where("_bad").select(*groups, "mid_x", "mid_y").distinct())
-    if wrong.isEmpty():
-        return samples
     good = rows.where(~F.col("_bad") & F.col("u").isNotNull() & F.col("v").isNotNull()).join(wrong.select(*groups).distinct(), list(groups), "left_semi")
     good = cut_lineage(good.select(*groups, "mid_x", "mid_y", "u", "v"))
     means = good.groupBy(*groups).agg(F.count(F.lit(1)).alias("_good"), F.avg("u").alias("_mu"), F.avg("v").alias("_mv"))

@@ -15,6 +15,8 @@ from tidemark.functions import columns as C
 from tidemark.functions.special import t_p_value
 from tidemark.operators import blocked as B
 from tidemark.operators import series as S
+from tidemark.operators.concordance import ranked
+from tidemark.session import cut_lineage
 
 # ------------------------------------------------------------------ two samples
 
@@ -120,9 +122,14 @@ def correlation_p(r: Column, n: Column, covariates: int = 0) -> tuple[Column, Co
     return t, t_p_value(t, dof)
 
 
+def pearson_of(x: str, y: str) -> Column:
+    """Pearson correlation of the rows in which both are present, as an aggregate; null where one of them never changes."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = both.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    g = both.groupBy(*keys).agg(pearson_of(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     t, p = correlation_p(F.col("r"), F.col("n"))
     return g.withColumn("t_stat", t).withColumn("p", p)
 
@@ -130,7 +137,7 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def correlation_pairs(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, in one aggregation: ``keys, a, b, r``."""
     pairs = list(combinations(cols, 2))
-    g = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    g = df.groupBy(*keys).agg(*[pearson_of(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
     return g.select(*keys, F.inline(cells))
 
@@ -160,7 +167,7 @@ def partial_correlation(df: DataFrame, keys: Sequence[str], target: str, cols: S
     names = [target, *cols]
     pairs = list(combinations(names, 2))
     clean = df.select(*keys, *names).na.drop(subset=names)
-    g = clean.groupBy(*keys).agg(F.array(*[F.corr(a, b) for a, b in pairs]).alias("_u"), F.count(F.lit(1)).alias("n"))
+    g = clean.groupBy(*keys).agg(F.array(*[pearson_of(a, b) for a, b in pairs]).alias("_u"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("_partial", partial_from_correlations("_u", F.lit(len(names))))
     rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col("_partial")[pairs.index((target, c))].alias("r")) for c in cols])
     out = g.select(*keys, "n", F.inline(rows))
@@ -174,7 +181,7 @@ def lagged_correlation(df: DataFrame, keys: Sequence[str], order: str, y: str, x
     wide = df.select(*keys, F.col(y).alias("_y"), *[F.lag(x, k).over(w).alias(f"_x{k}") for k in steps])
     both = lambda k: F.when(F.col(f"_x{k}").isNotNull() & F.col("_y").isNotNull(), 1)
     g = wide.groupBy(*keys).agg(
-        *[F.corr("_y", f"_x{k}").alias(f"r{k}") for k in steps], *[F.count(both(k)).alias(f"n{k}") for k in steps]
+        *[pearson_of("_y", f"_x{k}").alias(f"r{k}") for k in steps], *[F.count(both(k)).alias(f"n{k}") for k in steps]
     )
     cells = F.array(*[F.struct(F.lit(int(k)).cast("long").alias("lag"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k in steps])
     return g.select(*keys, F.inline(cells))
@@ -236,6 +243,24 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, name: str = "
     return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(back), F.lit(1.0)))).drop("_raw")
 
 
+def benjamini_hochberg_family(df: DataFrame, p: str, name: str = "p_adjusted", block: int = 65_536) -> DataFrame:
+    """:func:`benjamini_hochberg` over one family of any number of tests, without a window over all of them.
+
+    Tests are ranked from range-sorted partitions; the least adjusted value from a rank on is the lesser of that in
+    its block of ranks and that of the blocks behind. Tests without p stay without an adjusted one.
+    """
+    tested = df.where(F.col(p).isNotNull())
+    rows = cut_lineage(ranked(tested.select("*", F.lit(0).alias("_all")), ["_all"], [p], "_rank"))
+    m = rows.count()
+    rows = rows.withColumns({"_raw": F.col(p) * m / (F.col("_rank") + 1), "_b": F.floor(F.col("_rank") / block)})
+    least = rows.groupBy("_all", "_b").agg(F.min("_raw").alias("_least"))
+    behind = F.min("_least").over(Window.partitionBy("_all").orderBy("_b").rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.join(least.select("_b", behind.alias("_behind")), "_b")
+    inside = F.min("_raw").over(Window.partitionBy("_b").orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
+    out = rows.withColumn(name, F.least(inside, F.coalesce("_behind", F.lit(1.0)), F.lit(1.0))).drop("_all", "_rank", "_raw", "_b", "_behind")
+    return out.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
 def extremes(df: DataFrame, keys: Sequence[str], value: str, high: float = 0.9, low: float = 0.1, inclusive: bool = False) -> DataFrame:
     """Rows with ``is_high`` and ``is_low`` flags against their series' exact percentiles."""
     limits = df.groupBy(*keys).agg(F.percentile(value, high).alias("hi_limit"), F.percentile(value, low).alias("lo_limit"))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -208,39 +208,55 @@ def covers(n: int, length: int, reps: np.ndarray, every: int, at: int, draw: Dra
     return np.cumsum(steps, axis=1)[:, :-1]
 
 
-def block_welch(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, order: str, value: str, reps: int, draw: Draw, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """Moving-block bootstrap of Welch's t between two groups: ``keys, t_stat, p, ci_lower, ci_upper``.
+def block_welch_pairs(df: DataFrame, keys: Sequence[str], group: str, groups: Sequence[str], order: str, value: str, reps: int, draw: Draw, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Moving-block bootstrap of Welch's t between every two groups: ``keys, one, two, t_stat, p, ci_lower, ci_upper``.
 
-    As :func:`resample.block_welch`, by multiplicities: weighted sums of a group's rows, block by block, give the
-    moments of every replicate. Replicates without spread have no t and drop out.
+    ``groups`` lists the groups in order, and ``one`` stands before ``two``. A pair takes the longer of its two block
+    lengths; a group is resampled once for each length that its pairs take. Weighted sums of a group's rows, block by
+    block, give the moments of every replicate. Replicates without spread have no t and drop out.
     """
-    rows = S.with_index(df.where(F.col(group).isin(a, b)).select(*keys, group, order, F.col(value).cast("double").alias("_v")), [*keys, group], order, "_i")
+    rows = S.with_index(df.where(F.col(group).isin(*groups)).select(*keys, group, order, F.col(value).cast("double").alias("_v")), [*keys, group], order, "_i")
     sizes = block_length(rows, [*keys, group], "_i", "_v")
-    longest = F.max("block").over(Window.partitionBy(*keys))
-    plan = sizes.select(*keys, group, F.col("n").alias("_n"), F.least(longest, F.col("n")).alias("_len"))
+    side = lambda name, k: sizes.select(*keys, F.col(group).alias(name), F.col("n").alias(f"_n{k}"), F.col("block").alias(f"_k{k}"))
+    place = lambda c: F.array_position(F.array(*[F.lit(g) for g in groups]), F.col(c))
+    pairs = side("one", 0).join(side("two", 1), list(keys)).where(place("one") < place("two"))
+    longest = F.greatest("_k0", "_k1")
+    pairs = pairs.select(*keys, "one", "two", "_n0", "_n1", F.least(longest, "_n0").alias("_l0"), F.least(longest, "_n1").alias("_l1"))
+    plan = [pairs.select(*keys, F.col(c).alias(group), F.col(f"_n{k}").alias("_n"), F.col(f"_l{k}").alias("_len")) for k, c in enumerate(("one", "two"))]
+    plan = plan[0].unionByName(plan[1]).distinct()
     centre = rows.groupBy(*keys, group).agg(F.avg("_v").alias("_centre"))
-    rows = rows.join(plan.join(centre, [*keys, group]), [*keys, group]).withColumn("_b", F.floor(F.col("_i") / block).cast("long"))
-    schema = StructType([*_fields(rows, [*keys, group]), StructField("rep", LongType()), StructField("_s1", DoubleType()), StructField("_s2", DoubleType())])
+    plan = plan.join(centre, [*keys, group])
+    rows = rows.join(plan, [*keys, group]).withColumn("_b", F.floor(F.col("_i") / block).cast("long"))
+    unit = [*keys, group, "_len"]
+    schema = StructType([*_fields(rows, unit), StructField("rep", LongType()), StructField("_s1", DoubleType()), StructField("_s2", DoubleType())])
 
     def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         n, length, at = (int(pdf[c].iloc[0]) for c in ("_n", "_len", "_b"))
         z = pdf["_v"].to_numpy() - pdf["_centre"].iloc[0]
         sums = [covers(n, length, np.arange(f, min(reps, f + AT_ONCE)), reps, at, draw, seed, block) @ np.column_stack([z, z * z]) for f in range(0, reps, AT_ONCE)]
-        head = {k: [pdf[k].iloc[0]] * reps for k in [*keys, group]}
+        head = {k: [pdf[k].iloc[0]] * reps for k in unit}
         return pd.DataFrame({**head, "rep": np.arange(reps), "_s1": np.vstack(sums)[:, 0], "_s2": np.vstack(sums)[:, 1]})
 
-    m = rows.groupBy(*keys, group, "_b").applyInPandas(drawn, schema).groupBy(*keys, group, "rep").agg(F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"))
-    m = m.join(plan.drop("_len").join(centre, [*keys, group]), [*keys, group])
+    m = rows.groupBy(*unit, "_b").applyInPandas(drawn, schema).groupBy(*unit, "rep").agg(F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"))
+    m = m.join(plan, unit)
     n, shift = F.col("_n"), F.col("_s1") / F.col("_n")
     var = (F.col("_s2") - n * shift * shift) / F.when(n > 1, n - 1)
-    m = m.select(*keys, group, "rep", (F.col("_centre") + shift).alias("_mean"), (F.when(var > 0, var).otherwise(var * 0) / n).alias("_se"))
-    one, two = [m.where(F.col(group) == g).select(*keys, "rep", F.col("_mean").alias(f"_m{k}"), F.col("_se").alias(f"_s{k}")) for k, g in enumerate((a, b))]
-    t = one.join(two, [*keys, "rep"]).select(*keys, F.try_divide(F.col("_m0") - F.col("_m1"), F.sqrt(F.col("_s0") + F.col("_s1"))).alias("t_stat")).where("t_stat is not null")
+    m = m.select(*unit, "rep", (F.col("_centre") + shift).alias("_mean"), (F.when(var > 0, var).otherwise(var * 0) / n).alias("_se"))
+    met = pairs.drop("_n0", "_n1")
+    for k, c in enumerate(("one", "two")):
+        own = m.select(*keys, F.col(group).alias(c), F.col("_len").alias(f"_l{k}"), "rep", F.col("_mean").alias(f"_m{k}"), F.col("_se").alias(f"_s{k}"))
+        met = met.join(own, [*keys, c, f"_l{k}", *(["rep"] if k else [])])
+    t = met.select(*keys, "one", "two", F.try_divide(F.col("_m0") - F.col("_m1"), F.sqrt(F.col("_s0") + F.col("_s1"))).alias("t_stat")).where("t_stat is not null")
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
-    return t.groupBy(*keys).agg(
+    return t.groupBy(*keys, "one", "two").agg(
         F.avg("t_stat").alias("t_stat"),
         (2 * F.least(share(F.col("t_stat") <= 0), share(F.col("t_stat") >= 0))).alias("p"),
         F.percentile("t_stat", 0.025).alias("ci_lower"),
         F.percentile("t_stat", 0.975).alias("ci_upper"),
     )
+
+
+def block_welch(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, order: str, value: str, reps: int, draw: Draw, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """:func:`block_welch_pairs` of two groups: ``keys, t_stat, p, ci_lower, ci_upper``."""
+    return block_welch_pairs(df, keys, group, (a, b), order, value, reps, draw, seed, block).drop("one", "two")

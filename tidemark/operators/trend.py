@@ -191,9 +191,9 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], order: str, value: str, alp
 
 
 def mann_kendall_long(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float = 0.05, block: int = K.BLOCK) -> DataFrame:
-    """:func:`mann_kendall` for series of any length, from the concordance of position and value."""
-    clean = df.select(*keys, idx, value).where(F.col(value).isNotNull())
-    sums = K.concordance(clean, keys, idx, value, block=block).select(*keys, F.col("s").cast("long").alias("_s"))
+    """:func:`mann_kendall` for series of any length, from the concordance of position (whole numbers from 0, each once) and value."""
+    clean = cut_lineage(df.select(*keys, idx, value).where(F.col(value).isNotNull()))
+    sums = K.concordance(clean, keys, idx, value, block=block, positions=True).select(*keys, F.col("s").cast("long").alias("_s"))
     return mann_kendall_statistics(clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")), sums, keys, alpha)
 
 

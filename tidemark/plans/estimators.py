@@ -52,7 +52,7 @@ def quantile_regression(spark, sf):
     return rounded(q.select("series", "tau", "slope"), "slope")
 
 
-@query("unit_root", "T24 T25")
+@query("unit_root", "T24")
 def unit_root(spark, sf):
     return rounded(U.unit_root(levels(spark, sf), ["series"], "t", "value"), "stat", "p", digits=5)
 
@@ -170,7 +170,7 @@ def pca_two_columns(spark, sf):
     return rounded(M.principal_components(joined(spark, sf), ["series"], ["value", "qty"]), "loading", "variance_share", digits=8)
 
 
-@query("pca_loadings", "C8 K3")
+@query("pca_loadings", "C8")
 def pca_loadings(spark, sf):
     return rounded(M.principal_components(joined(spark, sf), ["series"], ["value", *XS]), "loading", "variance_share", digits=6)
 

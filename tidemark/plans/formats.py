@@ -11,7 +11,7 @@ from tidemark.sources import files, sinks, text
 
 @query(
     "filename_fields",
-    "S13 S14 S9 S10",
+    "S13 S14",
     """WITH p AS (SELECT DISTINCT 'store/p' || strftime(o_orderdate, '%Y%m') || '.tif' AS path FROM orders UNION SELECT DISTINCT 'store/' || n_name || '_East_inflow.txt' FROM nation)
 SELECT path, try_cast(nullif(regexp_extract(path, 'p(\\d{4})(\\d{2})\\.tif', 1), '') AS BIGINT) AS year, try_cast(nullif(regexp_extract(path, 'p(\\d{4})(\\d{2})\\.tif', 2), '') AS BIGINT) AS month FROM p""",
 )
@@ -37,7 +37,7 @@ def whitespace_fields(spark, sf):
 
 @query(
     "fused_column_split",
-    "S4 S5 P16",
+    "P16",
     """SELECT event_id, event_type AS kind, CAST(CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS BIGINT) AS user FROM events""",
 )
 def fused_column_split(spark, sf):
@@ -48,7 +48,7 @@ def fused_column_split(spark, sf):
 
 @query(
     "nan_as_missing",
-    "S3 P11",
+    "P11",
     """SELECT l_returnflag, count(CASE WHEN l_linenumber % 3 <> 0 THEN 1 END) AS present, count(*) AS n, CAST(max(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END) AS DOUBLE) AS top FROM lineitem GROUP BY 1""",
 )
 def nan_as_missing(spark, sf):
@@ -59,7 +59,7 @@ def nan_as_missing(spark, sf):
 
 @query(
     "trend_report_table",
-    "K7 K8 K9 P24",
+    "K7 K8 P24",
     f"""WITH {LEVELS_SQL}, f AS (SELECT series, regr_slope(value, t) AS slope, avg(value) AS mean FROM levels GROUP BY series)
 SELECT series, replace(series, '_', '\\_') || ' & ' || printf('%.3f', slope) || ' & ' || printf('%.3f', mean) || ' \\\\' AS line FROM f""",
 )
@@ -92,7 +92,7 @@ def half_even_rounding(spark, sf):
 
 @query(
     "cache_keys",
-    "K5 S15",
+    "P24",
     """SELECT s_nationkey, count(*) AS n, md5('v1|' || CAST(s_nationkey AS VARCHAR)) AS cache_key FROM supplier GROUP BY 1""",
 )
 def cache_keys(spark, sf):

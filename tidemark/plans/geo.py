@@ -152,7 +152,39 @@ def interior_point(spark, sf):
     return rounded(G.interior_point(full.join(whole, "ring", "left_semi"), ["ring"], "seq"), "lon", "lat")
 
 
-@query("spline_densify", "G12")
+@query(
+    "interior_point_all",
+    "G11",
+    f"""WITH {RINGS_SQL}, {NEIGHBOURS_SQL}, ce AS (SELECT ring, CASE WHEN area <> 0 THEN sx / (6 * area) END AS cx, CASE WHEN area <> 0 THEN sy / (6 * area) END AS cy FROM ar),
+ins AS (SELECT nb.ring, coalesce(sum(CASE WHEN (lat > cy) <> (nlat > cy) AND lon + (cy - lat) * (nlon - lon) / (nlat - lat) > cx THEN 1 ELSE 0 END), 0) % 2 = 1 AS inside FROM nb JOIN ce USING (ring) GROUP BY nb.ring),
+mid AS (SELECT ring, (min(lat) + max(lat)) / 2 AS m FROM nb GROUP BY ring),
+cr AS (SELECT nb.ring, m, lon + (m - lat) * (nlon - lon) / (nlat - lat) AS x FROM nb JOIN mid USING (ring) WHERE (lat > m) <> (nlat > m)),
+ch AS (SELECT *, row_number() OVER w AS k, lead(x) OVER w AS upto FROM cr WINDOW w AS (PARTITION BY ring ORDER BY x)),
+wi AS (SELECT ring, arg_max((x + upto) / 2, upto - x) AS x, any_value(m) AS y FROM ch WHERE k % 2 = 1 GROUP BY ring)
+SELECT ce.ring, round(CASE WHEN cx IS NULL THEN NULL WHEN inside THEN cx ELSE wi.x END, 6) AS lon, round(CASE WHEN cx IS NULL THEN NULL WHEN inside THEN cy ELSE wi.y END, 6) AS lat, inside AS is_centroid
+FROM ce JOIN ins USING (ring) LEFT JOIN wi USING (ring)""",
+)
+def interior_point_all(spark, sf):
+    return rounded(G.interior_point(rings(spark, sf), ["ring"], "seq"), "lon", "lat")
+
+
+@query(
+    "spline_densify",
+    "G12",
+    f"""WITH RECURSIVE {RINGS_SQL}, o AS (SELECT ring, lon AS x, lat AS y, row_number() OVER (PARTITION BY ring ORDER BY seq) AS i, count(*) OVER (PARTITION BY ring) AS n FROM rings),
+e AS (SELECT a.ring, a.i, a.n, a.x, a.y, b.x AS nx, b.y AS ny, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS h FROM o a JOIN o b ON a.ring = b.ring AND b.i = a.i % a.n + 1 WHERE a.n >= 3),
+l AS (SELECT ring, any_value(n) AS n, list(h ORDER BY i) AS h, list((nx - x) / h ORDER BY i) AS sx, list((ny - y) / h ORDER BY i) AS sy, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, sum(h) AS total FROM e GROUP BY ring),
+it AS (SELECT ring, 0 AS k, list_transform(h, lambda v: 0.0::DOUBLE) AS mx, list_transform(h, lambda v: 0.0::DOUBLE) AS my, n, h, sx, sy FROM l
+  UNION ALL SELECT ring, k + 1, list_transform(range(1, n + 1), lambda j: (6 * (sx[j] - sx[(j + n - 2) % n + 1]) - h[(j + n - 2) % n + 1] * mx[(j + n - 2) % n + 1] - h[j] * mx[j % n + 1]) / (2 * (h[(j + n - 2) % n + 1] + h[j]))),
+    list_transform(range(1, n + 1), lambda j: (6 * (sy[j] - sy[(j + n - 2) % n + 1]) - h[(j + n - 2) % n + 1] * my[(j + n - 2) % n + 1] - h[j] * my[j % n + 1]) / (2 * (h[(j + n - 2) % n + 1] + h[j]))), n, h, sx, sy FROM it WHERE k < 70),
+u AS (SELECT ring, i, n, h, coalesce(sum(h) OVER (PARTITION BY ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM e),
+q AS (SELECT l.ring, p, p * l.total / 299 AS pos FROM l, (SELECT unnest(range(0, 300)) AS p)),
+f AS (SELECT q.ring, p, u.i, u.i % u.n + 1 AS j, u.u + u.h - pos AS a, pos - u.u AS b, u.h FROM q JOIN u ON q.ring = u.ring AND pos >= u.u AND (pos < u.u + u.h OR u.i = u.n))
+SELECT f.ring, p AS seq, round((mx[i] * pow(a, 3) + mx[j] * pow(b, 3)) / (6 * f.h) + (x[i] / f.h - mx[i] * f.h / 6) * a + (x[j] / f.h - mx[j] * f.h / 6) * b, 5) AS lon,
+       round((my[i] * pow(a, 3) + my[j] * pow(b, 3)) / (6 * f.h) + (y[i] / f.h - my[i] * f.h / 6) * a + (y[j] / f.h - my[j] * f.h / 6) * b, 5) AS lat
+FROM f JOIN l ON l.ring = f.ring JOIN it ON it.ring = f.ring AND it.k = 70
+UNION ALL SELECT ring, i - 1, round(x, 5), round(y, 5) FROM o WHERE n < 3""",
+)
 def spline_densify(spark, sf):
     return rounded(G.densify(rings(spark, sf), ["ring"], "seq", 300), "lon", "lat", digits=5)
 
@@ -197,7 +229,7 @@ def point_in_polygon(spark, sf):
 
 @query(
     "weighted_area_mean",
-    "A14 A15 G21 S14",
+    "A14 A15 G21",
     f"""WITH {RINGS_SQL}, {GRID_SQL}, {MASK_SQL} SELECT ring, year, round(sum(cos(radians(lat)) * u) / sum(cos(radians(lat))), 7) AS mean, count(u) AS n_cells FROM grid JOIN mask USING (iy, ix) GROUP BY ALL""",
 )
 def weighted_area_mean(spark, sf):
@@ -237,7 +269,7 @@ def samples(spark, sf):
     return G.bilinear_sample(corners, field, ["ring", "seq"], ["year"], ["u", "v"])
 
 
-@query("bilinear_sample", "J15 G6 S8", f"WITH {RINGS_SQL}, {GRID_SQL}, {SAMPLE_SQL} SELECT ring, seq, year, round(u, 6) AS u, round(v, 6) AS v FROM sa")
+@query("bilinear_sample", "J15 G6", f"WITH {RINGS_SQL}, {GRID_SQL}, {SAMPLE_SQL} SELECT ring, seq, year, round(u, 6) AS u, round(v, 6) AS v FROM sa")
 def bilinear_sample(spark, sf):
     return rounded(samples(spark, sf).select("ring", "seq", "year", "u", "v"), "u", "v")
 

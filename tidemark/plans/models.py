@@ -386,6 +386,20 @@ def scaled_seasonal_forecast(spark, sf):
     return rounded(FC.scaled_seasonal(known, ["series"], "value", 1996, 2001, 2005), "forecast", digits=4)
 
 
+@query(
+    "scaled_seasonal_ahead",
+    "M26 S16",
+    f"""WITH {LEVELS_SQL}, en AS (SELECT series, max(year) AS e FROM levels GROUP BY series), rc AS (SELECT l.*, year - e AS y0 FROM levels l JOIN en USING (series) WHERE year > e - 5), an AS (SELECT series, y0, avg(value) AS v FROM rc GROUP BY ALL),
+f AS (SELECT series, regr_slope(v, y0) AS b, regr_intercept(v, y0) AS a FROM an GROUP BY series),
+pa AS (SELECT series, month, avg(value) AS m FROM rc WHERE y0 = 0 GROUP BY ALL), pm AS (SELECT series, avg(m) AS mm, count(*) AS k FROM pa GROUP BY series),
+gr AS (SELECT f.*, mm, k, y, mo, e FROM f JOIN pm USING (series) JOIN en USING (series), (SELECT unnest(range(1, 6)) AS y), (SELECT unnest(range(1, 13)) AS mo))
+SELECT gr.series, e + y AS year, mo AS month, round((a + b * y) * (CASE WHEN k = 12 THEN m / mm ELSE 1 END), 4) AS forecast FROM gr LEFT JOIN pa ON pa.series = gr.series AND pa.month = mo""",
+)
+def scaled_seasonal_ahead(spark, sf):
+    """Five years ahead of each series' own last year; an incomplete last year gives a flat pattern."""
+    return rounded(FC.scaled_seasonal_ahead(levels_once(spark, sf), ["series"], "value"), "forecast", digits=4)
+
+
 @query(
     "endpoint_trend",
     "M27 A27",
@@ -432,8 +446,8 @@ SCENARIOS = {
 }
 
 
-def scenario_case(feature: str) -> str:
-    arms = " ".join(f"WHEN scenario = '{s}' THEN {feature} {c[feature][0]} CAST({c[feature][1]} AS DOUBLE)" for s, c in SCENARIOS.items() if feature in c)
+def scenario_case(feature: str, scenarios: dict = SCENARIOS) -> str:
+    arms = " ".join(f"WHEN scenario = '{s}' THEN {feature} {c[feature][0]} CAST({c[feature][1]} AS DOUBLE)" for s, c in scenarios.items() if feature in c)
     return f"CASE {arms} ELSE {feature} END"
 
 
@@ -453,6 +467,25 @@ def scenario_grid(spark, sf):
     return rounded(rounded(out, "mean_level", "std_level", digits=3), "change_pct", digits=4).withColumn("change_pct", F.col("change_pct") + 0.0)
 
 
+# The baseline, two shares up and down, one shift up and down, and one more share up and down.
+NINE_SCENARIOS = SCENARIOS | {"disc_+20%": {"disc": ("*", 1.2)}, "disc_-20%": {"disc": ("*", 0.8)}}
+
+
+@query(
+    "scenario_grid_nine",
+    "M32 J9 D17",
+    f"""WITH {JOINED_SQL}, {ols3_sql('joined', 'series', *XS, 'value')}, sc AS (SELECT unnest([{', '.join(f"'{s}'" for s in NINE_SCENARIOS)}]) AS scenario),
+p AS (SELECT j.series, scenario, b0 + b1 * {scenario_case('qty', NINE_SCENARIOS)} + b2 * {scenario_case('price', NINE_SCENARIOS)} + b3 * {scenario_case('disc', NINE_SCENARIOS)} AS y FROM joined j JOIN joined_fit USING (series) CROSS JOIN sc),
+g AS (SELECT series, scenario, avg(y) AS m, stddev_pop(y) AS s FROM p GROUP BY ALL), bl AS (SELECT series, m AS base FROM g WHERE scenario = 'Baseline')
+SELECT series, scenario, round(m, 3) AS mean_level, round(s, 3) AS std_level, round(100 * (m - base) / base, 4) + 0 AS change_pct FROM g JOIN bl USING (series)""",
+)
+def scenario_grid_nine(spark, sf):
+    j = joined_once(spark, sf)
+    rows = FC.scenario_rows(j.select("series", *XS), XS, NINE_SCENARIOS)
+    out = FC.scenario_summary(G.predict(rows, G.fit(j, ["series"], XS, "value"), ["series"], XS), ["series"], "prediction", "Baseline")
+    return rounded(rounded(out, "mean_level", "std_level", digits=3), "change_pct", digits=4).withColumn("change_pct", F.col("change_pct") + 0.0)
+
+
 @query(
     "sensitivity",
     "M31",
@@ -696,6 +729,38 @@ def block_bootstrap_500(spark, sf):
     return rounded(rounded(out, "t_stat", "ci_lower", "ci_upper", digits=5), "p", "p_adjusted")
 
 
+# The periods that are compared with each other.
+PERIODS = {"P1": (1992, 1993), "P2": (1994, 1995), "P3": (1996, 1997), "P4": (1998, 1999), "P5": (2000, 2001)}
+
+
+@query(
+    "period_pairs",
+    "T33 J11 T16 T17 T21 W11",
+    f"""WITH {LEVELS_SQL}, pr AS (SELECT *, CASE {' '.join(f"WHEN year IN {y} THEN '{n}'" for n, y in PERIODS.items())} END AS period FROM levels),
+an AS (SELECT series, period, row_number() OVER (PARTITION BY series, period ORDER BY t) - 1 AS i, value - avg(value) OVER (PARTITION BY series, period, month) AS v FROM pr WHERE period IS NOT NULL),
+nn AS (SELECT series, period, count(*) AS n FROM an GROUP BY ALL),
+cc AS (SELECT b.series, b.period, b.i - a.i AS k, coalesce(nullif(corr(b.v, a.v), 'nan'), 0) AS rho FROM an a JOIN an b ON a.series = b.series AND a.period = b.period AND b.i - a.i BETWEEN 1 AND 20 GROUP BY ALL),
+bl AS (SELECT series, period, any_value(n) AS n, greatest(2, least(10, round(pow(2 * sum(k * rho * k * rho) / (sum(rho * rho) + 1e-10) * any_value(n), 1.0 / 3)))) AS b FROM cc JOIN nn USING (series, period) WHERE k <= least(20, n // 3) GROUP BY series, period),
+pa AS (SELECT x.series, x.period AS one, y.period AS two, x.n AS n1, y.n AS n2, CAST(least(x.n, greatest(x.b, y.b)) AS BIGINT) AS l1, CAST(least(y.n, greatest(x.b, y.b)) AS BIGINT) AS l2 FROM bl x JOIN bl y ON x.series = y.series AND x.period < y.period),
+pl AS (SELECT series, one AS period, n1 AS n, l1 AS b FROM pa UNION SELECT series, two, n2, l2 FROM pa),
+dr AS (SELECT series, period, rep, place, b, n AS total, {LCG_SQL.replace('% n', '% (n - b + 1)')} AS pick FROM pl, (SELECT unnest(range(0, 500)) AS rep), (SELECT unnest(range(0, 60)) AS place) WHERE place < ceil(CAST(n AS DOUBLE) / b)),
+pk AS (SELECT series, period, b, rep, pick + o AS i FROM dr, (SELECT unnest(range(0, 10)) AS o) WHERE o < b AND place * b + o < total),
+mo AS (SELECT p.series, p.period, p.b, rep, avg(v) AS m, var_samp(v) AS s2, count(*) AS n FROM pk p JOIN an ON an.series = p.series AND an.period = p.period AND an.i = p.i GROUP BY ALL),
+ts AS (SELECT pa.series, one, two, (x.m - y.m) / sqrt(x.s2 / x.n + y.s2 / y.n) AS t FROM pa JOIN mo x ON x.series = pa.series AND x.period = one AND x.b = l1 JOIN mo y ON y.series = pa.series AND y.period = two AND y.b = l2 AND y.rep = x.rep),
+st AS (SELECT series, one, two, avg(t) AS t_stat, 2 * least(avg(CASE WHEN t <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN t >= 0 THEN 1.0 ELSE 0.0 END)) AS p, quantile_cont(t, 0.025) AS lo, quantile_cont(t, 0.975) AS hi FROM ts GROUP BY ALL),
+bh AS (SELECT *, row_number() OVER (ORDER BY p, series, one, two) AS i, count(*) OVER () AS m FROM st)
+SELECT series, one, two, round(t_stat, 5) AS t_stat, round(p, 6)::DOUBLE AS p, round(lo, 5) AS ci_lower, round(hi, 5) AS ci_upper,
+       round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE AS p_adjusted FROM bh""",
+)
+def period_pairs(spark, sf):
+    """Seasonal anomalies of every two periods compared by moving blocks, p adjusted over all pairs and series."""
+    period = F.coalesce(*[F.when(F.col("year").isin(*years), name) for name, years in PERIODS.items()])
+    rows = levels_once(spark, sf).withColumn("period", period).where(F.col("period").isNotNull())
+    rows = rows.withColumn("anomaly", S.anomaly("value", ["series", "period"]))
+    out = RP.block_welch_pairs(rows, ["series"], "period", list(PERIODS), "t", "anomaly", 500, lcg_picks)
+    return rounded(rounded(I.benjamini_hochberg_family(out, "p"), "t_stat", "ci_lower", "ci_upper", digits=5), "p", "p_adjusted")
+
+
 @query(
     "harmonic_single_forecast",
     "M29 F11",

@@ -30,7 +30,7 @@ from tidemark.plans.base import (
 
 @query(
     "annual_trend_forecast",
-    "S1 P1 A1 A2 T6 M1 T29 A23 S16",
+    "P1 A1 A2 T6 M1 T29 A23 S16",
     f"""WITH {LEVELS_SQL},
 annual AS (SELECT series, year, avg(value) AS value FROM levels GROUP BY ALL),
 fit AS (SELECT series, regr_slope(value, year) AS slope, regr_intercept(value, year) AS icept, max(year) AS last_year FROM annual GROUP BY series),
@@ -49,7 +49,7 @@ def annual_trend_forecast(spark, sf):
 # ------------------------------------------------------------------ calendar aggregation
 
 
-@query("monthly_mean", "S2 P16 A1", f"WITH {LEVELS_SQL} SELECT series, year, month, date, value, n_obs FROM levels")
+@query("monthly_mean", "P16 A1", f"WITH {LEVELS_SQL} SELECT series, year, month, date, value, n_obs FROM levels")
 def monthly_mean(spark, sf):
     return levels(spark, sf).drop("t")
 
@@ -381,7 +381,7 @@ def projection_cleaning(spark, sf):
 
 @query(
     "coerce_numeric",
-    "P16 P26 S4",
+    "P16 P26",
     """SELECT event_type, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS n_numeric,
        CAST(sum(try_cast(regexp_replace(props, '[^0-9]', '', 'g') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""",
 )
@@ -512,7 +512,7 @@ def month_total_from_mean(spark, sf):
 
 @query(
     "report_rows",
-    "K7 K8 K9",
+    "K7 K8",
     f"""WITH {LEVELS_SQL} SELECT series, 'n=' || count(*) || ' first=' || strftime(min(date), '%Y-%m') || ' last=' || strftime(max(date), '%Y-%m') AS line,
        md5(series) AS cache_key FROM levels GROUP BY series""",
 )

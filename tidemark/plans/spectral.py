@@ -38,6 +38,21 @@ def spectral_peaks(spark, sf):
     return rounded(rounded(rounded(p, "frequency", digits=9), "period", digits=7), "power", digits=3)
 
 
+@query(
+    "spectral_peaks_five",
+    "F3 A20",
+    f"""WITH {LEVELS_SQL}, {RESID_SQL}, {DFT_SQL}, w AS (SELECT *, lag(power) OVER o AS a, lead(power) OVER o AS b FROM sp WINDOW o AS (PARTITION BY series ORDER BY k)),
+h AS (SELECT series, quantile_cont(power, 0.75) AS h FROM sp GROUP BY series),
+p AS (SELECT w.series, k, k * 12.0 / n AS frequency, n / (k * 12.0) AS period, power FROM w JOIN h USING (series) WHERE power > a AND power > b AND power >= h AND n / CAST(k AS DOUBLE) > 2)
+SELECT series, k, round(frequency, 9) AS frequency, round(period, 7) AS period, round(power, 3) AS power, place FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY k) - 1 AS place FROM p) WHERE place < 5""",
+)
+def spectral_peaks_five(spark, sf):
+    """The first five peaks above the upper quartile of the power whose period exceeds two months."""
+    found = X.peaks(X.power_spectrum(residuals(spark, sf), ["series"], "t", "y"), ["series"], 0.75)
+    p = X.dominant_periods(found, ["series"], 2 / 12, 5)
+    return rounded(rounded(rounded(p, "frequency", digits=9), "period", digits=7), "power", digits=3)
+
+
 def welch_sql(src: str, longest: int) -> str:
     return f"""le AS (SELECT series, count(*) AS n, least({longest}, count(*) // 4) AS len FROM {src} GROUP BY series),
 st AS (SELECT *, len - len // 2 AS step, (n - len // 2) // (len - len // 2) AS cnt FROM le),

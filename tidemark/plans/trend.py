@@ -9,7 +9,7 @@ from tidemark.operators import inference as I
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.operators import trend as T
-from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, joined, levels, observations, query, r, rounded, table
+from tidemark.plans.base import JOINED_SQL, LEVELS_SQL, OBS_SQL, joined, levels, levels_once, observations, query, r, rounded, table
 
 # ------------------------------------------------------------------ SQL forms of the distributions
 
@@ -43,12 +43,26 @@ z AS (SELECT *, (s - sign(s)) / sqrt(var_s) AS z FROM v)
 SELECT series, s, CAST(n AS BIGINT) AS n, round(var_s, 4) AS var_s, round(s / (n * (n - 1) / 2), 8) AS tau, round(z, 8) AS z, round({normal_p('z')}, 7) AS p FROM z"""
 
 
-@query("mann_kendall", "T1 T3 J10", f"WITH {LEVELS_SQL}, {mk_sql('levels')}")
+@query("mann_kendall", "T1 J10", f"WITH {LEVELS_SQL}, {mk_sql('levels')}")
 def mann_kendall(spark, sf):
     mk = T.mann_kendall(levels(spark, sf), ["series"], "t", "value").drop("trend")
     return rounded(rounded(rounded(mk, "var_s", digits=4), "tau", "z", digits=8), "p", digits=7)
 
 
+@query(
+    "mann_kendall_label",
+    "T3",
+    f"""WITH {LEVELS_SQL}, mk AS ({{sql}}), sl AS ({pairs_sql('levels').removeprefix('pairs AS (').removesuffix(')')})
+SELECT mk.series, CASE WHEN p < 0.05 AND z > 0 THEN 'increasing' WHEN p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no trend' END AS trend, round(median((yj - yi) / (xj - xi)), 8) AS slope
+FROM mk JOIN sl ON sl.series = mk.series GROUP BY mk.series, p, z""".replace("{sql}", "WITH " + mk_sql("levels")),
+)
+def mann_kendall_label(spark, sf):
+    """Direction of the trend at 5 % beside its slope by position."""
+    base = levels_once(spark, sf)
+    label = T.mann_kendall(base, ["series"], "t", "value").select("series", "trend")
+    return rounded(label.join(T.theil_sen(base, ["series"], "t", "value"), "series"), "slope", digits=8)
+
+
 @query("mann_kendall_obs", "T1 D5", f"WITH {OBS_SQL}, {mk_sql('obs')}")
 def mann_kendall_obs(spark, sf):
     """Over irregular observations: series of any length, by the concordance of position and value."""
@@ -76,7 +90,7 @@ def kendall_obs(spark, sf):
     return rounded(K.kendall_tau_b(rows, ["series"], "x", "y"), "tau_b", digits=7)
 
 
-@query("sen_slope_index", "T2 T3", f"WITH {LEVELS_SQL}, {pairs_sql('levels')} SELECT series, round(median((yj - yi) / (xj - xi)), 8) AS slope FROM pairs GROUP BY series")
+@query("sen_slope_index", "T2", f"WITH {LEVELS_SQL}, {pairs_sql('levels')} SELECT series, round(median((yj - yi) / (xj - xi)), 8) AS slope FROM pairs GROUP BY series")
 def sen_slope_index(spark, sf):
     return rounded(T.theil_sen(levels(spark, sf), ["series"], "t", "value"), "slope", digits=8)
 
@@ -179,7 +193,7 @@ PAIRS = [(a, b) for i, a in enumerate(COLS) for b in COLS[i + 1 :]]
 
 @query(
     "pearson_matrix",
-    "T8 K3",
+    "T8",
     f"WITH {JOINED_SQL} " + " UNION ALL ".join(f"SELECT series, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM joined GROUP BY series" for a, b in PAIRS),
 )
 def pearson_matrix(spark, sf):
@@ -296,6 +310,23 @@ def partial_autocorrelation(spark, sf):
     return rounded(I.partial_autocorrelation(acf, ["series"]), "pacf", digits=7)
 
 
+@query(
+    "partial_autocorrelation_12",
+    "T26",
+    f"""WITH RECURSIVE {LEVELS_SQL}, d AS (SELECT series, t, value - avg(value) OVER (PARTITION BY series) AS d FROM levels),
+v AS (SELECT series, sum(d * d) AS v FROM d GROUP BY series),
+c AS (SELECT a.series, b.t - a.t AS lag, sum(a.d * b.d) / any_value(v) AS r FROM d a JOIN d b ON a.series = b.series AND b.t - a.t BETWEEN 1 AND 12 JOIN v ON v.series = a.series GROUP BY ALL),
+w AS (SELECT series, list(r ORDER BY lag) AS r FROM c GROUP BY series),
+pl AS (SELECT series, 1 AS k, [r[1]] AS phi, r[1] AS pacf, r FROM w
+  UNION ALL SELECT series, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - nxt * phi[k + 1 - j]), [nxt]), nxt, r
+  FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS nxt FROM pl WHERE k < 12))
+SELECT series, 0::BIGINT AS lag, 1.0::DOUBLE AS pacf FROM w UNION ALL SELECT series, k, round(pacf, 7) FROM pl""",
+)
+def partial_autocorrelation_12(spark, sf):
+    acf = I.autocorrelation(levels(spark, sf), ["series"], "t", "value", 12)
+    return rounded(I.partial_autocorrelation(acf, ["series"]), "pacf", digits=7)
+
+
 # ------------------------------------------------------------------ two-sample tests
 
 PERIOD_SQL = "CASE WHEN year(o_orderdate) IN (1995, 1996, 1997) THEN 'Low' WHEN year(o_orderdate) IN (1999, 2000, 2001) THEN 'High' END"

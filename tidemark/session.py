@@ -33,7 +33,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")  # one process: local-cluster has executors of its own
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
