@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 
@@ -252,6 +253,35 @@ def test_layouts(spark):
     assert [(r.conv_id, r.turn, r.layout is None) for r in sorted(out) if r.conv_id in "efg"] == [("e", None, False), ("f", None, True), ("g", None, True)]
 
 
+def test_other_fields_cost_no_turn_and_are_kept(spark):
+    plain = {"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}
+    records = [
+        {"messages": [{**plain[0], "name": "Ann"}, plain[1]], "id": 7, "source": {"site": "x"}},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r", "weight": 0}], "history": []},
+        {"prompt": "q", "response": "r", "lang": "en"},
+        {"prompt": "q", "completion": "r", "tags": ["a"]},
+        {"instruction": "q", "output": "r", "id": "7"},
+        {"instruction": "q", "input": "", "output": "r", "id": "7"},
+        {"system": None, "instruction": "q", "output": "r", "meta": {"a": [1]}},
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")
+    out = chat.turns_of_records(frame, "id", "record").collect()
+    for i, record in enumerate(records):
+        turns = sorted((r.turn, r.role, r.text) for r in out if r.conv_id == i and r.role != "system")
+        assert [t[1:] for t in turns] == [("user", "q"), ("assistant", "r")]
+        extra = json.loads(next(r.record_extra for r in out if r.conv_id == i))
+        assert extra and extra.items() <= record.items()
+    assert [r.turn_extra for r in sorted(out) if r.conv_id == 0] == ['{"name": "Ann"}', None]
+    assert chat.turns_of_record('{"messages": [], "id": 1}') == [] and chat.turns_of_record('{"id": 1}') is None
+
+
+def test_tables_with_other_columns(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "q", "x")], "id long, index long, `from` string, value string, note string")
+    assert chat.turns_of_table(frame).collect() == [(1, 0, "user", "q")]
+    with pytest.raises(ValueError):
+        chat.turns_of_table(frame.drop("value"))
+
+
 # SimHash
 
 

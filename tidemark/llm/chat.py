@@ -42,78 +42,122 @@ def schema_fingerprint(value) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths(value)))).encode()).hexdigest()[:16]
 
 
+def layouts_of(*examples: tuple[dict, dict]) -> dict[str, dict]:
+    """Mappings by the fingerprint of the paths they need, each with these paths under ``needs``."""
+    return {schema_fingerprint(example): {**mapping, "needs": frozenset(paths(example))} for example, mapping in examples}
+
+
 #: Layouts of whole records: where the turns lie and which fields of a turn, or fixed roles and fields in order.
-LAYOUTS: dict[str, dict] = {
-    schema_fingerprint(example): mapping
-    for example, mapping in (
-        ({"messages": [{"role": "", "content": ""}]}, {"turns": "messages", "role": "role", "text": "content"}),
-        ({"conversations": [{"from": "", "value": ""}]}, {"turns": "conversations", "role": "from", "text": "value"}),
-        ({"prompt": "", "response": ""}, {"fields": [("user", "prompt"), ("assistant", "response")]}),
-        ({"prompt": "", "completion": ""}, {"fields": [("user", "prompt"), ("assistant", "completion")]}),
-        ({"instruction": "", "output": ""}, {"fields": [("user", "instruction"), ("assistant", "output")]}),
-        ({"instruction": "", "input": "", "output": ""}, {"fields": [("user", "instruction", "input"), ("assistant", "output")]}),
-        ({"system": "", "instruction": "", "output": ""}, {"fields": [("system", "system"), ("user", "instruction"), ("assistant", "output")]}),
-    )
-}
+LAYOUTS = layouts_of(
+    ({"messages": [{"role": "", "content": ""}]}, {"turns": "messages", "role": "role", "text": "content"}),
+    ({"conversations": [{"from": "", "value": ""}]}, {"turns": "conversations", "role": "from", "text": "value"}),
+    ({"prompt": "", "response": ""}, {"fields": [("user", "prompt"), ("assistant", "response")]}),
+    ({"prompt": "", "completion": ""}, {"fields": [("user", "prompt"), ("assistant", "completion")]}),
+    ({"instruction": "", "output": ""}, {"fields": [("user", "instruction"), ("assistant", "output")]}),
+    ({"instruction": "", "input": "", "output": ""}, {"fields": [("user", "instruction", "input"), ("assistant", "output")]}),
+    ({"system": "", "instruction": "", "output": ""}, {"fields": [("system", "system"), ("user", "instruction"), ("assistant", "output")]}),
+    ({"system": "", "instruction": "", "input": "", "output": ""}, {"fields": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")]}),
+)
 #: Layouts of tables with a row per turn: the columns of the canonical turns.
-TABLES: dict[str, dict[str, str]] = {
-    schema_fingerprint({"conv_id": "", "turn": "", "role": "", "text": ""}): {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
-    schema_fingerprint({"id": "", "index": "", "from": "", "value": ""}): {"conv_id": "id", "turn": "index", "role": "`from`", "text": "value"},
-}
+TABLES = layouts_of(
+    ({"conv_id": "", "turn": "", "role": "", "text": ""}, {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
+    ({"id": "", "index": "", "from": "", "value": ""}, {"conv_id": "id", "turn": "index", "role": "`from`", "text": "value"}),
+)
+
+
+def selected(value, layouts: dict[str, dict], known: dict | None = None) -> dict | None:
+    """The mapping whose needed paths the value has: that of its own fingerprint, else the one that needs most.
+
+    Other fields do not matter; an empty list stands for lists of any items. ``known`` remembers choices by fingerprint.
+    """
+    mark = schema_fingerprint(value)
+    if mark in layouts:
+        return layouts[mark]
+    if known is not None and mark in known:
+        return known[mark]
+    own = set(paths(value))
+    has = lambda path: path in own or any(path.startswith(f"{p}.") for p in own if p.endswith("[]"))
+    fit = [m for m in layouts.values() if all(has(p) for p in m["needs"])]
+    found = max(fit, key=lambda m: len(m["needs"]), default=None)
+    if known is not None:
+        known[mark] = found
+    return found
+
+
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def _text(x) -> str:
+    return x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+
+
+def _others(value, used) -> str | None:
+    """The fields that a mapping does not use, as JSON; null if there are none."""
+    rest = {k: v for k, v in value.items() if k not in used} if isinstance(value, dict) else {}
+    return json.dumps(rest, ensure_ascii=False) if rest else None
+
+
+def _read(value, mapping: dict) -> list[tuple[str, str, str | None, str | None]]:
+    """Role, text, other fields of the record, other fields of the turn, for each turn of a record."""
+    if "turns" in mapping:
+        role, text = mapping["role"], mapping["text"]
+        more = _others(value, {mapping["turns"]})
+        field = lambda t, f: _text(t.get(f)) if isinstance(t, dict) else ""
+        return [(ROLES.get(field(t, role), field(t, role)), field(t, text) if isinstance(t, dict) else _text(t), more, _others(t, {role, text})) for t in value[mapping["turns"]]]
+    more = _others(value, {f for _, *fields in mapping["fields"] for f in fields})
+    return [(role, "\n".join(x for x in (_text(value[f]) for f in fields) if x), more, None) for role, *fields in mapping["fields"]]
+
+
 def turns_of_record(record: str | None, layouts: dict[str, dict] = LAYOUTS) -> list[tuple[str, str]] | None:
     """Role and text of each turn of a JSON record; None where it is no JSON object or its layout is unknown."""
     try:
         value = json.loads(record or "")
     except ValueError:
         return None
-    mapping = layouts.get(schema_fingerprint(value)) if isinstance(value, dict) else None
-    if mapping is None:
-        return None
-    text = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
-    if "turns" in mapping:
-        return [(ROLES.get(text(t.get(mapping["role"])), text(t.get(mapping["role"]))), text(t.get(mapping["text"]))) for t in value[mapping["turns"]]]
-    return [(role, "\n".join(x for x in (text(value[f]) for f in fields) if x)) for role, *fields in mapping["fields"]]
+    mapping = selected(value, layouts) if isinstance(value, dict) else None
+    return None if mapping is None else [turn[:2] for turn in _read(value, mapping)]
 
 
-def turns_of_records(records: DataFrame, conv_id: str, record: str) -> DataFrame:
-    """``conv_id, turn, role, text, layout`` from a column of JSON records of any known layout.
+def turns_of_records(records: DataFrame, conv_id: str, record: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
+    """``conv_id, turn, role, text, layout, record_extra, turn_extra`` from a column of JSON records of any known layout.
 
-    A record whose layout is unknown, or that is no JSON object, gives one row with null role and text and its
-    fingerprint (or null) as ``layout``, so that it is seen and a mapping can be added.
+    A record may have any other fields: those of the record and of its turns are kept as JSON beside each turn. A record
+    whose layout is unknown, or that is no JSON object, gives one row with null role and text and its fingerprint (or
+    null) as ``layout``, so that it is seen and a mapping can be added; all of it is in ``record_extra``.
     """
 
     def read(batches):
+        known: dict = {}
         for batch in batches:
             rows = []
-            for key, value in zip(batch["k"], batch["r"]):
-                turns = turns_of_record(value)
+            for key, text in zip(batch["k"], batch["r"]):
                 try:
-                    layout = schema_fingerprint(json.loads(value or ""))
+                    value = json.loads(text or "")
                 except ValueError:
-                    layout = None
-                rows += [(key, i, r, t, layout) for i, (r, t) in enumerate(turns)] if turns is not None else [(key, None, None, None, layout)]
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"])
+                    rows.append((key, None, None, None, None, text, None))
+                    continue
+                layout = schema_fingerprint(value)
+                mapping = selected(value, layouts, known) if isinstance(value, dict) else None
+                if mapping is None:
+                    rows.append((key, None, None, None, layout, text, None))
+                else:
+                    rows += [(key, i, *turn[:2], layout, *turn[2:]) for i, turn in enumerate(_read(value, mapping))]
+            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout", "record_extra", "turn_extra"])
             yield out.astype({"turn": "Int64"})
 
     kind = records.schema[conv_id].dataType.simpleString()
     text_batches(records.sparkSession)
-    return records.select(F.col(conv_id).alias("k"), F.col(record).alias("r")).mapInPandas(read, f"conv_id {kind}, turn long, role string, text string, layout string")
+    out = f"conv_id {kind}, turn long, role string, text string, layout string, record_extra string, turn_extra string"
+    return records.select(F.col(conv_id).alias("k"), F.col(record).alias("r")).mapInPandas(read, out)
 
 
-def turns_of_table(table: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """``conv_id, turn, role, text`` of a table with a row per turn; the fingerprint of its schema selects the columns.
-
-    ``fields`` names the columns that make up the layout where the table has others too.
-    """
-    schema = T.StructType([f for f in table.schema.fields if fields is None or f.name in fields])
-    mapping = TABLES.get(schema_fingerprint(schema))
+def turns_of_table(table: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` of a table with a row per turn; the paths of its schema select the columns, others are dropped."""
+    mapping = selected(table.schema, TABLES)
     if mapping is None:
-        raise ValueError(f"no mapping for the layout {sorted(set(paths(schema)))}")
-    return table.select(*[F.expr(v).alias(k) for k, v in mapping.items()])
+        raise ValueError(f"no mapping for the layout {sorted(set(paths(table.schema)))}")
+    return table.select(*[F.expr(mapping[c]).alias(c) for c in ("conv_id", "turn", "role", "text")])
 
 
 def escaped(text: str) -> str:
@@ -191,7 +235,7 @@ def report(conversations: DataFrame) -> DataFrame:
     digest runs over a conversation in order, so its turns pass one task, sorted on disk and streamed in batches.
     Rows with a null id are one conversation; an empty table gives no rows.
     """
-    turns = turns_of_table(conversations, ["conv_id", "turn", "role", "text"])
+    turns = turns_of_table(conversations)
     order = ["conv_id", F.col("turn").asc_nulls_last(), "formatted"]
     rows = formatted(turns).repartition("conv_id").sortWithinPartitions(*order)
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
