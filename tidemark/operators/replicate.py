@@ -189,23 +189,19 @@ def covers(n: int, length: int, reps: np.ndarray, every: int, at: int, draw: Dra
     """
     starts, whole = n - length + 1, -(-n // length) - 1
     low, high = at * block, min(n, (at + 1) * block)
-    steps = np.zeros((len(reps), high - low + 1))
-    line = np.arange(len(reps))
-
-    def cover(first: np.ndarray, size: int, weight=1.0):
-        one, two = np.clip(first - low, 0, high - low), np.clip(first + size - low, 0, high - low)
-        np.add.at(steps, (line, one), weight)
-        np.add.at(steps, (line, two), -weight)
-
+    first = max(0, low - block)  # of the block before
+    steps = np.zeros((len(reps), high - first + length + 1))
     draws = np.full(every, whole)
     for near in (at - 1, at):
         if 0 <= near * block < starts:
             count = multiplicities(starts, reps, draws, near, draw, seed, block)
-            for i in range(count.shape[1]):
-                cover(np.full(len(reps), near * block + i), length, count[:, i])
+            from_ = near * block - first
+            steps[:, from_ : from_ + count.shape[1]] += count
+            steps[:, from_ + length : from_ + length + count.shape[1]] -= count
     last = draw(reps.astype(np.int64), np.full(len(reps), whole, np.int64), np.full(len(reps), starts, np.int64))
-    cover(last, n - length * whole)
-    return np.cumsum(steps, axis=1)[:, :-1]
+    for edge, sign in ((last, 1.0), (last + n - length * whole, -1.0)):
+        steps[np.arange(len(reps)), np.clip(edge - first, 0, steps.shape[1] - 1)] += sign
+    return np.cumsum(steps, axis=1)[:, low - first : high - first]
 
 
 def block_welch_pairs(df: DataFrame, keys: Sequence[str], group: str, groups: Sequence[str], order: str, value: str, reps: int, draw: Draw, seed: int = 0, block: int = BLOCK) -> DataFrame:
