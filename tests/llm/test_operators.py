@@ -367,6 +367,26 @@ def test_likeness_of_shingles_decides(spark):
     assert small.count() == len(want)
 
 
+def test_crowds_of_a_common_passage(spark):
+    passage = prose(7, 60)
+    texts = [(i, f"{prose(100 + i, 60)} {passage}") for i in range(120)] + [(200 + i, f"{prose(100 + i, 60)} {passage} end") for i in range(5)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = simhash._unlike(frame, 0.8, 5, few=20, leaders=8)
+    assert sorted(r._low.doc_id for r in kept.collect()) == list(range(120))
+
+
+def test_profiles_tell_likeness():
+    base = prose(3, 400).split()
+    texts = [" ".join(base[:k] + prose(9, 400).split()[k:]) for k in (400, 390, 380, 300)]
+    mine = [simhash.profile(t) for t in texts]
+    differing = lambda a, b: sum(bin((int(x) ^ int(y)) & (1 << 64) - 1).count("1") for x, y in zip(a[1:5], b[1:5]))
+    alike = lambda a, b: simhash.jaccard(simhash.shingles(a), simhash.shingles(b))
+    for t, p in zip(texts[1:], mine[1:]):
+        share = 1 - 2 * differing(mine[0], p) / simhash.MINIMA  # one bit in two differs where the minima do
+        assert abs(share - alike(texts[0], t)) < 0.25
+    assert not simhash.profile(None).any() and not simhash.profile(" ").any()
+
+
 # line dedup
 
 

@@ -1,17 +1,19 @@
 """SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, verified Hamming distance.
 
-The pipeline's near-dedup (:func:`one_of_each_likeness`) takes pairs of a shingle similarity instead. These differ in up to
-13 of 64 bits, for which pigeonhole keys are either a few bits short or too many, so bands of minimum hashes name its candidates.
+The pipeline's near-dedup (:func:`one_of_each_likeness`) goes by a verified shingle similarity. The SimHash groups empty its
+crowds first; similar texts may differ in up to 13 of 64 bits, for which pigeonhole keys are either a few bits short or too
+many, so bands of minimum hashes name the candidates among what is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import boxed, components, text_batches, text_key
@@ -27,10 +29,15 @@ DENSE = 256
 WORDS, LIKENESS = 5, 0.8
 #: Bands of minimum hashes that name candidates: 1 - (1 - s**ROWS)**BANDS of the pairs of similarity s share one, 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
-FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Minimum hashes of a text: the first make the bands, one bit of each makes the sketch.
+MINIMA = 256
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
-#: Texts of a band up to which all are paired, and leaders of a larger band in one round.
-FEW, LEADERS = 64, 16
+#: Differing bits of two sketches from which a pair is not verified. Of similarity 0.8 one bit in ten differs, so 26 of 256
+#: with a deviation of 4.8; a pair of 0.8 has more than 46 with a probability of 4e-5.
+FAR = 46
+#: Members of a band up to which all are paired, and leaders of a larger band in one round.
+FEW, LEADERS = 32, 32
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -147,9 +154,9 @@ def one_of_each_group(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFra
     return _rows(docs, kept)
 
 
-def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs``, all columns, for each ``_id, _name`` of ``kept``."""
-    named = boxed(docs).withColumn("_key", text_key("_row.text"))
+def _rows(docs: DataFrame, kept: DataFrame, name: Callable[[str], Column] = text_key) -> DataFrame:
+    """One row of ``docs``, all columns, for each ``_id, _name`` of ``kept``; ``name`` made the names of the texts."""
+    named = boxed(docs).withColumn("_key", name("_row.text"))
     found = named.join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_name")), "left_semi")
     once = Window.partitionBy("_row.doc_id", "_key").orderBy(F.lit(0))
     return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
@@ -164,17 +171,22 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64))
 
 
-def band_keys(text: str | None, words: int = WORDS) -> np.ndarray:
-    """One key for each of ``BANDS`` bands of ``ROWS`` minimum hashes; texts without words have the key zero."""
+def profile(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The fingerprint of the distinct shingles, the words of the sketch and one key for each band; without words all zero."""
     found = shingles(text, words)
     if not len(found):
-        return np.zeros(BANDS, np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 1024):
-        x = found[k : k + 1024, None] * FACTORS
+        return np.zeros(1 + MINIMA // 64 + BANDS, np.int64)
+    low, counts = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
+    for k in range(0, len(found), 256):
+        part = found[k : k + 256]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        x = part[:, None] * FACTORS
         x ^= x >> np.uint64(29)
         low = np.minimum(low, (x * MIXER).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(part.tobytes(), SEED) for part in low.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+    print_ = np.packbits(counts * 2 > len(found), bitorder="little").view(np.int64)
+    sketch = np.packbits((low >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64)
+    bands = [xxhash.xxh64_intdigest(rows.tobytes(), SEED) for rows in low[: BANDS * ROWS].reshape(BANDS, ROWS)]
+    return np.concatenate((print_, sketch, np.array(bands, np.uint64).view(np.int64)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -182,8 +194,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
-    """``_key`` of the later text of each of ``pairs`` (``a, b``: text names, earlier first) that is alike."""
+def text_name(text: str = "text") -> Column:
+    """A 128-bit name of a text, which alone decides whether two texts are one; a null text has a name of its own."""
+    return F.unhex(F.md5(F.concat(F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+
+def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
+    """``_key`` of the later text of each of ``pairs`` (``a, b``: text names, earlier first) that is alike.
+
+    Pairs meet their sketches first; whole texts go only where these do not rule the likeness out.
+    """
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -192,49 +212,90 @@ def _alike(docs: DataFrame, pairs: DataFrame, likeness: float, words: int) -> Da
         of = lambda t: held[t] if t in held else held.setdefault(t, shingles(t, words))
         return pd.Series([jaccard(of(a), shingles(b, words)) >= likeness for a, b in zip(left, right)], dtype=bool)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    texts = docs.select(text_key().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").groupBy("_key").agg(F.first("_t").alias("_t"))
-    texts = cut_lineage(texts)
-    met = pairs.join(texts.select(F.col("_key").alias("a"), F.col("_t").alias("_left")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_t").alias("_right")), "b")
+    sketch = lambda x: texts.select(F.col("_key").alias(x), F.col("_sketch").alias(f"_s{x}"))
+    differing = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(MINIMA // 64)), F.lit(0))
+    likely = cut_lineage(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(differing <= FAR).select("a", "b"))
+    needed = likely.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    named = docs.select(text_name().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").dropDuplicates(["_key"])
+    met = likely.join(named.select(F.col("_key").alias("b"), F.col("_t").alias("_right")), "b").join(named.select(F.col("_key").alias("a"), F.col("_t").alias("_left")), "a")
     return cut_lineage(met.where(close("_left", "_right")).select(F.col("b").alias("_key")).distinct())
 
 
+def _group_stars(texts: DataFrame, bits: int = 4) -> DataFrame:
+    """Pairs ``a, b`` of the least text of each SimHash group and each other member."""
+    prints = cut_lineage(texts.select("_fp").distinct())
+    roots = components(links(prints, bits)).select(F.col("node").alias("_fp"), "root")
+    rooted = texts.select("_low", "_fp").join(roots, "_fp", "left").select("_low", F.coalesce("root", "_fp").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min("_low").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return rooted.join(least, "_root").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
+
+
+def _band_stars(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the least text of each band and each other member."""
+    least = members.groupBy("_band").agg(F.min("_low").alias("_first"))
+    return members.join(least, "_band").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
+
+
+def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the texts of a band; callers bound the bands of both sides."""
+    side = earlier.select("_band", F.col("_low").alias("_first"))
+    return side.join(later, "_band").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of bands of two or more, with the size ``_n`` of the band."""
+    shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return cut_lineage(members.join(shared, "_band"))
+
+
 def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leaders: int = LEADERS) -> DataFrame:
     """``_key, _low`` of the texts that stay: the name and the least ``_none, doc_id, _key`` among rows of the text.
 
-    Texts that share a band are candidates. Bands of up to ``few`` texts are paired. In larger ones each round compares
-    every text with one leader, later with up to ``leaders`` of them; what is alike goes, the leaders, now compared with
-    all that is left, leave the band, and the round repeats until no band is large. A crowd of near copies goes in the
-    first rounds; rows of a round grow with the members, and no pair of texts that both stay is passed over.
+    1. SimHash groups: each member is compared with the least text of its group, which empties crowds of near copies.
+    2. Bands of minimum hashes: each text that is left is compared with the least text of its bands.
+    3. Bands of up to ``few`` texts: what is left is compared with all earlier texts of the band.
+    4. Larger bands: those left are told apart by each further band they share, and again all pairs of up to ``few``
+       are compared; what still is larger meets up to ``leaders`` of its texts in each round, which then leave.
+
+    The first two steps make pairs in proportion to the texts, whatever the size of a crowd, so only texts that are
+    like no least text reach the others. Of two alike texts that share a band one goes.
     """
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
-    def bands(texts: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(t, words) for t in texts])
+    def profiles(texts: pd.Series) -> pd.Series:
+        return pd.Series([profile(t, words) for t in texts])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("_key")).withColumn("_bands", bands("text"))
+    rows = docs.select("doc_id", text_name().alias("_key"), profiles(F.col("text").cast("string")).alias("_p"))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_key"))
-    texts = cut_lineage(rows.groupBy("_key").agg(low.alias("_low"), F.first("_bands").alias("_bands")))
-    members = texts.select("_key", "_low", F.posexplode("_bands").alias("_k", "_v")).select("_key", "_low", F.xxhash64("_k", "_v").alias("_band"))
-    gone, classes = None, 1
-    while True:
-        size = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        members = cut_lineage(members.join(size, "_band"))
-        small, large = members.where(F.col("_n") <= few).drop("_n"), members.where(F.col("_n") > few).drop("_n")
-        named = lambda side, x: side.select("_band", F.col("_key").alias(f"_{x}"), F.col("_low").alias(f"_low_{x}"))
-        paired = named(small, "p").join(named(small, "q"), "_band").where("_low_p < _low_q")
-        first = cut_lineage(large.withColumn("_class", F.pmod("_key", F.lit(classes))).groupBy("_band", "_class").agg(F.min("_low").alias("_low")).select("_band", F.col("_low._key").alias("_key"), "_low"))
-        led = named(first, "p").join(named(large, "q"), "_band").where("_p <> _q")
-        earlier = F.col("_low_p") < F.col("_low_q")
-        pairs = paired.unionByName(led).select(F.when(earlier, F.col("_p")).otherwise(F.col("_q")).alias("a"), F.when(earlier, F.col("_q")).otherwise(F.col("_p")).alias("b")).distinct()
-        found = _alike(docs, cut_lineage(pairs), likeness, words)
-        gone = found if gone is None else cut_lineage(gone.unionByName(found).distinct())
-        if first.isEmpty():
-            break
-        members = large.join(found, "_key", "left_anti").join(first.select("_band", "_key"), ["_band", "_key"], "left_anti")
-        classes = leaders
-    return texts.select("_key", "_low").join(gone, "_key", "left_anti")
+    once = rows.groupBy("_key").agg(low.alias("_low"), F.first("_p").alias("_p"))
+    parts = F.col("_p")[0].alias("_fp"), F.slice("_p", 2, MINIMA // 64).alias("_sketch"), F.slice("_p", 2 + MINIMA // 64, BANDS).alias("_bands")
+    texts = cut_lineage(once.select("_key", "_low", *parts))
+    alike = lambda pairs: _alike(docs, texts, pairs, likeness, words)
+    without = lambda members, found: members.join(found, F.col("_low._key") == F.col("_key"), "left_anti")
+
+    gone = alike(_group_stars(texts))
+    banded = without(texts.select("_low", "_bands"), gone)
+    members = _sized(banded.select("_low", F.posexplode("_bands").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("_band"), "_low"))
+    found = alike(_band_stars(members))
+    gone = gone.unionByName(found)
+
+    left = cut_lineage(without(members, found))
+    small = alike(_pairs(members.where(F.col("_n") <= few), left))
+    gone, left = gone.unionByName(small), without(left, small)
+    crowded = _sized(left.where(F.col("_n") > few).select("_band", "_low"))
+    further = crowded.join(texts.select(F.col("_key").alias("_of"), "_bands"), F.col("_low._key") == F.col("_of"))
+    further = further.select("_band", "_low", F.posexplode("_bands").alias("_k", "_v")).where(F.xxhash64("_k", "_v") != F.col("_band"))
+    left = _sized(further.select(F.xxhash64("_band", "_k", "_v").alias("_band"), "_low"))
+    while not left.isEmpty():
+        near, large = left.where(F.col("_n") <= few).drop("_n"), left.where(F.col("_n") > few).drop("_n")
+        lots = large.withColumn("_lot", F.pmod(F.xxhash64("_band", "_low._key"), F.lit(leaders)))
+        first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min("_low").alias("_low")).select("_band", "_low"))
+        later = _pairs(large, first)  # leaders that an earlier text of their band goes before
+        found = alike(_pairs(near, near).unionByName(_pairs(first, large)).unionByName(later))
+        gone = gone.unionByName(found)
+        left = _sized(without(large, found).join(first, ["_band", "_low"], "left_anti"))
+    return texts.select("_key", "_low").join(gone.distinct(), "_key", "left_anti")
 
 
 def one_of_each_likeness(docs: DataFrame, likeness: float = LIKENESS, words: int = WORDS) -> DataFrame:
@@ -243,6 +304,7 @@ def one_of_each_likeness(docs: DataFrame, likeness: float = LIKENESS, words: int
     Two texts are linked where their sets of ``words``-word shingles have a Jaccard similarity of ``likeness`` or more;
     texts without words are alike. A row goes only where verified links lead from it to rows of lesser ids. Null ids
     come after all others; among rows of one id the least name of the text decides; of rows that repeat both one stays.
+    An empty table gives no rows.
     """
     kept = _unlike(docs, likeness, words).select(F.col("_low.doc_id").alias("_id"), F.col("_low._key").alias("_name"))
-    return _rows(docs, kept)
+    return _rows(docs, kept, text_name)
