@@ -36,6 +36,8 @@ MIXER = np.uint64(0xBF58476D1CE4E5B9)
 #: Differing bits of two sketches from which a pair is not verified. Of similarity 0.8 one bit in ten differs, so 26 of 256
 #: with a deviation of 4.8; a pair of 0.8 has more than 46 with a probability of 4e-5.
 FAR = 46
+#: First band and number of bands of the rounds before the one over all bands.
+SHARES = ((1, 1), (2, 1), (3, 2))
 #: Members of a band up to which all are paired, and leaders of a larger band in one round.
 FEW, LEADERS = 32, 32
 
@@ -200,7 +202,7 @@ def text_name(text: str = "text") -> Column:
 
 
 def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
-    """``_key`` of the later text of each of ``pairs`` (``a, b``: text names, earlier first) that is alike.
+    """Those of ``pairs`` (``a, b``: the ``_low`` of two texts) that are alike.
 
     Pairs meet their sketches first; whole texts go only where these do not rule the likeness out.
     """
@@ -212,34 +214,33 @@ def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float,
         of = lambda t: held[t] if t in held else held.setdefault(t, shingles(t, words))
         return pd.Series([jaccard(of(a), shingles(b, words)) >= likeness for a, b in zip(left, right)], dtype=bool)
 
-    sketch = lambda x: texts.select(F.col("_key").alias(x), F.col("_sketch").alias(f"_s{x}"))
+    sketch = lambda x: texts.select(F.col("_low").alias(x), F.col("_sketch").alias(f"_s{x}"))
     differing = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(MINIMA // 64)), F.lit(0))
     likely = cut_lineage(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(differing <= FAR).select("a", "b"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    needed = likely.select(F.explode(F.array("a._key", "b._key")).alias("_key")).distinct()
     named = docs.select(text_name().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").dropDuplicates(["_key"])
-    met = likely.join(named.select(F.col("_key").alias("b"), F.col("_t").alias("_right")), "b").join(named.select(F.col("_key").alias("a"), F.col("_t").alias("_left")), "a")
-    return cut_lineage(met.where(close("_left", "_right")).select(F.col("b").alias("_key")).distinct())
+    of = lambda x, t: named.select(F.col("_key").alias(f"_k{x}"), F.col("_t").alias(t))
+    met = likely.join(of("b", "_right"), F.col("b._key") == F.col("_kb")).join(of("a", "_left"), F.col("a._key") == F.col("_ka"))
+    return cut_lineage(met.where(close("_left", "_right")).select("a", "b"))
+
+
+def _stars(members: DataFrame, by: str) -> DataFrame:
+    """Pairs ``a, b`` of the most central text of each group (``_score``, then the last ``_low``) and each other member."""
+    central = members.groupBy(by).agg(F.max(F.struct("_score", "_low")).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return members.join(central, by).where(F.col("_low") != F.col("_top._low")).select(F.col("_top._low").alias("a"), F.col("_low").alias("b"))
 
 
 def _group_stars(texts: DataFrame, bits: int = 4) -> DataFrame:
-    """Pairs ``a, b`` of the least text of each SimHash group and each other member."""
+    """Stars of the SimHash groups."""
     prints = cut_lineage(texts.select("_fp").distinct())
     roots = components(links(prints, bits)).select(F.col("node").alias("_fp"), "root")
-    rooted = texts.select("_low", "_fp").join(roots, "_fp", "left").select("_low", F.coalesce("root", "_fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_low").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return rooted.join(least, "_root").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
-
-
-def _band_stars(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the least text of each band and each other member."""
-    least = members.groupBy("_band").agg(F.min("_low").alias("_first"))
-    return members.join(least, "_band").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
+    return _stars(texts.join(roots, "_fp", "left").select("_low", "_score", F.coalesce("root", "_fp").alias("_root")), "_root")
 
 
-def _pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the texts of a band; callers bound the bands of both sides."""
-    side = earlier.select("_band", F.col("_low").alias("_first"))
-    return side.join(later, "_band").where("_first < _low").select(F.col("_first._key").alias("a"), F.col("_low._key").alias("b"))
+def _pairs(some: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the texts of a band, the earlier first; callers bound the bands."""
+    met = some.select("_band", F.col("_low").alias("_first")).join(others, "_band").where("_first <> _low")
+    return met.select(F.least("_first", "_low").alias("a"), F.greatest("_first", "_low").alias("b"))
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -251,14 +252,17 @@ def _sized(members: DataFrame) -> DataFrame:
 def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leaders: int = LEADERS) -> DataFrame:
     """``_key, _low`` of the texts that stay: the name and the least ``_none, doc_id, _key`` among rows of the text.
 
-    1. SimHash groups: each member is compared with the least text of its group, which empties crowds of near copies.
-    2. Bands of minimum hashes: each text that is left is compared with the least text of its bands.
-    3. Bands of up to ``few`` texts: what is left is compared with all earlier texts of the band.
+    Verified links make groups, of which the least text stays. Who has a link to a centre needs no other, so it leaves:
+
+    1. SimHash groups: each member is compared with the most central text of its group, the one that shares bands with most.
+    2. Bands of minimum hashes: each text that is left is compared with the most central text of its bands, first of one
+       band, then of the next few (``SHARES``), so that a crowd goes at about one pair for each member, then of all.
+    3. Bands of up to ``few`` texts: what is left is compared with all texts of the band.
     4. Larger bands: those left are told apart by each further band they share, and again all pairs of up to ``few``
        are compared; what still is larger meets up to ``leaders`` of its texts in each round, which then leave.
 
     The first two steps make pairs in proportion to the texts, whatever the size of a crowd, so only texts that are
-    like no least text reach the others. Of two alike texts that share a band one goes.
+    unlike every centre reach the others.
     """
     text_batches(docs.sparkSession)
 
@@ -271,31 +275,34 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     once = rows.groupBy("_key").agg(low.alias("_low"), F.first("_p").alias("_p"))
     parts = F.col("_p")[0].alias("_fp"), F.slice("_p", 2, MINIMA // 64).alias("_sketch"), F.slice("_p", 2 + MINIMA // 64, BANDS).alias("_bands")
     texts = cut_lineage(once.select("_key", "_low", *parts))
+    banded = lambda df, at=(1, BANDS): df.select("*", F.posexplode(F.slice("_bands", *at)).alias("_k", "_v")).withColumn("_band", F.xxhash64(F.col("_k") + at[0], "_v"))
     alike = lambda pairs: _alike(docs, texts, pairs, likeness, words)
-    without = lambda members, found: members.join(found, F.col("_low._key") == F.col("_key"), "left_anti")
-
-    gone = alike(_group_stars(texts))
-    banded = without(texts.select("_low", "_bands"), gone)
-    members = _sized(banded.select("_low", F.posexplode("_bands").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("_band"), "_low"))
-    found = alike(_band_stars(members))
-    gone = gone.unionByName(found)
-
-    left = cut_lineage(without(members, found))
-    small = alike(_pairs(members.where(F.col("_n") <= few), left))
-    gone, left = gone.unionByName(small), without(left, small)
+    without = lambda members, found: members.join(found.select(F.col("b").alias("_low")).distinct(), "_low", "left_anti")
+
+    spread = _sized(banded(texts).select("_band", "_low")).groupBy("_low").agg(F.sum("_n").alias("_score"))
+    scored = cut_lineage(texts.join(spread, "_low", "left").select("_low", "_fp", "_bands", F.coalesce("_score", F.lit(0)).alias("_score")))
+    found = alike(_group_stars(scored))
+    joined, left = found, without(scored, found)
+    for share in (*SHARES, (1, BANDS)):
+        found = alike(_stars(banded(left, share).select("_band", "_low", "_score"), "_band"))
+        joined, left = joined.unionByName(found), without(left, found)
+
+    members = _sized(banded(scored).select("_band", "_low"))
+    left = cut_lineage(members.join(left.select("_low"), "_low", "left_semi"))
+    found = alike(_pairs(members.where(F.col("_n") <= few), left))
+    joined, left = joined.unionByName(found), without(left, found)
     crowded = _sized(left.where(F.col("_n") > few).select("_band", "_low"))
-    further = crowded.join(texts.select(F.col("_key").alias("_of"), "_bands"), F.col("_low._key") == F.col("_of"))
-    further = further.select("_band", "_low", F.posexplode("_bands").alias("_k", "_v")).where(F.xxhash64("_k", "_v") != F.col("_band"))
-    left = _sized(further.select(F.xxhash64("_band", "_k", "_v").alias("_band"), "_low"))
+    further = banded(crowded.select(F.col("_band").alias("_of"), "_low").join(texts.select("_low", "_bands"), "_low")).where("_band <> _of")
+    left = _sized(further.select(F.xxhash64("_of", "_band").alias("_band"), "_low"))
     while not left.isEmpty():
         near, large = left.where(F.col("_n") <= few).drop("_n"), left.where(F.col("_n") > few).drop("_n")
         lots = large.withColumn("_lot", F.pmod(F.xxhash64("_band", "_low._key"), F.lit(leaders)))
         first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min("_low").alias("_low")).select("_band", "_low"))
-        later = _pairs(large, first)  # leaders that an earlier text of their band goes before
-        found = alike(_pairs(near, near).unionByName(_pairs(first, large)).unionByName(later))
-        gone = gone.unionByName(found)
+        found = alike(_pairs(near, near).unionByName(_pairs(first, large)))
+        joined = joined.unionByName(found)
         left = _sized(without(large, found).join(first, ["_band", "_low"], "left_anti"))
-    return texts.select("_key", "_low").join(gone.distinct(), "_key", "left_anti")
+    roots = components(joined).where("node <> root").select(F.col("node").alias("_low"))
+    return texts.select("_key", "_low").join(roots, "_low", "left_anti")
 
 
 def one_of_each_likeness(docs: DataFrame, likeness: float = LIKENESS, words: int = WORDS) -> DataFrame:
