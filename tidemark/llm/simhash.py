@@ -38,7 +38,7 @@ MIXER = np.uint64(0xBF58476D1CE4E5B9)
 FAR = 46
 #: First band and number of bands of the rounds before the one over all bands.
 SHARES = ((1, 1), (2, 1), (3, 2))
-#: Members of a band up to which all are paired, and leaders of a larger band in one round.
+#: Members of a band up to which all are paired, and leaders of a larger band in the first round; each round doubles them.
 FEW, LEADERS = 32, 32
 
 
@@ -201,6 +201,11 @@ def text_name(text: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
 
+def _differing(a: str, b: str) -> Column:
+    """Differing bits of two sketches."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MINIMA // 64)), F.lit(0))
+
+
 def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``: the ``_low`` of two texts) that are alike.
 
@@ -215,8 +220,7 @@ def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float,
         return pd.Series([jaccard(of(a), shingles(b, words)) >= likeness for a, b in zip(left, right)], dtype=bool)
 
     sketch = lambda x: texts.select(F.col("_low").alias(x), F.col("_sketch").alias(f"_s{x}"))
-    differing = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(MINIMA // 64)), F.lit(0))
-    likely = cut_lineage(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(differing <= FAR).select("a", "b"))
+    likely = cut_lineage(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(_differing("_sa", "_sb") <= FAR).select("a", "b"))
     needed = likely.select(F.explode(F.array("a._key", "b._key")).alias("_key")).distinct()
     named = docs.select(text_name().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").dropDuplicates(["_key"])
     of = lambda x, t: named.select(F.col("_key").alias(f"_k{x}"), F.col("_t").alias(t))
@@ -238,8 +242,12 @@ def _group_stars(texts: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def _pairs(some: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the texts of a band, the earlier first; callers bound the bands."""
-    met = some.select("_band", F.col("_low").alias("_first")).join(others, "_band").where("_first <> _low")
+    """Pairs ``a, b`` of the texts of a band, the earlier first; callers bound the bands.
+
+    Members carry their sketches, which the join itself compares: texts that these tell apart never become a row.
+    """
+    first = some.select("_band", F.col("_low").alias("_first"), F.col("_sketch").alias("_s"))
+    met = first.join(others, "_band").where(F.col("_first") != F.col("_low")).where(_differing("_s", "_sketch") <= FAR)
     return met.select(F.least("_first", "_low").alias("a"), F.greatest("_first", "_low").alias("b"))
 
 
@@ -258,11 +266,12 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     2. Bands of minimum hashes: each text that is left is compared with the most central text of its bands, first of one
        band, then of the next few (``SHARES``), so that a crowd goes at about one pair for each member, then of all.
     3. Bands of up to ``few`` texts: what is left is compared with all texts of the band.
-    4. Larger bands: those left are told apart by each further band they share, and again all pairs of up to ``few``
-       are compared; what still is larger meets up to ``leaders`` of its texts in each round, which then leave.
+    4. Larger bands: those left are told apart by each further larger band they share, and again all pairs of up to ``few``
+       are compared; what still is larger meets up to ``leaders`` of its texts, which then leave, in each round twice as
+       many, so that the rounds grow with the logarithm of a crowd.
 
     The first two steps make pairs in proportion to the texts, whatever the size of a crowd, so only texts that are
-    unlike every centre reach the others.
+    unlike every centre reach the others. These join with their sketches, and only what is likely alike becomes a row.
     """
     text_batches(docs.sparkSession)
 
@@ -287,20 +296,21 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
         found = alike(_stars(banded(left, share).select("_band", "_low", "_score"), "_band"))
         joined, left = joined.unionByName(found), without(left, found)
 
+    sketched = lambda members: members.join(texts.select("_low", "_sketch"), "_low")
     members = _sized(banded(scored).select("_band", "_low"))
-    left = cut_lineage(members.join(left.select("_low"), "_low", "left_semi"))
-    found = alike(_pairs(members.where(F.col("_n") <= few), left))
+    left = cut_lineage(sketched(members.join(left.select("_low"), "_low", "left_semi")))
+    found = alike(_pairs(sketched(members.where(F.col("_n") <= few)), left))
     joined, left = joined.unionByName(found), without(left, found)
-    crowded = _sized(left.where(F.col("_n") > few).select("_band", "_low"))
-    further = banded(crowded.select(F.col("_band").alias("_of"), "_low").join(texts.select("_low", "_bands"), "_low")).where("_band <> _of")
-    left = _sized(further.select(F.xxhash64("_of", "_band").alias("_band"), "_low"))
+    crowds = left.where(F.col("_n") > few).groupBy("_low").agg(F.sort_array(F.collect_set("_band")).alias("_of"))
+    twice = crowds.select("_low", "_of", F.explode("_of").alias("_one")).select("_low", "_one", F.explode("_of").alias("_two")).where("_one < _two")
+    left = cut_lineage(sketched(_sized(twice.select(F.xxhash64("_one", "_two").alias("_band"), "_low"))))
     while not left.isEmpty():
         near, large = left.where(F.col("_n") <= few).drop("_n"), left.where(F.col("_n") > few).drop("_n")
         lots = large.withColumn("_lot", F.pmod(F.xxhash64("_band", "_low._key"), F.lit(leaders)))
-        first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min("_low").alias("_low")).select("_band", "_low"))
+        first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min(F.struct("_low", "_sketch")).alias("_least")).select("_band", "_least.*"))
         found = alike(_pairs(near, near).unionByName(_pairs(first, large)))
-        joined = joined.unionByName(found)
-        left = _sized(without(large, found).join(first, ["_band", "_low"], "left_anti"))
+        joined, leaders = joined.unionByName(found), 2 * leaders
+        left = _sized(without(large, found).join(first.select("_band", "_low"), ["_band", "_low"], "left_anti"))
     roots = components(joined).where("node <> root").select(F.col("node").alias("_low"))
     return texts.select("_key", "_low").join(roots, "_low", "left_anti")
 
