@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import trend as T
 from tidemark.plans.base import LEVELS_SQL, levels, query, table
-from tidemark.sources import files, sinks, text
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
+from tidemark.sources import files, sinks, stores, text
 
 
 @query(
@@ -81,6 +84,23 @@ def report_numbers(spark, sf):
     return sinks.significance_rows(rows, "v", 200000.0).select("o_orderkey", "shown", "persian", "row_colour")
 
 
+@query(
+    "yearly_stores",
+    "S8 S9 S13 K6",
+    """SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority,
+       CAST(count(*) AS DOUBLE) AS n, CAST(max(o_totalprice) AS DOUBLE) AS top FROM orders WHERE year(o_orderdate) >= 1995 GROUP BY 1, 2, 3""",
+)
+def yearly_stores(spark, sf):
+    """A grid written as one chunked store for each year, and the stores from 1995 on read as one scan."""
+    month, priority = F.to_date(F.trunc("o_orderdate", "month")).alias("time"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority")
+    grid = cut_lineage(table(spark, sf, "orders").groupBy(month, priority).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top")))
+    folder = f"{ensure_checkpoint_dir(spark)}/stores-{uuid.uuid4().hex}"
+    for (year,) in grid.select(F.year("time")).where("time is not null").distinct().collect():
+        stores.write_zarr(grid.where(F.year("time") == year), f"{folder}/{year}.zarr", {"time": 4, "priority": 3}, ["n", "top"])
+    cells = stores.read_stores(stores.list_stores(spark, folder).where("year >= 1995"), ["n", "top"])
+    return cells.where("n is not null").select("year", F.month("time").alias("month"), "priority", "n", "top")
+
+
 @query(
     "half_even_rounding",
     "P24",

@@ -185,15 +185,20 @@ class ZarrReader(DataSourceReader):
 NETCDF_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 
 
+#: Bytes of a header that are read first.
+HEADER = 1 << 16
+
+
 class NetcdfFile:
     """Header of a classic NetCDF file: dimensions, variables and where their values lie."""
 
     def __init__(self, path: str):
         self.path = path
-        head = read_bytes(path, 0, 1 << 20)
+        self._raw, self._at = b"", 0
+        head = self._bytes(4)
         if head[:3] != b"CDF":
             raise ValueError(f"{path} is not a classic NetCDF file; convert NetCDF-4 with nccopy -k classic")
-        self.version, self._raw, self._at = head[3], head, 4
+        self.version = head[3]
         wide = self.version == 5
         self._count = ">q" if wide else ">i"
         self.records = self._number()
@@ -214,10 +219,18 @@ class NetcdfFile:
             v = record[0]
             self.record_size = v["dtype"].itemsize * int(np.prod([self.dims[a][1] for a in v["axes"][1:]]))
 
+    def _bytes(self, n: int) -> bytes:
+        """The next bytes of the header, of which more is read as it is needed, each time twice as much."""
+        while self._at + n > len(self._raw):
+            more = read_bytes(self.path, len(self._raw), max(HEADER, len(self._raw)))
+            if not more:
+                raise ValueError(f"{self.path} ends within its header")
+            self._raw += more
+        self._at += n
+        return self._raw[self._at - n : self._at]
+
     def _take(self, fmt: str):
-        value = struct.unpack_from(fmt, self._raw, self._at)[0]
-        self._at += struct.calcsize(fmt)
-        return value
+        return struct.unpack(fmt, self._bytes(struct.calcsize(fmt)))[0]
 
     def _number(self) -> int:
         return self._take(self._count)
@@ -228,17 +241,14 @@ class NetcdfFile:
 
     def _name(self) -> str:
         n = self._number()
-        text = self._raw[self._at : self._at + n].decode()
-        self._at += -(-n // 4) * 4
-        return text
+        return self._bytes(-(-n // 4) * 4)[:n].decode()
 
     def _attributes(self) -> dict:
         out = {}
         for _ in range(self._list()):
             name, kind = self._name(), self._take(">i")
             n, dtype = self._number(), np.dtype(NETCDF_TYPES[kind])
-            raw = self._raw[self._at : self._at + n * dtype.itemsize]
-            self._at += -(-n * dtype.itemsize // 4) * 4
+            raw = self._bytes(-(-n * dtype.itemsize // 4) * 4)[: n * dtype.itemsize]
             out[name] = raw.decode(errors="replace") if kind == 2 else np.frombuffer(raw, dtype).tolist()
         return out
 
