@@ -196,6 +196,17 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - d[at]) < 2e-3
 
 
+
+def test_long_pages_are_learnt_to_their_end(spark):
+    paragraphs = lambda i: [prose(i + 7 * k, 9) for k in range(110)]
+    made = [(i, "u", PAGE.format(head=prose(i, 4), a=prose(i + 50, 12), b=prose(i + 90, 25))) for i in range(30)]
+    long = [(100 + i, "u", PAGE.format(head=prose(i, 4), a=prose(i + 50, 12), b="</p><p>".join(paragraphs(i)))) for i in range(8)]
+    got = {r.page_id: r.text for r in pages.report(spark.createDataFrame([*made, *long], "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[100 + i] == " ".join([prose(i, 4), prose(i + 50, 12), *paragraphs(i), "& été"])
+    first = pages.trained(spark.createDataFrame(made[:3], "page_id long, url string, html string"))
+    assert first.v.shape == pages.Labeller().v.shape
+
 def test_main_text(spark):
     made = [(i, "http://x/", PAGE.format(head=prose(i, 4), a=prose(i + 50, 12), b=prose(i + 90, 25))) for i in range(40)]
     rows = [*made, (40, None, None), (41, "u", ""), (0, *made[0][1:])]

@@ -16,8 +16,10 @@ from tidemark.llm.common import text_batches
 
 #: Buckets of hashed path parts and of hashed words, plain numbers of a block, and hidden units of a direction.
 PATH, WORDS, PLAIN, HIDDEN = 96, 48, 6, 16
-#: Pages of a fit, blocks of each that it reads, and rounds over them.
-SAMPLE, TRAIN_BLOCKS, EPOCHS = 160, 80, 24
+#: Pages of a fit, blocks of all of them together, and rounds over them.
+SAMPLE, TRAIN_BLOCKS, EPOCHS = 160, 12_800, 24
+#: Blocks with padding that are labelled or learnt at a time.
+CELLS = 4096
 #: Elements that hold no text, that are never closed, that run on in a line, and that end one of their own.
 UNREAD = "script|style|noscript|template|svg|iframe|object|textarea"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -156,7 +158,12 @@ class Labeller:
         weights = lambda: [self.v, self.c, self.w[0], self.b[0], self.w[1], self.b[1]]
         first, second = [np.zeros_like(w) for w in weights()], [np.zeros_like(w) for w in weights()]
         order, r, step = sorted(range(len(pages)), key=lambda j: len(pages[j])), np.random.default_rng(11), 0
-        groups = [padded([pages[j] for j in order[a : a + batch]], [labels[j] for j in order[a : a + batch]]) for a in range(0, len(order), batch)]
+        groups = []
+        while order:
+            taken = [order.pop()]
+            while order and len(taken) < batch and (len(taken) + 1) * len(pages[taken[0]]) <= CELLS:
+                taken.append(order.pop())
+            groups.append(padded([pages[j] for j in taken], [labels[j] for j in taken]))
         for _ in range(epochs):
             for j in r.permutation(len(groups)):
                 step += 1
@@ -210,11 +217,18 @@ def varied(page: list[tuple[tuple[str, ...], str, int]], r: np.random.Generator)
 
 
 def trained(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """The labeller from ``sample`` pages in hash order, each as it is and twice in other layouts, first ``TRAIN_BLOCKS`` blocks."""
+    """The labeller from ``sample`` pages in hash order, each as it is and twice in other layouts.
+
+    Pages are learnt whole, so that the fit sees how they end. A page that would take the blocks of the sample over
+    ``TRAIN_BLOCKS`` is left out of the fit.
+    """
     rows = pages.where("html is not null").orderBy(F.xxhash64("html"), "page_id").select("html").limit(sample)
-    r, x, y = np.random.default_rng(3), [], []
+    r, x, y, left = np.random.default_rng(3), [], [], TRAIN_BLOCKS
     for (html,) in rows.toLocalIterator():
-        page = blocks(html)[:TRAIN_BLOCKS]
+        page = blocks(html)
+        if len(page) > left:
+            continue
+        left -= len(page)
         for layout in (page, varied(page, r), varied(page, r)):
             if layout:
                 x.append(features(layout))
@@ -222,7 +236,7 @@ def trained(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     return Labeller().fit(x, y) if x else Labeller()
 
 
-def main_texts(labeller: Labeller, htmls: list[str | None], cells: int = 4096) -> list[str]:
+def main_texts(labeller: Labeller, htmls: list[str | None], cells: int = CELLS) -> list[str]:
     """The main text of each page; pages of like length are labelled together, ``cells`` blocks with padding at a time."""
     pages = [blocks(h) for h in htmls]
     out = [""] * len(pages)
