@@ -3,8 +3,10 @@
 import hashlib
 import html
 import json
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -479,6 +481,60 @@ def test_probabilities_sum_to_one(spark):
         assert all(0 <= r.weight <= 1 for r in weight.collect())
 
 
+def plain_kneser_ney(trusted):
+    """Bits of a text under interpolated modified Kneser-Ney of order 4 over whole characters, by the formulas."""
+    size, begin = kneser.ORDER, kneser.BEGIN_CHAR * (kneser.ORDER - 1)
+    seen = [begin + kneser.plain(t) for t in trusted]
+    tables = [Counter(t[i - size + 1 : i + 1] for t in seen for i in range(size - 1, len(t)))]
+    tables[0] = Counter({g: n for g, n in tables[0].items() if kneser.AGAIN_CHAR not in g})
+    while len(tables) < size:
+        tables.insert(0, Counter(g[1:] for g in tables[0]))
+    cuts = []
+    for c in tables:
+        n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        d = [min(k, k - (k + 1) * y * n[k] / n[k - 1]) if min(n[:3]) > 0 else 0 for k in (1, 2, 3)]
+        cuts.append([x if x > 0 else 0.5 for x in d])
+
+    def p(gram):
+        if not gram:
+            return 1 / kneser.V
+        c, d = tables[len(gram) - 1], cuts[len(gram) - 1]
+        under = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        if not under:
+            return p(gram[1:])
+        cut = lambda n: min(n, d[min(n, 3) - 1])
+        n, total = under.get(gram, 0), sum(under.values())
+        return ((n - cut(n) if n else 0) + sum(map(cut, under.values())) * p(gram[1:])) / total
+
+    def bits(text):
+        t = begin + kneser.plain(text)
+        return -sum(math.log2(p(t[i - size + 1 : i + 1])) for i in range(size - 1, len(t)))
+
+    return bits
+
+
+def test_scores_follow_the_formulas_for_every_character(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "SHARD", 600)
+    monkeypatch.setattr(kneser, "PACK", 300)
+    r = random.Random(4)
+    han = [chr(0x4E00 + 7 * k) for k in range(60)]
+    words = ["Alpha", "BETA", "\u00c9t\u00e9", "gamma gamma", "na\u00efve", "\U0001f600!"]
+    zh = ["".join(r.choice(han[:45]) + r.choice("\u3002 ") for _ in range(25)) for _ in range(8)]
+    en = [" ".join(r.choice(words) for _ in range(12)) for _ in range(8)]
+    model = kneser._fitted(spark.createDataFrame([("zh", t) for t in zh] + [("en", t) for t in en], "lang string, text string"))
+    others = ["".join(r.choice(han) for _ in range(20)), "Alpha ALPHA BETA", "beta gamma", "\x02\x03", "", None, en[0], zh[0]]
+    rows = [(i, lang, t, ["k"]) for i, (lang, t) in enumerate((lang, t) for t in others for lang in ("en", "zh", None, "xx"))] + [(0, "en", others[0], ["k"])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, _shard array<string>")
+    got = kneser.scored(kneser.boxed(docs), model).select("_row.*", "_model", "_bits", "_symbols").collect()
+    plain = {"en": plain_kneser_ney(en), "zh": plain_kneser_ney(zh)}
+    assert sorted((x.doc_id, x._shard[0]) for x in got) == sorted((i, "k") for i, *_ in rows)
+    for x in got:
+        tried = {k: f(x.text or "") for k, f in plain.items() if x.lang in (k, None)}
+        assert x._model == (min(tried, key=lambda k: (tried[k], k)) if tried else None)
+        assert x._bits == pytest.approx(min(tried.values()) if tried else 0, abs=1e-6)
+
+
 # language
 
 

@@ -1,34 +1,35 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, so that its size has a bound that no corpus passes: each language has its ``LETTERS`` most
-frequent characters as symbols of their own and every other character as one of nine classes; a word that repeats
-the word before it is one symbol. With V = LETTERS + 9 symbols an order of 4 has V**4 grams at most. Counts,
-continuation counts, discounts and probabilities are Spark tables keyed (sharded) by language and gram or context and
-joined on these keys; the finished tables, bounded as said, reach the scoring tasks as a broadcast.
+The model is over characters, each code point a symbol of its own; a word that repeats the word before it is one
+symbol. A gram is its last symbol and its context, the ``ORDER - 1`` symbols before it as one number in base V. Counts,
+continuation counts, discounts, probabilities and back-off weights are Spark tables keyed (sharded) by language and
+gram or context and joined on these keys. To score, texts are dealt to shards of bounded size; each shard's different
+grams are joined with the tables and meet its texts again. No table goes through the driver or whole to a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import unicodedata
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import boxed, text_batches
 from tidemark.session import cut_lineage
 
-LETTERS, ORDER = 32, 4
-#: Classes of characters without a symbol of their own; BEGIN stands before a text, AGAIN for a repeated word.
-LOWER, UPPER, DIGIT, SPACE, LETTER, PUNCTUATION, OTHER, BEGIN, AGAIN = range(9)
-V = LETTERS + 9
-#: Characters of the symbols' own, and the repeated words they come from.
-BEGIN_CHAR, AGAIN_CHAR = "\x02", "\x03"
+ORDER, V = 4, 0x110000
+#: Stand before a text and for a repeated word.
+BEGIN, AGAIN = 2, 3
+BEGIN_CHAR, AGAIN_CHAR = chr(BEGIN), chr(AGAIN)
 REPEATED = re.compile(r"\b(\w++)((?:\s++\1\b)+)")
 #: Share of trusted text that a threshold keeps, and symbols of average text that each text is judged with:
 #: a text of a few words says little about its quality and is drawn towards the mean of its language.
@@ -37,12 +38,12 @@ QUANTILE, PRIOR = 0.99, 50.0
 HELD_OUT = 5
 #: Scores below which a language has no threshold.
 LEAST = 10
-#: Languages whose dense probabilities (V**ORDER floats) a task holds at once.
-READY = 24
 #: Steps per bit of the histogram from which quantiles are read.
 STEPS = 256
 #: Trusted ids that a join may broadcast (16 bytes each); above it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Characters of a shard of texts to score and of a compressed pack of them, and what a row counts beside its text.
+SHARD, PACK, ROW = 4_000_000, 500_000, 200
 
 
 def plain(text: str | None) -> str:
@@ -51,93 +52,37 @@ def plain(text: str | None) -> str:
     return REPEATED.sub(lambda m: m[1] + AGAIN_CHAR * len(m[2].split()), text)
 
 
-def kind(c: str) -> int:
-    if c == BEGIN_CHAR:
-        return BEGIN
-    if c == AGAIN_CHAR:
-        return AGAIN
-    if c.islower():
-        return LOWER
-    if c.isupper():
-        return UPPER
-    if c.isdigit():
-        return DIGIT
-    if c.isspace():
-        return SPACE
-    if c.isalpha():
-        return LETTER
-    return PUNCTUATION if unicodedata.category(c)[0] == "P" else OTHER
-
-
-class Alphabet:
-    """Symbols of one language, filled in as characters come up."""
-
-    def __init__(self, letters: list[str]):
-        self.symbol = np.full(0x110000, 255, np.uint8)
-        for i, c in enumerate(letters):
-            self.symbol[ord(c)] = 9 + i
-
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.symbol[points]
-        if (new := out == 255).any():
-            for p in np.unique(points[new]):
-                self.symbol[p] = kind(chr(p))
-            out = self.symbol[points]
-        return out
-
-
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """The number of the gram that ends at each symbol from the ``ORDER``-th on."""
-    g = np.zeros(max(0, len(symbols) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        g = g * V + symbols[k : len(symbols) - ORDER + 1 + k]
-    return g
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``context, symbol`` of the different grams of the texts, already :func:`plain`, and which one each of their symbols ends."""
+    start = BEGIN_CHAR * (ORDER - 1)
+    points = np.frombuffer("".join(start + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    context = np.zeros(max(0, len(points) - ORDER + 1), np.int64)
+    for k in range(ORDER - 1):
+        context = context * V + points[k : len(context) + k]
+    symbol = points[ORDER - 1 :]
+    own = symbol != BEGIN
+    which, contexts = pd.factorize(context[own])
+    at, pairs = pd.factorize(which * V + symbol[own])
+    return contexts[pairs // V], pairs % V, at
 
 
 @dataclass
 class Model:
-    """Tables of all languages; dense probabilities of a language are made when a task first needs them."""
+    """Tables of all languages: for each order from 1 probabilities by gram and back-off weights by context."""
 
-    letters: dict[str, list[str]]
-    tables: dict[str, list[tuple[np.ndarray, ...]]]  # for each order: grams, probabilities, contexts, back-off weights
+    tables: list[tuple[DataFrame, DataFrame]]
+    langs: list[str]
     means: dict[str, float] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def __post_init__(self):
-        self._ready: dict[str, tuple[Alphabet, np.ndarray]] = {}
-
-    def ready(self, lang: str) -> tuple[Alphabet, np.ndarray]:
-        if lang not in self._ready:
-            if len(self._ready) >= READY:
-                self._ready.pop(next(iter(self._ready)))
-            p = np.full(1, 1.0 / V)
-            for order, (gram, prob, context, weight) in enumerate(self.tables[lang], 1):
-                back = np.ones(V ** (order - 1))
-                back[context] = weight
-                p = (back.reshape(V, -1, 1) * p.reshape(1, -1, V) if order > 1 else np.full((1, V), weight[0] / V if len(weight) else 1 / V)).reshape(-1)
-                p[gram] = prob
-            self._ready[lang] = Alphabet(self.letters[lang]), np.log2(p).astype(np.float32)
-        return self._ready[lang]
-
-    def bits(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits and symbols of each text, already made :func:`plain`."""
-        alphabet, logs = self.ready(lang)
-        start = BEGIN_CHAR * (ORDER - 1)
-        joined = alphabet.encode("".join(start + t for t in texts))
-        sizes = np.array([len(t) for t in texts], np.int64)
-        total = np.concatenate(([0.0], np.cumsum(logs[grams(joined)], dtype=np.float64)))
-        first = np.concatenate(([0], np.cumsum(sizes + ORDER - 1)[:-1]))
-        return total[first] - total[first + sizes], sizes
-
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``lang, text`` of documents that some label calls good and none bad or toxic; rows without a language are out."""
+    """``doc_id, lang, text`` of documents that some label calls good and none bad or toxic; rows without a language are out."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     good = cut_lineage(good)
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
-    return docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select("lang", "text")
+    return docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
 
 
 def _by_language(batch: pd.DataFrame):
@@ -145,41 +90,23 @@ def _by_language(batch: pd.DataFrame):
         yield lang, [plain(t) for t in rows["text"]]
 
 
-def _letters(trusted: DataFrame) -> dict[str, list[str]]:
-    def count(batches):
-        for batch in batches:
-            for lang, texts in _by_language(batch):
-                points, n = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "point": points.astype(np.int64), "n": n})
-
-    counts = trusted.mapInPandas(count, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
-    counts = counts.where(~F.col("point").isin(ord(BEGIN_CHAR), ord(AGAIN_CHAR)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "point"))
-    out: dict[str, list[str]] = {}
-    for lang, point in counts.withColumn("r", rank).where(F.col("r") <= LETTERS).orderBy("lang", "r").select("lang", "point").toLocalIterator():
-        out.setdefault(lang, []).append(chr(point))
-    return out
-
-
-def _gram_counts(trusted: DataFrame, letters: dict[str, list[str]]) -> DataFrame:
-    """``lang, gram, n`` over all trusted text; each batch and then each task adds up before the shuffle.
+def _gram_counts(trusted: DataFrame) -> DataFrame:
+    """``lang, context, symbol, n`` over all trusted text; each batch and then each task adds up before the shuffle.
 
     Repeats are not learnt: one trusted text full of them would make them likely everywhere.
     """
 
     def count(batches):
-        alphabets: dict[str, Alphabet] = {}
         for batch in batches:
             for lang, texts in _by_language(batch):
-                alphabet = alphabets.setdefault(lang, Alphabet(letters[lang]))
-                symbols = alphabet.encode("".join(BEGIN_CHAR * (ORDER - 1) + t for t in texts))
-                gram, n = np.unique(grams(symbols), return_counts=True)
-                told = gram % V != BEGIN
-                for k in range(ORDER):
-                    told &= gram // V**k % V != AGAIN
-                yield pd.DataFrame({"lang": lang, "gram": gram[told], "n": n[told]})
+                context, symbol, at = grams(texts)
+                told = symbol != AGAIN
+                for k in range(ORDER - 1):
+                    told &= context // V**k % V != AGAIN
+                yield pd.DataFrame({"lang": lang, "context": context[told], "symbol": symbol[told], "n": np.bincount(at, minlength=len(symbol))[told]})
 
-    return trusted.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = trusted.select("lang", "text").mapInPandas(count, "lang string, context long, symbol long, n long")
+    return counted.groupBy("lang", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
 def _discount(n: Column) -> Column:
@@ -187,51 +114,67 @@ def _discount(n: Column) -> Column:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """``lang, d1, d2, d3`` from the counts of counts; a language too small to have them discounts by a half."""
+    """``lang, d1, d2, d3`` from the counts of counts; a language too small to have them, or positive ones, discounts by a half."""
     c = counts.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.expr("n1 / (n1 + 2 * n2)")
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     whole = F.expr("least(n1, n2, n3) > 0")
-    bounded = lambda k, low, high: F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(high) / F.col(low)))).otherwise(0.5)
+    formula = lambda k, low, high: F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(high), F.col(low)))
+    bounded = lambda k, low, high: F.when(whole & (formula(k, low, high) > 0), formula(k, low, high)).otherwise(0.5)
     return c.select("lang", bounded(1, "n1", "n2").alias("d1"), bounded(2, "n2", "n3").alias("d2"), bounded(3, "n3", "n4").alias("d3"))
 
 
-def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: ``lang, gram, p`` of the grams seen, and ``lang, context, weight`` to back off with.
+def _interpolated(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: ``lang, context, symbol, p`` of the grams seen, and ``lang, context, weight`` to back off with.
 
     Lower orders count the different grams that end in a gram instead of its occurrences.
     """
     by_order = [counts]
     for order in range(ORDER - 1, 0, -1):
-        shorter = by_order[0].groupBy("lang", (F.col("gram") % V**order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = by_order[0].groupBy("lang", _shortened(order).alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n"))
         by_order.insert(0, cut_lineage(shorter))
     out, lower = [], None
     for order, c in enumerate(by_order, 1):
-        c = c.withColumn("context", F.floor(F.col("gram") / V)).join(_discounts(c), "lang").withColumn("d", F.least(_discount(F.col("n")), F.col("n")))
-        weights = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("d_sum"))
-        seen = c.join(weights, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("total")).withColumn("weight", F.col("d_sum") / F.col("total"))
+        c = c.join(_discounts(c), "lang").withColumn("d", F.least(_discount(F.col("n")), F.col("n")))
+        weights = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+        weights = cut_lineage(weights)
+        seen = c.join(weights, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
         if lower is None:
-            p = seen.select("lang", "gram", (F.col("own") + F.col("weight") / V).alias("p"))
+            p = seen.select("lang", "context", "symbol", (F.col("own") + F.col("weight") / V).alias("p"))
         else:
-            below = lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("p_below"))
-            seen = seen.withColumn("shorter", F.col("gram") % V ** (order - 1)).join(below, ["lang", "shorter"])
-            p = seen.select("lang", "gram", (F.col("own") + F.col("weight") * F.col("p_below")).alias("p"))
+            below = lower.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("p_below"))
+            seen = seen.withColumn("shorter", _shortened(order - 1)).join(below, ["lang", "shorter", "symbol"])
+            p = seen.select("lang", "context", "symbol", (F.col("own") + F.col("weight") * F.col("p_below")).alias("p"))
         lower = cut_lineage(p)
-        out.append((lower, weights.select("lang", "context", (F.col("d_sum") / F.col("total")).alias("weight"))))
+        out.append((lower, weights.select("lang", "context", "weight")))
     return out
 
 
+def _shortened(order: int) -> Column:
+    """The context of a gram of this order that ends a longer one."""
+    return F.col("context") % V ** (order - 1)
+
+
+def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The tables of a model from ``lang, gram, n``, each gram a number in base V."""
+    return _interpolated(counts.select("lang", F.expr(f"gram div {V}").alias("context"), (F.col("gram") % V).alias("symbol"), "n"))
+
+
 def _fitted(learnt: DataFrame) -> Model:
     """The tables of each language of ``learnt``, without means and thresholds."""
-    letters = _letters(learnt)
-    counts = cut_lineage(_gram_counts(learnt, letters))
-    tables = []
-    for p, weight in probabilities(counts):
-        grams_, weights = p.toPandas(), weight.toPandas()
-        tables.append((dict(list(grams_.groupby("lang"))), dict(list(weights.groupby("lang")))))
-    model = Model(letters, {})
-    for lang in [x for x in letters if x in tables[0][0]]:
-        model.tables[lang] = [(g[lang]["gram"].to_numpy(), g[lang]["p"].to_numpy(), w[lang]["context"].to_numpy(), w[lang]["weight"].to_numpy()) for g, w in tables]
-    return model
+    tables = _interpolated(cut_lineage(_gram_counts(learnt)))
+    return Model(tables, sorted(r["lang"] for r in tables[0][1].select("lang").distinct().toLocalIterator()))
+
+
+def _probability(needed: DataFrame, model: Model) -> DataFrame:
+    """``needed`` (``lang, context, symbol`` and more) with the probability ``p`` of each gram, from the longest order that has seen it."""
+    p = F.lit(1.0 / V)
+    for order, (seen, weight) in enumerate(model.tables, 1):
+        own, back = f"_p{order}", f"_w{order}"
+        needed = needed.withColumn("_c", _shortened(order))
+        needed = needed.join(seen.select("lang", F.col("context").alias("_c"), "symbol", F.col("p").alias(own)), ["lang", "_c", "symbol"], "left")
+        needed = needed.join(weight.select("lang", F.col("context").alias("_c"), F.col("weight").alias(back)), ["lang", "_c"], "left")
+        p = F.coalesce(F.col(own), F.coalesce(F.col(back), F.lit(1.0)) * p)
+    return needed.withColumn("p", p)
 
 
 def _cross_scores(small: DataFrame) -> DataFrame:
@@ -243,8 +186,8 @@ def _cross_scores(small: DataFrame) -> DataFrame:
     of = lambda k: F.concat_ws(" ", k.cast("string"), "lang").alias("lang")
     folds = F.array(*[F.lit(k) for k in range(1, HELD_OUT)])
     others = small.withColumn("_fold", fold).withColumn("_k", F.explode(folds)).where("_k <> _fold").select(of(F.col("_k")), "text")
-    scores = scored(small.withColumn("_fold", fold).where("_fold > 0").select(of(F.col("_fold")), "text"), _fitted(others))
-    return scores.select(F.expr("substr(lang, 3)").alias("lang"), "_bits", "_symbols")
+    scores = scored(boxed(small.withColumn("_fold", fold).where("_fold > 0").select("doc_id", of(F.col("_fold")), "text")), _fitted(others))
+    return scores.select(F.expr("substr(_row.lang, 3)").alias("lang"), "_bits", "_symbols")
 
 
 def _bound(rates: int, mean: float, deviation: float, quantile: float) -> float:
@@ -267,12 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Mod
     trusted = trusted_text(docs, labels)
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     model = _fitted(trusted.where(~held))
-    if not model.tables:
+    if not model.langs:
         return model
     needed = math.ceil(round(1 / (1 - quantile), 6))
-    scores = cut_lineage(scored(trusted.where(held), model).select("lang", "_bits", "_symbols").where("_symbols > 0"))
+    scores = cut_lineage(scored(boxed(trusted.where(held)), model).select("_row.lang", "_bits", "_symbols").where("_symbols > 0"))
     held_out = {r["lang"]: r["n"] for r in scores.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    small = [x for x in model.tables if held_out.get(x, 0) < needed]
+    small = [x for x in model.langs if held_out.get(x, 0) < needed]
     if small:
         crossed = _cross_scores(trusted.where(F.col("lang").isin(small)))
         scores = cut_lineage(scores.unionByName(crossed.where("_symbols > 0")))
@@ -295,47 +238,122 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Mod
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_model, _bits, _symbols``: a text's language, or where it has none the model that fits best.
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(shard: pa.Table) -> tuple[str | None, list[str], pa.Table]:
+    """Language, texts made :func:`plain` and boxed rows of a shard."""
+    rows = pa.concat_tables([pa.ipc.open_stream(pack).read_all() for pack in shard.column("_pack").to_pylist()])
+    row = rows.column("_row").combine_chunks()
+    return row.field("lang")[0].as_py(), [plain(t) for t in row.field("text").to_pylist()], rows
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``_shard, _pack``: rows of one language in compressed packs, some of them a shard of about ``SHARD`` characters.
+
+    A pack's shard follows from its content, so that a rerun deals alike and copies spread with the rows around them.
+    """
+    lang, text = F.col("_row.lang"), F.col("_row.text")
+    sizes = rows.groupBy(lang.alias("lang")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW).alias("size")).orderBy("lang")
+    shards, first = {}, 0
+    for r in sizes.toLocalIterator():
+        shards[r["lang"]] = first, math.ceil(r["size"] / SHARD)
+        first += shards[r["lang"]][1]
+
+    def pack(batches):
+        held: dict[str | None, list[pa.RecordBatch]] = {}
+        size: dict[str | None, int] = {}
+
+        def flushed(lang):
+            content = _packed(pa.Table.from_batches(held.pop(lang)))
+            del size[lang]
+            start, count = shards[lang]
+            shard = start + int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big") % count
+            return pa.RecordBatch.from_pydict({"_shard": pa.array([shard], pa.int64()), "_pack": pa.array([content], pa.binary())})
+
+        for batch in batches:
+            row = batch.column("_row")
+            code, langs = pd.factorize(np.array(row.field("lang").to_pylist(), object), use_na_sentinel=False)
+            weight = pa.compute.fill_null(pa.compute.utf8_length(row.field("text")), 0).to_numpy(zero_copy_only=False) + ROW
+            for k, lang in enumerate(None if pd.isna(x) else x for x in langs):
+                at = np.flatnonzero(code == k)
+                held.setdefault(lang, []).append(batch.take(pa.array(at)))
+                size[lang] = size.get(lang, 0) + int(weight[at].sum())
+            for lang in [x for x in size if size[x] >= PACK or sum(size.values()) >= 16 * PACK]:
+                yield flushed(lang)
+        for lang in list(size):
+            yield flushed(lang)
+
+    return rows.select("_row").mapInArrow(pack, "_shard long, _pack binary")
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``_row, _model, _bits, _symbols`` of boxed rows: a text's language, or where it has none the model that fits best.
 
     A text of a language without a model has no score.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("model string, bits double, symbols long")
-    def score(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
-        m = held.value
-        texts = [plain(t) for t in text]
-        out = pd.DataFrame({"model": pd.Series([None] * len(texts), dtype=object), "bits": np.zeros(len(texts)), "symbols": np.zeros(len(texts), np.int64)})
-        places: dict[str | None, list[int]] = {}
-        for i, x in enumerate(lang):
-            places.setdefault(None if pd.isna(x) else x, []).append(i)
-        for name, at in places.items():
-            tried = [(n, *m.bits(n, [texts[i] for i in at])) for n in (sorted(m.tables) if name is None else [name] if name in m.tables else [])]
-            if not tried:
-                continue
-            best = np.argmin([b for _, b, _ in tried], axis=0)
-            out.loc[at, "model"] = [tried[k][0] for k in best]
-            out.loc[at, "bits"] = [tried[k][1][j] for j, k in enumerate(best)]
-            out.loc[at, "symbols"] = tried[0][2]
-        return out
-
-    made = docs.withColumn("_score", score(F.col("text").cast("string"), F.col("lang").cast("string")))
-    return made.withColumns({"_model": F.col("_score.model"), "_bits": F.col("_score.bits"), "_symbols": F.col("_score.symbols")}).drop("_score")
-
-
-def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_model, _perplexity, _threshold, _keep``.
+    text_batches(rows.sparkSession)
+    langs = model.langs
+    known = set(langs)
+    tried = lambda lang: langs if lang is None else [lang] if lang in known else []
+    dealt = _dealt(rows)
+
+    def distinct(shard: pa.Table) -> pa.Table:
+        lang, texts, _ = _unpacked(shard)
+        context, symbol, _ = grams(texts)
+        names, number = tried(lang), shard.column("_shard")[0].as_py()
+        columns = {"lang": np.repeat(np.array(names, object), len(symbol)), "context": np.tile(context, len(names)), "symbol": np.tile(symbol, len(names))}
+        return pa.table({"lang": pa.array(columns["lang"], pa.string()), "context": columns["context"], "symbol": columns["symbol"], "_shard": np.full(len(symbol) * len(names), number)})
+
+    def score(shard: pa.Table, found: pa.Table) -> pa.Table:
+        lang, texts, rows = _unpacked(shard)
+        context, symbol, at = grams(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        best, bits = np.full(len(texts), None, object), np.zeros(len(texts))
+        by_model = dict(list(found.to_pandas().groupby("lang", sort=False)))
+        for k, name in enumerate(tried(lang)):
+            own = np.zeros(0)
+            if len(symbol):
+                known_grams = by_model[name]
+                contexts = pd.Index(known_grams["context"].unique())
+                pairs = pd.Index(contexts.get_indexer(known_grams["context"]) * V + known_grams["symbol"].to_numpy())
+                place = pairs.get_indexer(contexts.get_indexer(context) * V + symbol)
+                if (place < 0).any():
+                    raise ValueError("a text changed between its counting and its scoring")
+                own = known_grams["bits"].to_numpy()[place]
+            total = np.concatenate(([0.0], np.cumsum(own[at])))
+            new = total[ends] - total[ends - sizes]
+            less = np.ones(len(texts), bool) if k == 0 else new < bits
+            best[less], bits[less] = name, new[less]
+        if not tried(lang):
+            sizes = np.zeros(len(texts), np.int64)
+        return pa.table({"_row": rows.column("_row"), "_model": pa.array(best, pa.string()), "_bits": bits, "_symbols": sizes})
+
+    needed = dealt.groupBy("_shard").applyInArrow(distinct, "lang string, context long, symbol long, _shard long")
+    needed = needed.groupBy("lang", "context", "symbol").agg(F.collect_list("_shard").alias("_shards"))
+    bits = _probability(needed, model).select("lang", "context", "symbol", (-F.log2("p")).alias("bits"), F.explode("_shards").alias("_shard"))
+    schema = StructType([rows.schema["_row"], StructField("_model", StringType()), StructField("_bits", DoubleType()), StructField("_symbols", LongType())])
+    return dealt.groupBy("_shard").cogroup(bits.groupBy("_shard")).applyInArrow(score, schema)
+
+
+def judged(rows: DataFrame, model: Model) -> DataFrame:
+    """Boxed rows with ``_model, _perplexity, _threshold, _keep``.
 
     The perplexity includes ``PRIOR`` symbols of average text. Null and empty texts, those of a language without
     a model or scores, and all texts where nothing is trusted, have a null perplexity and are kept. Repeated rows are
-    judged alike; nothing is shuffled.
+    judged alike.
     """
-    s = scored(docs, model)
+    nothing = {"_perplexity": F.lit(None).cast("double"), "_threshold": F.lit(None).cast("double"), "_keep": F.lit(True)}
+    if not model.langs:
+        return rows.withColumns({"_model": F.lit(None).cast("string"), **nothing})
+    s = scored(rows, model)
     if not model.thresholds:
-        return s.withColumns({"_perplexity": F.lit(None).cast("double"), "_threshold": F.lit(None).cast("double"), "_keep": F.lit(True)}).drop("_bits", "_symbols")
+        return s.withColumns(nothing).drop("_bits", "_symbols")
     lookup = lambda values: F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("_model")]
     rate = (F.col("_bits") + PRIOR * lookup(model.means)) / (F.col("_symbols") + PRIOR)
     s = s.withColumn("_rate", F.when(F.col("_symbols") > 0, rate)).withColumn("_limit", lookup(model.thresholds))
@@ -345,10 +363,10 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: ``doc_id, lang_model, perplexity, threshold, keep``."""
-    out = judged(docs.select("doc_id", "text", "lang"), train(docs, labels))
-    return out.select("doc_id", F.col("_model").alias("lang_model"), F.round("_perplexity", 6).alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("keep"))
+    out = judged(boxed(docs.select("doc_id", "text", "lang")), train(docs, labels))
+    return out.select("_row.doc_id", F.col("_model").alias("lang_model"), F.round("_perplexity", 6).alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("keep"))
 
 
 def good_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose perplexity stays within the threshold of their language."""
-    return judged(boxed(docs).select("_row", "_row.text", "_row.lang"), train(docs, labels)).where("_keep").select("_row.*")
+    return judged(boxed(docs), train(docs, labels)).where("_keep").select("_row.*")
