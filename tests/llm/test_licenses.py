@@ -82,3 +82,11 @@ def test_no_python_in_the_plan(spark, rows):
     frame = spark.createDataFrame(rows[:5], "doc_id long, text string")
     plan = L.report(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_words_are_cut_between_separators(spark):
+    texts = [None, "", " ", "..", "a", " A\x00b\x7f9_c` ", "\u00c9T\u00c9 \U0001f600x\u00a0y\u2003z", "\ud7ff@[{~A-Z", "x\n\ny\u0080\x85 "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = L._worded(frame)
+    assert {r.doc_id: r._w for r in rows.collect()} == {i: words_of(t) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().executedPlan().toString()
