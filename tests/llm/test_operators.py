@@ -514,7 +514,9 @@ def plain_kneser_ney(trusted):
     return bits
 
 
-def test_scores_follow_the_formulas_for_every_character(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 300, 50_000])
+def test_scores_follow_the_formulas_for_every_character(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(kneser, "BROADCAST_GRAMS", broadcast)
     monkeypatch.setattr(kneser, "SHARD", 600)
     monkeypatch.setattr(kneser, "PACK", 300)
     r = random.Random(4)

@@ -4,7 +4,7 @@ The model is over characters, each code point a symbol of its own; a word that r
 symbol. A gram is its last symbol and its context, the ``ORDER - 1`` symbols before it as one number in base V. Counts,
 continuation counts, discounts, probabilities and back-off weights are Spark tables keyed (sharded) by language and
 gram or context and joined on these keys. To score, texts are dealt to shards of bounded size; each shard's different
-grams are joined with the tables and meet its texts again. No table goes through the driver or whole to a task.
+grams are joined with the tables and meet its texts again. Only tables of few grams are broadcast.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ LEAST = 10
 STEPS = 256
 #: Trusted ids that a join may broadcast (16 bytes each); above it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rows of a table of grams that a join may broadcast (some 40 bytes each); else the grams of the texts are shuffled to it.
+BROADCAST_GRAMS = 50_000
 #: Characters of a shard of texts to score and of a compressed pack of them, and what a row counts beside its text.
 SHARD, PACK, ROW = 4_000_000, 500_000, 200
 
@@ -161,19 +163,21 @@ def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 def _fitted(learnt: DataFrame) -> Model:
     """The tables of each language of ``learnt``, without means and thresholds."""
-    tables = _interpolated(cut_lineage(_gram_counts(learnt)))
+    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+    tables = [(small(p), small(weight)) for p, weight in _interpolated(cut_lineage(_gram_counts(learnt)))]
     return Model(tables, sorted(r["lang"] for r in tables[0][1].select("lang").distinct().toLocalIterator()))
 
 
 def _probability(needed: DataFrame, model: Model) -> DataFrame:
     """``needed`` (``lang, context, symbol`` and more) with the probability ``p`` of each gram, from the longest order that has seen it."""
+    for order, (seen, weight) in reversed(list(enumerate(model.tables, 1))):
+        at = "context" if order == ORDER else "_c"  # the grams come dealt by the whole context
+        needed = needed if order == ORDER else needed.withColumn("_c", _shortened(order))
+        needed = needed.join(seen.select("lang", F.col("context").alias(at), "symbol", F.col("p").alias(f"_p{order}")), ["lang", at, "symbol"], "left")
+        needed = needed.join(weight.select("lang", F.col("context").alias(at), F.col("weight").alias(f"_w{order}")), ["lang", at], "left")
     p = F.lit(1.0 / V)
-    for order, (seen, weight) in enumerate(model.tables, 1):
-        own, back = f"_p{order}", f"_w{order}"
-        needed = needed.withColumn("_c", _shortened(order))
-        needed = needed.join(seen.select("lang", F.col("context").alias("_c"), "symbol", F.col("p").alias(own)), ["lang", "_c", "symbol"], "left")
-        needed = needed.join(weight.select("lang", F.col("context").alias("_c"), F.col("weight").alias(back)), ["lang", "_c"], "left")
-        p = F.coalesce(F.col(own), F.coalesce(F.col(back), F.lit(1.0)) * p)
+    for order in range(1, ORDER + 1):
+        p = F.coalesce(F.col(f"_p{order}"), F.coalesce(F.col(f"_w{order}"), F.lit(1.0)) * p)
     return needed.withColumn("p", p)
 
 
