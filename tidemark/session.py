@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTING = threading.Lock()
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,6 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder so lost executors cost no recomputation.
+
+    The shuffles that led to it go at once: nothing reads them again, and else they stay until the driver happens to
+    collect its garbage. Other actions keep the session's setting.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _SETTING:
+        before = spark.conf.get(CLEANUP_CONF, None)
+        spark.conf.set(CLEANUP_CONF, "true")
+        try:
+            own = df.select("*")  # takes the setting with it
+        finally:
+            spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
+    return own.checkpoint(eager=True)
