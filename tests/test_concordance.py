@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import kernels
 from tidemark.operators import concordance as C
@@ -87,3 +88,24 @@ def test_many_points(spark):
     y = 0.003 * x + 50 * np.sin(x * 12.9898) + 20 * np.cos(x * 78.233)
     under, over = ((C.concordant(x, y - s * x)) for s in (slope - 1e-11, slope + 1e-11))
     assert over <= 0 <= under
+
+
+def test_blocks_without_a_slope_that_is_left(spark):
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.integers(0, 5000, 400)).astype(float)
+    y = 0.01 * x + rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame({"k": "click", "x": x, "y": y}))
+    got = C.theil_sen_long(df, ["k"], "x", "y", block=32, last=4).first()
+    assert got.k == "click" and got.slope == pytest.approx(kernels.theil_sen(x, y), rel=1e-12)
+
+
+def test_the_sample_leaves_few_slopes(spark):
+    rng = np.random.default_rng(6)
+    x, y = np.arange(5000.0), rng.normal(size=5000)
+    rows = spark.createDataFrame(pd.DataFrame({"k": 1, "_x": x, "_y": y, "_rx": np.arange(5000)}))
+    n = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    got = C._sampled(rows, n, ["k"]).first()
+    i, j = np.triu_indices(5000, 1)
+    slopes = (y[j] - y[i]) / (x[j] - x[i])
+    assert got._lo < np.median(slopes) < got._hi
+    assert ((slopes > got._lo) & (slopes < got._hi)).mean() < 0.2

@@ -23,6 +23,10 @@ from tidemark.session import cut_lineage
 BLOCK, FAN, FEW = 65_536, 16, 256
 #: Slopes of a series that are ordered in the end, and rounds of narrowing at most.
 LAST, ROUNDS = 1_000_000, 60
+#: Half widths, as shares of the slopes, of the intervals that a sample proposes.
+SHARES = (0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.25)
+#: Rows of a checkpointed side up to which it is sent to the tasks instead of shuffling all rows to it.
+SIDE = 50_000
 
 WIDE = "decimal(38,0)"
 
@@ -93,6 +97,12 @@ def inversions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ in Spark
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A small table (of keys, or keys by partitions) for a join with all rows, which then stay where they are."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SIDE else df
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Dense positions of the rows of each key in an order: one range-sorted shuffle, counts per partition, no window over rows.
 
@@ -104,7 +114,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*keys, "_part").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_c"))
     starts = starts.select(*keys, "_part", (F.coalesce(F.sum("_c").over(ahead), F.lit(0)) - F.col("_first")).alias("_off"))
-    return rows.join(starts, [*keys, "_part"]).withColumn(name, F.col("_seq") + F.col("_off")).drop("_part", "_seq", "_off")
+    return rows.join(_side(starts), [*keys, "_part"]).withColumn(name, F.col("_seq") + F.col("_off")).drop("_part", "_seq", "_off")
 
 
 def _sums(groups: DataFrame, keys: Sequence[str], by: Sequence[str], fn) -> DataFrame:
@@ -123,9 +133,13 @@ def _tied_pairs(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Da
     return per.groupBy(*keys).agg(F.sum("_p").cast(WIDE).alias("_p"))
 
 
-def permutation_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str, block: int = BLOCK, fan: int = FAN, few: int = FEW) -> DataFrame:
-    """``keys, s``: pairs in the same order less pairs in the other, for ranks ``a`` and ``b`` from 0, without ties; they may have gaps."""
-    longest = (rows.agg(F.greatest(F.max(a), F.max(b))).first()[0] or 0) + 1
+def permutation_sum(rows: DataFrame, keys: Sequence[str], a: str, b: str, block: int = BLOCK, fan: int = FAN, few: int = FEW, longest: int | None = None) -> DataFrame:
+    """``keys, s``: pairs in the same order less pairs in the other, for ranks ``a`` and ``b`` from 0, without ties; they may have gaps.
+
+    ``longest`` is one more than the largest rank, where the caller knows it.
+    """
+    if longest is None:
+        longest = (rows.agg(F.greatest(F.max(a), F.max(b))).first()[0] or 0) + 1
     blocks = {"_t": F.floor(F.col("_a") / block).cast("long"), "_v": F.floor(F.col("_b") / block).cast("long")}
     rows = rows.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).withColumns(blocks)
     parts = [_sums(rows.select(*keys, "_a", "_b", "_t"), keys, ["_t"], lambda p: sign_total(p.sort_values("_a")["_b"].to_numpy()))]
@@ -183,7 +197,7 @@ def kendall_tau_b(df: DataFrame, keys: Sequence[str], x: str, y: str, **sizes) -
 
 def _at_slope(rows: DataFrame, slopes: DataFrame, keys: Sequence[str], s: str, name: str) -> DataFrame:
     """Rows with their rank by ``y - s x``; rows of one x keep the order of y at every slope."""
-    placed = rows.join(slopes.select(*keys, F.col(s).alias("_s")), list(keys)).withColumn("_r", F.col("_y") - F.col("_s") * F.col("_x"))
+    placed = rows.join(_side(slopes.select(*keys, F.col(s).alias("_s"))), list(keys)).withColumn("_r", F.col("_y") - F.col("_s") * F.col("_x"))
     return ranked(placed.drop("_s"), keys, ["_r", "_rx"], name).drop("_r")
 
 
@@ -192,22 +206,23 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
 
     Exact, but where more than ``last`` slopes lie so close that no interval parts them: there the value has 12 digits of
     the scale of the slopes. The pairs with a slope under ``s`` are the discordant ones of ``x`` and ``y - s x``, so one count tells on which side
-    of ``s`` the median lies. The interval starts from the slopes of random pairs, one for each row, and is cut where
-    a line through its ends' counts meets the middle rank, until few slopes are left. Those are the pairs whose order
+    of ``s`` the median lies. The interval starts from the slopes of random pairs, one for each row, as narrow as
+    their number allows, and is cut where a line through its ends' counts meets the middle rank, until few slopes are left. Those are the pairs whose order
     differs between both ends; they are listed from blocks of neighbours and ordered.
     """
     clean = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
     rows = cut_lineage(ranked(clean, keys, ["_x", "_y"], "_rx"))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = n.join(_tied_pairs(rows, keys, ["_x"]), list(keys)).select(*keys, "_n", ((F.col("_n").cast(WIDE) * (F.col("_n") - 1) - F.col("_p")) / 2).cast("double").alias("_pairs"))
-    state = cut_lineage(pairs.where("_pairs > 0").join(_sampled(rows, n, keys), list(keys)))
+    n = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    longest = n.agg(F.max("_n")).first()[0] or 0
+    both = (F.col("_n").cast(WIDE) * (F.col("_n") - 1) - F.col("_p")) / 2
+    pairs = cut_lineage(n.join(_tied_pairs(rows, keys, ["_x"]), list(keys)).select(*keys, "_n", both.cast("double").alias("_pairs"), (F.col("_p") / 2).cast("double").alias("_tied")))
+    state = cut_lineage(pairs.where("_pairs > 0").drop("_tied").join(_sampled(rows, n, keys), list(keys)))
 
     def under(slopes: DataFrame, s: str) -> DataFrame:
         """``keys, _u``: pairs with a slope under ``s``, a number that is the slope of no pair but by chance."""
         part = _at_slope(rows, slopes, keys, s, "_rr")
-        same = permutation_sum(part, keys, "_rx", "_rr", block, **sizes)
-        tied = _tied_pairs(rows, keys, ["_x"]).select(*keys, (F.col("_p") / 2).cast("double").alias("_tied"))
-        signed = same.join(tied, list(keys)).join(pairs, list(keys))
+        same = permutation_sum(part, keys, "_rx", "_rr", block, longest=longest, **sizes)
+        signed = same.join(pairs, list(keys))
         return signed.select(*keys, F.round((F.col("_pairs") - (F.col("s").cast("double") - F.col("_tied"))) / 2).alias("_u"))
 
     first = {"_lo": lambda d: d.withColumn("_u_lo", F.col("_u")), "_hi": lambda d: d.withColumn("_u_hi", F.col("_u"))}
@@ -229,8 +244,8 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
         guess = F.col("_lo") + width * F.least(F.greatest(share + lean, F.lit(0.001)), F.lit(0.999))
         if step % 6 == 5:  # halve now and then, should the counts bend
             guess = F.col("_lo") + width * (0.45 + 0.1 * F.rand(step))
-        if step < 2:  # many equal slopes: is the median that of the sample?
-            near = F.col("_c") + (1e-12 if step else -1e-12) * F.col("_scale")
+        if step in (2, 3):  # still inside after two cuts, so many equal slopes: is the median that of the sample?
+            near = F.col("_c") + (1e-12 if step == 3 else -1e-12) * F.col("_scale")
             guess = F.when((near > F.col("_lo")) & (near < F.col("_hi")), near).otherwise(guess)
         guess = F.when(missed_low, F.col("_lo") - width * (2 + F.rand(step))).when(missed_high, F.col("_hi") + width * (2 + F.rand(step))).otherwise(guess)
         tried = cut_lineage(state.withColumn("_try", guess))
@@ -265,13 +280,15 @@ def _sampled(rows: DataFrame, n: DataFrame, keys: Sequence[str]) -> DataFrame:
     others = rows.select(*keys, F.col("_rx").alias("_other"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
     slope = F.try_divide(F.col("_y2") - F.col("_y"), F.col("_x2") - F.col("_x"))
     met = pairs.join(others, [*keys, "_other"]).select(*keys, slope.alias("_s")).where("_s is not null")
-    ends = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.percentile_approx("_s", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.49, 0.5, 0.51, 0.75, 1.0)]), 10_000).alias("_q"))
-    spread = F.col("_q")[6] - F.col("_q")[0] + F.abs(F.col("_q")[0]) * 1e-3 + 1e-9
-    many = F.col("_m") > 50_000
-    lo = F.when(many, F.col("_q")[2] - 1e-7 * spread).otherwise(F.col("_q")[1] - 0.137 * spread)
-    hi = F.when(many, F.col("_q")[4] + 1e-7 * spread).otherwise(F.col("_q")[5] + 0.171 * spread)
-    scale = F.greatest(F.col("_q")[5] - F.col("_q")[1], F.abs(F.col("_q")[3]), F.lit(1e-300))
-    sampled = ends.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.col("_q")[3].alias("_c"), scale.alias("_scale"))
+    points = [0.25, 0.5, 0.75, *[0.5 + side * share for share in SHARES for side in (-1, 1)]]
+    ends = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.percentile_approx("_s", F.array(*[F.lit(p) for p in points]), 50_000).alias("_q"))
+    scale = F.greatest(F.col("_q")[2] - F.col("_q")[0], F.abs(F.col("_q")[1]), F.lit(1e-300))
+    # five deviations of the sample's median, and the error of the quantiles themselves
+    enough = 2.5 / F.sqrt("_m") + 4e-5
+    at = F.coalesce(*[F.when(enough <= share, F.lit(3 + 2 * k)) for k, share in enumerate(SHARES)], F.lit(1 + 2 * len(SHARES)))
+    pad = F.when(F.col("_m") >= 100, 1e-9 * scale).otherwise(scale) + 1e-16
+    lo, hi = F.element_at("_q", at + 1) - pad, F.element_at("_q", at + 2) + pad
+    sampled = ends.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.col("_q")[1].alias("_c"), scale.alias("_scale"))
     # a series of few rows may have drawn only pairs of equal x
     missing = n.join(sampled, list(keys), "left_anti").select(*keys, F.lit(-1.0319).alias("_lo"), F.lit(1.0173).alias("_hi"), F.lit(0.0).alias("_c"), F.lit(1.0).alias("_scale"))
     return sampled.unionByName(missing)
@@ -297,6 +314,6 @@ def _between(rows: DataFrame, state: DataFrame, keys: Sequence[str], block: int)
         i, j = i[own], j[own]
         xs, ys = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
         slope = (ys[j] - ys[i]) / (xs[j] - xs[i])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(slope) for k in keys}, "_slope": slope})
+        return pd.DataFrame({**{k: np.repeat(pdf[k].to_numpy()[:1], len(slope)) for k in keys}, "_slope": slope})
 
     return spread.groupBy(*keys, "_g").applyInPandas(listed, schema)
