@@ -6,13 +6,18 @@ import json
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 import corpus_pipeline
 from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
@@ -537,6 +542,53 @@ def test_scores_follow_the_formulas_for_every_character(spark, monkeypatch, broa
         assert x._bits == pytest.approx(min(tried.values()) if tried else 0, abs=1e-6)
 
 
+def test_scores_do_not_depend_on_runs(spark, monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc  \u4e00\U0001f600") for _ in range(r.randrange(0, 60))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, ("en", "fr", None)[i % 3], t) for i, t in enumerate([*texts, *texts])], "doc_id long, lang string, text string")
+    learnt = spark.createDataFrame([("en", t) for t in texts[:9]] + [("fr", t) for t in texts[9:20]], "lang string, text string")
+    found = []
+    for size in (7, 50, 250_000):
+        monkeypatch.setattr(kneser, "RUN", size)
+        model = kneser._fitted(learnt)
+        found.append({x.doc_id: x for x in kneser.scored(kneser.boxed(docs), model).select("_row.*", "_model", "_bits", "_symbols").collect()})
+    plain = {"en": plain_kneser_ney(texts[:9]), "fr": plain_kneser_ney(texts[9:20])}
+    for got in found:
+        assert len(got) == 60
+        for i, x in got.items():
+            tried = {k: f(x.text) for k, f in plain.items() if x.lang in (k, None)}
+            assert x._bits == pytest.approx(min(tried.values()), abs=1e-6) and x._symbols == len(kneser.plain(x.text))
+            assert x._model == (x.lang or min(tried, key=lambda k: (tried[k], k)))
+            assert x.lang != got[i % 30].lang or x._bits == got[i % 30]._bits
+
+
+def test_a_shard_takes_little_memory(spark, monkeypatch):
+    """Hashing deals twice SHARD to some shards; two workers stand beside the heap of an executor."""
+    kept = []
+    for kind in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema, apply=kind.applyInArrow: kept.append(f) or apply(self, f, schema))
+    texts = [prose(i, 700) for i in range(40)]
+    learnt = spark.createDataFrame([("en", t) for t in texts[:4]], "lang string, text string")
+    docs = spark.createDataFrame([(1, "en", texts[0])], "doc_id long, lang string, text string")
+    kneser.scored(kneser.boxed(docs), kneser._fitted(learnt))
+    distinct, score = kept[-2:]
+    rows = [{"doc_id": i, "lang": "en", "text": t} for i, t in enumerate(texts)]
+    times = 2 * kneser.SHARD // sum(map(len, texts)) + 1
+    pack = kneser._packed(pa.table({"_row": pa.array(rows * (times // 16 + 1))}))
+    shard = pa.table({"_shard": pa.array([0] * 16, pa.int64()), "_pack": pa.array([pack] * 16, pa.binary())})
+    found = distinct(shard.slice(0, 1))
+    found = found.append_column("bits", pa.array(np.ones(len(found))))
+    peaks = []
+    for call in (lambda: distinct(shard), lambda: score(shard, found)):
+        tracemalloc.start()
+        try:
+            assert call().num_rows
+            peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        finally:
+            tracemalloc.stop()
+    assert max(peaks) < 120, peaks
+
+
 # language
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -30,6 +31,7 @@ ORDER, V = 4, 0x110000
 #: Stand before a text and for a repeated word.
 BEGIN, AGAIN = 2, 3
 BEGIN_CHAR, AGAIN_CHAR = chr(BEGIN), chr(AGAIN)
+START = BEGIN_CHAR * (ORDER - 1)
 REPEATED = re.compile(r"\b(\w++)((?:\s++\1\b)+)")
 #: Share of trusted text that a threshold keeps, and symbols of average text that each text is judged with:
 #: a text of a few words says little about its quality and is drawn towards the mean of its language.
@@ -46,6 +48,8 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_GRAMS = 50_000
 #: Characters of a shard of texts to score and of a compressed pack of them, and what a row counts beside its text.
 SHARD, PACK, ROW = 4_000_000, 500_000, 200
+#: Symbols whose grams are made at once, some 100 bytes each: a worker's memory follows this and the different grams, not a shard's symbols.
+RUN = 250_000
 
 
 def plain(text: str | None) -> str:
@@ -54,10 +58,30 @@ def plain(text: str | None) -> str:
     return REPEATED.sub(lambda m: m[1] + AGAIN_CHAR * len(m[2].split()), text)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``context, symbol`` of the different grams of the texts, already :func:`plain`, and which one each of their symbols ends."""
-    start = BEGIN_CHAR * (ORDER - 1)
-    points = np.frombuffer("".join(start + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def runs(texts: list[str], size: int) -> Iterator[tuple[str, list[int], list[int]]]:
+    """The texts, already :func:`plain`, as strings of about ``size`` symbols for :func:`grams`; which texts are in each, and how many symbols of them.
+
+    Each text or part stands behind the ``ORDER - 1`` symbols before it. Only longer texts are cut, always at the same
+    places, so that equal texts have equal sums whatever stands beside them.
+    """
+    parts, which, own, held = [], [], [], 0
+    for number, text in enumerate(texts):
+        for at in range(0, len(text), size):
+            part = text[at : at + size]
+            if parts and held + len(part) > size:
+                yield "".join(parts), which, own
+                parts, which, own, held = [], [], [], 0
+            parts.append((START + text[max(0, at - ORDER + 1) : at])[1 - ORDER :] + part)
+            which.append(number)
+            own.append(len(part))
+            held += len(part)
+    if parts:
+        yield "".join(parts), which, own
+
+
+def grams(run: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``context, symbol`` of the different grams of one of :func:`runs`, and which one each of its symbols ends."""
+    points = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     context = np.zeros(max(0, len(points) - ORDER + 1), np.int64)
     for k in range(ORDER - 1):
         context = context * V + points[k : len(context) + k]
@@ -68,6 +92,26 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return contexts[pairs // V], pairs % V, at
 
 
+def counted(packs: Iterable[list[str]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``context, symbol, n`` of the different grams of all packs of texts; runs add up as soon as they are as many as the sum before."""
+    total, more, waiting = [np.zeros(0, np.int64)] * 3, [], 0
+
+    def added():
+        context, symbol, n = (np.concatenate(x) for x in zip(total, *more, strict=True))
+        which, contexts = pd.factorize(context)
+        at, pairs = pd.factorize(which * V + symbol)
+        return [contexts[pairs // V], pairs % V, np.bincount(at, n, len(pairs)).astype(np.int64)]
+
+    for texts in packs:
+        for run, _, _ in runs(texts, size):
+            context, symbol, at = grams(run)
+            more.append([context, symbol, np.bincount(at, minlength=len(symbol))])
+            waiting += len(symbol)
+            if waiting >= max(size, len(total[0])):
+                total, more, waiting = added(), [], 0
+    return tuple(added())
+
+
 @dataclass
 class Model:
     """Tables of all languages: for each order from 1 probabilities by gram and back-off weights by context."""
@@ -101,14 +145,14 @@ def _gram_counts(trusted: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for lang, texts in _by_language(batch):
-                context, symbol, at = grams(texts)
+                context, symbol, n = counted([texts], RUN)
                 told = symbol != AGAIN
                 for k in range(ORDER - 1):
                     told &= context // V**k % V != AGAIN
-                yield pd.DataFrame({"lang": lang, "context": context[told], "symbol": symbol[told], "n": np.bincount(at, minlength=len(symbol))[told]})
+                yield pd.DataFrame({"lang": lang, "context": context[told], "symbol": symbol[told], "n": n[told]})
 
-    counted = trusted.select("lang", "text").mapInPandas(count, "lang string, context long, symbol long, n long")
-    return counted.groupBy("lang", "context", "symbol").agg(F.sum("n").alias("n"))
+    counts = trusted.select("lang", "text").mapInPandas(count, "lang string, context long, symbol long, n long")
+    return counts.groupBy("lang", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
 def _discount(n: Column) -> Column:
@@ -249,23 +293,42 @@ def _packed(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(shard: pa.Table) -> tuple[str | None, list[str], pa.Table]:
-    """Language, texts made :func:`plain` and boxed rows of a shard."""
-    rows = pa.concat_tables([pa.ipc.open_stream(pack).read_all() for pack in shard.column("_pack").to_pylist()])
-    row = rows.column("_row").combine_chunks()
-    return row.field("lang")[0].as_py(), [plain(t) for t in row.field("text").to_pylist()], rows
+def _unpacked(shard: pa.Table) -> Iterator[tuple[str | None, list[str], pa.Table]]:
+    """Language, texts made :func:`plain` and boxed rows of each pack of a shard."""
+    for pack in shard.column("_pack"):
+        rows = pa.ipc.open_stream(pack.as_buffer()).read_all()
+        row = rows.column("_row").combine_chunks()
+        yield row.field("lang")[0].as_py(), [plain(t) for t in row.field("text").to_pylist()], rows
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _known(found: pa.Table, name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The bits of grams ``context, symbol`` by the model of this name."""
+    found = found.filter(pa.compute.equal(found.column("lang"), name))
+    context, symbol, bits = (found.column(c).to_numpy() for c in ("context", "symbol", "bits"))
+    contexts = pd.Index(pd.unique(context))
+    pairs = pd.Index(contexts.get_indexer(context) * V + symbol)
+
+    def of(context, symbol):
+        place = pairs.get_indexer(contexts.get_indexer(context) * V + symbol)
+        if (place < 0).any():
+            raise ValueError("a text changed between its counting and its scoring")
+        return bits[place]
+
+    return of
+
+
+def _dealt(rows: DataFrame, models: int) -> DataFrame:
     """``_shard, _pack``: rows of one language in compressed packs, some of them a shard of about ``SHARD`` characters.
 
     A pack's shard follows from its content, so that a rerun deals alike and copies spread with the rows around them.
+    Where there is no language, each gram is scored by all ``models`` and shards are smaller by that, down to a pack.
     """
     lang, text = F.col("_row.lang"), F.col("_row.text")
     sizes = rows.groupBy(lang.alias("lang")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW).alias("size")).orderBy("lang")
     shards, first = {}, 0
     for r in sizes.toLocalIterator():
-        shards[r["lang"]] = first, math.ceil(r["size"] / SHARD)
+        most = SHARD if r["lang"] is not None else max(PACK, SHARD / max(1, models))
+        shards[r["lang"]] = first, math.ceil(r["size"] / most)
         first += shards[r["lang"]][1]
 
     def pack(batches):
@@ -304,39 +367,39 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     langs = model.langs
     known = set(langs)
     tried = lambda lang: langs if lang is None else [lang] if lang in known else []
-    dealt = _dealt(rows)
+    dealt = _dealt(rows, len(langs))
 
     def distinct(shard: pa.Table) -> pa.Table:
-        lang, texts, _ = _unpacked(shard)
-        context, symbol, _ = grams(texts)
+        lang = None
+
+        def packs():
+            nonlocal lang
+            for lang, texts, _ in _unpacked(shard):  # noqa: B007
+                yield texts
+
+        context, symbol, _ = counted(packs(), RUN)
         names, number = tried(lang), shard.column("_shard")[0].as_py()
         columns = {"lang": np.repeat(np.array(names, object), len(symbol)), "context": np.tile(context, len(names)), "symbol": np.tile(symbol, len(names))}
         return pa.table({"lang": pa.array(columns["lang"], pa.string()), "context": columns["context"], "symbol": columns["symbol"], "_shard": np.full(len(symbol) * len(names), number)})
 
     def score(shard: pa.Table, found: pa.Table) -> pa.Table:
-        lang, texts, rows = _unpacked(shard)
-        context, symbol, at = grams(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        best, bits = np.full(len(texts), None, object), np.zeros(len(texts))
-        by_model = dict(list(found.to_pandas().groupby("lang", sort=False)))
-        for k, name in enumerate(tried(lang)):
-            own = np.zeros(0)
-            if len(symbol):
-                known_grams = by_model[name]
-                contexts = pd.Index(known_grams["context"].unique())
-                pairs = pd.Index(contexts.get_indexer(known_grams["context"]) * V + known_grams["symbol"].to_numpy())
-                place = pairs.get_indexer(contexts.get_indexer(context) * V + symbol)
-                if (place < 0).any():
-                    raise ValueError("a text changed between its counting and its scoring")
-                own = known_grams["bits"].to_numpy()[place]
-            total = np.concatenate(([0.0], np.cumsum(own[at])))
-            new = total[ends] - total[ends - sizes]
-            less = np.ones(len(texts), bool) if k == 0 else new < bits
-            best[less], bits[less] = name, new[less]
-        if not tried(lang):
-            sizes = np.zeros(len(texts), np.int64)
-        return pa.table({"_row": rows.column("_row"), "_model": pa.array(best, pa.string()), "_bits": bits, "_symbols": sizes})
+        names, known_grams, out = [], None, []
+        for lang, texts, rows in _unpacked(shard):
+            if known_grams is None:
+                names = tried(lang)
+                known_grams = [_known(found, name) for name in names]
+            bits = np.zeros((len(names), len(texts)))
+            for run, which, own in runs(texts, RUN):
+                context, symbol, at = grams(run)
+                firsts = np.cumsum([0, *own[:-1]])
+                for k, known_bits in enumerate(known_grams):
+                    bits[k, which] += np.add.reduceat(known_bits(context, symbol)[at], firsts)
+            if names:
+                best, least, sizes = np.array(names, object)[bits.argmin(axis=0)], bits.min(axis=0), np.array([len(t) for t in texts], np.int64)
+            else:
+                best, least, sizes = np.full(len(texts), None, object), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            out.append(pa.table({"_row": rows.column("_row"), "_model": pa.array(best, pa.string()), "_bits": least, "_symbols": sizes}))
+        return pa.concat_tables(out)
 
     needed = dealt.groupBy("_shard").applyInArrow(distinct, "lang string, context long, symbol long, _shard long")
     needed = needed.groupBy("lang", "context", "symbol").agg(F.collect_list("_shard").alias("_shards"))
