@@ -479,6 +479,19 @@ def test_small_and_unlabelled_languages_stay(spark):
     assert len(few) == len(rows) - 1
 
 
+def test_a_fit_takes_few_jobs(spark):
+    """Each job costs the driver threads and blocks of broadcasts; a fit with cross-fitted languages took 195 of them."""
+    docs = spark.createDataFrame([(i, prose(i, 40), ("en", "fr")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    spark.sparkContext.setJobGroup("fit", "")
+    try:
+        model = kneser.train(docs, labels)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.langs == ["en", "fr"] and set(model.means) == set(model.thresholds) == {"en", "fr"}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) <= 60
+
+
 def test_probabilities_sum_to_one(spark):
     counts = spark.createDataFrame([("en", ((1 * kneser.V + 2) * kneser.V + 3) * kneser.V + k, 1 + k % 4) for k in range(4, 20)], "lang string, gram long, n long")
     for p, weight in kneser.probabilities(counts):

@@ -12,15 +12,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -114,13 +116,32 @@ def counted(packs: Iterable[list[str]], size: int) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """Tables of all languages: for each order from 1 probabilities by gram and back-off weights by context."""
+    """Grams ``seen`` and their ``contexts`` of all languages and orders (:func:`_counted`), ``sizes``: rows by order and language of both.
+
+    A gram's probability is what it has of its own, its discounted count over the total, and the back-off weight times
+    the probability of the shorter gram. Texts' grams are joined with all orders and add this up.
+    """
 
-    tables: list[tuple[DataFrame, DataFrame]]
     langs: list[str]
+    seen: DataFrame | None = None
+    contexts: DataFrame | None = None
+    sizes: list[Row] = field(default_factory=list)
     means: dict[str, float] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
 
+    def only(self, langs: list[str]) -> Model:
+        """The model of some of the languages."""
+        own = F.col("lang").isin(langs)
+        return Model(langs, self.seen.where(own), self.contexts.where(own), [r for r in self.sizes if r["lang"] in set(langs)])
+
+    def tables(self) -> list[tuple[DataFrame, DataFrame]]:
+        """For each order from 1 grams and contexts, those of few rows to be broadcast."""
+        of = Counter()
+        for r in self.sizes:
+            of[r["order"], r["table"]] += r["n"]
+        small = lambda table, *name: F.broadcast(table) if of[name] <= BROADCAST_GRAMS else table
+        return [(small(seen, order, 0), small(contexts, order, 1)) for order, (seen, contexts) in enumerate(_by_order(self.seen, self.contexts), 1)]
+
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, lang, text`` of documents that some label calls good and none bad or toxic; rows without a language are out."""
@@ -160,39 +181,30 @@ def _discount(n: Column) -> Column:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """``lang, d1, d2, d3`` from the counts of counts; a language too small to have them, or positive ones, discounts by a half."""
-    c = counts.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    """``order, lang, d1, d2, d3`` from the counts of counts; a language too small to have them, or positive ones, discounts by a half."""
+    c = counts.groupBy("order", "lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     whole = F.expr("least(n1, n2, n3) > 0")
     formula = lambda k, low, high: F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(high), F.col(low)))
     bounded = lambda k, low, high: F.when(whole & (formula(k, low, high) > 0), formula(k, low, high)).otherwise(0.5)
-    return c.select("lang", bounded(1, "n1", "n2").alias("d1"), bounded(2, "n2", "n3").alias("d2"), bounded(3, "n3", "n4").alias("d3"))
+    return c.select("order", "lang", bounded(1, "n1", "n2").alias("d1"), bounded(2, "n2", "n3").alias("d2"), bounded(3, "n3", "n4").alias("d3"))
 
 
-def _interpolated(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: ``lang, context, symbol, p`` of the grams seen, and ``lang, context, weight`` to back off with.
+def _counted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of all orders together: ``order, lang, context, symbol, n`` of the grams seen; ``order, lang, context, total, weight, d1, d2, d3`` of their contexts.
 
-    Lower orders count the different grams that end in a gram instead of its occurrences.
+    Lower orders count the different grams that end in a gram instead of its occurrences. Each job costs the driver
+    threads and blocks of broadcasts, so the orders pass each step in one job.
     """
-    by_order = [counts]
+    shorter, lower = counts, []
     for order in range(ORDER - 1, 0, -1):
-        shorter = by_order[0].groupBy("lang", _shortened(order).alias("context"), "symbol").agg(F.count(F.lit(1)).alias("n"))
-        by_order.insert(0, cut_lineage(shorter))
-    out, lower = [], None
-    for order, c in enumerate(by_order, 1):
-        c = c.join(_discounts(c), "lang").withColumn("d", F.least(_discount(F.col("n")), F.col("n")))
-        weights = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        weights = cut_lineage(weights)
-        seen = c.join(weights, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
-        if lower is None:
-            p = seen.select("lang", "context", "symbol", (F.col("own") + F.col("weight") / V).alias("p"))
-        else:
-            below = lower.select("lang", F.col("context").alias("shorter"), "symbol", F.col("p").alias("p_below"))
-            seen = seen.withColumn("shorter", _shortened(order - 1)).join(below, ["lang", "shorter", "symbol"])
-            p = seen.select("lang", "context", "symbol", (F.col("own") + F.col("weight") * F.col("p_below")).alias("p"))
-        lower = cut_lineage(p)
-        out.append((lower, weights.select("lang", "context", "weight")))
-    return out
+        n = F.count_if(F.col("n") > 0)  # all of them; as n is read, each order's exchange is the one that the next order reads
+        shorter = shorter.groupBy("lang", _shortened(order).alias("context"), "symbol").agg(n.alias("n"))
+        lower.append(shorter.select(F.lit(order).alias("order"), "lang", "context", "symbol", "n"))
+    seen = counts.select(F.lit(ORDER).alias("order"), "lang", "context", "symbol", "n").unionByName(cut_lineage(reduce(DataFrame.unionByName, lower)))
+    c = seen.join(F.broadcast(_discounts(seen)), ["order", "lang"]).withColumn("d", F.least(_discount(F.col("n")), F.col("n")))
+    weight = (F.sum("d") / F.sum("n")).alias("weight")
+    return seen, cut_lineage(c.groupBy("order", "lang", "context").agg(F.sum("n").alias("total"), weight, *[F.first(x).alias(x) for x in ("d1", "d2", "d3")]))
 
 
 def _shortened(order: int) -> Column:
@@ -200,44 +212,42 @@ def _shortened(order: int) -> Column:
     return F.col("context") % V ** (order - 1)
 
 
+def _by_order(seen: DataFrame, contexts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    return [tuple(table.where(F.col("order") == order).drop("order") for table in (seen, contexts)) for order in range(1, ORDER + 1)]
+
+
 def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """The tables of a model from ``lang, gram, n``, each gram a number in base V."""
-    return _interpolated(counts.select("lang", F.expr(f"gram div {V}").alias("context"), (F.col("gram") % V).alias("symbol"), "n"))
+    """For each order from 1, from ``lang, gram, n``, each gram a number in base V: ``lang, context, symbol, p`` of the grams seen,
+    and ``lang, context, weight`` to back off with.
+    """
+    tables = _by_order(*_counted(counts.select("lang", F.expr(f"gram div {V}").alias("context"), (F.col("gram") % V).alias("symbol"), "n")))
+    of = lambda order, seen: _probability(seen.select("lang", "context", "symbol"), tables[:order]).select("lang", "context", "symbol", "p")
+    return [(of(order, seen), contexts.select("lang", "context", "weight")) for order, (seen, contexts) in enumerate(tables, 1)]
 
 
 def _fitted(learnt: DataFrame) -> Model:
-    """The tables of each language of ``learnt``, without means and thresholds."""
-    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
-    tables = [(small(p), small(weight)) for p, weight in _interpolated(cut_lineage(_gram_counts(learnt)))]
-    return Model(tables, sorted(r["lang"] for r in tables[0][1].select("lang").distinct().toLocalIterator()))
-
-
-def _probability(needed: DataFrame, model: Model) -> DataFrame:
-    """``needed`` (``lang, context, symbol`` and more) with the probability ``p`` of each gram, from the longest order that has seen it."""
-    for order, (seen, weight) in reversed(list(enumerate(model.tables, 1))):
-        at = "context" if order == ORDER else "_c"  # the grams come dealt by the whole context
-        needed = needed if order == ORDER else needed.withColumn("_c", _shortened(order))
-        needed = needed.join(seen.select("lang", F.col("context").alias(at), "symbol", F.col("p").alias(f"_p{order}")), ["lang", at, "symbol"], "left")
-        needed = needed.join(weight.select("lang", F.col("context").alias(at), F.col("weight").alias(f"_w{order}")), ["lang", at], "left")
+    """The model of each language of ``learnt``, without means and thresholds."""
+    both = _counted(cut_lineage(_gram_counts(learnt)))
+    rows = [table.select("order", "lang", F.lit(k).alias("table")) for k, table in enumerate(both)]
+    sizes = rows[0].unionByName(rows[1]).groupBy("order", "lang", "table").agg(F.count(F.lit(1)).alias("n")).collect()  # a few rows of each language
+    return Model(sorted({r["lang"] for r in sizes}), *both, sizes)
+
+
+def _probability(needed: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``needed`` (``lang, context, symbol`` of the last order of ``tables``, and more) with the probability ``p`` of each gram."""
+    for order, (seen, contexts) in reversed(list(enumerate(tables, 1))):
+        at = "context" if order == len(tables) else "_c"  # the grams come dealt by the whole context
+        needed = needed if order == len(tables) else needed.withColumn("_c", _shortened(order))
+        needed = needed.join(seen.select("lang", F.col("context").alias(at), "symbol", "n"), ["lang", at, "symbol"], "left")
+        needed = needed.join(contexts.withColumnRenamed("context", at), ["lang", at], "left")
+        own = (F.col("n") - F.least(_discount(F.col("n")), F.col("n"))) / F.col("total")
+        needed = needed.withColumns({f"_own{order}": own, f"_w{order}": F.col("weight")}).drop("n", *contexts.columns[2:])
     p = F.lit(1.0 / V)
-    for order in range(1, ORDER + 1):
-        p = F.coalesce(F.col(f"_p{order}"), F.coalesce(F.col(f"_w{order}"), F.lit(1.0)) * p)
+    for order in range(1, len(tables) + 1):
+        p = F.coalesce(F.col(f"_own{order}"), F.lit(0.0)) + F.coalesce(F.col(f"_w{order}"), F.lit(1.0)) * p
     return needed.withColumn("p", p)
 
 
-def _cross_scores(small: DataFrame) -> DataFrame:
-    """``lang, _bits, _symbols`` of the texts of all folds but the first, each by a model of the other folds.
-
-    Each fold's models have the fold before the language in their name, so that one fit makes them all.
-    """
-    fold = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
-    of = lambda k: F.concat_ws(" ", k.cast("string"), "lang").alias("lang")
-    folds = F.array(*[F.lit(k) for k in range(1, HELD_OUT)])
-    others = small.withColumn("_fold", fold).withColumn("_k", F.explode(folds)).where("_k <> _fold").select(of(F.col("_k")), "text")
-    scores = scored(boxed(small.withColumn("_fold", fold).where("_fold > 0").select("doc_id", of(F.col("_fold")), "text")), _fitted(others))
-    return scores.select(F.expr("substr(_row.lang, 3)").alias("lang"), "_bits", "_symbols")
-
-
 def _bound(rates: int, mean: float, deviation: float, quantile: float) -> float:
     """Upper bound of one more rate in the share ``quantile`` of cases, by Student's law."""
     z, v = NormalDist().inv_cdf(quantile), rates - 1
@@ -255,19 +265,24 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Mod
     language has no threshold and rejects nothing.
     """
     text_batches(docs.sparkSession)
-    trusted = trusted_text(docs, labels)
-    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    model = _fitted(trusted.where(~held))
-    if not model.langs:
-        return model
+    trusted = trusted_text(docs, labels).withColumn("_fold", F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)))
+    texts = trusted.where("text <> ''").groupBy("lang").agg(F.count_if(F.col("_fold") > 0).alias("learnt"), F.count_if(F.col("_fold") == 0).alias("held")).collect()
+    langs = sorted(r["lang"] for r in texts if r["learnt"])
+    if not langs:
+        return Model([])
     needed = math.ceil(round(1 / (1 - quantile), 6))
-    scores = cut_lineage(scored(boxed(trusted.where(held)), model).select("_row.lang", "_bits", "_symbols").where("_symbols > 0"))
-    held_out = {r["lang"]: r["n"] for r in scores.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    small = [x for x in model.langs if held_out.get(x, 0) < needed]
-    if small:
-        crossed = _cross_scores(trusted.where(F.col("lang").isin(small)))
-        scores = cut_lineage(scores.unionByName(crossed.where("_symbols > 0")))
-    model.means = {r["lang"]: r["mean"] for r in scores.groupBy("lang").agg((F.sum("_bits") / F.sum("_symbols")).alias("mean")).toLocalIterator()}
+    small = F.col("lang").isin([r["lang"] for r in texts if r["learnt"] and r["held"] < needed])
+    # each fold's models have the fold before the language in their name, longer than any language; one fit makes them all
+    longest = max(len(r["lang"]) for r in texts)
+    without = lambda k: F.concat(F.rpad(k.cast("string"), longest + 1, " "), "lang")
+    names = [F.when(F.col("_fold") > 0, F.col("lang")), *[F.when(small & (F.col("_fold") != k), without(F.lit(k))) for k in range(1, HELD_OUT)]]
+    fits = _fitted(trusted.select(F.explode(F.array_compact(F.array(*names))).alias("lang"), "text"))
+    model = fits.only(langs)
+    unseen_by = F.when(F.col("_fold") == 0, F.col("lang")).when(small, without(F.col("_fold")))
+    scores = scored(boxed(trusted.select("doc_id", unseen_by.alias("lang"), "text").where("lang is not null")), fits).where("_symbols > 0")
+    lang = F.when(F.length("_row.lang") > longest, F.substring("_row.lang", longest + 2, 1 << 30)).otherwise(F.col("_row.lang"))
+    scores = cut_lineage(scores.select(lang.alias("lang"), "_bits", "_symbols"))
+    model.means = {r["lang"]: r["mean"] for r in scores.groupBy("lang").agg((F.sum("_bits") / F.sum("_symbols")).alias("mean")).collect()}
     if not model.means:
         return model
     means = F.create_map(*[F.lit(x) for item in model.means.items() for x in item])
@@ -277,8 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Mod
     w = Window.partitionBy("lang")
     share = F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)
     limits = bins.withColumn("share", share).where(F.col("share") >= quantile).groupBy("lang").agg((F.min("bin") / F.lit(float(STEPS))).alias("t"))
-    limits = {r["lang"]: r["t"] for r in limits.toLocalIterator()}
-    for r in rates.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("deviation")).toLocalIterator():
+    limits = {r["lang"]: r["t"] for r in limits.collect()}
+    for r in rates.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("deviation")).collect():
         if r["n"] >= needed:
             model.thresholds[r["lang"]] = limits[r["lang"]]
         elif r["n"] >= LEAST:
@@ -326,7 +341,7 @@ def _dealt(rows: DataFrame, models: int) -> DataFrame:
     lang, text = F.col("_row.lang"), F.col("_row.text")
     sizes = rows.groupBy(lang.alias("lang")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW).alias("size")).orderBy("lang")
     shards, first = {}, 0
-    for r in sizes.toLocalIterator():
+    for r in sizes.collect():
         most = SHARD if r["lang"] is not None else max(PACK, SHARD / max(1, models))
         shards[r["lang"]] = first, math.ceil(r["size"] / most)
         first += shards[r["lang"]][1]
@@ -403,7 +418,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
     needed = dealt.groupBy("_shard").applyInArrow(distinct, "lang string, context long, symbol long, _shard long")
     needed = needed.groupBy("lang", "context", "symbol").agg(F.collect_list("_shard").alias("_shards"))
-    bits = _probability(needed, model).select("lang", "context", "symbol", (-F.log2("p")).alias("bits"), F.explode("_shards").alias("_shard"))
+    bits = _probability(needed, model.tables()).select("lang", "context", "symbol", (-F.log2("p")).alias("bits"), F.explode("_shards").alias("_shard"))
     schema = StructType([rows.schema["_row"], StructField("_model", StringType()), StructField("_bits", DoubleType()), StructField("_symbols", LongType())])
     return dealt.groupBy("_shard").cogroup(bits.groupBy("_shard")).applyInArrow(score, schema)
 
