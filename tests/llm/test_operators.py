@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 import corpus_pipeline
-from tidemark.llm import chat, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
+from tidemark.llm import chat, common, decontam, fingerprints, kneser, language, linedup, mixing, pages, secrets, simhash
 
 WORDS = "river stone walks over green hills while small birds sing near old houses and the wind carries leaves".split()
 CLASH = "_key string, _row string, _lines string, _nth string, _id string"
@@ -479,6 +479,23 @@ def test_small_and_unlabelled_languages_stay(spark):
     assert len(few) == len(rows) - 1
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """A star is done in one round: it took another one to see that nothing changed."""
+    cuts = []
+    monkeypatch.setattr(common, "cut_lineage", lambda df, cut=common.cut_lineage: cuts.append(df) or cut(df))
+    found = {r.node: r.root for r in common.components(spark.createDataFrame([(1, k) for k in range(2, 9)], "a long, b long")).collect()}
+    assert found == {k: 1 for k in range(1, 9)} or found == {k: 1 for k in range(2, 9)}
+    assert len(cuts) == 2
+    r = random.Random(8)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    root = list(range(60))
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    for x in common.components(spark.createDataFrame(pairs, "a long, b long")).collect():
+        assert root[x.node] == x.root
+
+
 def test_a_fit_takes_few_jobs(spark):
     """Each job costs the driver threads and blocks of broadcasts; a fit with cross-fitted languages took 195 of them."""
     docs = spark.createDataFrame([(i, prose(i, 40), ("en", "fr")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")

@@ -35,20 +35,20 @@ def boxed(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``: the root is the least node reachable.
 
-    Alternates large-star and small-star steps, both a grouped minimum and a join, until the links
-    no longer change; each round halves the paths, and a hub is a skewed join side that AQE splits.
+    Alternates large-star and small-star steps, both a grouped minimum and a join, until the links are stars: no node
+    has two roots, no root has one. Each round halves the paths, and a hub is a skewed join side that AQE splits.
     """
     links = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.select(F.explode(ends).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         links = cut_lineage(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        side = F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))
+        nodes = links.select(F.explode(side).alias("e")).groupBy("e.n").agg(F.sum("e.up").alias("roots"), F.min("e.up").alias("least"))
+        if nodes.where("roots > 1 or roots > 0 and least = 0").isEmpty():
             break
-        before = state
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -206,10 +206,10 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MINIMA // 64)), F.lit(0))
 
 
-def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float, words: int) -> DataFrame:
+def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float, words: int, met: bool) -> DataFrame:
     """Those of ``pairs`` (``a, b``: the ``_low`` of two texts) that are alike.
 
-    Pairs meet their sketches first; whole texts go only where these do not rule the likeness out.
+    Pairs meet their sketches first, unless they have already ``met``; whole texts go only where these do not rule the likeness out.
     """
     text_batches(docs.sparkSession)
 
@@ -220,12 +220,15 @@ def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, likeness: float,
         return pd.Series([jaccard(of(a), shingles(b, words)) >= likeness for a, b in zip(left, right)], dtype=bool)
 
     sketch = lambda x: texts.select(F.col("_low").alias(x), F.col("_sketch").alias(f"_s{x}"))
-    likely = cut_lineage(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(_differing("_sa", "_sb") <= FAR).select("a", "b"))
+    likely = pairs.distinct()
+    if not met:
+        likely = likely.join(sketch("a"), "a").join(sketch("b"), "b").where(_differing("_sa", "_sb") <= FAR).select("a", "b")
+    likely = cut_lineage(likely)
     needed = likely.select(F.explode(F.array("a._key", "b._key")).alias("_key")).distinct()
     named = docs.select(text_name().alias("_key"), F.col("text").cast("string").alias("_t")).join(needed, "_key", "left_semi").dropDuplicates(["_key"])
     of = lambda x, t: named.select(F.col("_key").alias(f"_k{x}"), F.col("_t").alias(t))
-    met = likely.join(of("b", "_right"), F.col("b._key") == F.col("_kb")).join(of("a", "_left"), F.col("a._key") == F.col("_ka"))
-    return cut_lineage(met.where(close("_left", "_right")).select("a", "b"))
+    texted = likely.join(of("b", "_right"), F.col("b._key") == F.col("_kb")).join(of("a", "_left"), F.col("a._key") == F.col("_ka"))
+    return cut_lineage(texted.where(close("_left", "_right")).select("a", "b"))
 
 
 def _stars(members: DataFrame, by: str) -> DataFrame:
@@ -285,7 +288,7 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     parts = F.col("_p")[0].alias("_fp"), F.slice("_p", 2, MINIMA // 64).alias("_sketch"), F.slice("_p", 2 + MINIMA // 64, BANDS).alias("_bands")
     texts = cut_lineage(once.select("_key", "_low", *parts))
     banded = lambda df, at=(1, BANDS): df.select("*", F.posexplode(F.slice("_bands", *at)).alias("_k", "_v")).withColumn("_band", F.xxhash64(F.col("_k") + at[0], "_v"))
-    alike = lambda pairs: _alike(docs, texts, pairs, likeness, words)
+    alike = lambda pairs, met=False: _alike(docs, texts, pairs, likeness, words, met)
     without = lambda members, found: members.join(found.select(F.col("b").alias("_low")).distinct(), "_low", "left_anti")
 
     spread = _sized(banded(texts).select("_band", "_low")).groupBy("_low").agg(F.sum("_n").alias("_score"))
@@ -299,7 +302,7 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     sketched = lambda members: members.join(texts.select("_low", "_sketch"), "_low")
     members = _sized(banded(scored).select("_band", "_low"))
     left = cut_lineage(sketched(members.join(left.select("_low"), "_low", "left_semi")))
-    found = alike(_pairs(sketched(members.where(F.col("_n") <= few)), left))
+    found = alike(_pairs(sketched(members.where(F.col("_n") <= few)), left), met=True)
     joined, left = joined.unionByName(found), without(left, found)
     crowds = left.where(F.col("_n") > few).groupBy("_low").agg(F.sort_array(F.collect_set("_band")).alias("_of"))
     twice = crowds.select("_low", "_of", F.explode("_of").alias("_one")).select("_low", "_one", F.explode("_of").alias("_two")).where("_one < _two")
@@ -308,7 +311,7 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
         near, large = left.where(F.col("_n") <= few).drop("_n"), left.where(F.col("_n") > few).drop("_n")
         lots = large.withColumn("_lot", F.pmod(F.xxhash64("_band", "_low._key"), F.lit(leaders)))
         first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min(F.struct("_low", "_sketch")).alias("_least")).select("_band", "_least.*"))
-        found = alike(_pairs(near, near).unionByName(_pairs(first, large)))
+        found = alike(_pairs(near, near).unionByName(_pairs(first, large)), met=True)
         joined, leaders = joined.unionByName(found), 2 * leaders
         left = _sized(without(large, found).join(first.select("_band", "_low"), ["_band", "_low"], "left_anti"))
     roots = components(joined).where("node <> root").select(F.col("node").alias("_low"))
