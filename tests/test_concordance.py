@@ -99,6 +99,24 @@ def test_blocks_without_a_slope_that_is_left(spark):
     assert got.k == "click" and got.slope == pytest.approx(kernels.theil_sen(x, y), rel=1e-12)
 
 
+def test_rounds_leave_no_long_estimates(spark, monkeypatch):
+    """Few slopes may be left, so it takes rounds; none lengthens the size that the plans of the next are estimated with."""
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.integers(0, 3000, 300)).astype(float)
+    y = np.round(0.02 * x + 20 * rng.normal(size=300))
+    sizes, cut = [], C.cut_lineage
+
+    def seen(df):
+        out = cut(df)
+        sizes.append(out._jdf.logicalPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(C, "cut_lineage", seen)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x, "y": y}))
+    assert C.theil_sen_long(df, ["k"], "x", "y", block=64, last=3).first().slope == pytest.approx(kernels.theil_sen(x, y), rel=1e-9)
+    assert max(sizes) < 1 << 63 and len(sizes) < 120
+
+
 def test_the_sample_leaves_few_slopes(spark):
     rng = np.random.default_rng(6)
     x, y = np.arange(5000.0), rng.normal(size=5000)

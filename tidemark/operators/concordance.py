@@ -228,6 +228,7 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
     first = {"_lo": lambda d: d.withColumn("_u_lo", F.col("_u")), "_hi": lambda d: d.withColumn("_u_hi", F.col("_u"))}
     for end, put in first.items():
         state = cut_lineage(put(state.join(under(state, end), list(keys))).drop("_u"))
+    state = state.withColumn("_before", F.lit(None).cast("double"))
     done, middle = [], F.floor((F.col("_pairs") - 1) / 2)
     for step in range(ROUNDS):
         missed_low, missed_high = F.col("_u_lo") > middle, F.col("_u_hi") < F.floor(F.col("_pairs") / 2) + 1
@@ -238,12 +239,12 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
         state = cut_lineage(state.where("not _ready").drop("_ready"))
         if state.isEmpty():
             break
-        # aim a little to either side of the middle rank in turn, so that both ends close in
-        share = F.try_divide(F.col("_pairs") / 2 - F.col("_u_lo"), F.col("_u_hi") - F.col("_u_lo"))
-        lean = F.lit(0.002 if step % 2 else -0.002) + 0.0002 * F.rand(step)
-        guess = F.col("_lo") + width * F.least(F.greatest(share + lean, F.lit(0.001)), F.lit(0.999))
-        if step % 6 == 5:  # halve now and then, should the counts bend
-            guess = F.col("_lo") + width * (0.45 + 0.1 * F.rand(step))
+        # aim past the middle rank, seen from its nearer end, by twice what even counts stray; halve where the last cut left most
+        left = F.col("_u_hi") - F.col("_u_lo")
+        share = F.least(F.greatest(F.try_divide(F.col("_pairs") / 2 - F.col("_u_lo"), left), F.lit(0.0)), F.lit(1.0))
+        lean = F.least(2 * F.sqrt(F.try_divide(share * (1 - share) + F.try_divide(F.lit(1.0), left), left)) + 1e-6 * (1 + F.rand(step)), F.lit(0.25))
+        guess = F.col("_lo") + width * F.least(F.greatest(F.when(share > 0.5, share - lean).otherwise(share + lean), F.lit(0.001)), F.lit(0.999))
+        guess = F.when(left > 0.75 * F.col("_before"), F.col("_lo") + width * (0.45 + 0.1 * F.rand(step))).otherwise(guess)
         if step in (2, 3):  # still inside after two cuts, so many equal slopes: is the median that of the sample?
             near = F.col("_c") + (1e-12 if step == 3 else -1e-12) * F.col("_scale")
             guess = F.when((near > F.col("_lo")) & (near < F.col("_hi")), near).otherwise(guess)
@@ -258,7 +259,7 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
             "_u_lo": F.when(low, F.when(missed_high, F.col("_u_lo")).otherwise(F.col("_u"))).otherwise(F.when(missed_low, F.col("_u")).otherwise(F.col("_u_lo"))),
         }
         # a missed end moves and takes the count with it; the other end stays where it is
-        state = cut_lineage(tried.select(*keys, "_n", "_pairs", "_c", "_scale", *[v.alias(k) for k, v in moved.items()]))
+        state = cut_lineage(tried.select(*keys, "_n", "_pairs", "_c", "_scale", (F.col("_u_hi") - F.col("_u_lo")).alias("_before"), *[v.alias(k) for k, v in moved.items()]))
     found = state
     for d in done:
         found = found.unionByName(d)

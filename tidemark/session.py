@@ -69,4 +69,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             own = df.select("*")  # takes the setting with it
         finally:
             spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
-    return own.checkpoint(eager=True)
+    return _bounded(own.checkpoint(eager=True))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df`` whose estimated size is a long at most.
+
+    A checkpoint takes its plan's estimate with it, and a join's is the product of its sides: in a loop of checkpoints and
+    joins its digits multiply each round, to millions, which every plan node holds on the driver. Above a long it is
+    left unknown, which plans alike; rows, partitioning and order stay.
+    """
+    plan = df._jdf.logicalPlan()
+    try:
+        known = plan.stats().sizeInBytes() < 1 << 63
+    except ValueError:  # more digits than Python reads
+        known = False
+    if known:
+        return df
+    sql, option, session = df.sparkSession._jvm.org.apache.spark.sql, df.sparkSession._jvm.scala.Option, df.sparkSession._jsparkSession
+    kept = plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream()
+    unknown = sql.execution.LogicalRDD(*kept, session, option.empty(), option.apply(plan.constraints()))
+    return DataFrame(sql.classic.Dataset.ofRows(session, unknown), df.sparkSession)
