@@ -670,6 +670,28 @@ def test_mixed_documents_are_the_plan(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_the_mixing_stage_makes_the_mix(spark, tmp_path):
+    rows = [(i, f" {prose(i, 5 + i % 40)} ", "en", "abc"[i % 3], i) for i in range(300)]
+    rows += [rows[7], rows[7], (None, "no  id", "en", "a", 0), (None, "no  id", "en", "a", 0), (900, None, "en", None, 0), (901, "", None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    out = spark.read.parquet(f"{tmp_path}/mix").collect()
+    assert sorted((r[:5] for r in out), key=repr) == sorted(rows, key=repr)
+    assert any(r.taken == 0 < r.size for r in out) and any(len(r.mix) == 2 for r in out)
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken, r.source) for r in out if r.doc_id is not None) == sorted(tuple(r) for r in mixing.report(docs).collect() if r.doc_id is not None)
+    cut = 0
+    for r in out:
+        texts = [m.text.split() for m in r.mix]
+        assert [m.epoch for m in r.mix] == list(range(1, len(texts) + 1)) and [m.taken for m in r.mix] == [len(t) for t in texts]
+        assert sum(map(len, texts)) == r.taken and all(r.text.startswith(m.text) for m in r.mix)
+        assert all(len(t) == r.size for t in texts[:-1])
+        cut += bool(texts) and len(texts[-1]) < r.size
+    assert 0 < cut <= 3
+    per = lambda found: sorted(((r.doc_id, r.epoch, r.taken, r.text, r.n_chars) for r in found), key=repr)
+    again = mixing.mixed(docs, block_rows=7).collect()
+    assert per(mixing.unrolled(spark.read.parquet(f"{tmp_path}/mix").select(F.struct(*docs.columns).alias("_row"), "target", "mix")).collect()) == per(again)
+
+
 def test_pipeline_returns_the_mix(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "epoch", "taken", "target"]
