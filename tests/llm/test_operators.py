@@ -393,6 +393,22 @@ def test_crowds_of_a_common_passage(spark):
     assert sorted(r._low.doc_id for r in kept.collect()) == list(range(120))
 
 
+def test_crowds_are_compared_whole(spark):
+    """Texts that are like a member of a crowd but not like its centre; the member has left by then."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+    changed = lambda words, at, n: [*words[:at], *[word() for _ in range(n)], *words[at + n :]]
+    texts = {0: base} | {i: changed(base, r.randrange(299), 1) for i in range(1, 31)}
+    for i in range(12):
+        texts[100 + i] = changed(base, 8 * i, 25)
+        texts[200 + i] = changed(texts[100 + i], 150 + 8 * i, 25)
+    sets = {i: simhash.shingles(" ".join(t)) for i, t in texts.items()}
+    assert all(simhash.jaccard(sets[0], sets[100 + i]) > 0.8 > 0.75 > simhash.jaccard(sets[0], sets[200 + i]) and simhash.jaccard(sets[100 + i], sets[200 + i]) > 0.8 for i in range(12))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert [x._low.doc_id for x in simhash._unlike(frame, 0.8, 5, few=1, leaders=4).collect()] == [0]
+
+
 def test_profiles_tell_likeness():
     base = prose(3, 400).split()
     texts = [" ".join(base[:k] + prose(9, 400).split()[k:]) for k in (400, 390, 380, 300)]

@@ -38,7 +38,7 @@ MIXER = np.uint64(0xBF58476D1CE4E5B9)
 FAR = 46
 #: First band and number of bands of the rounds before the one over all bands.
 SHARES = ((1, 1), (2, 1), (3, 2))
-#: Members of a band up to which all are paired, and leaders of a larger band in the first round; each round doubles them.
+#: Members of a band up to which all are paired, and those of a larger band that the first round pairs; each round pairs eight times as many.
 FEW, LEADERS = 32, 32
 
 
@@ -247,10 +247,13 @@ def _group_stars(texts: DataFrame, bits: int = 4) -> DataFrame:
 def _pairs(some: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of the texts of a band, the earlier first; callers bound the bands.
 
-    Members carry their sketches, which the join itself compares: texts that these tell apart never become a row.
+    Members carry their sketches, which the join itself compares: texts that these tell apart never become a row. Where
+    they carry the crowds ``_of`` that they are in, a pair is a row of the first crowd it shares only.
     """
-    first = some.select("_band", F.col("_low").alias("_first"), F.col("_sketch").alias("_s"))
+    first = some.select("_band", F.col("_low").alias("_first"), F.col("_sketch").alias("_s"), *[F.col("_of").alias("_o") for c in some.columns if c == "_of"])
     met = first.join(others, "_band").where(F.col("_first") != F.col("_low")).where(_differing("_s", "_sketch") <= FAR)
+    if "_o" in first.columns:
+        met = met.where(F.array_min(F.array_intersect("_o", "_of")) == F.col("_band"))
     return met.select(F.least("_first", "_low").alias("a"), F.greatest("_first", "_low").alias("b"))
 
 
@@ -269,9 +272,8 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     2. Bands of minimum hashes: each text that is left is compared with the most central text of its bands, first of one
        band, then of the next few (``SHARES``), so that a crowd goes at about one pair for each member, then of all.
     3. Bands of up to ``few`` texts: what is left is compared with all texts of the band.
-    4. Larger bands: those left are told apart by each further larger band they share, and again all pairs of up to ``few``
-       are compared; what still is larger meets up to ``leaders`` of its texts, which then leave, in each round twice as
-       many, so that the rounds grow with the logarithm of a crowd.
+    4. Larger bands: what is left is compared with all texts of the band too, those that have left included, first with about
+       ``leaders`` of them and in each round with eight times as many, so that the rounds grow with the logarithm of a crowd.
 
     The first two steps make pairs in proportion to the texts, whatever the size of a crowd, so only texts that are
     unlike every centre reach the others. These join with their sketches, and only what is likely alike becomes a row.
@@ -304,16 +306,17 @@ def _unlike(docs: DataFrame, likeness: float, words: int, few: int = FEW, leader
     left = cut_lineage(sketched(members.join(left.select("_low"), "_low", "left_semi")))
     found = alike(_pairs(sketched(members.where(F.col("_n") <= few)), left), met=True)
     joined, left = joined.unionByName(found), without(left, found)
-    crowds = left.where(F.col("_n") > few).groupBy("_low").agg(F.sort_array(F.collect_set("_band")).alias("_of"))
-    twice = crowds.select("_low", "_of", F.explode("_of").alias("_one")).select("_low", "_one", F.explode("_of").alias("_two")).where("_one < _two")
-    left = cut_lineage(sketched(_sized(twice.select(F.xxhash64("_one", "_two").alias("_band"), "_low"))))
-    while not left.isEmpty():
-        near, large = left.where(F.col("_n") <= few).drop("_n"), left.where(F.col("_n") > few).drop("_n")
-        lots = large.withColumn("_lot", F.pmod(F.xxhash64("_band", "_low._key"), F.lit(leaders)))
-        first = cut_lineage(lots.groupBy("_band", "_lot").agg(F.min(F.struct("_low", "_sketch")).alias("_least")).select("_band", "_least.*"))
-        found = alike(_pairs(near, near).unionByName(_pairs(first, large)), met=True)
-        joined, leaders = joined.unionByName(found), 2 * leaders
-        left = _sized(without(large, found).join(first.select("_band", "_low"), ["_band", "_low"], "left_anti"))
+    crowds = members.where(F.col("_n") > few)
+    of = crowds.groupBy("_low").agg(F.collect_set("_band").alias("_of"))
+    left = cut_lineage(left.where(F.col("_n") > few).join(of, "_low"))
+    place = F.floor(F.pmod(F.xxhash64("_low._key"), F.lit(1 << 30)) * F.col("_n") / F.lit(1 << 30))
+    crowds = cut_lineage(sketched(crowds.withColumn("_place", place).join(of, "_low")))
+    met, most = 0, crowds.agg(F.max("_n")).first()[0] or 0
+    while met < most and not left.isEmpty():
+        some = crowds.where((F.col("_place") >= met) & (F.col("_place") < met + leaders)).drop("_place", "_n")
+        found = alike(_pairs(left, some), met=True)
+        joined, left = joined.unionByName(found), cut_lineage(without(left, found))
+        met, leaders = met + leaders, 8 * leaders
     roots = components(joined).where("node <> root").select(F.col("node").alias("_low"))
     return texts.select("_key", "_low").join(roots, "_low", "left_anti")
 
