@@ -212,10 +212,11 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
     """
     clean = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
     rows = cut_lineage(ranked(clean, keys, ["_x", "_y"], "_rx"))
-    n = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    copies = F.greatest(F.lit(1.0), F.count(F.lit(1)) / F.approx_count_distinct(F.xxhash64("_x", "_y")))
+    n = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), copies.alias("_copies")))
     longest = n.agg(F.max("_n")).first()[0] or 0
     both = (F.col("_n").cast(WIDE) * (F.col("_n") - 1) - F.col("_p")) / 2
-    pairs = cut_lineage(n.join(_tied_pairs(rows, keys, ["_x"]), list(keys)).select(*keys, "_n", both.cast("double").alias("_pairs"), (F.col("_p") / 2).cast("double").alias("_tied")))
+    pairs = cut_lineage(n.join(_tied_pairs(rows, keys, ["_x"]), list(keys)).select(*keys, "_n", "_copies", both.cast("double").alias("_pairs"), (F.col("_p") / 2).cast("double").alias("_tied")))
     state = cut_lineage(pairs.where("_pairs > 0").drop("_tied").join(_sampled(rows, n, keys), list(keys)))
 
     def under(slopes: DataFrame, s: str) -> DataFrame:
@@ -239,10 +240,12 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
         state = cut_lineage(state.where("not _ready").drop("_ready"))
         if state.isEmpty():
             break
-        # aim past the middle rank, seen from its nearer end, by twice what even counts stray; halve where the last cut left most
+        # aim past the middle rank, seen from its nearer end, by three times what even counts stray, rows that come again making
+        # pairs that do; halve where the last cut left most
         left = F.col("_u_hi") - F.col("_u_lo")
         share = F.least(F.greatest(F.try_divide(F.col("_pairs") / 2 - F.col("_u_lo"), left), F.lit(0.0)), F.lit(1.0))
-        lean = F.least(2 * F.sqrt(F.try_divide(share * (1 - share) + F.try_divide(F.lit(1.0), left), left)) + 1e-6 * (1 + F.rand(step)), F.lit(0.25))
+        apart = left / F.pow("_copies", F.lit(2))
+        lean = F.least(3 * F.sqrt(F.try_divide(share * (1 - share) + F.try_divide(F.lit(1.0), apart), apart)) + 1e-6 * (1 + F.rand(step)), F.lit(0.25))
         guess = F.col("_lo") + width * F.least(F.greatest(F.when(share > 0.5, share - lean).otherwise(share + lean), F.lit(0.001)), F.lit(0.999))
         guess = F.when(left > 0.75 * F.col("_before"), F.col("_lo") + width * (0.45 + 0.1 * F.rand(step))).otherwise(guess)
         if step in (2, 3):  # still inside after two cuts, so many equal slopes: is the median that of the sample?
@@ -259,7 +262,7 @@ def theil_sen_long(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str
             "_u_lo": F.when(low, F.when(missed_high, F.col("_u_lo")).otherwise(F.col("_u"))).otherwise(F.when(missed_low, F.col("_u")).otherwise(F.col("_u_lo"))),
         }
         # a missed end moves and takes the count with it; the other end stays where it is
-        state = cut_lineage(tried.select(*keys, "_n", "_pairs", "_c", "_scale", (F.col("_u_hi") - F.col("_u_lo")).alias("_before"), *[v.alias(k) for k, v in moved.items()]))
+        state = cut_lineage(tried.select(*keys, "_n", "_copies", "_pairs", "_c", "_scale", (F.col("_u_hi") - F.col("_u_lo")).alias("_before"), *[v.alias(k) for k, v in moved.items()]))
     found = state
     for d in done:
         found = found.unionByName(d)
